@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.layout import resample
 from ..operators.ordering import dense_index
+from ..session import cut_lineage
 from ..sources.tables import read_table
 
 HOURLY_VARS = ["click", "error", "purchase", "signup", "view"]
@@ -19,7 +20,8 @@ def ts_hourly(spark: SparkSession, sf_dir: str, step_seconds: int = 3600) -> Dat
     """``events``: mean ``value`` per hour and event type, one column per type,
     missing hours added as NULL rows. Columns: idx, t, click .. view."""
     ev = read_table(spark, sf_dir, "events", ["ts", "event_type", "value"])
-    return resample(ev, "ts", step_seconds, "value", key="event_type", values=HOURLY_VARS)
+    # the series is reused by every downstream action: materialise it once
+    return cut_lineage(resample(ev, "ts", step_seconds, "value", key="event_type", values=HOURLY_VARS))
 
 
 def ts_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +30,7 @@ def ts_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_table(spark, sf_dir, "orders", ["o_orderdate", "o_totalprice"])
     day = o.groupBy(F.col("o_orderdate").alias("t")).agg(
         F.sum("o_totalprice").alias("total"), F.count(F.lit(1)).alias("n"))
-    return dense_index(day, ["t"], idx="idx")
+    return cut_lineage(dense_index(day, ["t"], idx="idx"))
 
 
 def ts_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def ld_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 11 == 0, F.lit(None).cast("string")).otherwise(F.col("event_type")).alias("event_type"),
         F.when(F.col("event_id") % 7 == 0, F.lit(None).cast("double")).otherwise(F.col("value")).alias("value"),
         F.get_json_object("props", "$.k").cast("long").alias("k"))
-    return dense_index(ev, ["ts", "event_id"], keys=["user_id"], idx="visit")
+    return cut_lineage(dense_index(ev, ["ts", "event_id"], keys=["user_id"], idx="visit"))
 
 
 def ld_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import impute as im
 from ..operators import missing as ms
 from ..operators import transform as tf
 from ..operators.ordering import dense_index, lagged
+from ..session import cut_lineage
 from . import fixtures as fx
 
 VARS = fx.HOURLY_VARS
@@ -24,7 +25,7 @@ def r6(df: DataFrame, digits: int = 6) -> DataFrame:
 def hourly_filled(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly series with gaps carried forward, then leading gaps backward."""
     h = fx.ts_hourly(spark, sf).drop("t")
-    return im.locf(h, VARS, "idx", subject=None, nocb=True)
+    return cut_lineage(im.locf(h, VARS, "idx", subject=None, nocb=True))
 
 
 def hourly_diff_long(spark, sf, order: int = 1) -> DataFrame:
@@ -212,3 +213,133 @@ def overlap_average(spark, sf):
     h = 3
     preds = d.select("idx", F.array(*[F.col("total")] * h).alias("pred"))
     return r6(ova(preds, "idx", "pred", variable="total"))
+
+
+# ------------------------------------------------- numeric (checked in tests/)
+
+def _filled_cached(spark, sf):
+    return hourly_filled(spark, sf)
+
+
+def pacf(spark, sf):
+    a = dg.acf(dg.long_series(hourly_filled(spark, sf), VARS), alpha=None)
+    return r6(dg.pacf(a))
+
+
+def adf(spark, sf):
+    from ..operators.linear import adf as _adf
+    return r6(_adf(dg.long_series(hourly_filled(spark, sf), VARS)))
+
+
+def stationarity(spark, sf):
+    from ..operators.linear import adf as _adf, stationarity as _st
+    return r6(_st(_adf(dg.long_series(hourly_filled(spark, sf), VARS))))
+
+
+def granger_tests(spark, sf):
+    """All ordered pairs x lags 1..10 on the differenced hourly series."""
+    from ..operators.linear import granger
+    d = tf.difference(hourly_filled(spark, sf), VARS, order=1, check=False)
+    return r6(granger(d, VARS, maxlag=10))
+
+
+def granger_network(spark, sf):
+    """Min-p matrix, BH-adjusted over the off-diagonal family, edges at 0.05."""
+    from ..operators.linear import bh_correct, filter_causality, granger, granger_matrix
+    d = tf.difference(hourly_filled(spark, sf), VARS, order=1, check=False)
+    m = granger_matrix(granger(d, VARS, maxlag=10))
+    m = bh_correct(m.where(F.col("target") != F.col("source")), "p_value")
+    return r6(filter_causality(m))
+
+
+def var_fit(spark, sf):
+    """VAR(4) on the five hourly variables (constant included)."""
+    from ..operators.linear import var_fit as _vf
+    return r6(_vf(hourly_filled(spark, sf), VARS, 4))
+
+
+def var_select_order(spark, sf):
+    from ..operators.linear import var_select_order as _vs
+    return r6(_vs(hourly_filled(spark, sf), VARS, 12))
+
+
+def var_param_minima(spark, sf):
+    """AIC/BIC for p = 0..8 on own samples, running strict minima over p < 8."""
+    from ..operators.linear import var_param_search
+    from ..operators.results import running_minima
+    g = var_param_search(hourly_filled(spark, sf), VARS, 8).where(F.col("p") < 8)
+    return r6(running_minima(g.select("p", "aic", "bic"), ["aic", "bic"], [F.col("p")]))
+
+
+def var_walk_forward(spark, sf):
+    """VAR(2) one-step walk-forward over the last fifth of the hours."""
+    from ..operators.linear import walk_forward
+    f = hourly_filled(spark, sf)
+    n = f.count()
+    return r6(walk_forward(f, VARS, 2, split=int(0.8 * n)))
+
+
+def ar_walk_forward(spark, sf):
+    """AR(5) one-step walk-forward on the daily order totals (last fifth)."""
+    from ..operators.linear import walk_forward
+    d = fx.ts_daily(spark, sf).select("idx", "total")
+    n = d.count()
+    return r6(walk_forward(d, ["total"], 5, split=int(0.8 * n)))
+
+
+def var_forecast(spark, sf):
+    """VAR(2) 24-step forecast with 95 % interval."""
+    from ..operators.linear import var_fit as _vf, var_forecast as _vfc
+    f = hourly_filled(spark, sf)
+    return r6(_vfc(f, VARS, _vf(f, VARS, 2), 2, 24))
+
+
+def ljung_box(spark, sf):
+    """Ljung-Box on the VAR(2) residuals, lags 1..10."""
+    from ..operators.linear import var_fit as _vf, var_residuals
+    f = hourly_filled(spark, sf)
+    res = var_residuals(f, VARS, _vf(f, VARS, 2), 2)
+    a = dg.acf(res, nlags=10, alpha=None)
+    n = res.groupBy(dg.V).agg(F.count(F.lit(1)).alias("n"))
+    return r6(dg.ljung_box(a, n, lags=10))
+
+
+def leaderboard(spark, sf):
+    """MAE of the VAR(2) walk-forward and the Ljung-Box verdict on its residuals."""
+    from ..operators.linear import walk_forward
+    from ..operators.results import leaderboard as _lb
+    f = hourly_filled(spark, sf)
+    n = f.count()
+    wf = walk_forward(f, VARS, 2, split=int(0.8 * n))
+    m = dg.mae(wf).withColumn("model", F.lit("VAR(2)"))
+    res = wf.select(dg.V, (F.col("idx") - F.lit(int(0.8 * n))).alias("idx"), F.col("residual").alias("value"))
+    a = dg.acf(res, nlags=10, alpha=None)
+    lb = dg.ljung_box(a, res.groupBy(dg.V).agg(F.count(F.lit(1)).alias("n")), lags=10)
+    share = dg.ljung_box_share(lb).withColumn("model", F.lit("VAR(2)"))
+    return r6(_lb(m, share))
+
+
+def arima_fit(spark, sf):
+    """ARIMA(2,1,1) on the daily order totals (Hannan-Rissanen)."""
+    from ..operators.linear import arima_fit as _af
+    d = fx.ts_daily(spark, sf).select("idx", F.col("total").alias("value"))
+    return r6(_af(d, 2, 1, 1))
+
+
+def arma_grid_minima(spark, sf):
+    """AIC/AICc/BIC grid for p, q < 4 on the differenced daily
+    totals and the successive minima along the anti-diagonal walk."""
+    from ..operators.linear import arma_grid
+    from ..operators.results import running_minima, walk_order
+    d = fx.ts_daily(spark, sf).select("idx", F.col("total").alias("value"))
+    d1 = tf.difference(d, ["value"], order=1, check=False)
+    g = arma_grid(d1, 4, 4)
+    return r6(running_minima(g.select("p", "q", "aic", "aicc", "bic"), ["aic", "aicc", "bic"], [walk_order(4, 4)]))
+
+
+def box_cox(spark, sf):
+    """Variance-stabilising power transform of the daily totals (lambda by ML)."""
+    from ..operators.power import stabilize_variance
+    d = fx.ts_daily(spark, sf).select("idx", "total")
+    out, lam = stabilize_variance(d, "total")
+    return r6(out.withColumn("lambda", F.lit(lam)))

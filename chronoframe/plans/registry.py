@@ -18,7 +18,11 @@ _SQL_CHECKED = [
     "mae_naive", "overlap_average",
 ]
 
-_NUMERIC = []
+_NUMERIC = [
+    "pacf", "adf", "stationarity", "granger_tests", "granger_network", "var_fit", "var_select_order",
+    "var_param_minima", "var_walk_forward", "ar_walk_forward", "var_forecast", "ljung_box", "leaderboard",
+    "arima_fit", "arma_grid_minima", "box_cox",
+]
 
 
 def _wrap(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:

@@ -20,6 +20,7 @@ def get_spark(master: str | None = None, app: str = "chronoframe",
         SparkSession.builder.master(master or "local[*]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
