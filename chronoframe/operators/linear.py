@@ -51,14 +51,55 @@ def _triu_products(cols: list) -> list:
     return [cols[i] * cols[j] for i in range(k) for j in range(i, k)]
 
 
+# Above this many Gram entries the aggregate is computed per partition with
+# numpy instead of one generated SQL sum per entry (codegen method size).
+SQL_GRAM_LIMIT = 400
+
+
+def _gram_numpy(design: DataFrame, z: list, keys: list[str]) -> DataFrame:
+    """Per partition and series ``Z^T Z`` with numpy, emitted as (keys, k, v)
+    triangle entries and merged by a distributed ``groupBy(keys, k).sum``."""
+    d = len(z)
+    tri = np.triu_indices(d)
+    src = design.select(*keys, *[e.alias(f"_z{i}") for i, e in enumerate(z)])
+    kschema = _key_schema(design, keys)
+
+    def part(it):
+        for pdf in it:
+            if pdf.empty:
+                continue
+            for kv, g in pdf.groupby(keys, sort=False):
+                Z = g[[f"_z{i}" for i in range(d)]].to_numpy(dtype=float)
+                vals = (Z.T @ Z)[tri]
+                out = pd.DataFrame({"_k": np.arange(len(vals), dtype=np.int64), "_v": vals, "_c": len(Z)})
+                kv = kv if isinstance(kv, tuple) else (kv,)
+                for k, v in zip(keys, kv):
+                    out[k] = v
+                yield out[[*keys, "_k", "_v", "_c"]]
+
+    ent = src.mapInPandas(part, f"{kschema}, _k long, _v double, _c long")
+    merged = ent.groupBy(*keys, "_k").agg(F.sum("_v").alias("_v"), F.sum("_c").alias("_c"))
+    return merged.groupBy(*keys).agg(
+        F.max(F.when(F.col("_k") == 0, F.col("_c"))).alias("n"),
+        F.transform(F.array_sort(F.collect_list(F.struct("_k", "_v"))), lambda s: s["_v"]).alias("g"))
+
+
+def gram(design: DataFrame, z: list, keys: list[str]) -> DataFrame:
+    """keys, n, g (upper triangle of Z^T Z) with the cheaper of the two plans."""
+    d = len(z)
+    if d * (d + 1) // 2 > SQL_GRAM_LIMIT:
+        return _gram_numpy(design, z, keys)
+    return design.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
+                                     F.array(*[F.sum(e) for e in _triu_products(z)]).alias("g"))
+
+
 def gram_with_boundary(design: DataFrame, zcols: Sequence[str], keys: list[str], idx: str, start: int,
                        boundary_from: int) -> DataFrame:
     """Per series: Gram of ``[1, zcols]`` over rows ``idx >= start`` plus the
     rows ``boundary_from <= idx < start`` as arrays (NULL lags as NaN).
     Output: keys, n, g (upper triangle), bidx (array), bz (array of arrays)."""
     z = [F.lit(1.0)] + [F.col(c).cast("double") for c in zcols]
-    main = design.where(F.col(idx) >= start).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.array(*[F.sum(e) for e in _triu_products(z)]).alias("g"))
+    main = gram(design.where(F.col(idx) >= start), z, keys)
     if start <= boundary_from:
         return main.withColumn("bidx", F.array().cast("array<long>")).withColumn(
             "bz", F.array().cast("array<array<double>>"))

@@ -111,7 +111,39 @@ f_{v} AS (SELECT s.idx, a.y + (b.y - a.y) * (s.idx - a.idx) / (b.idx - a.idx) AS
           FROM s_{v} s JOIN o_{v} a ON a.r = s.s JOIN o_{v} b ON b.r = s.s + 1)"""
 
 
+def _tie_safe(sql: str) -> str:
+    """Rewrite every ``round(x, 6)`` as ``round(x + sign(x) * 1e-9, 6)`` (same
+    rounding rule as the Spark side)."""
+    out, i = [], 0
+    key = "round("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + len(key)
+        comma = None
+        while depth:
+            ch = sql[k]
+            if ch == "(":
+                depth += 1
+            elif ch == ")":
+                depth -= 1
+            elif ch == "," and depth == 1:
+                comma = k
+            k += 1
+        inner = _tie_safe(sql[j + len(key):comma])
+        digits = sql[comma + 1:k - 1].strip()
+        out.append(sql[i:j])
+        out.append(f"round(({inner}) + sign({inner}) * 1e-9, {digits})")
+        i = k
+
+
 def oracle_sql() -> dict[str, str]:
+    return {k: _tie_safe(v) for k, v in _oracle_sql().items()}
+
+
+def _oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     q["flagship_diff_acf"] = "WITH " + DIFF + _acf("dlong")
     q["acf_bartlett"] = "WITH " + FILLED + _acf("flong")

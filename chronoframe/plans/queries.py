@@ -18,8 +18,13 @@ VARS = fx.HOURLY_VARS
 
 
 def r6(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c)
-                       for c, t in df.dtypes])
+    """Round doubles for comparison.  A nudge of 1e-9 away from zero makes
+    exact ties (frequent after interpolation) round the same way in every
+    engine, whatever its tie rule and last-ulp differences."""
+    def rnd(c):
+        x = F.col(c)
+        return F.round(x + F.signum(x) * F.lit(1e-9), digits).alias(c)
+    return df.select(*[rnd(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
 def hourly_filled(spark: SparkSession, sf: str) -> DataFrame:
