@@ -509,8 +509,8 @@ def arma_design(long_y: DataFrame, P: int, Q: int, idx: str = "idx", value: str
     m = long_ar or _hr_initial_order(n, P, Q)
     lg = lagged(long_y.select(idx, value), [value], lags=range(1, m + 1), idx=idx, size=size)
     ycols = [f"{value}_lag{k}" for k in range(1, m + 1)]
-    g = lg.where(F.col(idx) >= m).agg(F.count(F.lit(1)).alias("n"), F.array(*[
-        F.sum(e) for e in _triu_products([F.lit(1.0)] + [F.col(c) for c in ycols] + [F.col(value)])]).alias("g")).first()
+    z1 = [F.lit(1.0)] + [F.col(c).cast("double") for c in ycols] + [F.col(value).cast("double")]
+    g = gram(lg.where(F.col(idx) >= m).withColumn(SERIES, F.lit(0)), z1, [SERIES]).first()
     G = unpack(g["g"], m + 2)
     beta, _, _ = ols_from_gram(G, range(0, m + 1), [m + 1], int(g["n"]))
     fit = F.lit(float(beta[0, 0]))
@@ -532,8 +532,7 @@ def arma_grid(long_y: DataFrame, limit_p: int, limit_q: int, idx: str = "idx", v
     P, Q = limit_p - 1, limit_q - 1
     d2, zcols, start, _ = arma_design(long_y, P, Q, idx, value, size)
     z = [F.lit(1.0)] + [F.col(c) for c in zcols]
-    g = d2.where(F.col(idx) >= start).agg(F.count(F.lit(1)).alias("n"),
-                                          F.array(*[F.sum(e) for e in _triu_products(z)]).alias("g")).first()
+    g = gram(d2.where(F.col(idx) >= start).withColumn(SERIES, F.lit(0)), z, [SERIES]).first()
     mm = len(z)
     G, n = unpack(g["g"], mm), int(g["n"])
     recs = []
@@ -561,8 +560,7 @@ def arima_fit(long_y: DataFrame, p: int, d: int, q: int, idx: str = "idx", value
         y = difference(y, [value], order=d, idx=idx, check=False)
     d2, zcols, start, _ = arma_design(y, p, q, idx, value, size)
     z = [F.lit(1.0)] + [F.col(c) for c in zcols]
-    g = d2.where(F.col(idx) >= start).agg(F.count(F.lit(1)).alias("n"),
-                                          F.array(*[F.sum(e) for e in _triu_products(z)]).alias("g")).first()
+    g = gram(d2.where(F.col(idx) >= start).withColumn(SERIES, F.lit(0)), z, [SERIES]).first()
     mm = len(z)
     G, n = unpack(g["g"], mm), int(g["n"])
     xs = list(range(0, mm - 1))

@@ -224,7 +224,7 @@ SELECT idx, round(total, 6) AS total, round(total_lag1, 6) AS total_lag1, round(
 FROM w, sp WHERE total_lead2 IS NOT NULL"""
     q["temporal_split"] = "WITH " + DAILY + """, sp AS (SELECT CAST(floor(0.8 * count(*)) AS BIGINT) AS split FROM daily)
 SELECT CASE WHEN idx < split THEN 'train' ELSE 'test' END AS set, CAST(count(*) AS BIGINT) AS n_rows,
-  round(sum(total), 6) AS total, min(idx) AS first_idx, max(idx) AS last_idx FROM daily, sp GROUP BY 1"""
+  round(sum(total), 2) AS total, min(idx) AS first_idx, max(idx) AS last_idx FROM daily, sp GROUP BY 1"""
     q["subject_split"] = "WITH " + LD + """, s AS (SELECT user_id, row_number() OVER (ORDER BY user_id) - 1 AS r,
   count(*) OVER () AS n FROM (SELECT DISTINCT user_id FROM ld))
 SELECT ld.user_id, visit, CASE WHEN s.r >= s.n - s.n // 5 THEN 'test' ELSE 'train' END AS set

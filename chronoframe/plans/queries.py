@@ -163,8 +163,9 @@ def temporal_split(spark, sf):
     d = fx.ts_daily(spark, sf).select("idx", "total")
     split = int(0.8 * d.count())
     s = tf.temporal_split(d, split)
+    # a sum near 1e9 carries no stable 6th decimal across engines: money to cents
     return r6(s.groupBy("set").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("total").alias("total"),
-                                   F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")))
+                                   F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")), 2)
 
 
 def subject_split(spark, sf):
@@ -348,3 +349,70 @@ def box_cox(spark, sf):
     d = fx.ts_daily(spark, sf).select("idx", "total")
     out, lam = stabilize_variance(d, "total")
     return r6(out.withColumn("lambda", F.lit(lam)))
+
+
+# ------------------------------------------------------------ learned models
+
+def model_impute(spark, sf):
+    """I4: AR(3) regression imputation of the hourly ``click`` series."""
+    from ..operators.learn import model_impute as _mi
+    h = fx.ts_hourly(spark, sf).select("idx", "click")
+    return r6(_mi(h, "click", ar_lag=3))
+
+
+def chained_impute(spark, sf):
+    """I8: chained ridge equations over value and k of the longitudinal events."""
+    from ..operators.learn import chained_impute as _ci
+    e = fx.ld_events(spark, sf).select("user_id", "visit", "event_id", "value", "k")
+    return r6(_ci(e, ["value", "k"], row_id="event_id"))
+
+
+def forest_impute(spark, sf):
+    """Forest imputation of value (numeric) and event_type (categorical) with k."""
+    from ..operators.learn import forest_impute as _fi
+    e = fx.ld_events(spark, sf).select("user_id", "visit", "event_id", "event_type", "value", "k")
+    return r6(_fi(e, ["event_type", "value", "k"], row_id="event_id", categorical=["event_type"],
+                  max_iter=3, num_trees=20))
+
+
+def window_regression(spark, sf):
+    """Windowed regression (order 3, horizon 2) on the hourly series, split at 80 %."""
+    from ..operators.learn import window_regression as _wr
+    f = hourly_filled(spark, sf)
+    n = f.count()
+    pred, _, _, _ = _wr(f, VARS, order=3, horizon=2, split=int(0.8 * n), outputs=["click", "view"])
+    return r6(pred)
+
+
+def nn_forecast(spark, sf):
+    """Recursive 24-step forecast with a 5-model bagged ensemble and draw interval."""
+    from ..operators.learn import forecast_recursive
+    return r6(forecast_recursive(hourly_filled(spark, sf), VARS, order=3, steps=24, draws=5))
+
+
+def window_classifier(spark, sf):
+    """Next role of a conversation turn from windows of message lengths; last fifth of conversations held out."""
+    from ..operators.learn import window_classifier as _wc
+    c = fx.ld_conversations(spark, sf)
+    convs = c.select("conv_id").distinct()
+    ranked = dense_index(convs, ["conv_id"], idx="r")
+    n = convs.count()
+    test = ranked.where(F.col("r") >= F.lit(int(n - n // 5)))
+    return r6(_wc(c, "conv_id", "turn", ["n_chars"], "role", window=3, test_subjects=test, iters=(10, 50)))
+
+
+def dynamic_classifier(spark, sf):
+    """Next event type per user from one-hot history (delay 3, decay 0.5)."""
+    from ..operators.learn import dynamic_classifier as _dc
+    e = fx.ld_events(spark, sf).where(F.col("event_type").isNotNull()).select("user_id", "visit", "event_type")
+    e = dense_index(e, ["visit"], keys=["user_id"], idx="v2").drop("visit").withColumnRenamed("v2", "visit")
+    metrics, _, _ = _dc(e, "user_id", "visit", ["event_type"], "event_type", delay=3, decay=0.5)
+    return r6(metrics)
+
+
+def rbm_structure(spark, sf):
+    """RBM weights over the encoded document attributes (lang, source, quality, toxic)."""
+    from ..operators.learn import rbm_structure as _rbm
+    d = fx.ml_docs(spark, sf).select("lang", "source", "quality", "toxic")
+    enc, _ = tf.encode_for_rbm(d, ["lang", "source", "quality", "toxic"])
+    return r6(_rbm(enc, n_hidden=4, n_iter=10, learning_rate=0.1))
