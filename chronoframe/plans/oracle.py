@@ -148,6 +148,8 @@ def _oracle_sql() -> dict[str, str]:
     q["flagship_diff_acf"] = "WITH " + DIFF + _acf("dlong")
     q["acf_bartlett"] = "WITH " + FILLED + _acf("flong")
     q["hourly_resample"] = "WITH " + HOURLY + f"SELECT idx, {_r(VARS)} FROM hourly"
+    q["csv_roundtrip"] = "WITH " + HOURLY + f"SELECT idx, {_r(VARS)} FROM hourly"
+    q["ld_csv_roundtrip"] = "WITH " + LD + "SELECT user_id, visit, event_type, round(value, 6) AS value, k FROM ld"
     q["daily_series"] = "WITH " + DAILY + "SELECT idx, round(total, 6) AS total, n FROM daily"
     q["hourly_missing_profile"] = "WITH " + HOURLY + _profile("hourly", VARS)
     q["ld_missing_profile"] = "WITH " + LD + _profile("ld", ["event_type", "value", "k"])

@@ -416,3 +416,29 @@ def rbm_structure(spark, sf):
     d = fx.ml_docs(spark, sf).select("lang", "source", "quality", "toxic")
     enc, _ = tf.encode_for_rbm(d, ["lang", "source", "quality", "toxic"])
     return r6(_rbm(enc, n_hidden=4, n_iter=10, learning_rate=0.1))
+
+
+# ---------------------------------------------------------------- sources
+
+def csv_roundtrip(spark, sf):
+    """The hourly series exported as ';'-separated CSV into the
+    shared scratch folder, read back with delimiter inference and file-order
+    index: equals the series."""
+    from ..sources.csv import export_series, read_series, scratch_dir
+    h = fx.ts_hourly(spark, sf).drop("t")
+    path = scratch_dir(spark, "csv-roundtrip")
+    export_series(h, path, cols=VARS, order_by=("idx",), sep=";")
+    back = read_series(spark, path)
+    return r6(back.select("idx", *[F.col(c).cast("double").alias(c) for c in VARS]))
+
+
+def ld_csv_roundtrip(spark, sf):
+    """S3: longitudinal events written as CSV (subject first) and read back
+    with per-subject visit numbering from the file order."""
+    from ..sources.csv import export_series, read_longitudinal, scratch_dir
+    e = fx.ld_events(spark, sf).select("user_id", "visit", "event_type", "value", "k")
+    path = scratch_dir(spark, "ld-roundtrip")
+    export_series(e, path, cols=["user_id", "event_type", "value", "k"], order_by=("user_id", "visit"))
+    back = read_longitudinal(spark, path, sep=",")
+    return r6(back.select("user_id", "visit", "event_type", F.col("value").cast("double").alias("value"),
+                          F.col("k").cast("long").alias("k")))

@@ -15,7 +15,7 @@ _SQL_CHECKED = [
     "linear_interpolate", "imputation_sets", "difference2", "reverse_difference", "minmax_scale",
     "bin_equal_width", "label_encode", "one_hot", "subject_windows", "supervised_windows", "temporal_split",
     "subject_split", "acf_bartlett", "seasonal_decompose", "fisher_g", "durbin_watson", "residual_histogram",
-    "mae_naive", "overlap_average",
+    "mae_naive", "overlap_average", "csv_roundtrip", "ld_csv_roundtrip",
 ]
 
 _NUMERIC = [
