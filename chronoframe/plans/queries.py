@@ -442,3 +442,11 @@ def ld_csv_roundtrip(spark, sf):
     back = read_longitudinal(spark, path, sep=",")
     return r6(back.select("user_id", "visit", "event_type", F.col("value").cast("double").alias("value"),
                           F.col("k").cast("long").alias("k")))
+
+
+def pcmci(spark, sf):
+    """PCMCI (ParCorr, tau_max 8, automatic pc_alpha, BH over lagged
+    links, alpha 0.01) on the differenced hourly series; links per lag."""
+    from ..operators.causality import pcmci as _pc
+    d = tf.difference(hourly_filled(spark, sf), VARS, order=1, check=False)
+    return r6(_pc(d, VARS, tau_max=8))

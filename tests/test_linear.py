@@ -204,3 +204,20 @@ def test_granger_planted_edge(spark):
     m = ln.granger_matrix(ln.granger(df, ["x", "y"], maxlag=3)).toPandas().set_index(["target", "source"])
     assert m.loc[("y", "x"), "p_value"] < 1e-6
     assert m.loc[("x", "y"), "p_value"] > 0.01
+
+
+def test_pcmci_planted_links(spark):
+    from chronoframe.operators.causality import parse_links, pcmci
+    rng = np.random.default_rng(21)
+    n = 2000
+    x, y, w = rng.normal(size=n), np.zeros(n), rng.normal(size=n)
+    for t in range(2, n):
+        y[t] = 0.5 * y[t - 1] + 0.6 * x[t - 2] + 0.3 * rng.normal()
+    df = spark.createDataFrame(pd.DataFrame({"idx": np.arange(n), "x": x, "y": y, "w": w}))
+    links = pcmci(df, ["x", "y", "w"], tau_max=3).toPandas()
+    sig = {(r.source, r.target, r.lag) for r in links.itertuples() if r.significant}
+    assert ("x", "y", 2) in sig and ("y", "y", 1) in sig
+    assert not any(s == "w" or t == "w" for s, t, _ in sig)
+    assert not any(s == "y" and t == "x" for s, t, _ in sig)
+    e = parse_links(pcmci(df, ["x", "y", "w"], tau_max=3)).toPandas().set_index(["source", "target"])
+    assert bool(e.loc[("x", "y"), "edge"]) and not bool(e.loc[("y", "x"), "edge"])
