@@ -38,10 +38,7 @@ def locf(df: DataFrame, cols: Sequence[str], visit: str, subject: str | None = N
         chosen = get_subject(df, subject, subject_ids, subjects_df)
         rest = df.join(chosen.select(subject).distinct(), subject, "left_anti")
         return locf(chosen, cols, visit, subject, nocb, size=size).unionByName(rest)
-    out = blocked_fill(df, cols, visit, keys, "forward", size)
-    if nocb:
-        out = blocked_fill(out, cols, visit, keys, "backward", size)
-    return out
+    return blocked_fill(df, cols, visit, keys, "both" if nocb else "forward", size)
 
 
 def interpolate(df: DataFrame, cols: Sequence[str], order: int = 1, idx: str = "idx", keys=(),

@@ -139,38 +139,54 @@ def _block_join(local: DataFrame, summary: DataFrame, keys: list) -> DataFrame:
 
 def blocked_fill(df: DataFrame, cols: Sequence[str], idx: str = "idx", keys=(),
                  direction: str = "forward", size: int | None = None) -> DataFrame:
-    """Forward (carry last observation) or backward fill of ``cols`` in ``idx``
-    order within ``keys``; a fill never crosses keys."""
+    """Fill of ``cols`` in ``idx`` order within ``keys``; a fill never crosses
+    keys.  ``direction``: 'forward' (carry the last observation), 'backward'
+    (carry the next one) or 'both' (forward, then backward for what is left,
+    in the same pass: one block window, one summary, one join)."""
     keys = _cols(keys)
     cols = list(cols)
     if not cols:
         return df
+    require_dir = direction in ("forward", "backward", "both")
+    if not require_dir:
+        raise ValueError(f"direction must be forward, backward or both, not {direction!r}")
+    fwd, bwd = direction in ("forward", "both"), direction in ("backward", "both")
     b = add_blocks(df, idx, size)
-    fwd = direction == "forward"
     w = Window.partitionBy(*keys, BLK).orderBy(idx)
-    if fwd:
-        w = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        local = {c: F.last(c, ignorenulls=True).over(w) for c in cols}
-    else:
-        w = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-        local = {c: F.first(c, ignorenulls=True).over(w) for c in cols}
-    pick = F.max_by if fwd else F.min_by
-    summary = b.groupBy(*keys, BLK).agg(*[
-        pick(F.col(c), F.when(F.col(c).isNotNull(), F.col(idx))).alias(f"_edge_{i}")
-        for i, c in enumerate(cols)])
+    wf = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    wbk = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    local = []
+    aggs = []
+    for i, c in enumerate(cols):
+        if fwd:
+            local.append(F.last(c, ignorenulls=True).over(wf).alias(f"_f{i}"))
+            aggs.append(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(idx))).alias(f"_le{i}"))
+        if bwd:
+            local.append(F.first(c, ignorenulls=True).over(wbk).alias(f"_b{i}"))
+            aggs.append(F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(idx))).alias(f"_fe{i}"))
+    summary = b.groupBy(*keys, BLK).agg(*aggs)
     wb = Window.partitionBy(*keys).orderBy(BLK)
-    if fwd:
-        wb = wb.rowsBetween(Window.unboundedPreceding, -1)
-        carry = [F.last(f"_edge_{i}", ignorenulls=True).over(wb).alias(f"_carry_{i}") for i in range(len(cols))]
-    else:
-        wb = wb.rowsBetween(1, Window.unboundedFollowing)
-        carry = [F.first(f"_edge_{i}", ignorenulls=True).over(wb).alias(f"_carry_{i}") for i in range(len(cols))]
+    carry = []
+    for i in range(len(cols)):
+        if fwd:
+            carry.append(F.last(f"_le{i}", ignorenulls=True).over(
+                wb.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_cf{i}"))
+        if bwd:
+            carry.append(F.first(f"_fe{i}", ignorenulls=True).over(
+                wb.rowsBetween(1, Window.unboundedFollowing)).alias(f"_cb{i}"))
     summary = summary.select(*keys, BLK, *carry)
-    loc = b.select(*[local[c].alias(c) if c in local else F.col(c) for c in df.columns], BLK)
+    loc = b.select(*[F.col(c) for c in df.columns], BLK, *local)
     joined = _block_join(loc, summary, keys)
-    return joined.select(*[
-        F.coalesce(F.col(c), F.col(f"_carry_{cols.index(c)}")).alias(c) if c in cols else F.col(c)
-        for c in df.columns])
+
+    def filled(i, c):
+        parts = []
+        if fwd:
+            parts += [F.col(f"_f{i}"), F.col(f"_cf{i}")]
+        if bwd:
+            parts += [F.col(f"_b{i}"), F.col(f"_cb{i}")]
+        return F.coalesce(*parts).alias(c)
+
+    return joined.select(*[filled(cols.index(c), c) if c in cols else F.col(c) for c in df.columns])
 
 
 def blocked_cumsum(df: DataFrame, cols: Sequence[str], idx: str = "idx", keys=(),

@@ -99,3 +99,12 @@ def test_plain_window_would_be_single_partition(spark, keyed):
     w = Window.orderBy("visit")
     text = keyed.select(F.lag("v").over(w))._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" in text
+
+
+@pytest.mark.parametrize("size", [4, 65536])
+def test_fill_both_directions_one_pass(keyed, size):
+    ref = keyed.toPandas().sort_values(["user_id", "visit"])
+    exp = ref.groupby("user_id").v.ffill()
+    exp = exp.groupby(ref.user_id).bfill().to_numpy(dtype=float)
+    got = o.blocked_fill(keyed, ["v"], "visit", ["user_id"], "both", size).toPandas().sort_values(["user_id", "visit"])
+    assert np.allclose(exp, got.v.to_numpy(dtype=float), equal_nan=True)
