@@ -39,7 +39,15 @@ def resample(df: DataFrame, ts: str, step_seconds: int, value: str, key: str | N
     aggf = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}[agg]
     if key:
         vals = list(values) if values is not None else bounded_distinct(df, key, max_keys)
-        g = b.groupBy("_bucket").pivot(key, vals).agg(aggf("_v"))
+        # conditional aggregates: one shuffle on the bucket, partial aggregation
+        # before it (a pivot would aggregate twice)
+        def one(v):
+            hit = F.col(key) == F.lit(v)
+            if agg == "count":
+                n = F.count_if(hit)
+                return F.when(n > 0, n)
+            return aggf(F.when(hit, F.col("_v")))
+        g = b.groupBy("_bucket").agg(*[one(v).alias(str(v)) for v in vals])
         out_cols = [str(v) for v in vals]
     else:
         g = b.groupBy("_bucket").agg(aggf("_v").alias(value))
