@@ -205,8 +205,12 @@ def ljung_box(acf_df: DataFrame, nobs: DataFrame, lags: int = 10, keys=(), alpha
     w = Window.partitionBy(*g).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
     q = (F.col("n") * (F.col("n") + 2) * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))).over(w))
     out = a.select(*g, "lag", q.alias("q_stat"))
-    sf = F.udf(lambda x, d: None if x is None else float(chi2_sf(x, int(d))), "double")
-    return out.withColumn("p_value", sf("q_stat", "lag"))
+    return out.withColumn("p_value", F.pandas_udf(_chi2_tail, "double")("q_stat", "lag"))
+
+
+def _chi2_tail(x: pd.Series, df: pd.Series) -> pd.Series:
+    """chi^2 upper tail over an Arrow batch of (statistic, df)."""
+    return pd.Series([None if pd.isna(a) else chi2_sf(float(a), int(d)) for a, d in zip(x, df)], dtype="float64")
 
 
 def ljung_box_share(lb: DataFrame, keys=(), alpha: float = 0.05) -> DataFrame:

@@ -288,18 +288,21 @@ def _var_criteria(sigma_mle: np.ndarray, T: int, K: int, p: int) -> dict:
 
 
 def var_fit(df: DataFrame, cols: Sequence[str], p: int, idx: str = "idx", keys=(),
-            size: int | None = None) -> DataFrame:
-    """VAR(p) with constant by least squares (one Gram, one solve for all
+            size: int | None = None, exog: Sequence[str] = ()) -> DataFrame:
+    """F10 (F16 with ``exog``): VAR(p) with constant -- and contemporaneous
+    exogenous regressors -- by least squares (one Gram, one solve for all
     equations).  Output: keys, equation, regressor, coef, std_err, plus one
     row per equation with regressor '_sigma_<var>' holding the residual
     covariance (denominator T - Kp - 1)."""
     cols = list(cols)
+    exog = list(exog)
     d0, keys = _with_series(df, keys)
     K = len(cols)
-    lg, zcols = _wide_lag_design(d0, cols, p, idx, keys, size)
+    lg, zcols = _wide_lag_design(d0.select(*keys, idx, *cols, *exog), cols, p, idx, keys, size) \
+        if not exog else _exog_design(d0, cols, exog, p, idx, keys, size)
     gb = gram_with_boundary(lg, zcols, keys, idx, p, p)
     m = len(zcols) + 1
-    names = ["const"] + [f"{c}_lag{k}" for k in range(1, p + 1) for c in cols]
+    names = ["const"] + [f"{c}_lag{k}" for k in range(1, p + 1) for c in cols] + list(exog)
     schema = _key_schema(gb, keys) + ", equation string, regressor string, coef double, std_err double"
 
     def solve(pdf):
@@ -328,6 +331,12 @@ def var_fit(df: DataFrame, cols: Sequence[str], p: int, idx: str = "idx", keys=(
     return res.drop(SERIES) if SERIES in keys else res
 
 
+def _exog_design(df, cols, exog, p, idx, keys, size):
+    lg = lagged(df.select(*keys, idx, *cols, *exog), cols, lags=range(1, p + 1), idx=idx, keys=keys, size=size)
+    zcols = list(cols) + [f"{c}_lag{k}" for k in range(1, p + 1) for c in cols] + list(exog)
+    return lg, zcols
+
+
 def var_select_order(df: DataFrame, cols: Sequence[str], maxlags: int = 12, idx: str = "idx", keys=(),
                      size: int | None = None) -> DataFrame:
     """AIC, BIC, FPE, HQIC for p = 0..maxlags, all on the common sample
