@@ -108,50 +108,53 @@ def _decode_categoricals(df: DataFrame, maps: dict) -> DataFrame:
 
 def _round_robin(df: DataFrame, cols: list[str], categorical: list[str], make_model, max_iter: int,
                  row_id: str, stop: str, tol: float = 1e-3) -> DataFrame:
+    """Round-robin model imputation.  Every round is narrow: the previous
+    values ride along as ``_o_*`` columns, each column is re-predicted by a
+    map over all rows, and the change measure is one aggregate.  The state is
+    checkpointed once per round."""
     miss = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     order = [c for c in sorted(cols, key=lambda c: (miss[c], cols.index(c))) if miss[c] > 0]
-    flags = df.select(row_id, *[F.col(c).isNull().alias(f"_m_{c}") for c in cols])
     numeric = [c for c in cols if c not in categorical]
-    cur = cut_lineage(_initial_fill(df, numeric, categorical).join(flags, row_id))
+    flagged = df.select("*", *[F.col(c).isNull().alias(f"_m_{c}") for c in cols])
+    cur = cut_lineage(_initial_fill(flagged, numeric, categorical))
+    base_cols = cur.columns
     prev_delta = None
-    for it in range(max_iter):
-        before = cur
+    for _ in range(max_iter):
+        cur = cur.select(*base_cols, *[F.col(c).alias(f"_o_{c}") for c in cols])
         for c in order:
             others = [x for x in cols if x != c]
             asm = VectorAssembler(inputCols=others, outputCol="features", handleInvalid="keep")
-            obs = asm.transform(cur.where(~F.col(f"_m_{c}")))
-            model = make_model(c, c in categorical).fit(obs)
-            pred = model.transform(asm.transform(cur.where(F.col(f"_m_{c}")))).select(
-                row_id, F.col("prediction").alias("_p"))
-            cur = cur.join(pred, row_id, "left").withColumn(c, F.coalesce(F.col("_p"), F.col(c))).drop("_p")
+            model = make_model(c, c in categorical).fit(asm.transform(cur.where(~F.col(f"_m_{c}"))))
+            keep = cur.columns
+            scored = model.transform(asm.transform(cur))
+            cur = scored.select(*[F.when(F.col(f"_m_{c}"), F.col("prediction")).otherwise(F.col(x)).alias(x)
+                                  if x == c else F.col(x) for x in keep])
         cur = cut_lineage(cur)
-        # change between rounds over the imputed cells
-        j = cur.select(row_id, *[F.col(c).alias(f"_n_{c}") for c in cols], *[f"_m_{c}" for c in cols]).join(
-            before.select(row_id, *[F.col(c).alias(f"_o_{c}") for c in cols]), row_id)
         aggs = []
         for c in numeric:
-            d = F.when(F.col(f"_m_{c}"), F.col(f"_n_{c}") - F.col(f"_o_{c}"))
-            aggs += [F.sum(d * d).alias(f"d_{c}"), F.sum(F.when(F.col(f"_m_{c}"), F.col(f"_n_{c}") ** 2)).alias(f"s_{c}"),
+            d = F.when(F.col(f"_m_{c}"), F.col(c) - F.col(f"_o_{c}"))
+            aggs += [F.sum(d * d).alias(f"d_{c}"), F.sum(F.when(F.col(f"_m_{c}"), F.col(c) ** 2)).alias(f"s_{c}"),
                      F.max(F.abs(d)).alias(f"x_{c}")]
         for c in categorical:
-            aggs += [F.count_if(F.col(f"_m_{c}") & (F.col(f"_n_{c}") != F.col(f"_o_{c}"))).alias(f"d_{c}"),
+            aggs += [F.count_if(F.col(f"_m_{c}") & (F.col(c) != F.col(f"_o_{c}"))).alias(f"d_{c}"),
                      F.count_if(F.col(f"_m_{c}")).alias(f"s_{c}")]
-        r = j.agg(*aggs).first() if aggs else None
-        if r is None:
-            break
+        r = cur.agg(*aggs).first()
         if stop == "forest":
             num = sum(r[f"d_{c}"] or 0.0 for c in numeric) / max(sum(r[f"s_{c}"] or 0.0 for c in numeric), 1e-300)
             cat = sum(r[f"d_{c}"] or 0 for c in categorical) / max(sum(r[f"s_{c}"] or 0 for c in categorical), 1)
             delta = (num, cat)
             if prev_delta is not None and (delta[0] > prev_delta[0] or delta[1] > prev_delta[1]):
-                cur = before                       # MissForest keeps the previous round
+                # MissForest keeps the previous round
+                cur = cur.select(*[F.col(f"_o_{x}").alias(x) if x in cols else F.col(x) for x in base_cols])
                 break
             prev_delta = delta
         else:
             inf = max([r[f"x_{c}"] or 0.0 for c in numeric] or [0.0])
             if inf < tol:
+                cur = cur.select(*base_cols)
                 break
-    return cur.drop(*[f"_m_{c}" for c in cols])
+        cur = cur.select(*base_cols)
+    return cur.select(*[x for x in base_cols if not x.startswith("_m_")])
 
 
 def chained_impute(df: DataFrame, cols: Sequence[str], row_id: str, max_iter: int = 10, rounding: int = 3,
@@ -162,7 +165,8 @@ def chained_impute(df: DataFrame, cols: Sequence[str], row_id: str, max_iter: in
     values rounded to ``rounding`` decimals.  Needs >= 2 columns."""
     cols = list(cols)
     require(len(cols) >= 2, "Multiple variables must be given as input")
-    base = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in cols])
+    # the other columns ride along through the rounds (no join back at the end)
+    base = df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
     scale = base.agg(*[F.max(F.abs(c)).alias(c) for c in cols]).first()
     tol = 1e-3 * max([scale[c] or 0.0 for c in cols] + [1e-12])
 
@@ -170,9 +174,7 @@ def chained_impute(df: DataFrame, cols: Sequence[str], row_id: str, max_iter: in
         return LinearRegression(featuresCol="features", labelCol=c, regParam=reg, elasticNetParam=0.0)
 
     res = _round_robin(base, cols, [], make, max_iter, row_id, "chained", tol)
-    res = res.select(row_id, *[F.round(c, rounding).alias(c) for c in cols])
-    keep = [c for c in df.columns if c not in cols]
-    return df.select(*keep).join(res, row_id).select(*df.columns)
+    return res.select(*[F.round(c, rounding).alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def forest_impute(df: DataFrame, cols: Sequence[str], row_id: str, categorical: Sequence[str] = (),
@@ -185,8 +187,8 @@ def forest_impute(df: DataFrame, cols: Sequence[str], row_id: str, categorical:
     cols = list(cols)
     categorical = list(categorical)
     require(len(cols) >= 2, "Multiple variables must be given as input")
-    base, maps = _encode_categoricals(df.select(row_id, *cols), categorical)
-    base = base.select(row_id, *[F.col(c).cast("double").alias(c) for c in cols])
+    base, maps = _encode_categoricals(df, categorical)
+    base = base.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
 
     def make(c, cat):
         if cat:
@@ -194,9 +196,7 @@ def forest_impute(df: DataFrame, cols: Sequence[str], row_id: str, categorical:
         return RandomForestRegressor(featuresCol="features", labelCol=c, numTrees=num_trees, seed=seed)
 
     res = _round_robin(base, cols, categorical, make, max_iter, row_id, "forest")
-    res = _decode_categoricals(res, maps)
-    keep = [c for c in df.columns if c not in cols]
-    return df.select(*keep).join(res, row_id).select(*df.columns)
+    return _decode_categoricals(res, maps).select(*df.columns)
 
 
 # ------------------------------------------------ N1-N7 windowed regression
