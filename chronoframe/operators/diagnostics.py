@@ -149,35 +149,74 @@ def seasonal_decompose(long: DataFrame, period: int = 3, model: str = "additive"
     return out.select(*g, idx, F.col(value).alias("observed"), "trend", "seasonal", resid.alias("resid"))
 
 
-def fisher_g(long: DataFrame, idx: str = "idx", keys=(), value: str = "value",
-             size: int | None = None) -> DataFrame:
-    """Fisher's g = max periodogram ordinate / sum of ordinates.
+def _split_factor(n: int) -> int:
+    """Largest divisor of n not above sqrt(n) (1 for primes)."""
+    best = 1
+    d = 1
+    while d * d <= n:
+        if n % d == 0:
+            best = d
+        d += 1
+    return best
+
+
+def _fisher_freqs(n: int) -> np.ndarray:
+    return np.arange(0, n // 2) if n % 2 == 0 else np.arange(1, (n - 1) // 2 + 1)
+
+
+def _dft_four_step(long: DataFrame, nt: DataFrame, g: list, idx: str, value: str) -> DataFrame:
+    """Exact DFT of every series by the four-step (Cooley-Tukey) split
+    n = n1 * n2: column FFTs of length n1 grouped by ``idx mod n2``, twiddle,
+    row FFTs of length n2 grouped by ``k1``.  Two shuffles, groups of n1 and
+    n2 rows.  Emits (keys, freq, c, s) with the time of row i taken as i+1."""
+    key_schema = ", ".join(f"`{k}` {t}" for k, t in long.select(*g).dtypes)
+    x = long.join(nt, g).select(*g, "_n", "_n1", "_n2", (F.col(idx) % F.col("_n2")).alias("_j2"),
+                                F.floor(F.col(idx) / F.col("_n2")).cast("long").alias("_j1"), F.col(value).alias("_x"))
+
+    def cols_fft(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, n1, j2 = int(pdf["_n"].iloc[0]), int(pdf["_n1"].iloc[0]), int(pdf["_j2"].iloc[0])
+        v = np.zeros(n1)
+        v[pdf["_j1"].to_numpy(dtype=np.int64)] = pdf["_x"].to_numpy(dtype=float)
+        k1 = np.arange(n1)
+        y = np.fft.fft(v) * np.exp(-2j * np.pi * j2 * k1 / n)
+        out = pd.DataFrame({"_k1": k1, "_j2": j2, "_re": y.real, "_im": y.imag,
+                            "_n": n, "_n1": n1, "_n2": int(pdf["_n2"].iloc[0])})
+        for c in reversed(g):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    mid = x.groupBy(*g, "_j2").applyInPandas(
+        cols_fft, key_schema + ", _k1 long, _j2 long, _re double, _im double, _n long, _n1 long, _n2 long")
+
+    def rows_fft(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, n1, n2, k1 = (int(pdf[c].iloc[0]) for c in ("_n", "_n1", "_n2", "_k1"))
+        z = np.zeros(n2, dtype=complex)
+        z[pdf["_j2"].to_numpy(dtype=np.int64)] = pdf["_re"].to_numpy() + 1j * pdf["_im"].to_numpy()
+        f = k1 + n1 * np.arange(n2)
+        X = np.fft.fft(z) * np.exp(-2j * np.pi * f / n)        # time index i + 1
+        lo, hi = (0, n // 2 - 1) if n % 2 == 0 else (1, (n - 1) // 2)
+        keep = (f >= lo) & (f <= hi)
+        out = pd.DataFrame({"freq": f[keep].astype(np.int64), "c": X.real[keep], "s": -X.imag[keep]})
+        for c in reversed(g):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
 
-    Odd n: frequencies 1..(n-1)/2, cosine and sine sums scaled 2/n and
-    I = n/2 (a^2 + b^2).  Even n: frequencies 0..n/2-1, cosine only, scaled
-    1/n and I = n a^2 (reproduced as the reference computes it).  Time of row
-    i is i+1.  Computed as a distributed DFT: every block of a series emits its
-    partial cosine/sine sums for all frequencies (zero-padded FFT with a phase
-    shift), which are then summed per frequency."""
-    g = [*_cols(keys), V]
-    size = block_size(long.sparkSession, size)
-    n_df = long.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
-    b = add_blocks(long.select(*g, idx, value).join(n_df, g), idx, size).drop("_halo")
+    return mid.groupBy(*g, "_k1").applyInPandas(rows_fft, key_schema + ", freq long, c double, s double")
+
+
+def _dft_blocks(long: DataFrame, nt: DataFrame, g: list, idx: str, value: str, size: int) -> DataFrame:
+    """Partial DFT per block of a series (zero-padded FFT with phase shift),
+    summed per frequency: for series lengths that do not factor well."""
+    b = add_blocks(long.select(*g, idx, value).join(nt.select(*g, "_n"), g), idx, size).drop("_halo")
     key_schema = ", ".join(f"`{k}` {t}" for k, t in long.select(*g).dtypes)
-    schema = key_schema + ", freq long, c double, s double"
 
     def partial(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["_n"].iloc[0])
-        pdf = pdf.sort_values(idx)
         pos = pdf[idx].to_numpy(dtype=np.int64)
-        x = pdf[value].to_numpy(dtype=float)
-        if n % 2 == 0:
-            freqs = np.arange(0, n // 2)
-        else:
-            freqs = np.arange(1, (n - 1) // 2 + 1)
-        i0 = int(pos[0])
+        freqs = _fisher_freqs(n)
+        i0 = int(pos.min())
         y = np.zeros(n)
-        y[pos - i0] = x
+        y[pos - i0] = pdf[value].to_numpy(dtype=float)
         spec = np.fft.fft(y)[freqs] if len(freqs) else np.zeros(0, dtype=complex)
         z = spec * np.exp(-2j * np.pi * freqs * (i0 + 1) / n)
         res = pd.DataFrame({"freq": freqs.astype(np.int64), "c": z.real, "s": -z.imag})
@@ -185,8 +224,34 @@ def fisher_g(long: DataFrame, idx: str = "idx", keys=(), value: str = "value",
             res.insert(0, c, pdf[c].iloc[0])
         return res
 
-    parts = b.groupBy(*g, "_blk").applyInPandas(partial, schema)
-    tot = parts.groupBy(*g, "freq").agg(F.sum("c").alias("c"), F.sum("s").alias("s")).join(n_df, g)
+    parts = b.groupBy(*g, "_blk").applyInPandas(partial, key_schema + ", freq long, c double, s double")
+    return parts.groupBy(*g, "freq").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+
+
+def fisher_g(long: DataFrame, idx: str = "idx", keys=(), value: str = "value",
+             size: int | None = None) -> DataFrame:
+    """Fisher's g = max periodogram ordinate / sum of ordinates.
+
+    Odd n: frequencies 1..(n-1)/2, cosine and sine sums scaled 2/n and
+    I = n/2 (a^2 + b^2).  Even n: frequencies 0..n/2-1, cosine only, scaled
+    1/n and I = n a^2 (reproduced as the reference computes it).  Time of row
+    i is i+1.  The periodogram is an exact distributed DFT: the four-step FFT
+    when n = n1 * n2 with both factors within the block size, otherwise
+    partial DFTs per block summed by frequency."""
+    g = [*_cols(keys), V]
+    size = block_size(long.sparkSession, size)
+    nt = long.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
+
+    @F.pandas_udf("long")
+    def n1_of(n: pd.Series) -> pd.Series:
+        return n.map(lambda v: _split_factor(int(v))).astype("int64")
+
+    nt = nt.withColumn("_n1", n1_of("_n")).withColumn("_n2", (F.col("_n") / F.col("_n1")).cast("long"))
+    four = (F.col("_n1") > 1) & (F.col("_n2") <= F.lit(size))
+    nt = F.broadcast(nt) if not _cols(keys) else nt              # one row per variable: schema-sized
+    parts = _dft_four_step(long, nt.where(four), g, idx, value).unionByName(
+        _dft_blocks(long, nt.where(~four), g, idx, value, size))
+    tot = parts.join(nt.select(*g, "_n"), g)
     n = F.col("_n").cast("double")
     even = (F.col("_n") % 2) == 0
     a = F.when(even, F.col("c") / n).otherwise(F.lit(2.0) * F.col("c") / n)

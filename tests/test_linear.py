@@ -221,3 +221,15 @@ def test_pcmci_planted_links(spark):
     assert not any(s == "y" and t == "x" for s, t, _ in sig)
     e = parse_links(pcmci(df, ["x", "y", "w"], tau_max=3)).toPandas().set_index(["source", "target"])
     assert bool(e.loc[("x", "y"), "edge"]) and not bool(e.loc[("y", "x"), "edge"])
+
+
+@pytest.mark.parametrize("n,size", [(240, 64), (221, 64), (211, 64), (200, 16)])
+def test_fisher_paths_agree_with_loops(spark, n, size):
+    # 240 = 15 x 16 and 221 = 13 x 17 take the four-step FFT; 211 (prime) and
+    # 200 with a small block (20 > 16 rows per group) take partial DFTs per block
+    rng = np.random.default_rng(n)
+    x = np.cos(np.arange(n) / 2.0) + rng.normal(size=n)
+    df = spark.createDataFrame(pd.DataFrame({"variable": "s", "idx": np.arange(n), "value": x}))
+    got = dg.fisher_g(df, size=size).first()
+    assert abs(got["g"] - _fisher_loops(x)) < 1e-9
+    assert got["n_freq"] == (n // 2 if n % 2 == 0 else (n - 1) // 2)
