@@ -263,17 +263,22 @@ def causality_edges(mat: DataFrame, weight: str = "edge") -> tuple[DataFrame, Da
     return nodes, edges
 
 
-def bh_correct(pvals: DataFrame, p: str = "p_value", keys=(), out: str = "q_value") -> DataFrame:
+def bh_correct(pvals: DataFrame, p: str = "p_value", keys=(), out: str = "q_value",
+               size: int | None = None) -> DataFrame:
     """Benjamini-Hochberg adjusted p-values within each family (``keys``):
-    q_(i) = min_{j >= i} p_(j) m / j, capped at 1."""
+    q_(i) = min_{j >= i} p_(j) m / j, capped at 1.  Ranks come from
+    ``dense_index`` and the running minimum from the largest rank down is a
+    blocked suffix-minimum, so a large family is never sorted in one task."""
+    from .ordering import blocked_suffix_min, dense_index
     k = _cols(keys)
-    w_rank = Window.partitionBy(*k).orderBy(F.col(p).asc())
-    w_all = Window.partitionBy(*k)
-    ranked = pvals.where(F.col(p).isNotNull()).withColumn("_rank", F.row_number().over(w_rank)) \
-        .withColumn("_m", F.count(F.lit(1)).over(w_all))
-    w_tail = Window.partitionBy(*k).orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    q = F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(w_tail))
-    return ranked.withColumn(out, q).drop("_rank", "_m")
+    tie = "_bh_row"
+    src = pvals.where(F.col(p).isNotNull()).withColumn(tie, F.monotonically_increasing_id())
+    ranked = dense_index(src, [p, tie], keys=k, idx="_rank")
+    m = ranked.groupBy(*k).agg(F.count(F.lit(1)).alias("_m"))
+    ranked = ranked.join(m, k) if k else ranked.withColumn("_m", F.lit(m.first()["_m"]))
+    raw = ranked.withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_rank") + 1))
+    res = blocked_suffix_min(raw, "_raw", "_rank", k, size, out="_q")
+    return res.withColumn(out, F.least(F.lit(1.0), F.col("_q"))).drop("_rank", "_m", "_raw", "_q", tie)
 
 
 # ----------------------------------------------------------------------- VAR

@@ -206,6 +206,22 @@ def blocked_cumsum(df: DataFrame, cols: Sequence[str], idx: str = "idx", keys=()
         (F.col(f"_loc_{i}") + F.col(f"_off_{i}")).alias(f"{c}{suffix}") for i, c in enumerate(cols)])
 
 
+def blocked_suffix_min(df: DataFrame, col: str, idx: str = "idx", keys=(), size: int | None = None,
+                       out: str | None = None) -> DataFrame:
+    """``min(col)`` over rows ``>= idx`` (per ``keys``): a local suffix
+    minimum per block plus the minimum of the later blocks from the summary."""
+    keys = _cols(keys)
+    out = out or f"{col}_sufmin"
+    b = add_blocks(df, idx, size)
+    w = Window.partitionBy(*keys, BLK).orderBy(idx).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    loc = b.select(*[F.col(c) for c in df.columns], BLK, F.min(col).over(w).alias("_lm"))
+    summary = b.groupBy(*keys, BLK).agg(F.min(col).alias("_bm"))
+    wb = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(1, Window.unboundedFollowing)
+    summary = summary.select(*keys, BLK, F.min("_bm").over(wb).alias("_cm"))
+    j = _block_join(loc, summary, keys)
+    return j.select(*[F.col(c) for c in df.columns], F.least(F.col("_lm"), F.col("_cm")).alias(out))
+
+
 def series_length(df: DataFrame, keys=()) -> DataFrame:
     keys = _cols(keys)
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

@@ -174,8 +174,9 @@ def test_bh_correct_matches_numpy(spark):
     rng = np.random.default_rng(3)
     p = rng.uniform(size=40) ** 2
     df = spark.createDataFrame(pd.DataFrame({"i": np.arange(40), "p_value": p}))
-    got = ln.bh_correct(df).toPandas().sort_values("i").q_value.to_numpy()
-    assert np.allclose(got, st.bh_adjust(p))
+    for size in (3, 65536):
+        got = ln.bh_correct(df, size=size).toPandas().sort_values("i").q_value.to_numpy()
+        assert np.allclose(got, st.bh_adjust(p))
 
 
 def test_arma_recovers_planted_ar2(spark):
