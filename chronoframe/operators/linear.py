@@ -515,12 +515,16 @@ def _hr_initial_order(n: int, p: int, q: int) -> int:
 
 
 def arma_design(long_y: DataFrame, P: int, Q: int, idx: str = "idx", value: str = "value",
-                size: int | None = None, long_ar: int | None = None):
+                size: int | None = None, long_ar: int | None = None,
+                ar_lags: Sequence[int] | None = None, ma_lags: Sequence[int] | None = None):
     """Hannan-Rissanen stage 1: long AR(m) by OLS (Gram), residuals e_t as a
-    JVM-side expression, then a design with y lags 1..P and e lags 1..Q.
-    Returns (design frame, zcols, first usable idx, m)."""
+    JVM-side expression, then a design with y lags (1..P or ``ar_lags``) and
+    e lags (1..Q or ``ma_lags``).  Returns (design frame, zcols, first usable
+    idx, m)."""
+    ar_lags = sorted(set(ar_lags)) if ar_lags is not None else list(range(1, P + 1))
+    ma_lags = sorted(set(ma_lags)) if ma_lags is not None else list(range(1, Q + 1))
     n = long_y.count()
-    m = long_ar or _hr_initial_order(n, P, Q)
+    m = long_ar or _hr_initial_order(n, max(ar_lags, default=0), max(ma_lags, default=0))
     lg = lagged(long_y.select(idx, value), [value], lags=range(1, m + 1), idx=idx, size=size)
     ycols = [f"{value}_lag{k}" for k in range(1, m + 1)]
     z1 = [F.lit(1.0)] + [F.col(c).cast("double") for c in ycols] + [F.col(value).cast("double")]
@@ -531,12 +535,23 @@ def arma_design(long_y: DataFrame, P: int, Q: int, idx: str = "idx", value: str
     for k in range(1, m + 1):
         fit = fit + F.lit(float(beta[k, 0])) * F.col(f"{value}_lag{k}")
     res = lg.where(F.col(idx) >= m).select(idx, value, (F.col(value) - fit).alias("_e"))
-    L = max(P, Q)
-    d2 = lagged(res, [value, "_e"], lags=range(1, L + 1), idx=idx, size=size) if L else res
-    zcols = [f"{value}_lag{k}" for k in range(1, P + 1)] + [f"_e_lag{k}" for k in range(1, Q + 1)] + [value]
+    L = max(ar_lags + ma_lags, default=0)
+    d2 = halo_lags(res, {value: ar_lags, "_e": ma_lags}, idx, size) if L else res
+    zcols = [f"{value}_lag{k}" for k in ar_lags] + [f"_e_lag{k}" for k in ma_lags] + [value]
     return d2, zcols, m + L, m
 
 
+def halo_lags(df: DataFrame, lags_by_col: dict, idx: str, size: int | None) -> DataFrame:
+    """Only the listed lags of each column (one halo pass, halo = largest lag)."""
+    from .ordering import halo_window
+    L = max((max(v) for v in lags_by_col.values() if v), default=0)
+
+    def exprs(w):
+        return {f"{c}_lag{k}": F.lag(c, k).over(w) for c, ks in lags_by_col.items() for k in ks}
+
+    return halo_window(df, exprs, idx, before=L, size=size)
+
+
 def arma_grid(long_y: DataFrame, limit_p: int, limit_q: int, idx: str = "idx", value: str = "value",
               size: int | None = None) -> DataFrame:
     """information criteria of ARMA(p, q) for p < limit_p, q < limit_q
@@ -587,3 +602,128 @@ def arima_fit(long_y: DataFrame, p: int, d: int, q: int, idx: str = "idx", value
     recs += [("sigma2", float(ssr[0]) / n, None), ("aic", -2 * llf + 2 * k, None),
              ("bic", -2 * llf + k * math.log(n), None), ("nobs", float(n), None)]
     return long_y.sparkSession.createDataFrame(recs, "term string, coef double, std_err double")
+
+
+# ------------------------------------------------ seasonal ARIMA + forecast
+
+def _poly_mul(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.convolve(a, b)
+
+
+def _diff_poly(d: int, D: int, s: int) -> np.ndarray:
+    poly = np.array([1.0])
+    for _ in range(d):
+        poly = _poly_mul(poly, np.array([1.0, -1.0]))
+    for _ in range(D):
+        seas = np.zeros(s + 1)
+        seas[0], seas[s] = 1.0, -1.0
+        poly = _poly_mul(poly, seas)
+    return poly
+
+
+def sarima_lags(order: tuple, seasonal: tuple | None) -> tuple[list[int], list[int], int, int, int]:
+    """Lag sets of the multiplicative model, estimated with unrestricted
+    coefficients: AR {1..p} u {s*i} u {j + s*i}, MA likewise; plus (d, D, s)."""
+    p, d, q = order
+    P, D, Q, s = seasonal if seasonal else (0, 0, 0, 0)
+    ar = {k for k in range(1, p + 1)}
+    ma = {k for k in range(1, q + 1)}
+    if s:
+        ar |= {s * i + j for i in range(1, P + 1) for j in range(0, p + 1)}
+        ma |= {s * i + j for i in range(1, Q + 1) for j in range(0, q + 1)}
+    return sorted(ar), sorted(ma), d, D, s
+
+
+def sarima(long_y: DataFrame, order: tuple = (1, 0, 0), seasonal: tuple | None = None, steps: int = 0,
+           alpha: float = 0.05, idx: str = "idx", value: str = "value", size: int | None = None):
+    """(seasonal) ARIMA by Hannan-Rissanen regressions on the
+    differenced series ``(1-L)^d (1-L^s)^D y``, and an h-step forecast of y
+    with interval ``mean +- z sigma sqrt(sum psi_j^2)`` where psi are the
+    weights of ``theta(L) / (phi(L) (1-L)^d (1-L^s)^D)``.  A seasonal order
+    without a non-seasonal one uses AR(1), as the reference's model does.
+    Returns (coefficients, forecast or None)."""
+    if seasonal and seasonal[3] and tuple(order) == (0, 0, 0):
+        order = (1, 0, 0)
+    ar, ma, d, D, s = sarima_lags(tuple(order), tuple(seasonal) if seasonal else None)
+    spark = long_y.sparkSession
+    y = long_y.select(idx, F.col(value).cast("double").alias(value))
+    dpoly = _diff_poly(d, D, s)
+    k0 = len(dpoly) - 1
+    if k0:
+        from .ordering import halo_window
+
+        def ex(w):
+            e = F.col(value)
+            for k in range(1, k0 + 1):
+                if dpoly[k] != 0:
+                    e = e + F.lit(float(dpoly[k])) * F.lag(value, k).over(w)
+            return {value: e}
+
+        wser = halo_window(y, ex, idx, before=k0, size=size).where(F.col(idx) >= k0).withColumn(
+            idx, F.col(idx) - F.lit(k0))
+    else:
+        wser = y
+    d2, zcols, start, _ = arma_design(wser, 0, 0, idx, value, size, ar_lags=ar, ma_lags=ma)
+    z = [F.lit(1.0)] + [F.col(c) for c in zcols]
+    g = gram(d2.where(F.col(idx) >= start).withColumn(SERIES, F.lit(0)), z, [SERIES]).first()
+    mm = len(z)
+    G, n = unpack(g["g"], mm), int(g["n"])
+    xs = list(range(0, mm - 1))
+    beta, ssr, inv = ols_from_gram(G, xs, [mm - 1], n)
+    b = beta[:, 0]
+    sigma2 = float(ssr[0]) / n
+    s2 = float(ssr[0]) / max(n - len(xs), 1)
+    names = ["const"] + [f"ar_L{k}" for k in ar] + [f"ma_L{k}" for k in ma]
+    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(sigma2) + 1.0)
+    kpar = len(xs) + 1
+    recs = [(nm, float(b[i]), float(math.sqrt(max(s2 * inv[i, i], 0.0)))) for i, nm in enumerate(names)]
+    recs += [("sigma2", sigma2, None), ("aic", -2 * llf + 2 * kpar, None),
+             ("bic", -2 * llf + kpar * math.log(n), None), ("nobs", float(n), None)]
+    coefs = spark.createDataFrame(recs, "term string, coef double, std_err double")
+    if not steps:
+        return coefs, None
+    # polynomials on y: a_y(L) = (1 - sum phi_k L^k) (1-L)^d (1-L^s)^D ; theta(L) = 1 + sum theta_k L^k
+    aw = np.zeros(max(ar, default=0) + 1)
+    aw[0] = 1.0
+    for i, k in enumerate(ar):
+        aw[k] -= b[1 + i]
+    ay = _poly_mul(aw, dpoly)
+    th = np.zeros(max(ma, default=0) + 1)
+    th[0] = 1.0
+    for i, k in enumerate(ma):
+        th[k] += b[1 + len(ar) + i]
+    N = y.agg(F.max(idx)).first()[0]
+    p_y = len(ay) - 1
+    hist = [r[value] for r in y.where(F.col(idx) > N - p_y - 1).orderBy(idx).collect()] if p_y else []
+    # last residuals of the fitted w-equation (bounded by the largest MA lag)
+    qm = max(ma, default=0)
+    fitted = F.lit(float(b[0]))
+    for i, c in enumerate(zcols[:-1]):
+        fitted = fitted + F.lit(float(b[1 + i])) * F.col(c)
+    nw = d2.agg(F.max(idx)).first()[0]
+    eres = [r["_r"] for r in d2.where(F.col(idx) > nw - qm).orderBy(idx).select(
+        (F.col(value) - fitted).alias("_r")).collect()] if qm else []
+    ys = list(hist)
+    es = list(eres)
+    psi = [1.0]
+    for j in range(1, steps):
+        v = th[j] if j < len(th) else 0.0
+        for k in range(1, min(j, p_y) + 1):
+            v += -ay[k] * psi[j - k]
+        psi.append(v)
+    zq = norm_ppf(1 - alpha / 2)
+    out = []
+    for h in range(steps):
+        mean = float(b[0])
+        for k in range(1, p_y + 1):
+            mean += -ay[k] * ys[-k]
+        for k in range(1, qm + 1):
+            if k <= len(es) and len(th) > k:
+                mean += th[k] * es[-k]
+        ys.append(mean)
+        es.append(0.0)
+        sd = math.sqrt(sigma2 * sum(x * x for x in psi[: h + 1]))
+        mean = float(mean)
+        out.append((int(N + 1 + h), mean, mean - zq * sd, mean + zq * sd))
+    fc = spark.createDataFrame(out, f"{idx} long, mean double, lower double, upper double")
+    return coefs, fc

@@ -468,3 +468,19 @@ def imputation_check(spark, sf):
         m = dg.mae(m).withColumn("method", F.lit(name))
         out = m if out is None else out.unionByName(m)
     return r6(out)
+
+
+def arima_forecast(spark, sf):
+    """ARIMA(2,1,1) on the daily order totals, 30-step forecast with 95 % interval."""
+    from ..operators.linear import sarima
+    d = fx.ts_daily(spark, sf).select("idx", F.col("total").alias("value"))
+    _, fc = sarima(d, (2, 1, 1), None, steps=30)
+    return r6(fc)
+
+
+def sarima_fit(spark, sf):
+    """seasonal order (1,0,1,7) (weekly) with the default AR(1) part on the daily totals."""
+    from ..operators.linear import sarima
+    d = fx.ts_daily(spark, sf).select("idx", F.col("total").alias("value"))
+    coefs, _ = sarima(d, (0, 0, 0), (1, 0, 1, 7))
+    return r6(coefs)

@@ -24,7 +24,7 @@ _NUMERIC = [
     "arima_fit", "arma_grid_minima", "box_cox",
     "model_impute", "chained_impute", "forest_impute", "window_regression", "nn_forecast",
     "window_classifier", "dynamic_classifier", "rbm_structure", "pcmci",
-    "imputation_check",
+    "imputation_check", "arima_forecast", "sarima_fit",
 ]
 
 

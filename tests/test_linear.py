@@ -234,3 +234,32 @@ def test_fisher_paths_agree_with_loops(spark, n, size):
     got = dg.fisher_g(df, size=size).first()
     assert abs(got["g"] - _fisher_loops(x)) < 1e-9
     assert got["n_freq"] == (n // 2 if n % 2 == 0 else (n - 1) // 2)
+
+
+def test_sarima_forecast_planted_ar1_with_drift(spark):
+    rng = np.random.default_rng(9)
+    n = 1500
+    w = np.zeros(n)
+    for t in range(1, n):
+        w[t] = 0.5 * w[t - 1] + 1.0 + 0.1 * rng.normal()       # differenced series
+    y = np.cumsum(w)                                           # integrated once
+    df = spark.createDataFrame(pd.DataFrame({"idx": np.arange(n), "value": y}))
+    coefs, fc = ln.sarima(df, (1, 1, 0), None, steps=5)
+    c = coefs.toPandas().set_index("term").coef
+    assert abs(c["ar_L1"] - 0.5) < 0.05
+    f = fc.toPandas().sort_values("idx")
+    # exact recursion with the fitted coefficients
+    ww, yy = w[-1], y[-1]
+    exp = []
+    for _ in range(5):
+        ww = c["const"] + c["ar_L1"] * ww
+        yy = yy + ww
+        exp.append(yy)
+    assert np.allclose(f["mean"].to_numpy(), exp, rtol=1e-9)
+    widths = (f.upper - f.lower).to_numpy()
+    assert np.all(np.diff(widths) > 0)
+
+
+def test_seasonal_lag_sets():
+    ar, ma, d, D, s = ln.sarima_lags((1, 0, 1), (1, 1, 1, 7))
+    assert ar == [1, 7, 8] and ma == [1, 7, 8] and (d, D, s) == (0, 1, 7)
