@@ -150,6 +150,16 @@ def _oracle_sql() -> dict[str, str]:
     q["hourly_resample"] = "WITH " + HOURLY + f"SELECT idx, {_r(VARS)} FROM hourly"
     q["csv_roundtrip"] = "WITH " + HOURLY + f"SELECT idx, {_r(VARS)} FROM hourly"
     q["ld_csv_roundtrip"] = "WITH " + LD + "SELECT user_id, visit, event_type, round(value, 6) AS value, k FROM ld"
+    onehot = []
+    for col, n in (("lang", 4), ("source", 20)):
+        onehot += [f"CASE WHEN (SELECT count(DISTINCT x.{col}) FROM docs x WHERE x.{col} < d.{col}) = {i} "
+                   f"THEN 1.0 ELSE 0.0 END AS {col}_{i}" for i in range(n)]
+    q["rbm_encode"] = ("WITH docs AS (SELECT doc_id, lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)) "
+                       "SELECT d.doc_id, " + ", ".join(onehot) +
+                       ", CASE WHEN d.quality = (SELECT max(quality) FROM docs) THEN 1.0 ELSE 0.0 END AS quality"
+                       ", CASE WHEN d.toxic = (SELECT max(toxic) FROM docs) THEN 1.0 ELSE 0.0 END AS toxic FROM docs d")
+    q["replace_values"] = "WITH " + LD + "SELECT user_id, visit, CASE WHEN k = 42 THEN -1 ELSE k END AS k FROM ld"
+    q["subjects"] = "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL"
     q["daily_series"] = "WITH " + DAILY + "SELECT idx, round(total, 6) AS total, n FROM daily"
     q["hourly_missing_profile"] = "WITH " + HOURLY + _profile("hourly", VARS)
     q["ld_missing_profile"] = "WITH " + LD + _profile("ld", ["event_type", "value", "k"])

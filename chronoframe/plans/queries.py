@@ -484,3 +484,29 @@ def sarima_fit(spark, sf):
     d = fx.ts_daily(spark, sf).select("idx", F.col("total").alias("value"))
     coefs, _ = sarima(d, (0, 0, 0), (1, 0, 1, 7))
     return r6(coefs)
+
+
+def rbm_encode(spark, sf):
+    """Document attributes encoded for the RBM: lang and source one-hot
+    (sorted levels), quality and toxic as 0/1 labels."""
+    d = fx.ml_docs(spark, sf).select("doc_id", "lang", "source", "quality", "toxic")
+    enc, _ = tf.encode_for_rbm(d, ["lang", "source", "quality", "toxic"], keep=["doc_id"])
+    return r6(enc)
+
+
+def replace_values(spark, sf):
+    """Find-and-replace in one column (k = 42 -> -1) of the longitudinal events."""
+    e = fx.ld_events(spark, sf).select("user_id", "visit", "k")
+    return tf.replace_values(e, "k", 42, -1)
+
+
+def subjects(spark, sf):
+    """Distinct subject ids."""
+    return ms.subjects(fx.ld_events(spark, sf), "user_id")
+
+
+def granger_by_variable(spark, sf):
+    """Sources that Granger-cause ``view`` at p < 0.05 (ascending), differenced hourly series."""
+    from ..operators.linear import granger, granger_by_variable as _gbv
+    d = tf.difference(hourly_filled(spark, sf), VARS, order=1, check=False)
+    return r6(_gbv(granger(d, VARS, maxlag=10, pairs=[("view", s) for s in VARS]), "view"))

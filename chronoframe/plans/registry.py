@@ -16,6 +16,7 @@ _SQL_CHECKED = [
     "bin_equal_width", "label_encode", "one_hot", "subject_windows", "supervised_windows", "temporal_split",
     "subject_split", "acf_bartlett", "seasonal_decompose", "fisher_g", "durbin_watson", "residual_histogram",
     "mae_naive", "overlap_average", "csv_roundtrip", "ld_csv_roundtrip",
+    "rbm_encode", "replace_values", "subjects",
 ]
 
 _NUMERIC = [
@@ -24,7 +25,7 @@ _NUMERIC = [
     "arima_fit", "arma_grid_minima", "box_cox",
     "model_impute", "chained_impute", "forest_impute", "window_regression", "nn_forecast",
     "window_classifier", "dynamic_classifier", "rbm_structure", "pcmci",
-    "imputation_check", "arima_forecast", "sarima_fit",
+    "imputation_check", "arima_forecast", "sarima_fit", "granger_by_variable",
 ]
 
 
