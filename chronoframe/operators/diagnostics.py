@@ -32,7 +32,7 @@ def default_nlags(n: int, cap: int = 50) -> int:
 
 
 def acf(long: DataFrame, nlags: int | None = None, alpha: float | None = 0.05, idx: str = "idx",
-        keys=(), value: str = "value", size: int | None = None) -> DataFrame:
+        keys=(), value: str = "value", size: int | None = None, cap: int = 50) -> DataFrame:
     """Autocorrelation per variable for lags 0..nlags (default
     ``min(50, n//2 - 1)``) with the Bartlett band ``z * sqrt((1 + 2 sum_{j<k} r_j^2)/n)``.
 
@@ -41,9 +41,11 @@ def acf(long: DataFrame, nlags: int | None = None, alpha: float | None = 0.05, i
     Output: keys, variable, lag, acf, band (band NULL when alpha is None)."""
     g = [*_cols(keys), V]
     stats = long.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mean"))
-    if nlags is None:
-        n_min = stats.agg(F.min("_n")).first()[0] or 0
-        nlags = default_nlags(n_min)
+    auto = nlags is None
+    if auto:
+        # products up to the cap in the same pass; each series then keeps the
+        # lags up to min(cap, n//2 - 1) of its own length (no sizing job)
+        nlags = cap
     centred = long.join(stats, g).withColumn("_xc", F.col(value) - F.col("_mean"))
 
     def exprs(w):
@@ -57,6 +59,8 @@ def acf(long: DataFrame, nlags: int | None = None, alpha: float | None = 0.05, i
     out = sums.select(*g, "_n", F.posexplode(arr).alias("lag", "_s"), "_c0")
     out = out.select(*g, F.col("lag").cast("long").alias("lag"), "_n",
                      F.try_divide(F.col("_s"), F.col("_c0")).alias("acf"))
+    if auto:
+        out = out.where(F.col("lag") <= F.greatest(F.lit(0), F.least(F.lit(cap), F.floor(F.col("_n") / 2) - 1)))
     if alpha is None:
         return out.select(*g, "lag", "acf", F.lit(None).cast("double").alias("band"))
     z = norm_ppf(1 - alpha / 2.0)

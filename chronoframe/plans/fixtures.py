@@ -16,12 +16,13 @@ from ..sources.tables import read_table
 HOURLY_VARS = ["click", "error", "purchase", "signup", "view"]
 
 
-def ts_hourly(spark: SparkSession, sf_dir: str, step_seconds: int = 3600) -> DataFrame:
+def ts_hourly(spark: SparkSession, sf_dir: str, step_seconds: int = 3600, materialize: bool = True) -> DataFrame:
     """``events``: mean ``value`` per hour and event type, one column per type,
-    missing hours added as NULL rows. Columns: idx, t, click .. view."""
+    missing hours added as NULL rows. Columns: idx, t, click .. view.
+    Materialised (checkpoint) unless the caller materialises what it derives."""
     ev = read_table(spark, sf_dir, "events", ["ts", "event_type", "value"])
-    # the series is reused by every downstream action: materialise it once
-    return cut_lineage(resample(ev, "ts", step_seconds, "value", key="event_type", values=HOURLY_VARS))
+    out = resample(ev, "ts", step_seconds, "value", key="event_type", values=HOURLY_VARS)
+    return cut_lineage(out) if materialize else out
 
 
 def ts_daily(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ def r6(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def hourly_filled(spark: SparkSession, sf: str) -> DataFrame:
     """Hourly series with gaps carried forward, then leading gaps backward."""
-    h = fx.ts_hourly(spark, sf).drop("t")
+    h = fx.ts_hourly(spark, sf, materialize=False).drop("t")
     return cut_lineage(im.locf(h, VARS, "idx", subject=None, nocb=True))
 
 
