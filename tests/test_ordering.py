@@ -108,3 +108,22 @@ def test_fill_both_directions_one_pass(keyed, size):
     exp = exp.groupby(ref.user_id).bfill().to_numpy(dtype=float)
     got = o.blocked_fill(keyed, ["v"], "visit", ["user_id"], "both", size).toPandas().sort_values(["user_id", "visit"])
     assert np.allclose(exp, got.v.to_numpy(dtype=float), equal_nan=True)
+
+
+def test_hot_subject_is_split_and_exact(spark, events):
+    """One subject holding a third of all rows: the range partitioning spreads
+    it over several partitions and the per-subject index and fill stay exact."""
+    hot = events.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+    idx = o.dense_index(hot, ["ts", "event_id"], keys=["user_id"], idx="visit", num_partitions=8)
+    parts = idx.where(F.col("user_id") == -1).select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts >= 2
+    ref = hot.toPandas().sort_values(["user_id", "ts", "event_id"])
+    ref["visit"] = ref.groupby("user_id").cumcount()
+    got = idx.select("event_id", "visit").toPandas().merge(ref[["event_id", "visit"]], on="event_id")
+    assert (got.visit_x == got.visit_y).all()
+    f = o.blocked_fill(idx, ["v"], "visit", ["user_id"], size=256)
+    blocks = o.add_blocks(idx.where(F.col("user_id") == -1), "visit", 256).select("_blk").distinct().count()
+    assert blocks >= 10
+    got = f.toPandas().sort_values(["user_id", "visit"])
+    exp = ref.groupby("user_id").v.ffill().to_numpy(dtype=float)
+    assert np.allclose(exp, got.v.to_numpy(dtype=float), equal_nan=True)
