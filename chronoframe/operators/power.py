@@ -47,9 +47,15 @@ def stabilize_variance(df: DataFrame, col: str, lo: float = -2.0, hi: float = 2.
     """Returns (frame with ``col`` transformed, lambda)."""
     mn = df.agg(F.min(col)).first()[0]
     boxcox = mn is not None and mn > 0
-    grid = [lo + (hi - lo) * i / (steps - 1) for i in range(steps)]
-    vals = _llfs(df, col, grid, boxcox)
-    k = max(range(steps), key=lambda i: vals[i])
+    for _ in range(8):
+        grid = [lo + (hi - lo) * i / (steps - 1) for i in range(steps)]
+        vals = _llfs(df, col, grid, boxcox)
+        k = max(range(steps), key=lambda i: vals[i])
+        if 0 < k < steps - 1:
+            break
+        # maximum on the edge of the grid: move the window that way
+        width = hi - lo
+        lo, hi = (lo - width / 2, lo + width / 2) if k == 0 else (hi - width / 2, hi + width / 2)
     a, b = grid[max(k - 1, 0)], grid[min(k + 1, steps - 1)]
     g = (math.sqrt(5) - 1) / 2
     c, d = b - g * (b - a), a + g * (b - a)

@@ -116,3 +116,26 @@ def test_bin_equal_width_edges_and_ties(spark):
     lab, _ = tf.bin_equal_width(df, "x", 5, encode=False)
     assert lab.where(F.col("x").isNull()).count() == 0
     assert lab.first()["x"] == "(-0.01, 2.0]"
+
+
+@pytest.mark.parametrize("shift", [1.0, -3.0])
+def test_power_transform_lambda_is_ml(spark, shift):
+    from chronoframe.operators.power import stabilize_variance
+    rng = np.random.default_rng(12)
+    x = np.exp(rng.normal(size=500) * 0.5) + shift          # positive -> Box-Cox, else Yeo-Johnson
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    out, lam = stabilize_variance(df, "x")
+
+    def llf(l):
+        if x.min() > 0:
+            y = np.log(x) if abs(l) < 1e-12 else (x ** l - 1) / l
+            return (l - 1) * np.log(x).sum() - len(x) / 2 * np.log(y.var())
+        pos = x >= 0
+        y = np.empty_like(x)
+        y[pos] = np.log1p(x[pos]) if abs(l) < 1e-12 else ((x[pos] + 1) ** l - 1) / l
+        y[~pos] = -np.log1p(-x[~pos]) if abs(l - 2) < 1e-12 else -((-x[~pos] + 1) ** (2 - l) - 1) / (2 - l)
+        return (l - 1) * (np.sign(x) * np.log1p(np.abs(x))).sum() - len(x) / 2 * np.log(y.var())
+
+    grid = np.linspace(lam - 0.5, lam + 0.5, 2001)
+    best = grid[np.argmax([llf(g) for g in grid])]
+    assert abs(lam - best) < 1e-3
