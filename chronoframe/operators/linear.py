@@ -441,45 +441,52 @@ def var_forecast(df: DataFrame, cols: Sequence[str], coefs: DataFrame, p: int, s
 # -------------------------------------------------------- walk-forward (prefix)
 
 def walk_forward(df: DataFrame, cols: Sequence[str], p: int, split: int, idx: str = "idx",
-                 targets: Sequence[str] | None = None, size: int | None = None) -> DataFrame:
+                 targets: Sequence[str] | None = None, size: int | None = None, keys=()) -> DataFrame:
     """expanding-window one-step forecasts for every test row
-    ``idx >= split``: the model for row t is fitted on rows < t (AR(p) for one
-    column, VAR(p) for several, constant included).
-
-    Plan: prefix Gram matrices.  Rows are cut in blocks; one task per block
-    computes its partial Gram; the carry (sum of earlier blocks) comes from the
-    small block table; within a block the running Gram grows row by row and
-    each test row gets one (Kp+1)-sized solve.  Output (variable, idx,
-    observed, predicted, residual)."""
+    ``idx >= split`` of every series (``keys``): the model for row t is fitted
+    on the rows < t of its series (AR(p) for one column, VAR(p) for several,
+    constant included).
+
+    Plan: prefix Gram matrices.  Rows are cut in blocks per series; one task
+    per (series, block) computes its partial Gram; the carry (sum of earlier
+    blocks of the series) comes from the small block table; within a block the
+    running Gram grows row by row and each test row gets one (Kp+1)-sized
+    solve.  Output (keys, variable, idx, observed, predicted, residual)."""
     cols = list(cols)
     targets = list(targets or cols)
+    keys = _cols(keys)
+    require(V not in keys, f"series key may not be named {V!r} (output column)")
     K = len(cols)
     require(split > p + K * p + 1, "split too small for the model order")
     size = block_size(df.sparkSession, size)
-    lg, _ = _wide_lag_design(df, cols, p, idx, [], size)
+    lg, _ = _wide_lag_design(df, cols, p, idx, keys, size)
     xcols = [f"{c}_lag{k}" for k in range(1, p + 1) for c in cols]
     design = lg.where(F.col(idx) >= p).select(
-        idx, F.array(F.lit(1.0), *[F.col(c).cast("double") for c in xcols]).alias("_x"),
+        *keys, idx, F.array(F.lit(1.0), *[F.col(c).cast("double") for c in xcols]).alias("_x"),
         F.array(*[F.col(c).cast("double") for c in targets]).alias("_y"))
     design = add_blocks(design, idx, size).drop("_halo")
     mx, my = 1 + len(xcols), len(targets)
     d = mx + my
+    kschema = (_key_schema(df, keys) + ", ") if keys else ""
 
-    # partial Gram of [x, y] per block: one numpy Z^T Z per block task
+    # partial Gram of [x, y] per (series, block): one numpy Z^T Z per task
     tri = np.triu_indices(d)
 
     def block_gram(pdf: pd.DataFrame) -> pd.DataFrame:
         Z = np.hstack([np.vstack(pdf["_x"].to_numpy()), np.vstack(pdf["_y"].to_numpy())]).astype(float)
-        return pd.DataFrame({BLK: [int(pdf[BLK].iloc[0])], "_g": [(Z.T @ Z)[tri].tolist()]})
+        out = pd.DataFrame({BLK: [int(pdf[BLK].iloc[0])], "_g": [(Z.T @ Z)[tri].tolist()]})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
 
-    part = design.groupBy(BLK).applyInPandas(block_gram, f"{BLK} long, _g array<double>")
-    # carry = sum of the partial Grams of earlier blocks (tiny table: blocks x d(d+1)/2)
-    ex = part.select(BLK, F.posexplode("_g").alias("_k", "_s"))
-    wb = Window.partitionBy("_k").orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
-    carry = ex.select(BLK, "_k", F.coalesce(F.sum("_s").over(wb), F.lit(0.0)).alias("_c"))
-    carry = carry.groupBy(BLK).agg(F.array_sort(F.collect_list(F.struct("_k", "_c"))).alias("_carry"))
-    rows = design.join(carry, BLK, "left")
-    schema = f"{V} string, {idx} long, observed double, predicted double"
+    part = design.groupBy(*keys, BLK).applyInPandas(block_gram, f"{kschema}{BLK} long, _g array<double>")
+    # carry = sum of the partial Grams of earlier blocks of the series (blocks x d(d+1)/2 rows)
+    ex = part.select(*keys, BLK, F.posexplode("_g").alias("_k", "_s"))
+    wb = Window.partitionBy(*keys, "_k").orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
+    carry = ex.select(*keys, BLK, "_k", F.coalesce(F.sum("_s").over(wb), F.lit(0.0)).alias("_c"))
+    carry = carry.groupBy(*keys, BLK).agg(F.array_sort(F.collect_list(F.struct("_k", "_c"))).alias("_carry"))
+    rows = design.join(carry, [*keys, BLK], "left")
+    schema = f"{kschema}{V} string, {idx} long, observed double, predicted double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
@@ -502,9 +509,12 @@ def walk_forward(df: DataFrame, cols: Sequence[str], p: int, split: int, idx: st
                     recs.append((v, int(t), float(y[j]), float(pred[j])))
             z = np.concatenate([x, y])
             G += np.outer(z, z)
-        return pd.DataFrame(recs, columns=[V, idx, "observed", "predicted"])
+        out = pd.DataFrame(recs, columns=[V, idx, "observed", "predicted"])
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
 
-    out = rows.groupBy(BLK).applyInPandas(run, schema)
+    out = rows.groupBy(*keys, BLK).applyInPandas(run, schema)
     return out.withColumn("residual", F.col("observed") - F.col("predicted"))
 
 

@@ -35,12 +35,14 @@ def ts_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ts_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` x ``customer``: daily total per market segment (long)."""
+    """``orders`` x ``customer``: daily total per market segment (long), with
+    ``idx`` = dense position of the day within its segment."""
     o = read_table(spark, sf_dir, "orders", ["o_orderdate", "o_totalprice", "o_custkey"])
     c = read_table(spark, sf_dir, "customer", ["c_custkey", "c_mktsegment"])
     j = o.join(c, o.o_custkey == c.c_custkey)
-    return j.groupBy(F.col("o_orderdate").alias("t"), F.col("c_mktsegment").alias("segment")).agg(
+    day = j.groupBy(F.col("o_orderdate").alias("t"), F.col("c_mktsegment").alias("segment")).agg(
         F.sum("o_totalprice").alias("total"))
+    return cut_lineage(dense_index(day, ["t"], keys=["segment"], idx="idx"))
 
 
 def ld_events(spark: SparkSession, sf_dir: str) -> DataFrame:

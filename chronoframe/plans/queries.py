@@ -510,3 +510,15 @@ def granger_by_variable(spark, sf):
     from ..operators.linear import granger, granger_by_variable as _gbv
     d = tf.difference(hourly_filled(spark, sf), VARS, order=1, check=False)
     return r6(_gbv(granger(d, VARS, maxlag=10, pairs=[("view", s) for s in VARS]), "view"))
+
+
+def segment_walk_forward(spark, sf):
+    """F5 over many series: AR(3) one-step walk-forward of the daily order
+    total of every market segment (orders x customer), last fifth predicted;
+    MAE per segment."""
+    from ..operators.linear import walk_forward
+    seg = fx.ts_segment(spark, sf).select("segment", "idx", "total")
+    n = seg.groupBy("segment").count().agg(F.min("count")).first()[0]
+    wf = walk_forward(seg, ["total"], 3, split=int(0.8 * n), keys=["segment"])
+    return r6(dg.mae(wf, keys=["segment", dg.V]).join(
+        wf.groupBy("segment").agg(F.count(F.lit(1)).alias("n_predicted")), "segment"))

@@ -263,3 +263,13 @@ def test_sarima_forecast_planted_ar1_with_drift(spark):
 def test_seasonal_lag_sets():
     ar, ma, d, D, s = ln.sarima_lags((1, 0, 1), (1, 1, 1, 7))
     assert ar == [1, 7, 8] and ma == [1, 7, 8] and (d, D, s) == (0, 1, 7)
+
+
+def test_walk_forward_many_series_equals_single(spark, filled, X):
+    long = dg.long_series(filled, VARS).select(F.col("variable").alias("series"), "idx", F.col("value").alias("x"))
+    many = ln.walk_forward(long, ["x"], 2, split=650, keys=["series"], size=32).toPandas()
+    for i, c in enumerate(VARS[:2]):
+        one = ln.walk_forward(filled.select("idx", F.col(c).alias("x")), ["x"], 2, split=650).toPandas()
+        a = many[many.series == c].sort_values("idx").predicted.to_numpy()
+        b = one.sort_values("idx").predicted.to_numpy()
+        assert len(a) == len(b) == len(X) - 650 and np.allclose(a, b, atol=1e-8)
