@@ -68,3 +68,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def configure_for_input(spark: SparkSession, input_bytes: int, partition_bytes: int = 256 << 20,
+                        min_partitions: int = 200) -> dict:
+    """Size shuffles and scans for an input of ``input_bytes``.
+
+    Shuffle partitions are chosen so that a partition holds about
+    ``partition_bytes`` (AQE then coalesces small ones and splits skewed ones),
+    Parquet splits are of the same size, and the broadcast threshold stays at a
+    fixed bound so no data-sized side is ever broadcast.  Returns the settings
+    applied; keys already set by the cluster administrator are left alone."""
+    n = max(min_partitions, -(-int(input_bytes) // partition_bytes))
+    wanted = {
+        "spark.sql.shuffle.partitions": str(n),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+    applied = {}
+    for k, v in wanted.items():
+        if k == "spark.sql.shuffle.partitions" or spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+            applied[k] = v
+    return applied

@@ -273,3 +273,31 @@ def test_walk_forward_many_series_equals_single(spark, filled, X):
         a = many[many.series == c].sort_values("idx").predicted.to_numpy()
         b = one.sort_values("idx").predicted.to_numpy()
         assert len(a) == len(b) == len(X) - 650 and np.allclose(a, b, atol=1e-8)
+
+
+def test_granger_keyed_equals_per_series(spark, filled):
+    two = filled.withColumn("s", F.lit("a")).unionByName(filled.withColumn("s", F.lit("b")))
+    keyed = ln.granger(two, VARS[:3], maxlag=3, keys=["s"]).toPandas()
+    single = ln.granger(filled, VARS[:3], maxlag=3).toPandas()
+    for s_ in ("a", "b"):
+        k = keyed[keyed.s == s_].sort_values(["target", "source", "lag"]).chi2.to_numpy(dtype=float)
+        one = single.sort_values(["target", "source", "lag"]).chi2.to_numpy(dtype=float)
+        assert np.allclose(k, one, equal_nan=True)
+
+
+def test_configure_for_input(spark):
+    from chronoframe.session import configure_for_input
+    keys = ["spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.files.maxPartitionBytes",
+            "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled",
+            "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.adaptive.skewJoin.enabled"]
+    old = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        applied = configure_for_input(spark, 100 * 2 ** 40)
+        assert int(applied["spark.sql.shuffle.partitions"]) == 409600
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
