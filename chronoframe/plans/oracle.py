@@ -160,6 +160,35 @@ def _oracle_sql() -> dict[str, str]:
                        ", CASE WHEN d.toxic = (SELECT max(toxic) FROM docs) THEN 1.0 ELSE 0.0 END AS toxic FROM docs d")
     q["replace_values"] = "WITH " + LD + "SELECT user_id, visit, CASE WHEN k = 42 THEN -1 ELSE k END AS k FROM ld"
     q["subjects"] = "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL"
+    q["ld_nearest_mean"] = "WITH " + LD + """SELECT user_id, visit, round(coalesce(value, avg(value) OVER (
+  PARTITION BY user_id ORDER BY visit RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)), 6) AS value FROM ld"""
+    q["ld_difference"] = "WITH " + LD + """SELECT user_id, visit - 1 AS visit, k - lag(k) OVER (PARTITION BY user_id ORDER BY visit) AS k
+FROM ld QUALIFY visit >= 1"""
+    q["ld_acf"] = "WITH " + LD + f""",
+s AS (SELECT user_id, visit AS idx, CAST(k AS DOUBLE) AS value FROM ld),
+st AS (SELECT user_id, count(*) AS n, avg(value) AS m FROM s GROUP BY user_id),
+ce AS (SELECT s.user_id, s.idx, s.value - st.m AS xc FROM s JOIN st USING (user_id)),
+lags AS (SELECT st.user_id, CAST(g.lag AS BIGINT) AS lag, st.n FROM st,
+         generate_series(0, greatest(0, least(50, (st.n // 2) - 1))) AS g(lag)),
+prod AS (SELECT l.user_id, l.lag, l.n, sum(a.xc * b.xc) AS s
+         FROM lags l JOIN ce a ON a.user_id = l.user_id JOIN ce b ON b.user_id = l.user_id AND b.idx = a.idx - l.lag
+         GROUP BY l.user_id, l.lag, l.n),
+ac AS (SELECT p.user_id, p.lag, p.n, p.s / z.s AS acf FROM prod p JOIN prod z ON z.user_id = p.user_id AND z.lag = 0)
+SELECT user_id, 'k' AS variable, lag, round(acf, 6) AS acf,
+  round(CASE WHEN lag = 0 THEN 0.0 ELSE {Z975} * sqrt((1 + 2 * coalesce(sum(CASE WHEN lag >= 1 THEN acf * acf END)
+    OVER (PARTITION BY user_id ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / n) END, 6) AS band
+FROM ac"""
+    q["seasonal_decompose_mult"] = "WITH " + FILLED + """,
+tr2 AS (SELECT variable, idx, value,
+          (CAST(0.5 AS DOUBLE) / 4) * lag(value, 2) OVER w + (CAST(1 AS DOUBLE) / 4) * lag(value, 1) OVER w
+          + (CAST(1 AS DOUBLE) / 4) * value + (CAST(1 AS DOUBLE) / 4) * lead(value, 1) OVER w
+          + (CAST(0.5 AS DOUBLE) / 4) * lead(value, 2) OVER w AS trend
+        FROM flong WINDOW w AS (PARTITION BY variable ORDER BY idx)),
+ph AS (SELECT variable, idx % 4 AS phase, avg(value / trend) AS pm FROM tr2 GROUP BY ALL),
+pc AS (SELECT variable, phase, pm / avg(pm) OVER (PARTITION BY variable) AS seasonal FROM ph)
+SELECT t.variable, t.idx, round(t.value, 6) AS observed, round(t.trend, 6) AS trend, round(pc.seasonal, 6) AS seasonal,
+  round(t.value / pc.seasonal / t.trend, 6) AS resid
+FROM tr2 t JOIN pc ON pc.variable = t.variable AND pc.phase = t.idx % 4"""
     q["daily_series"] = "WITH " + DAILY + "SELECT idx, round(total, 6) AS total, n FROM daily"
     q["hourly_missing_profile"] = "WITH " + HOURLY + _profile("hourly", VARS)
     q["ld_missing_profile"] = "WITH " + LD + _profile("ld", ["event_type", "value", "k"])

@@ -522,3 +522,28 @@ def segment_walk_forward(spark, sf):
     wf = walk_forward(seg, ["total"], 3, split=int(0.8 * n), keys=["segment"])
     return r6(dg.mae(wf, keys=["segment", dg.V]).join(
         wf.groupBy("segment").agg(F.count(F.lit(1)).alias("n_predicted")), "segment"))
+
+
+# ------------------------------------------------- keyed (many-series) forms
+
+def ld_nearest_mean(spark, sf):
+    """I1 per subject: neighbour mean (n = 2) of value within each user's visits."""
+    e = fx.ld_events(spark, sf).select("user_id", "visit", "value")
+    return r6(im.nearest_mean(e, ["value"], n=2, idx="visit", keys=["user_id"]))
+
+
+def ld_difference(spark, sf):
+    """T1 per subject: first difference of k within each user's visits."""
+    e = fx.ld_events(spark, sf).select("user_id", "visit", "k")
+    return tf.difference(e, ["k"], order=1, idx="visit", keys=["user_id"])
+
+
+def ld_acf(spark, sf):
+    """D1 per subject: ACF of k for every user (lags up to min(50, n_user//2 - 1)) with Bartlett band."""
+    e = fx.ld_events(spark, sf).select("user_id", F.col("visit").alias("idx"), F.col("k").cast("double").alias("value"))
+    return r6(dg.acf(e.withColumn(dg.V, F.lit("k")), keys=["user_id"]))
+
+
+def seasonal_decompose_mult(spark, sf):
+    """D4 multiplicative with an even period (4: 2 x MA trend) on the filled hourly series."""
+    return r6(dg.seasonal_decompose(dg.long_series(hourly_filled(spark, sf), VARS), period=4, model="multiplicative"))

@@ -17,6 +17,7 @@ _SQL_CHECKED = [
     "subject_split", "acf_bartlett", "seasonal_decompose", "fisher_g", "durbin_watson", "residual_histogram",
     "mae_naive", "overlap_average", "csv_roundtrip", "ld_csv_roundtrip",
     "rbm_encode", "replace_values", "subjects",
+    "ld_nearest_mean", "ld_difference", "ld_acf", "seasonal_decompose_mult",
 ]
 
 _NUMERIC = [
