@@ -189,6 +189,19 @@ pc AS (SELECT variable, phase, pm / avg(pm) OVER (PARTITION BY variable) AS seas
 SELECT t.variable, t.idx, round(t.value, 6) AS observed, round(t.trend, 6) AS trend, round(pc.seasonal, 6) AS seasonal,
   round(t.value / pc.seasonal / t.trend, 6) AS resid
 FROM tr2 t JOIN pc ON pc.variable = t.variable AND pc.phase = t.idx % 4"""
+    q["ld_interpolate"] = "WITH " + LD + """,
+o AS (SELECT user_id, visit, value AS y,
+        CAST(row_number() OVER (PARTITION BY user_id ORDER BY visit) - 1 AS BIGINT) AS r FROM ld WHERE value IS NOT NULL),
+m AS (SELECT user_id, count(*) AS m FROM o GROUP BY user_id),
+g AS (SELECT l.user_id, l.visit,
+        (SELECT count(*) FROM o WHERE o.user_id = l.user_id AND o.visit < l.visit) - 1 AS rp
+      FROM ld l WHERE l.value IS NULL),
+s AS (SELECT g.user_id, g.visit, greatest(0, least(g.rp, m.m - 2)) AS s FROM g JOIN m USING (user_id)
+      WHERE g.rp >= 0 AND m.m >= 2),
+f AS (SELECT s.user_id, s.visit, a.y + (b.y - a.y) * (s.visit - a.visit) / (b.visit - a.visit) AS fill
+      FROM s JOIN o a ON a.user_id = s.user_id AND a.r = s.s JOIN o b ON b.user_id = s.user_id AND b.r = s.s + 1)
+SELECT l.user_id, l.visit, round(coalesce(l.value, f.fill), 6) AS value
+FROM ld l LEFT JOIN f ON f.user_id = l.user_id AND f.visit = l.visit"""
     q["daily_series"] = "WITH " + DAILY + "SELECT idx, round(total, 6) AS total, n FROM daily"
     q["hourly_missing_profile"] = "WITH " + HOURLY + _profile("hourly", VARS)
     q["ld_missing_profile"] = "WITH " + LD + _profile("ld", ["event_type", "value", "k"])

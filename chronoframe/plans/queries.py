@@ -547,3 +547,10 @@ def ld_acf(spark, sf):
 def seasonal_decompose_mult(spark, sf):
     """D4 multiplicative with an even period (4: 2 x MA trend) on the filled hourly series."""
     return r6(dg.seasonal_decompose(dg.long_series(hourly_filled(spark, sf), VARS), period=4, model="multiplicative"))
+
+
+def ld_interpolate(spark, sf):
+    """I2 per subject: linear interpolation of value within each user's visits
+    (leading gap stays missing, trailing gap extrapolated from the last two)."""
+    e = fx.ld_events(spark, sf).select("user_id", "visit", "value")
+    return r6(im.interpolate(e, ["value"], order=1, idx="visit", keys=["user_id"]))
