@@ -91,3 +91,16 @@ def forecast_plot_table(observed: DataFrame, predicted: DataFrame, forecast: Dat
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def forecast_wide(fc: DataFrame, variables: Sequence[str], idx: str = "idx") -> DataFrame:
+    """Long forecast rows (variable, idx, mean, lower, upper) reshaped to
+    one row per step with ``var``, ``var_lower_conf``, ``var_upper_conf``."""
+    vs = list(variables)
+    aggs = []
+    for v in vs:
+        hit = F.col("variable") == F.lit(v)
+        aggs += [F.max(F.when(hit, F.col("mean"))).alias(v),
+                 F.max(F.when(hit, F.col("lower"))).alias(f"{v}_lower_conf"),
+                 F.max(F.when(hit, F.col("upper"))).alias(f"{v}_upper_conf")]
+    return fc.groupBy(idx).agg(*aggs)

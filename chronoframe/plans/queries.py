@@ -554,3 +554,11 @@ def ld_interpolate(spark, sf):
     (leading gap stays missing, trailing gap extrapolated from the last two)."""
     e = fx.ld_events(spark, sf).select("user_id", "visit", "value")
     return r6(im.interpolate(e, ["value"], order=1, idx="visit", keys=["user_id"]))
+
+
+def forecast_table(spark, sf):
+    """VAR(2) 24-step forecast as one row per step with lower and upper columns."""
+    from ..operators.linear import var_fit as _vf, var_forecast as _vfc
+    from ..operators.results import forecast_wide
+    f = hourly_filled(spark, sf)
+    return r6(forecast_wide(_vfc(f, VARS, _vf(f, VARS, 2), 2, 24), VARS))

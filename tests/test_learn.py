@@ -93,3 +93,16 @@ def test_rbm_structure_shape(spark):
     assert widths == [("c", 3), ("b", 1)]
     w = ln.rbm_structure(enc, n_hidden=2, n_iter=3).toPandas()
     assert len(w) == 2 * 4 and w.weight.notna().all()
+
+
+def test_sensitivity_of_linear_model_is_its_coefficients(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    rng = np.random.default_rng(6)
+    X = rng.normal(size=(300, 2))
+    y = 3 * X[:, 0] - 2 * X[:, 1] + 0.5
+    df = spark.createDataFrame(pd.DataFrame({"a": X[:, 0], "b": X[:, 1], "y": y}))
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    m = LinearRegression(featuresCol="features", labelCol="y").fit(data)
+    s = ln.sensitivity(m, data, ["a", "b"]).toPandas().set_index("feature").sensitivity
+    assert abs(s["a"] - 3) < 1e-6 and abs(s["b"] + 2) < 1e-6
