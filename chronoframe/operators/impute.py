@@ -79,9 +79,8 @@ def interpolate(df: DataFrame, cols: Sequence[str], order: int = 1, idx: str = "
         return p["_py"] * F.aggregate(others, F.lit(1.0), lambda acc, q: acc * (x - q["_px"]) / (p["_px"] - q["_px"]))
 
     val = F.aggregate(F.transform(F.col("_pts"), basis), F.lit(0.0), lambda a, b: a + b)
-    fills = pts.select(*keys, idx, var, val.alias("_fill")).groupBy(*keys, idx).pivot(var, list(cols)).agg(
-        F.first("_fill"))
-    fills = fills.select(*keys, idx, *[F.col(c).alias(f"_fill_{c}") for c in cols])
+    fills = pts.select(*keys, idx, var, val.alias("_fill")).groupBy(*keys, idx).agg(
+        *[F.max(F.when(F.col(var) == F.lit(c), F.col("_fill"))).alias(f"_fill_{c}") for c in cols])
     res = df.join(fills, [*keys, idx], "left")
     return res.select(*[F.coalesce(F.col(c), F.col(f"_fill_{c}")).alias(c) if c in cols else F.col(c)
                         for c in df.columns])
