@@ -9,7 +9,6 @@ round so lineage stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..session import block_size, cut_lineage
 from .impute import imputation_sets
-from .ordering import BLK, _cols, add_blocks, lagged
+from .ordering import BLK, add_blocks, lagged
 from .results import overlap_average
 from .transform import minmax_scale, one_hot, supervised_windows
 from .validate import bounded_distinct, require
