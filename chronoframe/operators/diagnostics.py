@@ -141,14 +141,14 @@ def seasonal_decompose(long: DataFrame, period: int = 3, model: str = "additive"
         return {"trend": t}
 
     tr = halo_window(long.select(*g, idx, value), exprs, idx, g, before=half, after=half, size=size)
-    detr = (F.col(value) / F.col("trend")) if mult else (F.col(value) - F.col("trend"))
+    detr = F.try_divide(F.col(value), F.col("trend")) if mult else (F.col(value) - F.col("trend"))
     tr = tr.withColumn("_phase", F.col(idx) % F.lit(period)).withColumn("_detr", detr)
     phase = tr.groupBy(*g, "_phase").agg(F.avg("_detr").alias("_pm"))
     centre = phase.groupBy(*g).agg(F.avg("_pm").alias("_pmm"))
     phase = phase.join(centre, g).select(
-        *g, "_phase", ((F.col("_pm") / F.col("_pmm")) if mult else (F.col("_pm") - F.col("_pmm"))).alias("seasonal"))
+        *g, "_phase", (F.try_divide(F.col("_pm"), F.col("_pmm")) if mult else (F.col("_pm") - F.col("_pmm"))).alias("seasonal"))
     out = tr.join(phase, [*g, "_phase"], "left")
-    resid = (F.col(value) / F.col("seasonal") / F.col("trend")) if mult else \
+    resid = F.try_divide(F.try_divide(F.col(value), F.col("seasonal")), F.col("trend")) if mult else \
         (F.col(value) - F.col("trend") - F.col("seasonal"))
     return out.select(*g, idx, F.col(value).alias("observed"), "trend", "seasonal", resid.alias("resid"))
 
@@ -272,7 +272,8 @@ def ljung_box(acf_df: DataFrame, nobs: DataFrame, lags: int = 10, keys=(), alpha
     g = [*_cols(keys), V]
     a = acf_df.where((F.col("lag") >= 1) & (F.col("lag") <= lags)).join(nobs, g)
     w = Window.partitionBy(*g).orderBy("lag").rowsBetween(Window.unboundedPreceding, 0)
-    q = (F.col("n") * (F.col("n") + 2) * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))).over(w))
+    q = (F.col("n") * (F.col("n") + 2) * F.sum(F.try_divide(F.col("acf") * F.col("acf"),
+                                                               (F.col("n") - F.col("lag")).cast("double"))).over(w))
     out = a.select(*g, "lag", q.alias("q_stat"))
     return out.withColumn("p_value", F.pandas_udf(_chi2_tail, "double")("q_stat", "lag"))
 
