@@ -526,7 +526,8 @@ def _hr_initial_order(n: int, p: int, q: int) -> int:
 
 def arma_design(long_y: DataFrame, P: int, Q: int, idx: str = "idx", value: str = "value",
                 size: int | None = None, long_ar: int | None = None,
-                ar_lags: Sequence[int] | None = None, ma_lags: Sequence[int] | None = None):
+                ar_lags: Sequence[int] | None = None, ma_lags: Sequence[int] | None = None,
+                fit_until: int | None = None):
     """Hannan-Rissanen stage 1: long AR(m) by OLS (Gram), residuals e_t as a
     JVM-side expression, then a design with y lags (1..P or ``ar_lags``) and
     e lags (1..Q or ``ma_lags``).  Returns (design frame, zcols, first usable
@@ -538,7 +539,10 @@ def arma_design(long_y: DataFrame, P: int, Q: int, idx: str = "idx", value: str
     lg = lagged(long_y.select(idx, value), [value], lags=range(1, m + 1), idx=idx, size=size)
     ycols = [f"{value}_lag{k}" for k in range(1, m + 1)]
     z1 = [F.lit(1.0)] + [F.col(c).cast("double") for c in ycols] + [F.col(value).cast("double")]
-    g = gram(lg.where(F.col(idx) >= m).withColumn(SERIES, F.lit(0)), z1, [SERIES]).first()
+    rows = lg.where(F.col(idx) >= m)
+    if fit_until is not None:
+        rows = rows.where(F.col(idx) < fit_until)          # stage 1 sees the training rows only
+    g = gram(rows.withColumn(SERIES, F.lit(0)), z1, [SERIES]).first()
     G = unpack(g["g"], m + 2)
     beta, _, _ = ols_from_gram(G, range(0, m + 1), [m + 1], int(g["n"]))
     fit = F.lit(float(beta[0, 0]))
@@ -644,18 +648,11 @@ def sarima_lags(order: tuple, seasonal: tuple | None) -> tuple[list[int], list[i
     return sorted(ar), sorted(ma), d, D, s
 
 
-def sarima(long_y: DataFrame, order: tuple = (1, 0, 0), seasonal: tuple | None = None, steps: int = 0,
-           alpha: float = 0.05, idx: str = "idx", value: str = "value", size: int | None = None):
-    """(seasonal) ARIMA by Hannan-Rissanen regressions on the
-    differenced series ``(1-L)^d (1-L^s)^D y``, and an h-step forecast of y
-    with interval ``mean +- z sigma sqrt(sum psi_j^2)`` where psi are the
-    weights of ``theta(L) / (phi(L) (1-L)^d (1-L^s)^D)``.  A seasonal order
-    without a non-seasonal one uses AR(1), as the reference's model does.
-    Returns (coefficients, forecast or None)."""
+def _sarima_core(long_y: DataFrame, order: tuple, seasonal: tuple | None, idx: str, value: str,
+                 size: int | None, fit_until: int | None = None) -> dict:
     if seasonal and seasonal[3] and tuple(order) == (0, 0, 0):
         order = (1, 0, 0)
     ar, ma, d, D, s = sarima_lags(tuple(order), tuple(seasonal) if seasonal else None)
-    spark = long_y.sparkSession
     y = long_y.select(idx, F.col(value).cast("double").alias(value))
     dpoly = _diff_poly(d, D, s)
     k0 = len(dpoly) - 1
@@ -673,16 +670,54 @@ def sarima(long_y: DataFrame, order: tuple = (1, 0, 0), seasonal: tuple | None =
             idx, F.col(idx) - F.lit(k0))
     else:
         wser = y
-    d2, zcols, start, _ = arma_design(wser, 0, 0, idx, value, size, ar_lags=ar, ma_lags=ma)
+    wfit = None if fit_until is None else fit_until - k0
+    d2, zcols, start, _ = arma_design(wser, 0, 0, idx, value, size, ar_lags=ar, ma_lags=ma, fit_until=wfit)
     z = [F.lit(1.0)] + [F.col(c) for c in zcols]
-    g = gram(d2.where(F.col(idx) >= start).withColumn(SERIES, F.lit(0)), z, [SERIES]).first()
+    rows = d2.where(F.col(idx) >= start)
+    if wfit is not None:
+        rows = rows.where(F.col(idx) < wfit)
+    g = gram(rows.withColumn(SERIES, F.lit(0)), z, [SERIES]).first()
     mm = len(z)
     G, n = unpack(g["g"], mm), int(g["n"])
     xs = list(range(0, mm - 1))
     beta, ssr, inv = ols_from_gram(G, xs, [mm - 1], n)
-    b = beta[:, 0]
-    sigma2 = float(ssr[0]) / n
-    s2 = float(ssr[0]) / max(n - len(xs), 1)
+    return dict(ar=ar, ma=ma, dpoly=dpoly, k0=k0, y=y, d2=d2, zcols=zcols, start=start, b=beta[:, 0],
+                ssr=float(ssr[0]), inv=inv, n=n, xs=xs)
+
+
+def sarima_one_step(long_y: DataFrame, order: tuple, seasonal: tuple | None, split: int, idx: str = "idx",
+                    value: str = "value", size: int | None = None) -> DataFrame:
+    """One-step predictions of y for rows ``idx >= split`` with the model
+    fitted on the rows before ``split`` (both Hannan-Rissanen stages see the
+    training rows only).  In differenced space the prediction is the fitted
+    regression; back in y, ``y_hat = w_hat + (y - w)``.  Output (idx,
+    observed, predicted, residual)."""
+    c = _sarima_core(long_y, order, seasonal, idx, value, size, fit_until=split)
+    b, zcols, k0 = c["b"], c["zcols"], c["k0"]
+    fitted = F.lit(float(b[0]))
+    for i, col in enumerate(zcols[:-1]):
+        fitted = fitted + F.lit(float(b[1 + i])) * F.col(col)
+    pw = c["d2"].where(F.col(idx) >= c["start"]).select(
+        (F.col(idx) + F.lit(k0)).alias(idx), (F.col(value) - fitted).alias("residual"))
+    out = c["y"].where(F.col(idx) >= split).join(pw, idx)
+    return out.select(idx, F.col(value).alias("observed"), (F.col(value) - F.col("residual")).alias("predicted"),
+                      "residual")
+
+
+def sarima(long_y: DataFrame, order: tuple = (1, 0, 0), seasonal: tuple | None = None, steps: int = 0,
+           alpha: float = 0.05, idx: str = "idx", value: str = "value", size: int | None = None):
+    """(seasonal) ARIMA by Hannan-Rissanen regressions on the
+    differenced series ``(1-L)^d (1-L^s)^D y``, and an h-step forecast of y
+    with interval ``mean +- z sigma sqrt(sum psi_j^2)`` where psi are the
+    weights of ``theta(L) / (phi(L) (1-L)^d (1-L^s)^D)``.  A seasonal order
+    without a non-seasonal one uses AR(1), as the reference's model does.
+    Returns (coefficients, forecast or None)."""
+    spark = long_y.sparkSession
+    c = _sarima_core(long_y, order, seasonal, idx, value, size)
+    ar, ma, dpoly, y, d2, zcols = c["ar"], c["ma"], c["dpoly"], c["y"], c["d2"], c["zcols"]
+    b, n, inv, xs = c["b"], c["n"], c["inv"], c["xs"]
+    sigma2 = c["ssr"] / n
+    s2 = c["ssr"] / max(n - len(xs), 1)
     names = ["const"] + [f"ar_L{k}" for k in ar] + [f"ma_L{k}" for k in ma]
     llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(sigma2) + 1.0)
     kpar = len(xs) + 1
@@ -708,8 +743,8 @@ def sarima(long_y: DataFrame, order: tuple = (1, 0, 0), seasonal: tuple | None =
     # last residuals of the fitted w-equation (bounded by the largest MA lag)
     qm = max(ma, default=0)
     fitted = F.lit(float(b[0]))
-    for i, c in enumerate(zcols[:-1]):
-        fitted = fitted + F.lit(float(b[1 + i])) * F.col(c)
+    for i, col in enumerate(zcols[:-1]):
+        fitted = fitted + F.lit(float(b[1 + i])) * F.col(col)
     nw = d2.agg(F.max(idx)).first()[0]
     eres = [r["_r"] for r in d2.where(F.col(idx) > nw - qm).orderBy(idx).select(
         (F.col(value) - fitted).alias("_r")).collect()] if qm else []

@@ -562,3 +562,22 @@ def forecast_table(spark, sf):
     from ..operators.results import forecast_wide
     f = hourly_filled(spark, sf)
     return r6(forecast_wide(_vfc(f, VARS, _vf(f, VARS, 2), 2, 24), VARS))
+
+
+def sarimax_process(spark, sf):
+    """ARIMA(2,1,1) on the daily totals: one-step predictions on the
+    last fifth (parameters from the training rows), errors, 14-step forecast."""
+    from ..operators.forecast import run_forecast
+    d = fx.ts_daily(spark, sf).select("idx", "total")
+    n = d.count()
+    res = run_forecast(d, ["total"], "sarimax", split=int(0.8 * n), order=(2, 1, 1), forecast_window=14)
+    return r6(res["errors"].join(res["predictions"].groupBy(dg.V).agg(F.count(F.lit(1)).alias("n_predicted")), dg.V))
+
+
+def var_process(spark, sf):
+    """VAR(2) walk-forward over the last fifth of the hours, errors and a 12-step forecast."""
+    from ..operators.forecast import run_forecast
+    f = hourly_filled(spark, sf)
+    n = f.count()
+    res = run_forecast(f, VARS, "var", split=int(0.8 * n), p=2, forecast_window=12)
+    return r6(res["forecast"].join(res["errors"], dg.V))

@@ -28,7 +28,7 @@ _NUMERIC = [
     "model_impute", "chained_impute", "forest_impute", "window_regression", "nn_forecast",
     "window_classifier", "dynamic_classifier", "rbm_structure", "pcmci",
     "imputation_check", "arima_forecast", "sarima_fit", "granger_by_variable",
-    "segment_walk_forward", "forecast_table",
+    "segment_walk_forward", "forecast_table", "sarimax_process", "var_process",
 ]
 
 

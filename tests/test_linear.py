@@ -301,3 +301,36 @@ def test_configure_for_input(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_run_forecast_ar_integrated_equals_naive(spark):
+    from chronoframe.operators.forecast import run_forecast
+    rng = np.random.default_rng(13)
+    n = 400
+    w = np.zeros(n)
+    for t in range(1, n):
+        w[t] = 0.6 * w[t - 1] + rng.normal()
+    y = np.cumsum(w) + 100
+    df = spark.createDataFrame(pd.DataFrame({"idx": np.arange(n), "y": y}))
+    res = run_forecast(df, ["y"], "sarimax", split=300, order=(1, 1, 0), forecast_window=3)
+    pr = res["predictions"].toPandas().sort_values("idx")
+    assert len(pr) == 100
+    dw = np.diff(y)                                           # dw[j] = y[j+1] - y[j]
+    for t in (300, 350, 399):
+        j = t - 1                                             # index of w_t in dw
+        rows = np.arange(1, j)                                # AR(1) on w with rows < j
+        X = np.column_stack([np.ones(len(rows)), dw[rows - 1]])
+        b, *_ = np.linalg.lstsq(X, dw[rows], rcond=None)
+        pred = y[t - 1] + b[0] + b[1] * dw[j - 1]
+        assert abs(pr[pr.idx == t].predicted.iloc[0] - pred) < 1e-8
+    assert res["forecast"].count() == 3
+
+
+def test_run_forecast_preconditions(spark, filled):
+    from chronoframe.operators.forecast import run_forecast
+    with pytest.raises(ValueError):
+        run_forecast(filled, VARS[:1], "var", split=100)
+    with pytest.raises(ValueError):
+        run_forecast(filled, VARS[:2], "sarimax", split=100)
+    with pytest.raises(ValueError):
+        run_forecast(filled, VARS, "var", split=5)
