@@ -1,4 +1,5 @@
 """CSV sources: delimiter inference, index columns, NaN handling, file-name check."""
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -51,3 +52,28 @@ def test_transpose(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0), (1, 3.0, 4.0), (2, 5.0, 6.0)], "idx long, a double, b double")
     got = cs.transpose_series(df).toPandas().sort_values("idx")
     assert got["0"].tolist() == [1.0, 2.0] and got["2"].tolist() == [5.0, 6.0]
+
+
+def test_snapshot_roundtrip_and_catalog(spark, tmp_path):
+    df = spark.createDataFrame([(2, 20.0), (0, 0.0), (1, 10.0)], "idx long, x double")
+    p = str(tmp_path / "snap")
+    cs.snapshot(df, p)
+    back = cs.load_snapshot(spark, p).toPandas().sort_values("idx")
+    assert back.x.tolist() == [0.0, 10.0, 20.0]
+    wide = spark.createDataFrame([(1, 1, 2, 3, 4, 5, 6)], "s long, a long, b long, c long, d long, e long, f long")
+    cols, subs = cs.catalog(wide, subject="s")
+    c = cols.toPandas()
+    assert c.is_default.tolist() == [True] * 5 + [False] * 2 and subs.count() == 1
+
+
+def test_get_subject_and_apply_imputation(spark):
+    from chronoframe.operators import impute as im
+    from chronoframe.operators import missing as ms
+    df = spark.createDataFrame([(1, 0, None), (1, 1, 2.0), (2, 0, 3.0), (3, 0, None)], "s long, v long, x double")
+    sel = ms.get_subject(df, "s", [1, 3]).toPandas()
+    assert sorted(sel.s.unique().tolist()) == [1, 3]
+    subs = spark.createDataFrame([(2,)], "s long")
+    assert ms.get_subject(df, "s", None, subjects_df=subs).count() == 1
+    imp = spark.createDataFrame([(1, 0, 9.0)], "s long, v long, x double")
+    out = im.apply_imputation(df, imp, ["x"], idx="v", keys=["s"]).toPandas().set_index(["s", "v"])
+    assert out.loc[(1, 0), "x"] == 9.0 and out.loc[(2, 0), "x"] == 3.0 and np.isnan(out.loc[(3, 0), "x"])
