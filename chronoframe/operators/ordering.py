@@ -41,12 +41,21 @@ def dense_index(df: DataFrame, order_by, keys=(), idx: str = "idx",
     """Add a dense 0-based position ``idx`` in ``order_by`` order (per ``keys``).
 
     ``order_by`` must be a total order (include a tie-breaker column).  The
-    table is range partitioned on ``keys + order_by``, so a hot key is spread
-    over several partitions; every row gets ``position in its partition +
-    rows of the same key in earlier partitions``.  The offset table has at most
-    ``#keys + #partitions`` rows and is joined back on ``(partition, key)``.
+    table is range partitioned on ``keys + order_by`` and sorted within the
+    partitions, so a hot key is spread over several partitions.
+
+    * no keys: position = rows of earlier partitions (a per-partition table,
+      broadcast) + position in the partition;
+    * keys: within a partition the keys are contiguous and only its first key
+      can have started in an earlier partition.  A summary pass gives per
+      partition (first key, last key, rows of the last key); the carry-in of
+      every partition (rows of its first key in earlier partitions) is a scan
+      over that table (#partitions rows); a ``mapInPandas`` pass numbers the
+      rows with the carry broadcast -- no join back, no second shuffle.
     """
     keys, order_by = _cols(keys), _cols(order_by)
+    if any(not isinstance(k, str) for k in keys):
+        raise ValueError("keys must be column names")
     order_cols = keys + order_by
     if num_partitions:
         ranged = df.repartitionByRange(num_partitions, *order_cols)
@@ -61,20 +70,101 @@ def dense_index(df: DataFrame, order_by, keys=(), idx: str = "idx",
     )
     # positions are only stable while the partitioning is: cut the lineage here
     pos = cut_lineage(pos) if checkpoint else pos.persist()
-    key_names = [k if isinstance(k, str) else None for k in keys]
-    if any(k is None for k in key_names):
-        raise ValueError("keys must be column names")
-    stats = pos.groupBy("_pid", *key_names).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_loc").alias("_first"))
-    w = Window.partitionBy(*key_names).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = stats.select(
-        "_pid", *key_names,
-        (F.coalesce(F.sum("_n").over(w), F.lit(0)) - F.col("_first")).alias("_off"))
-    if not key_names:
+    if not keys:
+        stats = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+        w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
         # one row per partition: bounded by the partition count
-        offsets = F.broadcast(offsets)
-    out = pos.join(offsets, ["_pid", *key_names])
-    return out.select(*[F.col(c) for c in df.columns], (F.col("_loc") + F.col("_off")).alias(idx))
+        offsets = F.broadcast(stats.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off")))
+        out = pos.join(offsets, "_pid")
+        return out.select(*[F.col(c) for c in df.columns], (F.col("_loc") + F.col("_off")).alias(idx))
+    return _keyed_index(pos, df, keys, idx)
+
+
+def _key_tuple(vals):
+    return tuple(None if (v is None or (isinstance(v, float) and v != v)) else v for v in vals)
+
+
+def _segments(pdf, keys):
+    """Vectorised key-change flags of a sorted batch (NULL equals NULL):
+    returns (segment id per row, start row of every segment)."""
+    import numpy as np
+    k = pdf[keys]
+    prev = k.shift(1)
+    neq = (k != prev) & ~(k.isna() & prev.isna())
+    chg = neq.any(axis=1).to_numpy()
+    chg[0] = True
+    seg = np.cumsum(chg) - 1
+    return seg, np.flatnonzero(chg)
+
+
+def _keyed_index(pos: DataFrame, df: DataFrame, keys: list, idx: str) -> DataFrame:
+    import pandas as pd
+
+    key_fields = [pos.schema[k] for k in keys]
+    kstruct = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
+
+    def summary(batches):
+        first = last = None
+        n_last = 0
+        p = None
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            p = int(pdf["_pid"].iloc[0])
+            seg, starts = _segments(pdf, keys)
+            head = _key_tuple(pdf[keys].iloc[0].tolist())
+            tail = _key_tuple(pdf[keys].iloc[-1].tolist())
+            if first is None:
+                first = head
+            tail_len = len(pdf) - int(starts[-1])
+            if len(starts) == 1 and head == last:
+                n_last += tail_len                   # the batch continues the previous key
+            else:
+                n_last = tail_len
+            last = tail
+        if p is not None:
+            yield pd.DataFrame({"_pid": [p], "_first": [dict(zip(keys, first))], "_last": [dict(zip(keys, last))],
+                                "_n_last": [n_last]})
+
+    rows = pos.select("_pid", *keys).mapInPandas(
+        summary, f"_pid int, _first struct<{kstruct}>, _last struct<{kstruct}>, _n_last long").collect()
+    # carry-in per partition: rows of its first key in earlier partitions (#partitions rows)
+    carry = {}
+    prev = None
+    for r in sorted(rows, key=lambda r: r["_pid"]):
+        first = _key_tuple([r["_first"][k] for k in keys])
+        last = _key_tuple([r["_last"][k] for k in keys])
+        c = 0
+        if prev is not None and prev["last"] == first:
+            c = prev["n_last"] + (prev["carry"] if prev["first"] == prev["last"] else 0)
+        carry[r["_pid"]] = c
+        prev = {"first": first, "last": last, "n_last": r["_n_last"], "carry": c}
+    bc = df.sparkSession.sparkContext.broadcast(carry)
+    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{idx}` long"
+    cols = df.columns
+
+    def number(batches):
+        import numpy as np
+        table = bc.value
+        last, count = None, 0
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            seg, starts = _segments(pdf, keys)
+            within = np.arange(len(pdf), dtype=np.int64) - starts[seg]
+            head = _key_tuple(pdf[keys].iloc[0].tolist())
+            if last is None:
+                base = table.get(int(pdf["_pid"].iloc[0]), 0)   # the partition's first key
+            else:
+                base = count if head == last else 0
+            within[seg == 0] += base
+            last = _key_tuple(pdf[keys].iloc[-1].tolist())
+            count = int(within[-1]) + 1
+            res = pdf[cols].copy()
+            res[idx] = within
+            yield res
+
+    return pos.mapInPandas(number, out_schema)
 
 
 def add_blocks(df: DataFrame, idx: str = "idx", size: int | None = None,

@@ -127,3 +127,18 @@ def test_hot_subject_is_split_and_exact(spark, events):
     got = f.toPandas().sort_values(["user_id", "visit"])
     exp = ref.groupby("user_id").v.ffill().to_numpy(dtype=float)
     assert np.allclose(exp, got.v.to_numpy(dtype=float), equal_nan=True)
+
+
+def test_keyed_index_across_arrow_batches(spark, events):
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        hot = events.withColumn("user_id", F.when(F.col("event_id") % 2 == 0, F.lit(-1)).otherwise(F.col("user_id")))
+        got = o.dense_index(hot, ["ts", "event_id"], keys=["user_id"], idx="visit", num_partitions=5) \
+            .select("event_id", "visit").toPandas()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    ref = hot.toPandas().sort_values(["user_id", "ts", "event_id"])
+    ref["visit"] = ref.groupby("user_id").cumcount()
+    m = got.merge(ref[["event_id", "visit"]], on="event_id")
+    assert len(m) == len(ref) and (m.visit_x == m.visit_y).all()
