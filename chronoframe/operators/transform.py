@@ -175,7 +175,7 @@ def one_hot(df: DataFrame, col: str, max_levels: int = 1000, keep: bool = False)
     if len(levels) <= 2:
         return df, [col]
     names = [f"{col}_{i}" for i in range(len(levels))]
-    ind = [(F.col(col).isNull() if v is None else (F.col(col) == F.lit(v))).cast("double") for v in levels]
+    ind = [(F.col(col).isNull() if v is None else F.col(col).eqNullSafe(F.lit(v))).cast("double") for v in levels]
     sel = []
     for c in df.columns:
         if c == col:
