@@ -126,10 +126,18 @@ def bin_equal_width(df: DataFrame, col: str, k: int, encode: bool = True, out: s
     if lo is None:
         return df.withColumn(out or col, F.lit(None)), []
     edges = equal_width_edges(float(lo), float(hi), k)
-    x = F.col(col)
-    code = F.lit(0)
-    for e in edges[1:-1]:
-        code = code + F.when(x > F.lit(e), 1).otherwise(0)
+    x = F.col(col).cast("double")
+    # O(1) per row: a candidate bin from the division, then one exact comparison
+    # with the neighbouring edges (the same doubles as ``edges``) fixes ties and
+    # rounding: code = number of inner edges strictly below x
+    inner = F.array(*[F.lit(e) for e in edges])               # edges[0..k]
+    step = (edges[-1] - edges[1]) / (k - 1) if k > 1 else 1.0
+    cand = F.least(F.greatest(F.ceil((x - F.lit(edges[1])) / F.lit(step)).cast("int"), F.lit(0)), F.lit(k - 1))
+    e_hi = F.element_at(inner, cand + 2)                      # edges[cand + 1]
+    e_lo = F.element_at(inner, cand + 1)                      # edges[cand]
+    code = (F.when((cand < k - 1) & (x > e_hi), cand + 1)
+            .when((cand > 0) & (x <= e_lo), cand - 1)
+            .otherwise(cand))
     code = F.when(x.isNull(), None).otherwise(code).cast("int")
     if encode:
         val = code

@@ -98,3 +98,14 @@ def test_reverse_difference_roundtrip(spark, x, d):
     back = tf.reverse_difference(tf.difference(df, ["x"], order=d, size=5), "x", seeds, size=5)
     got = back.toPandas().sort_values("idx").x.to_numpy()
     assert np.allclose(got, x, atol=1e-6 * max(1.0, float(np.max(np.abs(x)))))
+
+
+@SETTINGS
+@given(x=st.lists(st.one_of(st.floats(-50, 50), st.integers(-50, 50).map(float)), min_size=2, max_size=60),
+       k=st.integers(2, 40))
+def test_equal_width_code_equals_edge_count(spark, x, k):
+    df = spark.createDataFrame(pd.DataFrame({"x": x}))
+    out, edges = tf.bin_equal_width(df, "x", k, out="code")
+    got = out.toPandas()
+    exp = [sum(1 for e in edges[1:-1] if v > e) for v in got.x]
+    assert got.code.tolist() == exp
