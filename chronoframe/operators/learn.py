@@ -19,8 +19,10 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.gram import ols_from_gram, unpack
 from ..session import block_size, cut_lineage
 from .impute import imputation_sets
+from .linear import gram
 from .ordering import BLK, add_blocks, lagged
 from .results import overlap_average
 from .transform import minmax_scale, one_hot, supervised_windows
@@ -244,40 +246,62 @@ def window_regression(df: DataFrame, cols: Sequence[str], order: int, horizon: i
 
 
 def forecast_recursive(df: DataFrame, cols: Sequence[str], order: int, steps: int, draws: int = 5,
-                       idx: str = "idx", seed: int = 42, fraction: float = 0.8) -> DataFrame:
-    """Recursive multi-step forecast with a bagged ensemble of
-    ``draws`` linear one-step models (bootstrap by hash of the row and draw),
-    feeding back the ensemble mean; interval = mean +- 2 population standard
-    deviations of the draws; values scaled back.  The recursion runs on the
-    coefficient vectors (tiny) after distributed training."""
+                       idx: str = "idx", seed: int = 42, fraction: float = 0.8, horizon: int = 1) -> DataFrame:
+    """Recursive forecast with a bagged ensemble of ``draws`` linear
+    multi-output models (outputs x_{t+1} .. x_{t+horizon}; bootstrap by hash
+    of the row and draw).  ``steps - horizon + 1`` recursion steps, each
+    feeding back the ensemble mean of the first horizon; per step and target
+    the mean and population std over draws, averaged over overlapping
+    horizons, give mean +- 2 std; values scaled back.  The recursion runs on
+    the coefficient vectors (model-sized) after distributed training."""
     cols = list(cols)
+    require(horizon >= 1 and steps >= horizon, "steps >= horizon >= 1")
     scaled, ranges = minmax_scale(df.select(idx, *cols), cols)
-    sw = supervised_windows(scaled, cols, order, 1, split=10 ** 18, idx=idx)
+    sw = supervised_windows(scaled, cols, order, horizon, split=10 ** 18, idx=idx)
     feats = cols + [f"{c}_lag{k}" for k in range(1, order + 1) for c in cols]
-    data = cut_lineage(VectorAssembler(inputCols=feats, outputCol="features").transform(sw))
-    coefs = []
+    # every row joins the bootstrap draws its hash selects; one Gram per draw
+    # over [1, features, all targets] (a single aggregate) gives every draw's
+    # least-squares fit for all outputs at once
+    targets = [f"{v}_lead{h}" for h in range(1, horizon + 1) for v in cols]
+    thr = int(fraction * 1000)
+    member = F.array(*[F.when((F.abs(F.xxhash64(F.col(idx), F.lit(seed + d))) % 1000) < thr, F.lit(d))
+                       for d in range(draws)])
+    bag = sw.select(F.explode(F.array_compact(member)).alias("_draw"), *feats, *targets)
+    z = [F.lit(1.0)] + [F.col(c).cast("double") for c in feats + targets]
+    grams = {r["_draw"]: r for r in gram(bag, z, ["_draw"]).collect()}       # draws rows, model-sized
+    nx, m = 1 + len(feats), len(z)
+    coefs = []                                  # draws x horizon x K (intercept, weights)
     for d in range(draws):
-        part = data.where((F.abs(F.xxhash64(F.col(idx), F.lit(seed + d))) % 1000) < int(fraction * 1000))
-        per_var = []
-        for v in cols:
-            m = LinearRegression(featuresCol="features", labelCol=f"{v}_lead1", regParam=1e-6).fit(part)
-            per_var.append((float(m.intercept), np.asarray(m.coefficients.toArray())))
-        coefs.append(per_var)
+        r = grams[d]
+        beta, _, _ = ols_from_gram(unpack(r["g"], m), range(nx), range(nx, m), int(r["n"]))
+        per_h = []
+        for h in range(horizon):
+            per_h.append([(float(beta[0, h * len(cols) + i]), beta[1:, h * len(cols) + i]) for i in range(len(cols))])
+        coefs.append(per_h)
     n = df.agg(F.max(idx)).first()[0]
     last = scaled.where(F.col(idx) > n - order - 1).orderBy(idx).collect()        # order+1 rows
     hist = [np.array([r[c] for c in cols], dtype=float) for r in last]
-    recs = []
-    for s in range(steps):
+    K = len(cols)
+    n_iter = steps - horizon + 1
+    acc_m = [[[] for _ in range(K)] for _ in range(steps)]
+    acc_s = [[[] for _ in range(K)] for _ in range(steps)]
+    for it in range(n_iter):
         x = np.concatenate([hist[-1]] + [hist[-1 - k] for k in range(1, order + 1)])
-        outs = np.array([[b + w @ x for (b, w) in per_var] for per_var in coefs])     # draws x K
+        outs = np.array([[[b + w @ x for (b, w) in per_var] for per_var in per_h] for per_h in coefs])  # D x H x K
         mean, sd = outs.mean(axis=0), outs.std(axis=0)
-        hist.append(mean)
+        for h in range(horizon):
+            for i in range(K):
+                acc_m[it + h][i].append(mean[h, i])
+                acc_s[it + h][i].append(sd[h, i])
+        hist.append(mean[0])
+    recs = []
+    for s_ in range(steps):
         for i, v in enumerate(cols):
             lo, hi = ranges[v]
             rng = (hi - lo) if hi != lo else 1.0
             back = lambda z: (z + 1.0) / 2.0 * rng + lo
-            recs.append((v, int(n + 1 + s), float(back(mean[i])), float(back(mean[i] - 2 * sd[i])),
-                         float(back(mean[i] + 2 * sd[i]))))
+            mu, sd = float(np.mean(acc_m[s_][i])), float(np.mean(acc_s[s_][i]))
+            recs.append((v, int(n + 1 + s_), float(back(mu)), float(back(mu - 2 * sd)), float(back(mu + 2 * sd))))
     return df.sparkSession.createDataFrame(recs, f"variable string, {idx} long, mean double, lower double, upper double")
 
 

@@ -385,9 +385,10 @@ def window_regression(spark, sf):
 
 
 def nn_forecast(spark, sf):
-    """Recursive 24-step forecast with a 5-model bagged ensemble and draw interval."""
+    """Recursive 24-step forecast with 2-step multi-output models, a
+    5-model bagged ensemble and the draw interval averaged over overlaps."""
     from ..operators.learn import forecast_recursive
-    return r6(forecast_recursive(hourly_filled(spark, sf), VARS, order=3, steps=24, draws=5))
+    return r6(forecast_recursive(hourly_filled(spark, sf), VARS, order=3, steps=24, draws=5, horizon=2))
 
 
 def window_classifier(spark, sf):

@@ -106,3 +106,14 @@ def test_sensitivity_of_linear_model_is_its_coefficients(spark):
     m = LinearRegression(featuresCol="features", labelCol="y").fit(data)
     s = ln.sensitivity(m, data, ["a", "b"]).toPandas().set_index("feature").sensitivity
     assert abs(s["a"] - 3) < 1e-6 and abs(s["b"] + 2) < 1e-6
+
+
+def test_forecast_recursive_linear_process(spark):
+    n = 300
+    t = np.arange(n)
+    x = 5.0 + 0.05 * t                                        # a line: every draw predicts it exactly
+    df = spark.createDataFrame(pd.DataFrame({"idx": t, "x": x}))
+    fc = ln.forecast_recursive(df, ["x"], order=1, steps=6, draws=3, horizon=2).toPandas().sort_values("idx")
+    assert fc.idx.tolist() == list(range(n, n + 6))
+    assert np.allclose(fc["mean"].to_numpy(), 5.0 + 0.05 * np.arange(n, n + 6), atol=1e-3)
+    assert (fc.upper >= fc.lower).all()
