@@ -485,6 +485,7 @@ def rbm_structure(encoded: DataFrame, n_hidden: int, n_iter: int = 10, learning_
     the update is applied.  Output: (hidden, column, weight)."""
     require(n_hidden >= 1 and n_iter >= 1 and 0 < learning_rate <= 1, "invalid RBM parameters")
     cols = encoded.columns
+    require(len(cols) >= 2, "RBM needs two or more encoded columns")
     nv = len(cols)
     rng = np.random.default_rng(seed)
     W = rng.normal(0, 0.01, size=(n_hidden, nv))

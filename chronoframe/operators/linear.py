@@ -352,6 +352,8 @@ def var_select_order(df: DataFrame, cols: Sequence[str], maxlags: int = 12, idx:
 def var_param_search(df: DataFrame, cols: Sequence[str], limit_p: int, idx: str = "idx", keys=(),
                      size: int | None = None) -> DataFrame:
     """AIC and BIC for p = 0..limit_p inclusive, each p on its own sample idx >= p."""
+    require(limit_p >= 2, "max p must be >= 2")
+    require(len(list(cols)) >= 2, "VAR search needs two or more variables")
     return _var_search(df, cols, limit_p, idx, keys, size, common=False)
 
 
@@ -572,6 +574,7 @@ def arma_grid(long_y: DataFrame, limit_p: int, limit_q: int, idx: str = "idx", v
     (on an already differenced series).  One stage-1 fit, then one Gram over
     all y-lags and residual-lags; every cell is a sub-block solve on the common
     sample.  Criteria use the conditional Gaussian likelihood."""
+    require(limit_p >= 1 and limit_q >= 1, "max p and max q must be >= 1")
     P, Q = limit_p - 1, limit_q - 1
     d2, zcols, start, _ = arma_design(long_y, P, Q, idx, value, size)
     z = [F.lit(1.0)] + [F.col(c) for c in zcols]

@@ -235,11 +235,14 @@ def subject_windows(df: DataFrame, subject: str, visit: str, inputs: Sequence[st
 
 
 def supervised_windows(df: DataFrame, cols: Sequence[str], order: int, horizon: int, split: int,
-                       val: int = 0, idx: str = "idx", size: int | None = None) -> DataFrame:
+                       val: int = 0, idx: str = "idx", size: int | None = None, s: int = 0) -> DataFrame:
     """Current values, ``order`` lags and ``horizon`` leads per row; rows
     without the last lead are dropped, missing lags -> 0; ``set`` is train
-    (``idx < split``), val (last ``val`` rows) or test."""
+    (``idx < split``), val (last ``val`` rows) or test.  ``s`` (output chunk,
+    default = horizon) must divide the horizon."""
     require(horizon >= 1, "horizon >= 1")
+    s = s or horizon
+    require(horizon % s == 0 and s <= horizon, "output_window must be a multiple of s")
     out = lagged(df.select(idx, *cols), cols, lags=range(1, order + 1), leads=range(1, horizon + 1),
                  idx=idx, size=size)
     out = out.where(F.col(f"{cols[-1]}_lead{horizon}").isNotNull())

@@ -139,3 +139,17 @@ def test_power_transform_lambda_is_ml(spark, shift):
     grid = np.linspace(lam - 0.5, lam + 0.5, 2001)
     best = grid[np.argmax([llf(g) for g in grid])]
     assert abs(lam - best) < 1e-3
+
+
+def test_ui_preconditions(spark):
+    df = spark.createDataFrame(pd.DataFrame({"idx": np.arange(50), "a": np.arange(50.0), "b": np.arange(50.0) ** 0.5}))
+    with pytest.raises(ValueError):
+        ln.var_param_search(df, ["a", "b"], 1)
+    with pytest.raises(ValueError):
+        ln.var_param_search(df, ["a"], 3)
+    with pytest.raises(ValueError):
+        tf.supervised_windows(df, ["a"], 2, 4, 10, s=3)
+    with pytest.raises(ValueError):
+        tf.bin_equal_width(df, "a", 1)
+    with pytest.raises(ValueError):
+        im.interpolate(df, ["a"], order=6)
