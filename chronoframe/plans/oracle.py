@@ -112,8 +112,8 @@ f_{v} AS (SELECT s.idx, a.y + (b.y - a.y) * (s.idx - a.idx) / (b.idx - a.idx) AS
 
 
 def _tie_safe(sql: str) -> str:
-    """Rewrite every ``round(x, 6)`` as ``round(x + sign(x) * 1e-9, 6)`` (same
-    rounding rule as the Spark side)."""
+    """Rewrite every ``round(x, 6)`` as ``round(x + sign(x) * 1e-9, 6) + 0.0``
+    (same rounding rule as the Spark side; ``+ 0.0`` maps -0.0 to 0.0)."""
     out, i = [], 0
     key = "round("
     while True:
@@ -135,7 +135,7 @@ def _tie_safe(sql: str) -> str:
         inner = _tie_safe(sql[j + len(key):comma])
         digits = sql[comma + 1:k - 1].strip()
         out.append(sql[i:j])
-        out.append(f"round(({inner}) + sign({inner}) * 1e-9, {digits})")
+        out.append(f"(round(({inner}) + sign({inner}) * 1e-9, {digits}) + CAST(0 AS DOUBLE))")
         i = k
 
 
@@ -152,17 +152,17 @@ def _oracle_sql() -> dict[str, str]:
     q["ld_csv_roundtrip"] = "WITH " + LD + "SELECT user_id, visit, event_type, round(value, 6) AS value, k FROM ld"
     onehot = []
     for col, n in (("lang", 4), ("source", 20)):
-        onehot += [f"CASE WHEN (SELECT count(DISTINCT x.{col}) FROM docs x WHERE x.{col} < d.{col}) = {i} "
-                   f"THEN 1.0 ELSE 0.0 END AS {col}_{i}" for i in range(n)]
+        onehot += [f"CAST(CASE WHEN (SELECT count(DISTINCT x.{col}) FROM docs x WHERE x.{col} < d.{col}) = {i} "
+                   f"THEN 1 ELSE 0 END AS DOUBLE) AS {col}_{i}" for i in range(n)]
     q["rbm_encode"] = ("WITH docs AS (SELECT doc_id, lang, source, quality, toxic FROM documents JOIN labels USING (doc_id)) "
                        "SELECT d.doc_id, " + ", ".join(onehot) +
-                       ", CASE WHEN d.quality = (SELECT max(quality) FROM docs) THEN 1.0 ELSE 0.0 END AS quality"
-                       ", CASE WHEN d.toxic = (SELECT max(toxic) FROM docs) THEN 1.0 ELSE 0.0 END AS toxic FROM docs d")
+                       ", CAST(CASE WHEN d.quality = (SELECT max(quality) FROM docs) THEN 1 ELSE 0 END AS DOUBLE) AS quality"
+                       ", CAST(CASE WHEN d.toxic = (SELECT max(toxic) FROM docs) THEN 1 ELSE 0 END AS DOUBLE) AS toxic FROM docs d")
     q["replace_values"] = "WITH " + LD + "SELECT user_id, visit, CASE WHEN k = 42 THEN -1 ELSE k END AS k FROM ld"
     q["subjects"] = "SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL"
     q["ld_nearest_mean"] = "WITH " + LD + """SELECT user_id, visit, round(coalesce(value, avg(value) OVER (
   PARTITION BY user_id ORDER BY visit RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING)), 6) AS value FROM ld"""
-    q["ld_difference"] = "WITH " + LD + """SELECT user_id, visit - 1 AS visit, k - lag(k) OVER (PARTITION BY user_id ORDER BY visit) AS k
+    q["ld_difference"] = "WITH " + LD + """SELECT user_id, visit - 1 AS visit, CAST(k - lag(k) OVER (PARTITION BY user_id ORDER BY visit) AS DOUBLE) AS k
 FROM ld QUALIFY visit >= 1"""
     q["ld_acf"] = "WITH " + LD + f""",
 s AS (SELECT user_id, visit AS idx, CAST(k AS DOUBLE) AS value FROM ld),
@@ -256,11 +256,11 @@ SELECT code, CAST(count(*) AS BIGINT) AS n_rows, round(min(x), 6) AS min_value,
 FROM coded JOIN edges2 lo ON lo.i = code JOIN edges2 hi ON hi.i = code + 1 GROUP BY code"""
     q["label_encode"] = "WITH " + LD + """, cls AS (SELECT c, CAST(row_number() OVER (ORDER BY c) - 1 AS INTEGER) AS code
   FROM (SELECT DISTINCT coalesce(event_type, 'NaN') AS c FROM ld))
-SELECT user_id, visit, event_type, CASE WHEN event_type IS NULL THEN NULL ELSE cls.code END AS code
+SELECT user_id, visit, event_type, CAST(CASE WHEN event_type IS NULL THEN NULL ELSE cls.code END AS DOUBLE) AS code
 FROM ld LEFT JOIN cls ON cls.c = coalesce(ld.event_type, 'NaN')"""
     q["one_hot"] = """WITH lv AS (SELECT role, CAST(row_number() OVER (ORDER BY role) - 1 AS INTEGER) AS r
   FROM (SELECT DISTINCT role FROM conversations WHERE role IS NOT NULL))
-SELECT conv_id, turn, """ + ", ".join(f"CASE WHEN lv.r = {i} THEN 1.0 ELSE 0.0 END AS role_{i}" for i in range(3)) + \
+SELECT conv_id, turn, """ + ", ".join(f"CAST(CASE WHEN lv.r = {i} THEN 1 ELSE 0 END AS DOUBLE) AS role_{i}" for i in range(3)) + \
         " FROM conversations c JOIN lv USING (role)"
     q["subject_windows"] = "WITH " + LD + """, mm AS (SELECT min(value) AS lo, max(value) AS hi FROM ld),
 sc AS (SELECT user_id, visit, value * (2.0 / (hi - lo)) + (-1.0 - lo * (2.0 / (hi - lo))) AS value FROM ld, mm)

@@ -23,7 +23,8 @@ def r6(df: DataFrame, digits: int = 6) -> DataFrame:
     engine, whatever its tie rule and last-ulp differences."""
     def rnd(c):
         x = F.col(c)
-        return F.round(x + F.signum(x) * F.lit(1e-9), digits).alias(c)
+        # + 0.0 turns a -0.0 into 0.0 (engines differ on the sign of a rounded zero)
+        return (F.round(x + F.signum(x) * F.lit(1e-9), digits) + F.lit(0.0)).alias(c)
     return df.select(*[rnd(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
@@ -137,7 +138,8 @@ def bin_equal_width(spark, sf):
 def label_encode(spark, sf):
     e = fx.ld_events(spark, sf)
     enc, _ = tf.label_encode(e, "event_type", out="code")
-    return enc.select("user_id", "visit", "event_type", "code")
+    # the encoded column holds NULLs: float, as the reference's encoded series with NaN
+    return enc.select("user_id", "visit", "event_type", F.col("code").cast("double").alias("code"))
 
 
 def one_hot(spark, sf):
@@ -441,8 +443,8 @@ def ld_csv_roundtrip(spark, sf):
     path = scratch_dir(spark, "ld-roundtrip")
     export_series(e, path, cols=["user_id", "event_type", "value", "k"], order_by=("user_id", "visit"))
     back = read_longitudinal(spark, path, sep=",")
-    return r6(back.select("user_id", "visit", "event_type", F.col("value").cast("double").alias("value"),
-                          F.col("k").cast("long").alias("k")))
+    return r6(back.select(F.col("user_id").cast("long").alias("user_id"), "visit", "event_type",
+                          F.col("value").cast("double").alias("value"), F.col("k").cast("long").alias("k")))
 
 
 def pcmci(spark, sf):
