@@ -105,7 +105,8 @@ def get_subject(df: DataFrame, subject: str, subject_ids, subjects_df: DataFrame
     """Rows of the chosen subjects, all-NULL rows dropped.  A list of
     ids becomes ``isin``; a DataFrame of ids a semi join."""
     if subjects_df is not None:
-        out = df.join(subjects_df.select(subject).distinct(), subject, "left_semi")
+        from .validate import maybe_broadcast
+        out = df.join(maybe_broadcast(subjects_df.select(subject).distinct()), subject, "left_semi")
     else:
         ids = _cols(subject_ids) if not isinstance(subject_ids, (int, float)) else [subject_ids]
         out = df.where(F.col(subject).isin(ids))

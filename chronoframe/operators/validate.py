@@ -39,3 +39,13 @@ def require_complete(df: DataFrame, cols: Sequence[str], what: str) -> None:
 def require_missing(df: DataFrame, cols: Sequence[str], what: str) -> None:
     if not any(missing_counts(df, cols).values()):
         raise ValueError(f"{what} needs at least one missing value")
+
+
+BROADCAST_ROWS = 2_000_000
+
+
+def maybe_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast ``small`` only behind a row-count check; above the bound the
+    join stays a shuffle join (AQE splits skewed partitions)."""
+    n = small.limit(max_rows + 1).count()
+    return F.broadcast(small) if n <= max_rows else small
