@@ -208,26 +208,47 @@ def window_regression(df: DataFrame, cols: Sequence[str], order: int, horizon: i
     """Scale to (-1, 1), supervised windows (T12/T13), one
     regressor per output column and horizon step fitted on the train rows;
     predictions for train and test rows, averaged over overlapping horizons
-    (N3) and scaled back (T5).  Returns (predictions, losses, models, ranges);
-    predictions = (set, variable, idx, predicted, observed)."""
+    (N3) and scaled back (T5).  ``estimator='linear'`` fits all outputs from
+    one Gram aggregate (losses = train MSE); 'gbt' / 'forest' / 'ridge' use
+    ``pyspark.ml`` (losses = objective history).  Returns (predictions,
+    losses, models, ranges); predictions = (set, variable, idx, predicted,
+    observed)."""
     cols = list(cols)
     outputs = list(outputs or cols)
     require(set(outputs) <= set(cols), "outputs must be inputs")
     scaled, ranges = minmax_scale(df.select(idx, *cols), cols)
     sw = supervised_windows(scaled, cols, order, horizon, split, idx=idx)
     feats = cols + [f"{c}_lag{k}" for k in range(1, order + 1) for c in cols]
-    asm = VectorAssembler(inputCols=feats, outputCol="features")
-    data = cut_lineage(asm.transform(sw))
-    train = data.where(F.col("set") == "train")
     models, losses = {}, []
-    cur = data
-    for v in outputs:
-        for h in range(1, horizon + 1):
-            m = _regressor(estimator, seed, f"{v}_lead{h}").fit(train)
-            models[(v, h)] = m
-            hist = getattr(getattr(m, "summary", None), "objectiveHistory", None) or []
-            losses += [(v, h, i, float(x)) for i, x in enumerate(hist)]
-            cur = m.transform(cur).withColumnRenamed("prediction", f"_p_{v}_{h}")
+    if estimator == "linear":
+        # every output and horizon from one Gram over [1, features, targets] of the train rows
+        targets = [f"{v}_lead{h}" for v in outputs for h in range(1, horizon + 1)]
+        data = cut_lineage(sw)
+        z = [F.lit(1.0)] + [F.col(c).cast("double") for c in feats + targets]
+        g = gram(data.where(F.col("set") == "train").withColumn("_s", F.lit(0)), z, ["_s"]).first()
+        nx, m = 1 + len(feats), len(z)
+        beta, ssr, _ = ols_from_gram(unpack(g["g"], m), range(nx), range(nx, m), int(g["n"]))
+        cur = data
+        for j, t in enumerate(targets):
+            v, h = t.rsplit("_lead", 1)
+            pred = F.lit(float(beta[0, j]))
+            for i, f in enumerate(feats):
+                pred = pred + F.lit(float(beta[1 + i, j])) * F.col(f)
+            cur = cur.withColumn(f"_p_{v}_{h}", pred)
+            models[(v, int(h))] = (float(beta[0, j]), beta[1:, j].copy())
+            losses.append((v, int(h), 0, float(ssr[j]) / max(int(g["n"]), 1)))     # train MSE
+    else:
+        asm = VectorAssembler(inputCols=feats, outputCol="features")
+        data = cut_lineage(asm.transform(sw))
+        train = data.where(F.col("set") == "train")
+        cur = data
+        for v in outputs:
+            for h in range(1, horizon + 1):
+                mdl = _regressor(estimator, seed, f"{v}_lead{h}").fit(train)
+                models[(v, h)] = mdl
+                hist = getattr(getattr(mdl, "summary", None), "objectiveHistory", None) or []
+                losses += [(v, h, i, float(x)) for i, x in enumerate(hist)]
+                cur = mdl.transform(cur).withColumnRenamed("prediction", f"_p_{v}_{h}")
     out = None
     for v in outputs:
         arr = cur.select(idx, F.array(*[F.col(f"_p_{v}_{h}") for h in range(1, horizon + 1)]).alias("_pred"))
