@@ -1,0 +1 @@
+"""Fixtures derived from the given tables, registered queries and their DuckDB oracles."""

@@ -1,0 +1 @@
+"""Parquet tables and CSV sources/sinks for ordered tables."""

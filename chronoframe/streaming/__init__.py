@@ -1,0 +1 @@
+"""Structured Streaming forms of existing operators (carry-forward per subject)."""
