@@ -194,7 +194,8 @@ def _wide_lag_design(df: DataFrame, cols: list[str], L: int, idx: str, keys: lis
 
 
 def granger(df: DataFrame, cols: Sequence[str], maxlag: int = 10, idx: str = "idx", keys=(),
-            pairs: Sequence[tuple[str, str]] | None = None, size: int | None = None) -> DataFrame:
+            pairs: Sequence[tuple[str, str]] | None = None, size: int | None = None,
+            fanout: bool | None = None) -> DataFrame:
     """Granger causality (ssr chi-square test) of ``source -> target``
     for every ordered pair and lag 1..maxlag.  One joint Gram over all
     variables and lags (rows idx >= maxlag) plus the boundary rows serves all
@@ -211,6 +212,11 @@ def granger(df: DataFrame, cols: Sequence[str], maxlag: int = 10, idx: str = "id
     lagpos = {(c, k): 1 + K + (k - 1) * K + i for k in range(1, L + 1) for i, c in enumerate(cols)}
     todo = list(pairs) if pairs is not None else [(t, s) for t in cols for s in cols]
     schema = _key_schema(gb, keys) + ", target string, source string, lag int, chi2 double, p_value double"
+    if fanout is None:
+        fanout = len(todo) * L > 2000
+    if fanout:
+        res = _granger_fanout(gb, keys, todo, pos, lagpos, m, L, schema)
+        return res.drop(SERIES) if SERIES in keys else res
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
@@ -237,6 +243,58 @@ def granger(df: DataFrame, cols: Sequence[str], maxlag: int = 10, idx: str = "id
     return res.drop(SERIES) if SERIES in keys else res
 
 
+def _granger_fanout(gb, keys, todo, pos, lagpos, m, L, schema):
+    """Pairs spread over tasks: one pandas stage per series cuts, for every
+    ordered pair, the (2L+2)-sized sub-Gram [1, target, target lags, source
+    lags] and the matching boundary columns out of the joint Gram; a second
+    stage grouped by (series, target, source) runs the L lag tests of one pair."""
+    kschema = _key_schema(gb, keys)
+    tri = np.triu_indices(2 * L + 2)
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        G = unpack(row["g"], m)
+        bidx = list(row["bidx"]) if row["bidx"] is not None else []
+        bz = [np.asarray(z, dtype=float) for z in (row["bz"] if row["bz"] is not None else [])]
+        recs = []
+        for tgt, src in todo:
+            cols_ = [0, pos[tgt]] + [lagpos[(tgt, k)] for k in range(1, L + 1)] + \
+                [lagpos[(src, k)] for k in range(1, L + 1)]
+            sub = G[np.ix_(cols_, cols_)][tri].tolist() if tgt != src else []
+            recs.append((tgt, src, sub, int(row["n"]), bidx, [z[cols_].tolist() for z in bz] if tgt != src else []))
+        out = pd.DataFrame(recs, columns=["target", "source", "g", "n", "bidx", "bz"])
+        for k in reversed(keys):
+            out.insert(0, k, row[k])
+        return out
+
+    cut_schema = kschema + (", target string, source string, g array<double>, n long, bidx array<long>, "
+                            "bz array<array<double>>")
+    per_pair = gb.groupBy(*keys).applyInPandas(cut, cut_schema)
+    d = 2 * L + 2
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        tgt, src = row["target"], row["source"]
+        recs = []
+        for lag in range(1, L + 1):
+            if tgt == src:
+                recs.append((tgt, src, lag, None, None))
+                continue
+            G, n = _gram_at(row, d, L, lag)
+            own = [0] + list(range(2, 2 + lag))
+            joint = own + list(range(2 + L, 2 + L + lag))
+            _, ssr_r, _ = ols_from_gram(G, own, [1], n)
+            _, ssr_u, _ = ols_from_gram(G, joint, [1], n)
+            stat = n * (float(ssr_r[0]) - float(ssr_u[0])) / float(ssr_u[0]) if ssr_u[0] > 0 else float("nan")
+            recs.append((tgt, src, lag, stat, chi2_sf(stat, lag)))
+        out = pd.DataFrame(recs, columns=["target", "source", "lag", "chi2", "p_value"])
+        for k in reversed(keys):
+            out.insert(0, k, row[k])
+        return out
+
+    return per_pair.groupBy(*keys, "target", "source").applyInPandas(solve, schema)
+
+
 def granger_matrix(tests: DataFrame, keys=()) -> DataFrame:
     """The smallest p-value over lags for each (target, source)."""
     k = _cols(keys)

@@ -334,3 +334,11 @@ def test_run_forecast_preconditions(spark, filled):
         run_forecast(filled, VARS[:2], "sarimax", split=100)
     with pytest.raises(ValueError):
         run_forecast(filled, VARS, "var", split=5)
+
+
+def test_granger_pair_fanout_equals_single_task(spark, filled):
+    a = ln.granger(filled, VARS, maxlag=4, fanout=False).toPandas().sort_values(["target", "source", "lag"])
+    b = ln.granger(filled, VARS, maxlag=4, fanout=True).toPandas().sort_values(["target", "source", "lag"])
+    assert len(a) == len(b) == 25 * 4
+    assert np.allclose(a.chi2.to_numpy(dtype=float), b.chi2.to_numpy(dtype=float), equal_nan=True, rtol=1e-9)
+    assert np.allclose(a.p_value.to_numpy(dtype=float), b.p_value.to_numpy(dtype=float), equal_nan=True)
