@@ -6,7 +6,9 @@ variables k and lags s = 0..2*tau_max.  That covariance comes from one Gram
 aggregate over the series (rows t >= 2*tau_max, so all tests share one
 sample); the PC1 parent search, the MCI tests, the Student-t p-values and the
 FDR correction run on that (K(2 tau_max + 1))^2 matrix in one pandas task per
-series.
+series.  With many variables the PC1 search (the heavy part: one search per
+target and candidate level) fans out to one task per target on that
+target's covariance slice; the parents are joined back for the MCI tests.
 """
 
 from __future__ import annotations
@@ -56,7 +58,7 @@ def _residual_ssr(C: np.ndarray, n: int, y: int, X: list[int]) -> float:
 
 def pcmci(df: DataFrame, cols: Sequence[str], tau_max: int = 8, pc_alpha: float | None = None,
           alpha_level: float = 0.01, fdr: bool = True, fdr_contemporaneous: bool = False,
-          idx: str = "idx", keys=(), size: int | None = None) -> DataFrame:
+          idx: str = "idx", keys=(), size: int | None = None, fanout: bool | None = None) -> DataFrame:
     """PCMCI with ParCorr.  Output per series: (source, target, lag, val,
     p_value, q_value, significant) for lags 0..tau_max (lag 0 = contemporaneous,
     source != target).  ``pc_alpha=None`` picks the PC1 level per target from
@@ -76,23 +78,63 @@ def pcmci(df: DataFrame, cols: Sequence[str], tau_max: int = 8, pc_alpha: float
     schema = _key_schema(g, keys) + (", source string, target string, lag int, val double, p_value double, "
                                      "q_value double, significant boolean")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
+    cands = [(i, s) for s in range(1, tau_max + 1) for i in range(K)]
+    if fanout is None:
+        fanout = K > 20
+
+    def cov(row):
         G, n = unpack(row["g"], m), int(row["n"])
         mu = G[0, 1:] / n
-        C = G[1:, 1:] / n - np.outer(mu, mu)                    # covariance of the lagged variables
-        col = lambda k, s: pos(k, s) - 1                         # noqa: E731
+        return G[1:, 1:] / n - np.outer(mu, mu), n             # covariance of the lagged variables
+
+    full_col = lambda k, s: pos(k, s) - 1                        # noqa: E731
+
+    if fanout:
+        # PC1 per target in its own task: the target's (1 + K tau_max) covariance slice
+        kschema = _key_schema(g, keys)
+
+        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+            row = pdf.iloc[0]
+            C, n = cov(row)
+            recs = []
+            for j in range(K):
+                ix = [full_col(j, 0)] + [full_col(i, s_) for i, s_ in cands]
+                recs.append((j, C[np.ix_(ix, ix)].ravel().tolist(), n))
+            out = pd.DataFrame(recs, columns=["_target", "_c", "n"])
+            for k in reversed(keys):
+                out.insert(0, k, row[k])
+            return out
+
+        slices = g.groupBy(*keys).applyInPandas(cut, kschema + ", _target int, _c array<double>, n long")
+
+        def pc1(pdf: pd.DataFrame) -> pd.DataFrame:
+            row = pdf.iloc[0]
+            j, n = int(row["_target"]), int(row["n"])
+            dsub = 1 + len(cands)
+            C = np.asarray(row["_c"], dtype=float).reshape(dsub, dsub)
+            local = {(j, 0): 0, **{c: 1 + q for q, c in enumerate(cands)}}
+            par = _pc1_best(C, n, j, cands, pc_alpha, lambda k, s_: local[(k, s_)])
+            out = pd.DataFrame({"_target": [j], "_parents": [[{"i": int(a), "s": int(b)} for a, b in par]]})
+            for k in reversed(keys):
+                out.insert(0, k, row[k])
+            return out
+
+        par_df = slices.groupBy(*keys, "_target").applyInPandas(
+            pc1, kschema + ", _target int, _parents array<struct<i:int,s:int>>")
+        par_df = par_df.groupBy(*keys).agg(F.collect_list(F.struct("_target", "_parents")).alias("_all_parents"))
+        g = g.join(par_df, keys)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf.iloc[0]
+        C, n = cov(row)
+        col = full_col
         parents = {}
-        for j in range(K):
-            cands = [(i, s) for s in range(1, tau_max + 1) for i in range(K)]
-            best = None
-            for a in ([pc_alpha] if pc_alpha is not None else PC_ALPHAS):
-                par = _pc1(C, n, j, cands, a, col)
-                ssr = _residual_ssr(C, n, col(j, 0), [col(i, s) for i, s in par])
-                score = n * math.log(max(ssr, 1e-300)) + 2 * len(par)
-                if best is None or score < best[0]:
-                    best = (score, par)
-            parents[j] = best[1]
+        if "_all_parents" in pdf.columns:
+            for e in row["_all_parents"]:
+                parents[int(e["_target"])] = [(int(q["i"]), int(q["s"])) for q in e["_parents"]]
+        else:
+            for j in range(K):
+                parents[j] = _pc1_best(C, n, j, cands, pc_alpha, col)
         recs = []
         for j in range(K):
             for i in range(K):
@@ -125,6 +167,19 @@ def pcmci(df: DataFrame, cols: Sequence[str], tau_max: int = 8, pc_alpha: float
     return res.drop(SERIES) if SERIES in keys else res
 
 
+def _pc1_best(C, n, j, cands, pc_alpha, col):
+    """PC1 parents of target j; with ``pc_alpha=None`` the level from
+    ``PC_ALPHAS`` whose parent set gives the lowest AIC of the target."""
+    best = None
+    for a in ([pc_alpha] if pc_alpha is not None else PC_ALPHAS):
+        par = _pc1(C, n, j, cands, a, col)
+        ssr = _residual_ssr(C, n, col(j, 0), [col(i, s) for i, s in par])
+        score = n * math.log(max(ssr, 1e-300)) + 2 * len(par)
+        if best is None or score < best[0]:
+            best = (score, par)
+    return best[1]
+
+
 def _pc1(C, n, j, cands, alpha, col):
     """PC1 parent search for target j: condition sets of growing size built
     from the strongest remaining parents; a candidate is dropped once a test

@@ -342,3 +342,12 @@ def test_granger_pair_fanout_equals_single_task(spark, filled):
     assert len(a) == len(b) == 25 * 4
     assert np.allclose(a.chi2.to_numpy(dtype=float), b.chi2.to_numpy(dtype=float), equal_nan=True, rtol=1e-9)
     assert np.allclose(a.p_value.to_numpy(dtype=float), b.p_value.to_numpy(dtype=float), equal_nan=True)
+
+
+def test_pcmci_target_fanout_equals_single_task(spark, filled):
+    from chronoframe.operators.causality import pcmci
+    a = pcmci(filled, VARS, tau_max=3, fanout=False).toPandas().sort_values(["source", "target", "lag"])
+    b = pcmci(filled, VARS, tau_max=3, fanout=True).toPandas().sort_values(["source", "target", "lag"])
+    assert len(a) == len(b)
+    assert np.allclose(a.val.to_numpy(), b.val.to_numpy(), equal_nan=True, atol=1e-12)
+    assert (a.significant.to_numpy() == b.significant.to_numpy()).all()
