@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 from . import oracle, queries as q
 
 _SQL_CHECKED = [
@@ -35,6 +35,7 @@ _NUMERIC = [
 def _wrap(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ensure_checkpoint_dir(spark)
+        ship_package(spark)
         return fn(spark, sf_dir)
     run.__name__ = fn.__name__
     run.__doc__ = fn.__doc__
@@ -52,4 +53,5 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return q.flagship_diff_acf(spark, sf_dir)
