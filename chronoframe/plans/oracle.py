@@ -202,6 +202,23 @@ f AS (SELECT s.user_id, s.visit, a.y + (b.y - a.y) * (s.visit - a.visit) / (b.vi
       FROM s JOIN o a ON a.user_id = s.user_id AND a.r = s.s JOIN o b ON b.user_id = s.user_id AND b.r = s.s + 1)
 SELECT l.user_id, l.visit, round(coalesce(l.value, f.fill), 6) AS value
 FROM ld l LEFT JOIN f ON f.user_id = l.user_id AND f.visit = l.visit"""
+    # chi^2 upper tail = 1 - P(df/2, q/2), P the regularised lower incomplete
+    # gamma by its power series x^a e^-x sum_k x^k / Gamma(a+k+1), in logs
+    q["ljung_box_naive"] = "WITH " + DIFF + """,
+st AS (SELECT variable, count(*) AS n, avg(value) AS m FROM dlong GROUP BY variable),
+ce AS (SELECT d.variable, d.idx, d.value - st.m AS xc FROM dlong d JOIN st USING (variable)),
+c0 AS (SELECT variable, sum(xc * xc) AS c0 FROM ce GROUP BY variable),
+lags AS (SELECT CAST(g.lag AS BIGINT) AS lag FROM generate_series(1, 10) AS g(lag)),
+prod AS (SELECT a.variable, lags.lag, sum(a.xc * b.xc) AS s
+         FROM ce a CROSS JOIN lags JOIN ce b ON b.variable = a.variable AND b.idx = a.idx - lags.lag
+         GROUP BY a.variable, lags.lag),
+r AS (SELECT p.variable, p.lag, p.s / c0.c0 AS acf, st.n FROM prod p JOIN c0 USING (variable) JOIN st USING (variable)),
+qs AS (SELECT variable, lag, n * (n + 2) * sum(acf * acf / (n - lag)) OVER (
+         PARTITION BY variable ORDER BY lag ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS q_stat FROM r),
+terms AS (SELECT variable, lag, q_stat, sum(exp((lag / 2.0 + k) * ln(q_stat / 2.0) - q_stat / 2.0
+            - lgamma(lag / 2.0 + k + 1))) AS lower_p
+          FROM qs, generate_series(0, 3999) AS t(k) GROUP BY variable, lag, q_stat)
+SELECT variable, lag, round(q_stat, 6) AS q_stat, round(greatest(0.0, 1.0 - lower_p), 6) AS p_value FROM terms"""
     q["daily_series"] = "WITH " + DAILY + "SELECT idx, round(total, 6) AS total, n FROM daily"
     q["hourly_missing_profile"] = "WITH " + HOURLY + _profile("hourly", VARS)
     q["ld_missing_profile"] = "WITH " + LD + _profile("ld", ["event_type", "value", "k"])

@@ -584,3 +584,12 @@ def var_process(spark, sf):
     n = f.count()
     res = run_forecast(f, VARS, "var", split=int(0.8 * n), p=2, forecast_window=12)
     return r6(res["forecast"].join(res["errors"], dg.V))
+
+
+def ljung_box_naive(spark, sf):
+    """Ljung-Box Q and chi^2 p-values (lags 1..10) of the naive-model
+    residuals (first difference of the filled hourly series)."""
+    res = hourly_diff_long(spark, sf)
+    a = dg.acf(res, nlags=10, alpha=None)
+    n = res.groupBy(dg.V).agg(F.count(F.lit(1)).alias("n"))
+    return r6(dg.ljung_box(a, n, lags=10))
