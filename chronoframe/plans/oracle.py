@@ -219,6 +219,13 @@ terms AS (SELECT variable, lag, q_stat, sum(exp((lag / 2.0 + k) * ln(q_stat / 2.
             - lgamma(lag / 2.0 + k + 1))) AS lower_p
           FROM qs, generate_series(0, 3999) AS t(k) GROUP BY variable, lag, q_stat)
 SELECT variable, lag, round(q_stat, 6) AS q_stat, round(greatest(0.0, 1.0 - lower_p), 6) AS p_value FROM terms"""
+    q["bh_ljung_box"] = q["ljung_box_naive"].replace(
+        "SELECT variable, lag, round(q_stat, 6) AS q_stat, round(greatest(0.0, 1.0 - lower_p), 6) AS p_value FROM terms",
+        """, pv AS (SELECT variable, lag, greatest(0.0, 1.0 - lower_p) AS p_value FROM terms),
+rk AS (SELECT variable, lag, p_value, row_number() OVER (ORDER BY p_value, variable, lag) AS r, count(*) OVER () AS m FROM pv)
+SELECT variable, lag, round(p_value, 6) AS p_value,
+  round(least(1.0, min(p_value * m / r) OVER (ORDER BY r DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 6) AS q_value
+FROM rk""")
     q["daily_series"] = "WITH " + DAILY + "SELECT idx, round(total, 6) AS total, n FROM daily"
     q["hourly_missing_profile"] = "WITH " + HOURLY + _profile("hourly", VARS)
     q["ld_missing_profile"] = "WITH " + LD + _profile("ld", ["event_type", "value", "k"])

@@ -593,3 +593,14 @@ def ljung_box_naive(spark, sf):
     a = dg.acf(res, nlags=10, alpha=None)
     n = res.groupBy(dg.V).agg(F.count(F.lit(1)).alias("n"))
     return r6(dg.ljung_box(a, n, lags=10))
+
+
+def bh_ljung_box(spark, sf):
+    """Benjamini-Hochberg adjusted Ljung-Box p-values over the family of
+    all variables and lags (naive-model residuals of the hourly series)."""
+    from ..operators.linear import bh_correct
+    res = hourly_diff_long(spark, sf)
+    a = dg.acf(res, nlags=10, alpha=None)
+    n = res.groupBy(dg.V).agg(F.count(F.lit(1)).alias("n"))
+    lb = dg.ljung_box(a, n, lags=10)
+    return r6(bh_correct(lb.select(dg.V, "lag", "p_value")))

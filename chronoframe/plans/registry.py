@@ -18,7 +18,7 @@ _SQL_CHECKED = [
     "mae_naive", "overlap_average", "csv_roundtrip", "ld_csv_roundtrip",
     "rbm_encode", "replace_values", "subjects",
     "ld_nearest_mean", "ld_difference", "ld_acf", "seasonal_decompose_mult",
-    "ld_interpolate", "ljung_box_naive",
+    "ld_interpolate", "ljung_box_naive", "bh_ljung_box",
 ]
 
 _NUMERIC = [
