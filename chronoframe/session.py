@@ -98,31 +98,27 @@ def configure_for_input(spark: SparkSession, input_bytes: int, partition_bytes:
     return applied
 
 
-_SHIPPED: set = set()
+_SHIPPED: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> str | None:
     """Make the package importable in the executors' Python workers: zip it
-    beside the package source on the driver and ``addPyFile`` it (Spark
-    distributes the file), once per application.  Best effort: returns the
-    zip path or None."""
+    on the driver and ``addPyFile`` it (Spark distributes the file), once per
+    application.  Returns the zip's path, or None if it was shipped before."""
     sc = spark.sparkContext
     app = sc.applicationId
     if app in _SHIPPED:
         return None
     import zipfile
     pkg = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(os.path.dirname(pkg), "dist", f"chronoframe-{app}.zip")
-    try:
-        os.makedirs(os.path.dirname(target), exist_ok=True)
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
-            for root, _, files in os.walk(pkg):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(root, f)
-                        zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-        sc.addPyFile(target)
-        _SHIPPED.add(app)
-        return target
-    except OSError:
-        return None
+    # read by the driver's own file server, which hands it to the executors
+    target = os.path.join(tempfile.mkdtemp(prefix="chronoframe-"), "chronoframe.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as zf:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED[app] = target
+    return target

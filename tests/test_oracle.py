@@ -36,14 +36,11 @@ def test_entry_runs(spark):
 
 
 def test_package_shipped_once_per_application(spark):
-    import os
     import zipfile
 
     from chronoframe import session as ss
     ent.queries()["subjects"](spark, SF0001)
     app = spark.sparkContext.applicationId
-    assert app in ss._SHIPPED
-    path = os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(ss.__file__))), "dist", f"chronoframe-{app}.zip")
-    with zipfile.ZipFile(path) as zf:
+    with zipfile.ZipFile(ss._SHIPPED[app]) as zf:
         assert "chronoframe/operators/ordering.py" in zf.namelist()
     assert ss.ship_package(spark) is None                     # second call: nothing to do
