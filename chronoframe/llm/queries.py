@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
-from . import exact_dedup, html_text, langid, mixing, packing
+from . import exact_dedup, hnsw, html_text, jaccard_join, katz, langid, mixing, packing, resampling, substring_dedup
 from .common import table
 
 
@@ -18,6 +18,12 @@ def _remainder(divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    return jaccard_join.jaccard_join(docs, n=5, threshold=0.8, recall=0.999).select(
+        "doc_id", "class_id", "n_links", "class_size")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
     held = _remainder(5) == 0
@@ -25,10 +31,31 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
 
 
+def op3_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    scored = katz.score_texts(docs, train=_remainder(7) != 2)
+    return scored.select("doc_id", (~F.col("trained_on")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents", ["doc_id", "text"]), length=1024)
 
 
+def op5_hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    index = hnsw.build_index(vectors, "vec_id", "embedding", k=10)
+    return hnsw.nearest(vectors.where("vec_id % 100 = 0"), index, "vec_id", "embedding", k=10)
+
+
+def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    labels = table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
+    good = (F.col("quality") == 1) & (F.col("toxic") == 0)
+    ratio = resampling.fit(docs, labels.where(good))
+    return resampling.resample(docs, ratio, resampling.target_share(labels, good))
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "source"])
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -42,7 +69,14 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents", ["doc_id", "text"]), keep="largest")
 
 
-_QUERIES = [op2_language_id, op4_best_fit_packing, op7_source_mixing, op8_html_extraction, op9_exact_dedup]
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
+    cut = substring_dedup.substring_dedup(docs, window=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_QUERIES = [op1_ngram_jaccard_join, op2_language_id, op3_katz_scoring, op4_best_fit_packing, op5_hnsw_search,
+            op6_importance_resampling, op7_source_mixing, op8_html_extraction, op9_exact_dedup, op10_substring_dedup]
 
 
 def _ready(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
