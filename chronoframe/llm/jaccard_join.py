@@ -17,6 +17,7 @@ of its links, and buckets too large for one task are compared block by block.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -49,8 +50,8 @@ def _positions(runs: int) -> np.ndarray:
 
 
 def shingle_sets(row: dict, n: int):
-    """(document identifiers, ascending distinct shingle hashes of every
-    document).  A text of fewer than ``n`` words is one shingle of them all."""
+    """(document identifiers, ascending distinct shingle hashes of a document,
+    bytes of a document), the latter two by its place.  A text of fewer than ``n`` words is one shingle of them all."""
     ids, data, off = read_chunk(row["ids"], row["sizes"], row["texts"])
     s, e, first = word_spans(data, off)
     words = word_hashes(data, s, e)
@@ -63,7 +64,7 @@ def shingle_sets(row: dict, n: int):
         if b > a:
             return mix(gram_hashes(words[a:b], b - a) + U64(b - a))
         return np.zeros(0, np.uint64)
-    return ids, of
+    return ids, of, lambda i: data[off[i]:off[i + 1]].tobytes()
 
 
 def min_tokens(shingles: np.ndarray) -> np.ndarray:
@@ -87,10 +88,11 @@ def _chunk_of(u):
 def _signatures(n: int):
     def fn(row, _):
         import pyarrow as pa
-        ids, of = shingle_sets(row, n)
-        keys, sizes, tokens = [], [], []
+        ids, of, raw = shingle_sets(row, n)
+        keys, sizes, tokens, digests = [], [], [], []
         for i in range(len(ids)):
             h = of(i)
+            digests.append(hashlib.sha256(raw(i)).digest())
             m = mix(h)
             keys.append(np.array([h.sum(dtype=np.uint64), np.bitwise_xor.reduce(m), len(h)], np.uint64).tobytes())
             sizes.append(len(h))
@@ -98,7 +100,7 @@ def _signatures(n: int):
         return pa.table({"u": pa.array(_row_numbers(row["chunk"], len(ids)), pa.int64()),
                          "id": pa.array(ids, pa.int64(), mask=ids == NO_ID),
                          "key": pa.array(keys, pa.binary()), "n": pa.array(sizes, pa.int64()),
-                         "tokens": pa.array(tokens, pa.binary())})
+                         "sha": pa.array(digests, pa.binary()), "tokens": pa.array(tokens, pa.binary())})
     return fn
 
 
@@ -223,7 +225,7 @@ def _fetch(n: int):
     """Shingle sets of the documents that a chunk is asked for."""
     def fn(row, asked):
         import pyarrow as pa
-        _, of = shingle_sets(row, n)
+        _, of, _ = shingle_sets(row, n)
         cache: dict[int, bytes] = {}
         data = []
         for q in asked:
@@ -298,8 +300,8 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
 
     Returns one row per input row: ``id_col`` (long), class_id (the smallest
     identifier among all documents joined to it by chains of links), n_links
-    (other rows whose similarity reaches the threshold), class_size, kept (one
-    row per class: its first row with the smallest identifier).  Words are
+    (other rows whose similarity reaches the threshold), class_size, text_sha256,
+    kept (one row per class: its first row with the smallest identifier).  Words are
     compared unchanged; a text with fewer than ``n`` words is one shingle of
     them all; a text without words (or NULL) has no links and is a class of its
     own.  Repeated rows link to each other; a NULL identifier sorts after all
@@ -309,7 +311,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     ``recall`` or more."""
     runs = runs_for(threshold, recall)
     chunks = chunk_table(docs, id_col, text_col)
-    rows = stored(per_chunk(chunks, None, _signatures(n), "u long, id long, key binary, n long, tokens binary"), "sets")
+    rows = stored(per_chunk(chunks, None, _signatures(n), "u long, id long, key binary, n long, sha binary, tokens binary"), "sets")
     first = F.min(F.struct(F.coalesce(F.col("id"), F.lit(int(NO_ID))).alias("id"), F.col("u")))
     classes = stored(rows.where("n > 0").groupBy("key").agg(
         first["u"].alias("u"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "classes")
@@ -346,14 +348,27 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     found_in = classes.select("key", "u", "copies").join(links, "u", "left").join(root, "u", "left").select(
         "key", F.coalesce("root", "u").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # a row without words is its own class
-    placed = rows.select("u", "id", "key", "n").join(found_in, "key", "left").select(
-        "u", "id", F.coalesce("root", "u").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    placed = rows.select("u", "id", "key", "n", "sha").join(found_in, "key", "left").select(
+        "u", "id", "sha", F.coalesce("root", "u").alias("root"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     placed = stored(placed, "placed")
     whole = placed.groupBy("root").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
     return placed.join(whole, "root").select(
         F.col("id").alias(id_col),
         F.when(F.col("first.id") != F.lit(int(NO_ID)), F.col("first.id")).alias("class_id"), "n_links", "class_size",
-        (F.col("u") == F.col("first.u")).alias("kept"))
+        F.lower(F.hex("sha")).alias("text_sha256"), (F.col("u") == F.col("first.u")).alias("kept"))
+
+
+def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id",
+                     text_col: str = "text") -> DataFrame:
+    """``docs``, with all columns, without all but one row of every class that
+    :func:`jaccard_join` finds."""
+    kept = jaccard_join(docs, n, threshold, recall, id_col, text_col).where("kept").select(
+        F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id_col}`").cast("long").alias("_id"),
+                       F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("_sha"))
+    rows = rows.join(kept, (F.col("_sha") == F.col("_kept_sha")) & F.col("_id").eqNullSafe(F.col("_kept_id")))
+    # rows that repeat identifier and text are one
+    return rows.groupBy("_sha", "_id").agg(F.first("_doc").alias("_doc")).select("_doc.*")
 
 
 def _deal(runs: int):

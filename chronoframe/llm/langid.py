@@ -224,6 +224,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return Model(training_sample(docs, sample_docs, max_languages, id_col, text_col, lang_col), sample_chars)
 
 
+def _identified(docs: DataFrame, model: Model, keep: list[str], text_col: str) -> DataFrame:
+    """Columns ``keep`` as _k0, _k1, ... with the prediction."""
+    spark: SparkSession = docs.sparkSession
+    bc = spark.sparkContext.broadcast(model)    # bounded by the training sample
+    src = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_t"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema if f.name != "_t")
+    return src.mapInArrow(_predict(bc), f"{fields}lang_pred string, score double, phrases_per_char double")
+
+
 def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """Columns ``keep`` of every row of ``docs`` with lang_pred, score and
     phrases_per_char.
@@ -232,9 +241,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     (0, 1].  A NULL text, one without letters, or an empty model gives ``und``
     and score 0.  Ties go to the label that sorts first.  Only the text decides;
     repeated rows get equal results, and an empty table an empty result."""
-    spark: SparkSession = docs.sparkSession
-    bc = spark.sparkContext.broadcast(model)    # bounded by the training sample
-    src = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text_col).alias("_t"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "_t")
-    out = src.mapInArrow(_predict(bc), f"{fields}, lang_pred string, score double, phrases_per_char double")
+    out = _identified(docs, model, keep, text_col)
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "lang_pred", "score", "phrases_per_char")
+
+
+def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose language is not ``und``, with all their
+    columns, whatever they are called."""
+    out = _identified(docs, model, docs.columns, text_col).where(F.col("lang_pred") != UNKNOWN)
+    return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)])

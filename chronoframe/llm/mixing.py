@@ -57,28 +57,21 @@ def _offset(seed: int) -> Column:
     return F.conv(F.substring(F.md5(word.cast("binary")), 1, 8), 16, 10).cast("long") % UNIT
 
 
-def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", share: float = 1.5, cap: float = 2.0,
-        weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
-    """Copies of every document in the mix.
-
-    Returns one row per input row: ``id_col``, size, source, source_size,
-    target (of the source), copies, taken = copies * size, and ``_row`` (its
-    place, unique).  NULL text has size 0; a NULL source is a source of its own
-    and comes last; documents of size 0 take 0 words; a source without words
-    has target 0.  ``id_col`` may be NULL or repeated: rows are sampled one by
-    one (fully equal rows are interchangeable).  An empty table gives an empty
-    result, and other columns are not read."""
-    size = n_words(F.col(text_col)) if size is None else size
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+def _copies(docs: DataFrame, size: Column | None, id_col: str, text_col: str, source_col: str, share: float, cap: float,
+            weights: tuple[int, ...], seed: int, payload: bool) -> DataFrame:
+    size = n_words(F.col(f"`{text_col}`")) if size is None else size
+    cols = [F.col(f"`{id_col}`").alias("_id"), F.col(f"`{source_col}`").cast("string").alias("source"), size.alias("size")]
+    if payload:
+        cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     n = shuffle_partitions(docs.sparkSession)
     order = [F.col("source").asc_nulls_last(), F.col("size"), F.col("_id").asc_nulls_first()]
     # a hot source is spread over many ranges; the stored table fixes the places
-    placed = stored(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select(
+    placed = stored(docs.select(*cols).repartitionByRange(n, *order).sortWithinPartitions(*order).select(
         "*", F.spark_partition_id().alias("_pid"), F.monotonically_increasing_id().alias("_row")), "mix-order")
     key = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null"))
+    # one row per range and source; numbers of rows follow each other within a range
     parts = placed.groupBy(key.alias("_key"), "_pid").agg(
-        F.first("source").alias("source"), F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_n"))
+        F.first("source").alias("source"), F.sum("size").alias("_size"), F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     per_source = parts.groupBy("_key").agg(F.first("source").alias("source"), F.sum("_size").alias("source_size"))
     targets = source_targets(per_source.drop("_key"), share, cap, weights)
     step = F.when(F.col("source_size") > 0,
@@ -87,13 +80,36 @@ def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", tex
     # every document of a source expects the same copies, so the sum before a
     # range is its rows times the step
     earlier = Window.partitionBy("_key").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.join(targets, "_key").select(
-        "_key", "_pid", "source_size", "target", "_step",
-        (F.col("_offset") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)) * F.col("_step")).alias("_start"))
-    run = Window.partitionBy("_pid", "_key").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumn("_key", key).withColumn("_i", F.count(F.lit(1)).over(run))
-    out = summed.join(parts, ["_pid", "_key"])
-    upto = F.col("_start") + F.col("_i") * F.col("_step")
+    parts = stored(parts.join(targets, "_key").select(
+        "_key", "_pid", "_first", "source_size", "target", "_step",
+        (F.col("_offset") + F.coalesce(F.sum("_n").over(earlier), F.lit(0)) * F.col("_step")).alias("_start")), "mix-starts")
+    out = placed.withColumn("_key", key).join(parts, ["_pid", "_key"])
+    upto = F.col("_start") + (F.col("_row") - F.col("_first") + 1) * F.col("_step")
     copies = F.shiftright(upto, 30) - F.shiftright(upto - F.col("_step"), 30)
-    return out.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target",
-                      copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "_row")
+    return out.withColumn("copies", copies.cast("long"))
+
+
+def mix(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source", share: float = 1.5, cap: float = 2.0,
+        weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """Copies of every document in the mix.
+
+    Returns one row per input row: ``id_col``, size, source, source_size,
+    target (of the source), copies, taken = copies * size.  NULL text has size
+    0; a NULL source is a source of its own and comes last; documents of size 0
+    take 0 words; a source without words has target 0.  ``id_col`` may be NULL
+    or repeated: rows are sampled one by one (fully equal rows are
+    interchangeable).  An empty table gives an empty result, and other columns
+    are not read."""
+    out = _copies(docs, size, id_col, text_col, source_col, share, cap, weights, seed, payload=False)
+    return out.select(F.col("_id").alias(id_col), "size", "source", "source_size", "target", "copies",
+                      (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, size: Column | None = None, id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source", share: float = 1.5, cap: float = 2.0,
+          weights: tuple[int, ...] = WEIGHTS, seed: int = 7) -> DataFrame:
+    """The mix itself: every row of ``docs``, with all its columns, as often as
+    :func:`mix` takes it."""
+    out = _copies(docs, size, id_col, text_col, source_col, share, cap, weights, seed, payload=True)
+    return out.select("_doc", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

@@ -13,7 +13,7 @@ from . import exact_dedup, hnsw, html_text, jaccard_join, katz, langid, mixing,
 from .common import table
 
 
-def _remainder(divisor: int) -> Column:
+def remainder(divisor: int) -> Column:
     """crc32 of the identifier as text; NULL counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % divisor
 
@@ -26,14 +26,14 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text", "lang"])
-    held = _remainder(5) == 0
+    held = remainder(5) == 0
     model = langid.train(docs.where(~held))
     return langid.identify(docs.withColumn("held_out", held), model, ["doc_id", "held_out"])
 
 
 def op3_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    scored = katz.score_texts(docs, train=_remainder(7) != 2)
+    scored = katz.score_texts(docs, train=remainder(7) != 2)
     return scored.select("doc_id", (~F.col("trained_on")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                          "base_score", "score")
 
