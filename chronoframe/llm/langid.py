@@ -110,29 +110,32 @@ def suffix_automaton(symbols: np.ndarray, alphabet: int) -> np.ndarray:
 
 def parsing_table(automaton: np.ndarray, first: int) -> np.ndarray:
     """Steps of greedy parsing, for a table that begins at row ``first`` of all
-    languages' rows: the offset of the next state's row or, where the phrase
-    ends and the symbol begins another one, the complement of that offset."""
-    width = automaton.shape[1]
-    root = automaton[0]
-    restart = np.where(root < 0, 0, root)       # a symbol unknown to the root is a phrase of its own
-    step = np.where(automaton < 0, ~((restart + first) * width), (automaton + first) * width)
-    return step.astype(np.int32)
-
-
-def phrase_counts(steps: np.ndarray, roots: np.ndarray, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    languages' rows: the offset of the next state's row or, where the symbol
+    begins another phrase, the complement of that offset."""
+    n, width = automaton.shape
+    # a symbol unknown to the root is a phrase of its own; the last row stands
+    # between phrases: any symbol begins one there
+    restart = np.where(automaton[0] < 0, n, automaton[0])
+    between = ~((restart + first) * width)
+    step = np.where(automaton < 0, between, (automaton + first) * width)
+    return np.concatenate([step, between[None]]).astype(np.int32)
+
+
+def phrase_counts(steps: np.ndarray, starts: np.ndarray, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Phrases of every block (rows of symbols) under every language; ``steps``
-    holds the languages' parsing tables end to end, ``roots`` their offsets."""
-    n, langs = len(lengths), len(roots)
+    holds the languages' parsing tables end to end, ``starts`` the offsets of
+    their last rows."""
+    n, langs = len(lengths), len(starts)
     order = np.argsort(-lengths, kind="stable")
     columns = np.ascontiguousarray(blocks[order].T.astype(np.int32))
     alive = np.searchsorted(-lengths[order], -np.arange(columns.shape[0]), side="left")   # blocks longer than k
     flat = steps.reshape(-1)
-    state = np.repeat(roots.astype(np.int32)[:, None], n, axis=1)
-    count = np.ones((langs, n), np.int32)       # the last phrase is still open at the end
+    state = np.repeat(starts.astype(np.int32)[:, None], n, axis=1)
+    count = np.zeros((langs, n), np.int32)
     for k in range(columns.shape[0]):
         m = alive[k]
         to = flat.take(state[:, :m] + columns[k, :m])
-        ended = to >> 31                        # -1 where a phrase ends before this symbol
+        ended = to >> 31                        # -1 where a phrase begins with this symbol
         count[:, :m] -= ended
         np.bitwise_xor(to, ended, out=state[:, :m])
     out = np.empty((langs, n), np.int32)
@@ -153,10 +156,10 @@ class Model:
         self.alphabet = Alphabet(joined)
         parts, starts, at = [], [], 0
         for lang in self.langs:
-            t = suffix_automaton(self.alphabet.symbols(joined[lang]), self.alphabet.size)
-            parts.append(parsing_table(t, at))
-            starts.append(at * self.alphabet.size)
+            t = parsing_table(suffix_automaton(self.alphabet.symbols(joined[lang]), self.alphabet.size), at)
+            parts.append(t)
             at += len(t)
+            starts.append((at - 1) * self.alphabet.size)
         self.tables = np.concatenate(parts) if parts else np.zeros((0, self.alphabet.size), np.int32)
         self.starts = np.array(starts, np.int64)
 
