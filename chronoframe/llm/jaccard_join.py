@@ -293,7 +293,7 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id",
+def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, id_col: str = "doc_id",
                  text_col: str = "text", seed_small: int = SMALL) -> DataFrame:
     """Groups of documents whose sets of ``n``-word shingles have a Jaccard
     similarity of ``threshold`` or more.
@@ -358,7 +358,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
         F.lower(F.hex("sha")).alias("text_sha256"), (F.col("u") == F.col("first.u")).alias("kept"))
 
 
-def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.999, id_col: str = "doc_id",
+def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.99999, id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
     """``docs``, with all columns, without all but one row of every class that
     :func:`jaccard_join` finds."""

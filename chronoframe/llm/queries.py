@@ -20,7 +20,7 @@ def remainder(divisor: int) -> Column:
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    return jaccard_join.jaccard_join(docs, n=5, threshold=0.8, recall=0.999).select(
+    return jaccard_join.jaccard_join(docs, n=5, threshold=0.8, recall=0.99999).select(
         "doc_id", "class_id", "n_links", "class_size")
 
 

@@ -29,7 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group joined by word-shingle similarity."""
-    return jaccard_join.drop_near_copies(docs, n=5, threshold=0.8, recall=0.999)
+    return jaccard_join.drop_near_copies(docs, n=5, threshold=0.8, recall=0.99999)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
