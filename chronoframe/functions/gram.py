@@ -10,22 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-ONE = "_one"
-
-
-def gram_agg(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), where: Column | None = None,
-             intercept: bool = True) -> DataFrame:
-    """One aggregate: ``n`` and the upper triangle of ``Z^T Z`` for ``Z = [1?, cols]``
-    as an ``array<double>`` named ``g`` (row-major upper triangle)."""
-    z = ([F.lit(1.0)] if intercept else []) + [F.col(c).cast("double") for c in cols]
-    src = df.where(where) if where is not None else df
-    k = len(z)
-    sums = [F.sum(z[i] * z[j]) for i in range(k) for j in range(i, k)]
-    return src.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("g"))
-
 
 def unpack(g, k: int) -> np.ndarray:
     """Upper-triangle array -> full symmetric K x K matrix."""
@@ -55,7 +39,26 @@ def ols_from_gram(G: np.ndarray, x_idx: Sequence[int], y_idx: Sequence[int], n:
     inv = inv_s / np.outer(scale, scale)
     beta = inv @ xty
     ssr = np.diag(yty - xty.T @ beta - beta.T @ xty + beta.T @ xtx @ beta)
-    return beta, np.maximum(ssr, 0.0), inv
+    # what is left of a perfect fit is rounding error, not zero
+    return beta, np.maximum(ssr, np.finfo(float).eps * np.clip(np.diag(yty), 1e-300, None)), inv
+
+
+def stacked_ols(grams: np.ndarray, kx: int) -> np.ndarray:
+    """Coefficients [n, kx, ky] of a stack of Gram matrices whose first ``kx``
+    columns are the regressors; ill-conditioned ones by pseudo-inverse."""
+    xtx, xty = grams[:, :kx, :kx], grams[:, :kx, kx:]
+    scale = np.sqrt(np.clip(np.einsum("nii->ni", xtx), 1e-300, None))
+    xs = xtx / (scale[:, :, None] * scale[:, None, :])
+    ys = xty / scale[:, :, None]
+    try:
+        inv = np.linalg.inv(xs)
+        size = np.linalg.norm(inv, axis=(1, 2)) * np.linalg.norm(xs, axis=(1, 2))
+        bad = ~np.isfinite(size) | (size > 1e14)
+    except np.linalg.LinAlgError:
+        inv, bad = np.zeros_like(xs), np.ones(len(xs), bool)
+    if bad.any():
+        inv[bad] = np.linalg.pinv(xs[bad])
+    return (inv @ ys) / scale[:, :, None]
 
 
 def ols_aic(ssr: float, n: int, k: int) -> float:

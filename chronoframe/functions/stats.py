@@ -65,44 +65,29 @@ def chi2_sf(x: float, df: int) -> float:
     return min(1.0, q)
 
 
-def _betacf(a: float, b: float, x: float) -> float:
-    """Continued fraction of the regularised incomplete beta (modified Lentz)."""
-    tiny = 1e-300
-    qab, qap, qam = a + b, a + 1.0, a - 1.0
-    c, d = 1.0, 1.0 - qab * x / qap
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 500):
-        m2 = 2 * m
-        aa = m * (b - m) * x / ((qam + m2) * (a + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        h *= d * c
-        aa = -(a + m) * (qab + m) * x / ((a + m2) * (qap + m2))
-        d = 1.0 + aa * d
-        d = 1.0 / (d if abs(d) > tiny else tiny)
-        c = 1.0 + aa / c
-        c = c if abs(c) > tiny else tiny
-        de = d * c
-        h *= de
-        if abs(de - 1.0) < 1e-15:
-            break
-    return h
-
-
 def betainc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b)."""
+    """Regularised incomplete beta I_x(a, b), by its power series
+    x^a (1 - x)^b / (a B(a, b)) * sum_n prod_{j < n} (a + b + j) / (a + 1 + j) x^n
+    on the side where the series converges fast: beyond the mean a / (a + b),
+    or where few of its terms grow, that is the other one."""
     if x <= 0:
         return 0.0
     if x >= 1:
         return 1.0
-    lbt = math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    bt = math.exp(lbt)
-    if x < (a + 1.0) / (a + b + 2.0):
-        return bt * _betacf(a, b, x) / a
-    return 1.0 - bt * _betacf(b, a, 1.0 - x) / b
+    if x > a / (a + b) or (x > 0.9 and (1.0 - x) * (a + b) < 50):
+        return 1.0 - betainc_series(b, a, 1.0 - x)
+    return betainc_series(a, b, x)
+
+
+def betainc_series(a: float, b: float, x: float) -> float:
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a + 1.0) - math.lgamma(b))
+    total = term = 1.0
+    n = 0
+    while term > 1e-17 * total and n < 1_000_000:
+        term *= (a + b + n) / (a + 1.0 + n) * x
+        total += term
+        n += 1
+    return min(1.0, front * total)
 
 
 def t_sf(t: float, df: float) -> float:
@@ -112,12 +97,6 @@ def t_sf(t: float, df: float) -> float:
     return tail if t >= 0 else 1.0 - tail
 
 
-def f_sf(f: float, d1: float, d2: float) -> float:
-    if f <= 0:
-        return 1.0
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
-
-
 # MacKinnon (1994) response-surface coefficients for the
 # p-value of the Dickey-Fuller tau statistic, one series, constant term:
 #   tau_min = -18.83, tau_max = 2.74, tau_star = -1.61

@@ -18,7 +18,7 @@ from ..functions.stats import chi2_sf, norm_ppf
 from ..session import block_size
 from .layout import to_long
 from .ordering import _cols, add_blocks, halo_window
-from .validate import require
+from .validate import complete, maybe_broadcast, require
 
 V = "variable"
 
@@ -40,13 +40,15 @@ def acf(long: DataFrame, nlags: int | None = None, alpha: float | None = 0.05, i
     nlags rows) computing all centred lag products; a final aggregate.
     Output: keys, variable, lag, acf, band (band NULL when alpha is None)."""
     g = [*_cols(keys), V]
+    long = long.select(*g, idx, complete(F.col(value), "the autocorrelation").alias(value))
     stats = long.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mean"))
     auto = nlags is None
     if auto:
         # products up to the cap in the same pass; each series then keeps the
         # lags up to min(cap, n//2 - 1) of its own length (no sizing job)
         nlags = cap
-    centred = long.join(stats, g).withColumn("_xc", F.col(value) - F.col("_mean"))
+    # one row per series: broadcast while it is small, so that the rows are not dealt by series
+    centred = long.join(maybe_broadcast(stats), g).withColumn("_xc", F.col(value) - F.col("_mean"))
 
     def exprs(w):
         return {f"_p{k}": F.col("_xc") * F.lag("_xc", k).over(w) for k in range(1, nlags + 1)}

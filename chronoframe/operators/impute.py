@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .missing import get_subject
 from .ordering import _cols, blocked_cumsum, blocked_fill, halo_window
-from .validate import require
+from .validate import require, require_missing
 
 
 def nearest_mean(df: DataFrame, cols: Sequence[str], n: int = 2, idx: str = "idx", keys=(),
@@ -115,18 +115,20 @@ def imputation_sets(df: DataFrame, cols: Sequence[str], ar_lag: int = 1, idx: st
 
 
 def impute(method: str, df: DataFrame, cols: Sequence[str], subject: str, visit: str,
-           subjects_df: DataFrame | None = None, **kw) -> DataFrame:
-    """Dispatcher over the longitudinal imputations."""
-    if method == "locf":
-        return locf(df, cols, visit, subject, nocb=kw.get("nocb", False), subjects_df=subjects_df)
-    if method == "nocb":
-        return locf(df, cols, visit, subject, nocb=True, subjects_df=subjects_df)
+           subjects_df: DataFrame | None = None, subject_ids=None, **kw) -> DataFrame:
+    """Dispatcher over the longitudinal imputations.  With ``subject_ids``
+    or ``subjects_df`` only those subjects are filled, by any method; needs at
+    least one missing value in ``cols``."""
+    chosen = {"subjects_df": subjects_df, "subject_ids": subject_ids}
+    require_missing(df, cols, "imputation")
+    if method in ("locf", "nocb"):
+        return locf(df, cols, visit, subject, nocb=method == "nocb" or kw.get("nocb", False), **chosen)
     if method in ("missforest", "forest"):
         from .learn import forest_impute
-        return forest_impute(df, cols, **kw)
+        return forest_impute(df, cols, subject=subject, **chosen, **kw)
     if method in ("iterative", "chained"):
         from .learn import chained_impute
-        return chained_impute(df, cols, **kw)
+        return chained_impute(df, cols, subject=subject, **chosen, **kw)
     raise ValueError(f"unknown imputation method {method!r}")
 
 

@@ -92,10 +92,9 @@ def _encode_categoricals(df: DataFrame, categorical: list[str], max_levels: int
     for c in categorical:
         levels = bounded_distinct(df, c, max_levels)
         maps[c] = levels
-        expr = F.lit(None).cast("double")
-        for i, v in enumerate(levels):
-            expr = F.when(F.col(c) == F.lit(v), F.lit(float(i))).otherwise(expr)
-        out = out.withColumn(c, expr)
+        # a map literal: one lookup per row, however many levels
+        codes = F.create_map(*[x for i, v in enumerate(levels) for x in (F.lit(v), F.lit(float(i)))]) if levels else None
+        out = out.withColumn(c, F.lit(None).cast("double") if codes is None else F.element_at(codes, F.col(c)))
     return out, maps
 
 
@@ -108,7 +107,7 @@ def _decode_categoricals(df: DataFrame, maps: dict) -> DataFrame:
 
 
 def _round_robin(df: DataFrame, cols: list[str], categorical: list[str], make_model, max_iter: int,
-                 row_id: str, stop: str, tol: float = 1e-3) -> DataFrame:
+                 stop: str, tol: float = 1e-3) -> DataFrame:
     """Round-robin model imputation.  Every round is narrow: the previous
     values ride along as ``_o_*`` columns, each column is re-predicted by a
     map over all rows, and the change measure is one aggregate.  The state is
@@ -144,8 +143,9 @@ def _round_robin(df: DataFrame, cols: list[str], categorical: list[str], make_mo
             num = sum(r[f"d_{c}"] or 0.0 for c in numeric) / max(sum(r[f"s_{c}"] or 0.0 for c in numeric), 1e-300)
             cat = sum(r[f"d_{c}"] or 0 for c in categorical) / max(sum(r[f"s_{c}"] or 0 for c in categorical), 1)
             delta = (num, cat)
-            if prev_delta is not None and (delta[0] > prev_delta[0] or delta[1] > prev_delta[1]):
-                # MissForest keeps the previous round
+            kinds = [k for k, present in enumerate((bool(numeric), bool(categorical))) if present]
+            if prev_delta is not None and all(delta[k] > prev_delta[k] for k in kinds):
+                # risen for all kinds of variables present: the previous round stays
                 cur = cur.select(*[F.col(f"_o_{x}").alias(x) if x in cols else F.col(x) for x in base_cols])
                 break
             prev_delta = delta
@@ -158,14 +158,26 @@ def _round_robin(df: DataFrame, cols: list[str], categorical: list[str], make_mo
     return cur.select(*[x for x in base_cols if not x.startswith("_m_")])
 
 
-def chained_impute(df: DataFrame, cols: Sequence[str], row_id: str, max_iter: int = 10, rounding: int = 3,
-                   reg: float = 1e-3) -> DataFrame:
+def _chosen(df: DataFrame, subject: str | None, subject_ids, subjects_df):
+    """(rows of the chosen subjects, the other rows or None)."""
+    if subject is None or (subject_ids is None and subjects_df is None):
+        return df, None
+    from .missing import get_subject
+    chosen = get_subject(df, subject, subject_ids, subjects_df)
+    ids = chosen.select(F.col(subject).alias("_chosen")).distinct()
+    return chosen, df.join(ids, F.col(subject) == F.col("_chosen"), "left_anti")
+
+
+def chained_impute(df: DataFrame, cols: Sequence[str], max_iter: int = 10, rounding: int = 3, reg: float = 1e-3,
+                   subject: str | None = None, subject_ids=None, subjects_df: DataFrame | None = None) -> DataFrame:
     """I8: chained equations: mean start, then round-robin ridge regressions
     of every incomplete column on the others (ascending missing count),
     ``max_iter`` rounds or until the largest change is below the tolerance;
-    values rounded to ``rounding`` decimals.  Needs >= 2 columns."""
+    values rounded to ``rounding`` decimals.  Needs >= 2 columns.  With chosen
+    subjects only their rows are fitted and filled; the others pass through."""
     cols = list(cols)
-    require(len(cols) >= 2, "Multiple variables must be given as input")
+    require(len(cols) >= 2, "chained equations need at least two columns")
+    df, rest = _chosen(df, subject, subject_ids, subjects_df)
     # the other columns ride along through the rounds (no join back at the end)
     base = df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
     scale = base.agg(*[F.max(F.abs(c)).alias(c) for c in cols]).first()
@@ -174,20 +186,27 @@ def chained_impute(df: DataFrame, cols: Sequence[str], row_id: str, max_iter: in
     def make(c, _cat):
         return LinearRegression(featuresCol="features", labelCol=c, regParam=reg, elasticNetParam=0.0)
 
-    res = _round_robin(base, cols, [], make, max_iter, row_id, "chained", tol)
-    return res.select(*[F.round(c, rounding).alias(c) if c in cols else F.col(c) for c in df.columns])
+    res = _round_robin(base, cols, [], make, max_iter, "chained", tol)
+    out = res.select(*[F.round(c, rounding).alias(c) if c in cols else F.col(c) for c in df.columns])
+    if rest is None:
+        return out
+    return out.unionByName(rest.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns]))
 
 
-def forest_impute(df: DataFrame, cols: Sequence[str], row_id: str, categorical: Sequence[str] = (),
-                  max_iter: int = 10, num_trees: int = 50, seed: int = 42) -> DataFrame:
+def forest_impute(df: DataFrame, cols: Sequence[str], categorical: Sequence[str] = (), max_iter: int = 10,
+                  num_trees: int = 50, seed: int = 42, subject: str | None = None, subject_ids=None,
+                  subjects_df: DataFrame | None = None) -> DataFrame:
     """MissForest: mean/mode start; per round, columns in ascending
     missing order are re-predicted by random forests (classifier for
-    categorical columns) from the others; stop when the change measure rises
-    (the previous round is kept) or after ``max_iter`` rounds.  String
-    categories are encoded for the forests and decoded back."""
+    categorical columns) from the others; stop when the change measure has
+    risen for every kind of variable present (the previous round is kept) or
+    after ``max_iter`` rounds.  String categories are encoded for the forests
+    and decoded back.  With chosen subjects only their rows are fitted and
+    filled; the others pass through."""
     cols = list(cols)
     categorical = list(categorical)
-    require(len(cols) >= 2, "Multiple variables must be given as input")
+    require(len(cols) >= 2, "forest imputation needs at least two columns")
+    df, rest = _chosen(df, subject, subject_ids, subjects_df)
     base, maps = _encode_categoricals(df, categorical)
     base = base.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
 
@@ -196,8 +215,12 @@ def forest_impute(df: DataFrame, cols: Sequence[str], row_id: str, categorical:
             return RandomForestClassifier(featuresCol="features", labelCol=c, numTrees=num_trees, seed=seed)
         return RandomForestRegressor(featuresCol="features", labelCol=c, numTrees=num_trees, seed=seed)
 
-    res = _round_robin(base, cols, categorical, make, max_iter, row_id, "forest")
-    return _decode_categoricals(res, maps).select(*df.columns)
+    res = _round_robin(base, cols, categorical, make, max_iter, "forest")
+    out = _decode_categoricals(res, maps).select(*df.columns)
+    if rest is None:
+        return out
+    kinds = dict(out.dtypes)
+    return out.unionByName(rest.select(*[F.col(c).cast(kinds[c]).alias(c) for c in df.columns]))
 
 
 # ------------------------------------------------ N1-N7 windowed regression
@@ -497,21 +520,33 @@ def dynamic_classifier(df: DataFrame, subject: str, visit: str, inputs: Sequence
 
 # ------------------------------------------------------------- N12 RBM
 
+def _hashed_uniform(row: np.ndarray, units: int, draw: int) -> np.ndarray:
+    """Numbers in [0, 1) from a hash of (row, unit, draw)."""
+    odd = np.uint64(0x9E3779B97F4A7C15)
+    h = row[:, None] + np.arange(1, units + 1, dtype=np.uint64)[None, :] * odd + np.uint64(draw + 1) * np.uint64(0xD1342543DE82EF95)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    return ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0 ** 53
+
+
 def rbm_structure(encoded: DataFrame, n_hidden: int, n_iter: int = 10, learning_rate: float = 0.1,
-                  seed: int = 42) -> DataFrame:
+                  seed: int = 42, row_id: str | None = None) -> DataFrame:
     """Bernoulli RBM trained by data-parallel contrastive divergence
     (CD-1, full batch): the weights are broadcast, every partition computes
-    its positive/negative statistics in ``mapInPandas`` (seeded per
-    partition), the statistics are summed by a distributed aggregate and
-    the update is applied.  Output: (hidden, column, weight)."""
+    its positive/negative statistics in ``mapInPandas``, the statistics are
+    summed by a distributed aggregate and the update is applied.  A unit's draw
+    is a hash of (row, unit, iteration, seed), so the result does not depend on
+    the partitioning; the row is ``row_id`` (not a column of the model) or,
+    without one, the row's values.  Output: (hidden, column, weight)."""
     require(n_hidden >= 1 and n_iter >= 1 and 0 < learning_rate <= 1, "invalid RBM parameters")
-    cols = encoded.columns
+    cols = [c for c in encoded.columns if c != row_id]
     require(len(cols) >= 2, "RBM needs two or more encoded columns")
     nv = len(cols)
     rng = np.random.default_rng(seed)
     W = rng.normal(0, 0.01, size=(n_hidden, nv))
     bh, bv = np.zeros(n_hidden), np.zeros(nv)
-    data = cut_lineage(encoded.select(*[F.col(c).cast("double").alias(c) for c in cols]))
+    key = F.xxhash64(row_id) if row_id else F.xxhash64(*cols)
+    data = cut_lineage(encoded.select(*[F.col(c).cast("double").alias(c) for c in cols], key.alias("_row_key")))
     n = data.count()
     sc = encoded.sparkSession.sparkContext
     size = n_hidden * nv + n_hidden + nv
@@ -521,16 +556,15 @@ def rbm_structure(encoded: DataFrame, n_hidden: int, n_iter: int = 10, learning_
         def stats(batches):
             W_, bh_, bv_, s = bw.value
             acc = np.zeros(size)
-            from pyspark import TaskContext
-            r = np.random.default_rng([s, TaskContext.get().partitionId()])
             for pdf in batches:
-                V = pdf.to_numpy(dtype=float)
-                if not len(V):
+                if not len(pdf):
                     continue
+                V = pdf[cols].to_numpy(dtype=float)
+                row = pdf["_row_key"].to_numpy(np.int64).view(np.uint64)
                 ph = 1 / (1 + np.exp(-(V @ W_.T + bh_)))
-                h = (r.uniform(size=ph.shape) < ph).astype(float)
+                h = (_hashed_uniform(row, n_hidden, 2 * s) < ph).astype(float)
                 pv = 1 / (1 + np.exp(-(h @ W_ + bv_)))
-                v2 = (r.uniform(size=pv.shape) < pv).astype(float)
+                v2 = (_hashed_uniform(row, nv, 2 * s + 1) < pv).astype(float)
                 ph2 = 1 / (1 + np.exp(-(v2 @ W_.T + bh_)))
                 gW = ph.T @ V - ph2.T @ v2
                 acc += np.concatenate([gW.ravel(), ph.sum(0) - ph2.sum(0), V.sum(0) - v2.sum(0)])

@@ -22,16 +22,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.gram import ols_aic, ols_from_gram, unpack
+from ..functions.gram import ols_aic, ols_from_gram, stacked_ols, unpack
 from ..functions.stats import chi2_sf, mackinnon_crit, mackinnon_p, norm_ppf
 from ..session import block_size
-from .ordering import BLK, _cols, add_blocks, lagged
-from .validate import require
+from .ordering import BLK, _cols, add_blocks, halo_window, lagged
+from .validate import complete, maybe_broadcast, require
 
 V = "variable"
+STACK = 1024                                    # fits solved at a time
 SERIES = "_series"
 
 
@@ -85,22 +86,28 @@ def _gram_numpy(design: DataFrame, z: list, keys: list[str]) -> DataFrame:
 
 
 def gram(design: DataFrame, z: list, keys: list[str]) -> DataFrame:
-    """keys, n, g (upper triangle of Z^T Z) with the cheaper of the two plans."""
+    """keys, n, g (upper triangle of Z^T Z) over the rows without a missing
+    value, with the cheaper of the two plans."""
     d = len(z)
+    whole = z[0].isNotNull()
+    for e in z[1:]:
+        whole = whole & e.isNotNull()
+    design = design.where(whole)
     if d * (d + 1) // 2 > SQL_GRAM_LIMIT:
         return _gram_numpy(design, z, keys)
     return design.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
                                      F.array(*[F.sum(e) for e in _triu_products(z)]).alias("g"))
 
 
-def gram_with_boundary(design: DataFrame, zcols: Sequence[str], keys: list[str], idx: str, start: int,
+def gram_with_boundary(design: DataFrame, zcols: Sequence[str], keys: list[str], idx: str, start,
                        boundary_from: int) -> DataFrame:
     """Per series: Gram of ``[1, zcols]`` over rows ``idx >= start`` plus the
     rows ``boundary_from <= idx < start`` as arrays (NULL lags as NaN).
+    ``start`` is a number, or a column with each series' own start.
     Output: keys, n, g (upper triangle), bidx (array), bz (array of arrays)."""
     z = [F.lit(1.0)] + [F.col(c).cast("double") for c in zcols]
     main = gram(design.where(F.col(idx) >= start), z, keys)
-    if start <= boundary_from:
+    if not isinstance(start, Column) and start <= boundary_from:
         return main.withColumn("bidx", F.array().cast("array<long>")).withColumn(
             "bz", F.array().cast("array<array<double>>"))
     nan = F.lit(float("nan"))
@@ -131,44 +138,63 @@ def adf(long: DataFrame, idx: str = "idx", keys=(V,), value: str = "value", maxl
         size: int | None = None) -> DataFrame:
     """Augmented Dickey-Fuller test with constant, lag order by AIC on
     the common sample, final fit on the full usable sample, MacKinnon p-value
-    and critical values.  Output per series: adf_stat, p_value, used_lag,
+    and critical values.  The largest lag follows each series' own length; a
+    series of fewer than 6 rows gets NULLs; a missing value fails the query.  Output per series: adf_stat, p_value, used_lag,
     nobs, crit_1, crit_5, crit_10, stationary (p <= 0.05)."""
     keys = _cols(keys)
-    n = long.groupBy(*keys).count().agg(F.min("count")).first()[0]
-    require(n is not None and n >= 6, "ADF needs at least 6 observations")
-    L = maxlag if maxlag is not None else min(int(math.ceil(12.0 * (n / 100.0) ** 0.25)), n // 2 - 2)
-    require(L >= 0, "series too short")
-    lg = lagged(long.select(*keys, idx, value), [value], lags=range(1, L + 2), idx=idx, keys=keys, size=size)
+    what = "the stationarity test"
+    x0 = complete(F.col(value), what)
+    # every series has its own lag bound; subtracting its mean keeps the Gram well conditioned
+    stats = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.avg(value).alias("_mean"))
+    bound = F.lit(maxlag) if maxlag is not None else F.least(
+        F.ceil(F.lit(12.0) * F.pow(F.col("_n") / 100.0, F.lit(0.25))), F.floor(F.col("_n") / 2) - 2)
+    stats = stats.select(*keys, "_n", "_mean", F.greatest(bound, F.lit(0)).cast("int").alias("_L"))
+    L = stats.where("_n >= 6").agg(F.max("_L")).first()[0]
+    L = 0 if L is None else int(L)
+    cur = long.select(*keys, idx, x0.alias(value)).join(maybe_broadcast(stats.where("_n >= 6")), keys)
+    cur = cur.select(*keys, idx, "_L", (F.col(value) - F.col("_mean")).alias(value))
+    lg = halo_window(cur, lambda w: {f"{value}_lag{k}": F.lag(value, k).over(w) for k in range(1, L + 2)},
+                     idx, keys, before=L + 1, size=size)
     x = [F.col(value)] + [F.col(f"{value}_lag{k}") for k in range(1, L + 2)]
-    design = lg.select(*keys, idx, (x[0] - x[1]).alias("_dy"), x[1].alias("_y1"),
-                       *[(x[k] - x[k + 1]).alias(f"_dl{k}") for k in range(1, L + 1)])
+    # lags beyond a series' own bound are not used: 0
+    design = lg.select(*keys, idx, "_L", (x[0] - x[1]).alias("_dy"), x[1].alias("_y1"),
+                       *[F.when(F.lit(k) <= F.col("_L"), x[k] - x[k + 1]).otherwise(0.0).alias(f"_dl{k}")
+                         for k in range(1, L + 1)])
     zcols = ["_y1"] + [f"_dl{k}" for k in range(1, L + 1)] + ["_dy"]
-    gb = gram_with_boundary(design, zcols, keys, idx, L + 1, 1)
+    gb = gram_with_boundary(design, zcols, keys, idx, F.col("_L") + 1, 1)
+    gb = stats.join(gb, keys, "left")           # a series that is too short keeps its row
     m = len(zcols) + 1
     schema = _key_schema(gb, keys) + (", adf_stat double, p_value double, used_lag int, nobs long, "
                                       "crit_1 double, crit_5 double, crit_10 double, stationary boolean")
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         row = pdf.iloc[0]
-        G = unpack(row["g"], m)
-        nn = int(row["n"])
-        y = m - 1
+        out = {k: [row[k]] for k in keys}
+        own, y = int(row["_L"]), m - 1
         best = None
-        for lag in range(0, L + 1):
-            xs = list(range(0, 2 + lag))           # const, y_{t-1}, dy lags
-            _, ssr, _ = ols_from_gram(G, xs, [y], nn)
-            aic = ols_aic(float(ssr[0]), nn, len(xs))
-            if best is None or aic < best[0]:
-                best = (aic, lag)
+        if row["g"] is not None:
+            G = unpack(row["g"], m)
+            nn = int(row["n"])
+            for lag in range(0, own + 1):
+                xs = list(range(0, 2 + lag))           # const, y_{t-1}, dy lags
+                if nn <= len(xs):
+                    break
+                _, ssr, _ = ols_from_gram(G, xs, [y], nn)
+                aic = ols_aic(float(ssr[0]), nn, len(xs))
+                if best is None or aic < best[0]:
+                    best = (aic, lag)
+        if best is None:
+            out.update(adf_stat=[None], p_value=[None], used_lag=[None], nobs=[None], crit_1=[None], crit_5=[None],
+                       crit_10=[None], stationary=[None])
+            return pd.DataFrame(out).astype({"used_lag": "Int32", "nobs": "Int64", "stationary": "boolean"})
         lag = best[1]
-        Gf, nf = _gram_at(row, m, L + 1, lag + 1)
+        Gf, nf = _gram_at(row, m, own + 1, lag + 1)
         xs = list(range(0, 2 + lag))
         beta, ssr, inv = ols_from_gram(Gf, xs, [y], nf)
         sigma2 = float(ssr[0]) / (nf - len(xs))
         tstat = float(beta[1, 0] / math.sqrt(sigma2 * inv[1, 1]))
         crit = mackinnon_crit(nf)
         p = mackinnon_p(tstat)
-        out = {k: [row[k]] for k in keys}
         out.update(adf_stat=[tstat], p_value=[p], used_lag=[lag], nobs=[nf], crit_1=[crit["1%"]],
                    crit_5=[crit["5%"]], crit_10=[crit["10%"]], stationary=[p <= 0.05])
         return pd.DataFrame(out)
@@ -188,7 +214,8 @@ def stationarity(adf_df: DataFrame, missing: bool = False, keys=()) -> DataFrame
 # ------------------------------------------------------------------- Granger
 
 def _wide_lag_design(df: DataFrame, cols: list[str], L: int, idx: str, keys: list[str], size):
-    lg = lagged(df.select(*keys, idx, *cols), cols, lags=range(1, L + 1), idx=idx, keys=keys, size=size)
+    whole = df.select(*keys, idx, *[complete(F.col(c), "a model of lagged values").alias(c) for c in cols])
+    lg = lagged(whole, cols, lags=range(1, L + 1), idx=idx, keys=keys, size=size)
     zcols = list(cols) + [f"{c}_lag{k}" for k in range(1, L + 1) for c in cols]
     return lg, zcols
 
@@ -500,25 +527,38 @@ def var_forecast(df: DataFrame, cols: Sequence[str], coefs: DataFrame, p: int, s
 
 # -------------------------------------------------------- walk-forward (prefix)
 
-def walk_forward(df: DataFrame, cols: Sequence[str], p: int, split: int, idx: str = "idx",
+def walk_forward(df: DataFrame, cols: Sequence[str], p: int, split: int | float, idx: str = "idx",
                  targets: Sequence[str] | None = None, size: int | None = None, keys=()) -> DataFrame:
     """expanding-window one-step forecasts for every test row
     ``idx >= split`` of every series (``keys``): the model for row t is fitted
     on the rows < t of its series (AR(p) for one column, VAR(p) for several,
-    constant included).
+    constant included).  A ``split`` between 0 and 1 is a share of each series'
+    own length; a series that is too short for the model has no test rows.
 
     Plan: prefix Gram matrices.  Rows are cut in blocks per series; one task
     per (series, block) computes its partial Gram; the carry (sum of earlier
-    blocks of the series) comes from the small block table; within a block the
-    running Gram grows row by row and each test row gets one (Kp+1)-sized
-    solve.  Output (keys, variable, idx, observed, predicted, residual)."""
+    blocks of the series) comes from the small block table and meets the block
+    by a cogroup, one carry row per block; within a block the running Grams of
+    the test rows are solved in stacks.  Output (keys, variable, idx, observed,
+    predicted, residual)."""
     cols = list(cols)
     targets = list(targets or cols)
     keys = _cols(keys)
     require(V not in keys, f"series key may not be named {V!r} (output column)")
     K = len(cols)
-    require(split > p + K * p + 1, "split too small for the model order")
+    least = p + K * p + 1                       # rows that the first fit needs
+    share = 0 < split < 1
+    require(share or split > least, "split too small for the model order")
     size = block_size(df.sparkSession, size)
+    if share:
+        lengths = df.groupBy(*keys).agg(F.floor(F.count(F.lit(1)) * F.lit(float(split))).alias("_from")) if keys else None
+        if keys:
+            lengths = lengths.select(*keys, F.when(F.col("_from") > least, F.col("_from")).otherwise(
+                F.lit(2 ** 62)).alias("_from"))
+        else:
+            split = max(int(df.count() * split), 0)
+            require(split > least, "split too small for the model order")
+            share = False
     lg, _ = _wide_lag_design(df, cols, p, idx, keys, size)
     xcols = [f"{c}_lag{k}" for k in range(1, p + 1) for c in cols]
     design = lg.where(F.col(idx) >= p).select(
@@ -544,37 +584,40 @@ def walk_forward(df: DataFrame, cols: Sequence[str], p: int, split: int, idx: st
     ex = part.select(*keys, BLK, F.posexplode("_g").alias("_k", "_s"))
     wb = Window.partitionBy(*keys, "_k").orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
     carry = ex.select(*keys, BLK, "_k", F.coalesce(F.sum("_s").over(wb), F.lit(0.0)).alias("_c"))
-    carry = carry.groupBy(*keys, BLK).agg(F.array_sort(F.collect_list(F.struct("_k", "_c"))).alias("_carry"))
-    rows = design.join(carry, [*keys, BLK], "left")
+    carry = carry.groupBy(*keys, BLK).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_c"))),
+                                                      lambda e: e["_c"]).alias("_carry"))
+    if share:
+        carry = carry.join(lengths, keys)
+    else:
+        carry = carry.withColumn("_from", F.lit(int(split)).cast("long"))
     schema = f"{kschema}{V} string, {idx} long, observed double, predicted double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(idx)
+    def run(rows: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame(columns=[*keys, V, idx, "observed", "predicted"])
+        rows = rows.sort_values(idx)
+        at = rows[idx].to_numpy()
+        Z = np.hstack([np.vstack(rows["_x"].to_numpy()), np.vstack(rows["_y"].to_numpy())]).astype(float)
         G = np.zeros((d, d))
-        cr = pdf["_carry"].iloc[0]
-        if cr is not None and len(cr):
-            up = np.zeros(len(tri[0]))
-            for s in cr:
-                up[s["_k"]] = s["_c"]
-            G[tri] = up
-            G = G + np.triu(G, 1).T
-        recs = []
-        for t, x, y in zip(pdf[idx].to_numpy(), pdf["_x"], pdf["_y"]):
-            x = np.asarray(x, dtype=float)
-            y = np.asarray(y, dtype=float)
-            if t >= split:
-                beta, _, _ = ols_from_gram(G, range(mx), range(mx, d), 0)
-                pred = x @ beta
-                for j, v in enumerate(targets):
-                    recs.append((v, int(t), float(y[j]), float(pred[j])))
-            z = np.concatenate([x, y])
-            G += np.outer(z, z)
-        out = pd.DataFrame(recs, columns=[V, idx, "observed", "predicted"])
+        G[tri] = np.asarray(before["_carry"].iloc[0], dtype=float)
+        G = G + np.triu(G, 1).T
+        first = int(np.searchsorted(at, int(before["_from"].iloc[0])))
+        G = G + Z[:first].T @ Z[:first]
+        preds = []
+        for lo in range(first, len(Z), STACK):
+            z = Z[lo:lo + STACK]
+            grams = np.cumsum(np.concatenate([G[None], z[:, :, None] * z[:, None, :]]), axis=0)
+            preds.append(np.einsum("ni,nij->nj", z[:, :mx], stacked_ols(grams[:-1], mx)))
+            G = grams[-1]
+        pred = np.concatenate(preds) if preds else np.zeros((0, my))
+        n = len(pred)
+        out = pd.DataFrame({V: np.tile(np.array(targets, dtype=object), n), idx: np.repeat(at[first:], my),
+                            "observed": Z[first:, mx:].ravel(), "predicted": pred.ravel()})
         for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
+            out.insert(0, k, rows[k].iloc[0])
         return out
 
-    out = rows.groupBy(*keys, BLK).applyInPandas(run, schema)
+    out = design.groupBy(*keys, BLK).cogroup(carry.groupBy(*keys, BLK)).applyInPandas(run, schema)
     return out.withColumn("residual", F.col("observed") - F.col("predicted"))
 
 

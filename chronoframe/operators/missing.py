@@ -117,8 +117,9 @@ def inject_missing(df: DataFrame, cols: Sequence[str], n: int, seed: int = 0, id
     """Blank ``n`` distinct positions (all of ``cols``), chosen by the
     order of ``xxhash64(idx, seed)`` -- deterministic and reproducible, unlike
     drawing positions on the driver.  The limit is the feature here (a sample
-    of positions); the positions are joined back as a broadcast of n rows."""
+    of positions); the positions are joined back, broadcast while small."""
     pick = df.select(idx).orderBy(F.xxhash64(F.col(idx), F.lit(seed)), idx).limit(n).withColumn("_blank", F.lit(True))
-    j = df.join(F.broadcast(pick), idx, "left")
+    from .validate import maybe_broadcast
+    j = df.join(maybe_broadcast(pick), idx, "left")
     return j.select(*[F.when(F.col("_blank"), F.lit(None)).otherwise(F.col(c)).alias(c) if c in cols else F.col(c)
                       for c in df.columns])

@@ -37,7 +37,7 @@ def _cols(x) -> list:
 
 
 def dense_index(df: DataFrame, order_by, keys=(), idx: str = "idx",
-                num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+                num_partitions: int | None = None) -> DataFrame:
     """Add a dense 0-based position ``idx`` in ``order_by`` order (per ``keys``).
 
     ``order_by`` must be a total order (include a tie-breaker column).  The
@@ -46,12 +46,10 @@ def dense_index(df: DataFrame, order_by, keys=(), idx: str = "idx",
 
     * no keys: position = rows of earlier partitions (a per-partition table,
       broadcast) + position in the partition;
-    * keys: within a partition the keys are contiguous and only its first key
-      can have started in an earlier partition.  A summary pass gives per
-      partition (first key, last key, rows of the last key); the carry-in of
-      every partition (rows of its first key in earlier partitions) is a scan
-      over that table (#partitions rows); a ``mapInPandas`` pass numbers the
-      rows with the carry broadcast -- no join back, no second shuffle.
+    * keys: the rows of a key are contiguous inside a partition, so a row's
+      position is its distance from the key's first row there plus the key's
+      rows in earlier partitions; both come from a summary with one row per
+      (partition, key), joined back.  No row leaves the JVM.
     """
     keys, order_by = _cols(keys), _cols(order_by)
     if any(not isinstance(k, str) for k in keys):
@@ -69,7 +67,7 @@ def dense_index(df: DataFrame, order_by, keys=(), idx: str = "idx",
         (F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)).alias("_loc"),
     )
     # positions are only stable while the partitioning is: cut the lineage here
-    pos = cut_lineage(pos) if checkpoint else pos.persist()
+    pos = cut_lineage(pos)
     if not keys:
         stats = pos.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
         w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -80,91 +78,16 @@ def dense_index(df: DataFrame, order_by, keys=(), idx: str = "idx",
     return _keyed_index(pos, df, keys, idx)
 
 
-def _key_tuple(vals):
-    return tuple(None if (v is None or (isinstance(v, float) and v != v)) else v for v in vals)
-
-
-def _segments(pdf, keys):
-    """Vectorised key-change flags of a sorted batch (NULL equals NULL):
-    returns (segment id per row, start row of every segment)."""
-    import numpy as np
-    k = pdf[keys]
-    prev = k.shift(1)
-    neq = (k != prev) & ~(k.isna() & prev.isna())
-    chg = neq.any(axis=1).to_numpy()
-    chg[0] = True
-    seg = np.cumsum(chg) - 1
-    return seg, np.flatnonzero(chg)
-
-
 def _keyed_index(pos: DataFrame, df: DataFrame, keys: list, idx: str) -> DataFrame:
-    import pandas as pd
-
-    key_fields = [pos.schema[k] for k in keys]
-    kstruct = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in key_fields)
-
-    def summary(batches):
-        first = last = None
-        n_last = 0
-        p = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            p = int(pdf["_pid"].iloc[0])
-            seg, starts = _segments(pdf, keys)
-            head = _key_tuple(pdf[keys].iloc[0].tolist())
-            tail = _key_tuple(pdf[keys].iloc[-1].tolist())
-            if first is None:
-                first = head
-            tail_len = len(pdf) - int(starts[-1])
-            if len(starts) == 1 and head == last:
-                n_last += tail_len                   # the batch continues the previous key
-            else:
-                n_last = tail_len
-            last = tail
-        if p is not None:
-            yield pd.DataFrame({"_pid": [p], "_first": [dict(zip(keys, first))], "_last": [dict(zip(keys, last))],
-                                "_n_last": [n_last]})
-
-    rows = pos.select("_pid", *keys).mapInPandas(
-        summary, f"_pid int, _first struct<{kstruct}>, _last struct<{kstruct}>, _n_last long").collect()
-    # carry-in per partition: rows of its first key in earlier partitions (#partitions rows)
-    carry = {}
-    prev = None
-    for r in sorted(rows, key=lambda r: r["_pid"]):
-        first = _key_tuple([r["_first"][k] for k in keys])
-        last = _key_tuple([r["_last"][k] for k in keys])
-        c = 0
-        if prev is not None and prev["last"] == first:
-            c = prev["n_last"] + (prev["carry"] if prev["first"] == prev["last"] else 0)
-        carry[r["_pid"]] = c
-        prev = {"first": first, "last": last, "n_last": r["_n_last"], "carry": c}
-    bc = df.sparkSession.sparkContext.broadcast(carry)
-    out_schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{idx}` long"
-    cols = df.columns
-
-    def number(batches):
-        import numpy as np
-        table = bc.value
-        last, count = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            seg, starts = _segments(pdf, keys)
-            within = np.arange(len(pdf), dtype=np.int64) - starts[seg]
-            head = _key_tuple(pdf[keys].iloc[0].tolist())
-            if last is None:
-                base = table.get(int(pdf["_pid"].iloc[0]), 0)   # the partition's first key
-            else:
-                base = count if head == last else 0
-            within[seg == 0] += base
-            last = _key_tuple(pdf[keys].iloc[-1].tolist())
-            count = int(within[-1]) + 1
-            res = pdf[cols].copy()
-            res[idx] = within
-            yield res
-
-    return pos.mapInPandas(number, out_schema)
+    parts = pos.groupBy("_pid", *keys).agg(F.min("_loc").alias("_start"), F.count(F.lit(1)).alias("_n"))
+    # a hot key has one row per partition here; a NULL key is a key like any other
+    earlier = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("_pid").alias("_p"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)],
+                         (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start")).alias("_shift"))
+    same = F.col("_pid") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
+    return pos.join(parts, same).select(*[F.col(c) for c in df.columns], (F.col("_loc") + F.col("_shift")).alias(idx))
 
 
 def add_blocks(df: DataFrame, idx: str = "idx", size: int | None = None,
@@ -186,13 +109,20 @@ def add_blocks(df: DataFrame, idx: str = "idx", size: int | None = None,
     return df.select("*", F.inline(F.array_compact(F.array(*parts))))
 
 
+def by_block(df: DataFrame, keys: list) -> DataFrame:
+    """Partition by (keys, block).  After a join on the keys alone Spark would
+    take that partitioning as good enough for a window per block, and a whole
+    series would end up in one task."""
+    return df.repartition(*[F.col(k) for k in keys], F.col(BLK))
+
+
 def halo_window(df: DataFrame, exprs: Callable[[Window], dict], idx: str = "idx", keys=(),
                 before: int = 0, after: int = 0, size: int | None = None) -> DataFrame:
     """Evaluate window expressions whose frame spans at most ``before`` rows back
     and ``after`` rows ahead.  ``exprs(w)`` returns ``{name: column}`` built on
     the block window ``w``; existing columns of the same name are replaced."""
     keys = _cols(keys)
-    b = add_blocks(df, idx, size, before, after)
+    b = by_block(add_blocks(df, idx, size, before, after), keys)
     w = Window.partitionBy(*keys, BLK).orderBy(idx)
     new = exprs(w)
     sel = [new[c].alias(c) if c in new else F.col(c) for c in df.columns]
@@ -241,7 +171,7 @@ def blocked_fill(df: DataFrame, cols: Sequence[str], idx: str = "idx", keys=(),
     if not require_dir:
         raise ValueError(f"direction must be forward, backward or both, not {direction!r}")
     fwd, bwd = direction in ("forward", "both"), direction in ("backward", "both")
-    b = add_blocks(df, idx, size)
+    b = by_block(add_blocks(df, idx, size), keys)
     w = Window.partitionBy(*keys, BLK).orderBy(idx)
     wf = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     wbk = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -284,7 +214,7 @@ def blocked_cumsum(df: DataFrame, cols: Sequence[str], idx: str = "idx", keys=()
     """Running sum of ``cols`` (NULL counts as 0) in ``idx`` order per ``keys``."""
     keys = _cols(keys)
     cols = list(cols)
-    b = add_blocks(df, idx, size)
+    b = by_block(add_blocks(df, idx, size), keys)
     w = Window.partitionBy(*keys, BLK).orderBy(idx).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     loc = b.select("*", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_loc_{i}") for i, c in enumerate(cols)])
     summary = b.groupBy(*keys, BLK).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(f"_tot_{i}") for i, c in enumerate(cols)])
@@ -302,7 +232,7 @@ def blocked_suffix_min(df: DataFrame, col: str, idx: str = "idx", keys=(), size:
     minimum per block plus the minimum of the later blocks from the summary."""
     keys = _cols(keys)
     out = out or f"{col}_sufmin"
-    b = add_blocks(df, idx, size)
+    b = by_block(add_blocks(df, idx, size), keys)
     w = Window.partitionBy(*keys, BLK).orderBy(idx).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     loc = b.select(*[F.col(c) for c in df.columns], BLK, F.min(col).over(w).alias("_lm"))
     summary = b.groupBy(*keys, BLK).agg(F.min(col).alias("_bm"))

@@ -150,21 +150,20 @@ def bin_equal_width(df: DataFrame, col: str, k: int, encode: bool = True, out: s
 
 # ------------------------------------------------------------------- encoders
 
-def label_encode(df: DataFrame, col: str, out: str | None = None, missing_label: str = "NaN",
-                 broadcast_limit: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+def label_encode(df: DataFrame, col: str, out: str | None = None,
+                 missing_label: str = "NaN") -> tuple[DataFrame, DataFrame]:
     """Sorted distinct classes -> 0..m-1.  For a string column with NULLs
     the NULL is encoded as the class ``'NaN'`` while sorting and then set back
     to NULL, so classes after it shift by one (reproduced).  Returns
     ``(encoded frame, mapping(code, class))``.  The mapping is indexed with
-    ``dense_index`` (no single-partition sort) and broadcast when its size is
-    below ``broadcast_limit`` rows."""
+    ``dense_index`` (no single-partition sort) and broadcast while its bytes
+    are few."""
     out = out or col
     is_str = dict(df.dtypes)[col] == "string"
     key = F.coalesce(F.col(col), F.lit(missing_label)) if is_str else F.col(col)
     classes = df.select(key.alias("class")).where(F.col("class").isNotNull()).distinct()
     mapping = dense_index(classes, ["class"], idx="code").select(F.col("code").cast("int"), "class")
-    n = mapping.count()
-    m = F.broadcast(mapping) if n <= broadcast_limit else mapping
+    m = maybe_broadcast(mapping)
     joined = df.withColumn("_lk", key).join(m.withColumnRenamed("class", "_lk"), "_lk", "left")
     enc = F.when(F.col(col).isNull(), None).otherwise(F.col("code"))
     cols = [enc.alias(out) if c == out else F.col(c) for c in df.columns]
@@ -195,6 +194,25 @@ def one_hot(df: DataFrame, col: str, max_levels: int = 1000, keep: bool = False)
     return df.select(*sel), names
 
 
+def one_hot_sparse(df: DataFrame, cols: Sequence[str], row_id: str) -> DataFrame:
+    """T8/T9 for any number of levels: one row per input row and column,
+    (``row_id``, variable, level, n_levels), where ``level`` is the position
+    that a one-hot vector of the column would set (levels in sorted order, a
+    NULL last).  The codes come from joined tables, so nothing becomes a column
+    name and no level is left out."""
+    out = None
+    for c in cols:
+        levels = df.select(F.col(c).alias("_v")).distinct()
+        codes = dense_index(levels, [F.col("_v").asc_nulls_last()], idx="level")
+        n = codes.count()
+        codes = codes.withColumnRenamed("_v", "_code")
+        part = df.select(F.col(row_id), F.col(c).alias("_v")).join(
+            maybe_broadcast(codes), F.col("_v").eqNullSafe(F.col("_code"))).select(
+            row_id, F.lit(c).alias("variable"), F.col("level").cast("long").alias("level"), F.lit(n).cast("long").alias("n_levels"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def encode_for_rbm(df: DataFrame, cols: Sequence[str], max_levels: int = 1000,
                    keep: Sequence[str] = ()) -> tuple[DataFrame, list[tuple[str, int]]]:
     """ValueError on missing values; >2 levels one-hot, <=2 levels a 0/1
@@ -242,7 +260,7 @@ def supervised_windows(df: DataFrame, cols: Sequence[str], order: int, horizon:
     default = horizon) must divide the horizon."""
     require(horizon >= 1, "horizon >= 1")
     s = s or horizon
-    require(horizon % s == 0 and s <= horizon, "output_window must be a multiple of s")
+    require(horizon % s == 0 and s <= horizon, f"a chunk of {s} steps does not divide a horizon of {horizon}")
     out = lagged(df.select(idx, *cols), cols, lags=range(1, order + 1), leads=range(1, horizon + 1),
                  idx=idx, size=size)
     out = out.where(F.col(f"{cols[-1]}_lead{horizon}").isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,16 +36,27 @@ def require_complete(df: DataFrame, cols: Sequence[str], what: str) -> None:
         raise ValueError(f"{what} needs data without missing values; missing: {bad}")
 
 
+def complete(col: Column, what: str) -> Column:
+    """``col`` as double; a missing value fails the query that reads it (the
+    gate costs no pass of its own)."""
+    return F.coalesce(col.cast("double"), F.raise_error(F.lit(f"{what} needs data without missing values")).cast("double"))
+
+
 def require_missing(df: DataFrame, cols: Sequence[str], what: str) -> None:
     if not any(missing_counts(df, cols).values()):
         raise ValueError(f"{what} needs at least one missing value")
 
 
-BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def maybe_broadcast(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``small`` only behind a row-count check; above the bound the
-    join stays a shuffle join (AQE splits skewed partitions)."""
-    n = small.limit(max_rows + 1).count()
-    return F.broadcast(small) if n <= max_rows else small
+def maybe_broadcast(small: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``small`` only if its rows take at most ``max_bytes``; above
+    that the join stays a shuffle join (AQE splits skewed partitions).  Strings
+    and other values of varying size are measured, not guessed."""
+    width = F.lit(16)                           # row overhead
+    for f in small.schema:
+        size = F.octet_length(F.col(f"`{f.name}`").cast("string"))
+        width = width + F.lit(16) + F.coalesce(size, F.lit(0))
+    total = small.agg(F.sum(width.cast("long"))).first()[0] or 0
+    return F.broadcast(small) if total <= max_bytes else small

@@ -21,6 +21,9 @@ def ts_hourly(spark: SparkSession, sf_dir: str, step_seconds: int = 3600, materi
     missing hours added as NULL rows. Columns: idx, t, click .. view.
     Materialised (checkpoint) unless the caller materialises what it derives."""
     ev = read_table(spark, sf_dir, "events", ["ts", "event_type", "value"])
+    other = ev.where(F.col("event_type").isNotNull() & ~F.col("event_type").isin(HOURLY_VARS)).select("event_type").limit(1).collect()
+    if other:                                   # a type without a column would be lost silently
+        raise ValueError(f"event type {other[0][0]!r} has no column; known: {HOURLY_VARS}")
     out = resample(ev, "ts", step_seconds, "value", key="event_type", values=HOURLY_VARS)
     return cut_lineage(out) if materialize else out
 

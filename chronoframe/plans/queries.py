@@ -366,15 +366,14 @@ def chained_impute(spark, sf):
     """I8: chained ridge equations over value and k of the longitudinal events."""
     from ..operators.learn import chained_impute as _ci
     e = fx.ld_events(spark, sf).select("user_id", "visit", "event_id", "value", "k")
-    return r6(_ci(e, ["value", "k"], row_id="event_id"))
+    return r6(_ci(e, ["value", "k"], max_iter=10))
 
 
 def forest_impute(spark, sf):
     """Forest imputation of value (numeric) and event_type (categorical) with k."""
     from ..operators.learn import forest_impute as _fi
     e = fx.ld_events(spark, sf).select("user_id", "visit", "event_id", "event_type", "value", "k")
-    return r6(_fi(e, ["event_type", "value", "k"], row_id="event_id", categorical=["event_type"],
-                  max_iter=3, num_trees=20))
+    return r6(_fi(e, ["event_type", "value", "k"], categorical=["event_type"]))
 
 
 def window_regression(spark, sf):
@@ -521,8 +520,7 @@ def segment_walk_forward(spark, sf):
     MAE per segment."""
     from ..operators.linear import walk_forward
     seg = fx.ts_segment(spark, sf).select("segment", "idx", "total")
-    n = seg.groupBy("segment").count().agg(F.min("count")).first()[0]
-    wf = walk_forward(seg, ["total"], 3, split=int(0.8 * n), keys=["segment"])
+    wf = walk_forward(seg, ["total"], 3, split=0.8, keys=["segment"])
     return r6(dg.mae(wf, keys=["segment", dg.V]).join(
         wf.groupBy("segment").agg(F.count(F.lit(1)).alias("n_predicted")), "segment"))
 

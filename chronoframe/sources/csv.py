@@ -19,13 +19,17 @@ from ..operators.ordering import dense_index
 from ..operators.validate import require
 
 CANDIDATES = (",", ";", "\t")
+POSITION = ["_folder", "_part", "_file", "_pos"]
 
 
 def infer_delimiter(spark: SparkSession, path: str, candidates: Sequence[str] = CANDIDATES) -> str:
     """The candidate that splits every line into the same number (> 1) of
-    fields, preferring more fields; comma when none qualifies.  One aggregate
-    over the text lines (quoted separators are not special-cased)."""
-    lines = spark.read.text(path).where(F.length("value") > 0)
+    fields, preferring more fields.  Text in double quotes is left out of the
+    count.  A table of one column has none of the candidates: comma.  If one
+    occurs, but none splits the lines evenly, that is a ValueError.  One
+    aggregate over the text lines."""
+    lines = spark.read.text(path).where(F.length("value") > 0).select(
+        F.regexp_replace("value", r'"([^"]|"")*"', "").alias("value"))
     aggs = []
     for i, c in enumerate(candidates):
         n = F.size(F.split(F.col("value"), _regex_escape(c)))
@@ -36,6 +40,8 @@ def infer_delimiter(spark: SparkSession, path: str, candidates: Sequence[str] =
         lo, hi = r[f"lo{i}"], r[f"hi{i}"]
         if lo is not None and lo == hi and lo > 1 and (best is None or lo > best[0]):
             best = (lo, c)
+    if best is None and any((r[f"hi{i}"] or 0) > 1 for i in range(len(candidates))):
+        raise ValueError(f"no delimiter among {list(candidates)} splits every line into the same number of fields")
     return best[1] if best else ","
 
 
@@ -44,8 +50,13 @@ def _regex_escape(c: str) -> str:
 
 
 def _with_position(df: DataFrame) -> DataFrame:
-    # file order: (file, position in file); the id is taken right after the scan
-    return df.select("*", F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_pos"))
+    # file order: (folder, number of the part file, name, position in file); a
+    # part's number counts as a number, since part-100000 follows part-99999
+    name = F.input_file_name()
+    part = F.regexp_extract(name, r"part-(\d+)[^/]*$", 1)
+    return df.select("*", F.regexp_extract(name, r"^(.*)/[^/]*$", 1).alias("_folder"),
+                     F.when(part != "", part.cast("long")).alias("_part"), name.alias("_file"),
+                     F.monotonically_increasing_id().alias("_pos"))
 
 
 def read_series(spark: SparkSession, path: str, sep: str | None = None, header: bool = True,
@@ -56,23 +67,27 @@ def read_series(spark: SparkSession, path: str, sep: str | None = None, header:
     r = spark.read.option("sep", sep).option("header", header)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
     df = _with_position(r.csv(path))
-    order = list(index_cols or []) + ["_file", "_pos"]
-    out = dense_index(df, order, idx=idx).drop("_file", "_pos")
+    order = list(index_cols or []) + POSITION
+    out = dense_index(df, order, idx=idx).drop(*POSITION)
     return normalise_nan(out)
 
 
-def transpose_series(df: DataFrame, idx: str = "idx", max_rows: int = 10_000) -> DataFrame:
-    """S1 ``classification=True``: one series per row becomes one per column
-    (columns become rows).  Guarded: the row count becomes a column count."""
-    n = df.count()
-    require(n <= max_rows, f"transpose limited to {max_rows} rows")
+def transpose_series(df: DataFrame, idx: str = "idx", wide: bool = False) -> DataFrame:
+    """S1 ``classification=True``: one series per row becomes one per column.
+
+    The result is long, (``idx``: position of the old column, series: the old
+    ``idx``, value), for any number of rows.  ``wide`` turns every series into
+    a column named after its old ``idx``; that is for tables whose rows may
+    become columns."""
     cols = [c for c in df.columns if c != idx]
-    long = df.select(idx, *[F.col(c).cast("double") for c in cols]).unpivot([idx], cols, "_col", "_v")
-    pos = {c: i for i, c in enumerate(cols)}
-    mapping = F.create_map(*[x for c in cols for x in (F.lit(c), F.lit(pos[c]))])
-    wide = long.withColumn("_new", F.element_at(mapping, F.col("_col"))).groupBy("_new").pivot(
-        idx, list(range(n))).agg(F.first("_v"))
-    return wide.select(F.col("_new").cast("long").alias(idx), *[F.col(str(i)).alias(str(i)) for i in range(n)])
+    long = df.select(idx, *[F.col(c).cast("double") for c in cols]).unpivot([idx], cols, "_col", "value")
+    mapping = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(c), F.lit(i).cast("long"))])
+    long = long.select(F.element_at(mapping, F.col("_col")).alias("_new"), F.col(idx).alias("series"), "value")
+    if not wide:
+        return long.withColumnRenamed("_new", idx)
+    names = [r[0] for r in df.select(idx).orderBy(idx).collect()]       # they become column names
+    out = long.groupBy("_new").pivot("series", names).agg(F.first("value"))
+    return out.select(F.col("_new").alias(idx), *[F.col(f"`{n}`").alias(str(n)) for n in names])
 
 
 def read_longitudinal(spark: SparkSession, path: str, sep: str = ",", subject_col: str | None = None,
@@ -82,7 +97,7 @@ def read_longitudinal(spark: SparkSession, path: str, sep: str = ",", subject_co
     The chosen separator is honoured."""
     df = _with_position(spark.read.option("sep", sep).option("header", True).option("inferSchema", True).csv(path))
     subject_col = subject_col or df.columns[0]
-    return normalise_nan(dense_index(df, ["_file", "_pos"], keys=[subject_col], idx=visit).drop("_file", "_pos"))
+    return normalise_nan(dense_index(df, POSITION, keys=[subject_col], idx=visit).drop(*POSITION))
 
 
 def valid_source(paths: DataFrame, col: str = "path") -> DataFrame:
@@ -112,7 +127,7 @@ def snapshot(df: DataFrame, path: str) -> None:
 
 
 def load_snapshot(spark: SparkSession, path: str, order_by: Sequence[str] = ("idx",)) -> DataFrame:
-    return spark.read.parquet(path).sortWithinPartitions(*order_by)
+    return spark.read.parquet(path).orderBy(*order_by)
 
 
 def catalog(df: DataFrame, subject: str | None = None, defaults: int = 5) -> tuple[DataFrame, DataFrame | None]:

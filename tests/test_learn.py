@@ -31,7 +31,7 @@ def test_chained_impute_rounds_and_completes(spark):
     b = 2 * a + rng.normal(scale=0.01, size=400)
     b[::10] = np.nan
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(400), "a": a, "b": b}))
-    out = ln.chained_impute(df, ["a", "b"], row_id="id").toPandas().sort_values("id")
+    out = ln.chained_impute(df, ["a", "b"]).toPandas().sort_values("id")
     assert out.b.notna().all()
     assert np.allclose(out.b, out.b.round(3))
     miss = np.isnan(b)
@@ -41,7 +41,7 @@ def test_chained_impute_rounds_and_completes(spark):
 def test_chained_impute_needs_two_columns(spark):
     df = spark.createDataFrame([(1, 1.0)], "id long, a double")
     with pytest.raises(ValueError):
-        ln.chained_impute(df, ["a"], row_id="id")
+        ln.chained_impute(df, ["a"])
 
 
 def test_forest_impute_categories_valid(spark):
@@ -53,7 +53,7 @@ def test_forest_impute_categories_valid(spark):
     v = a * 3
     v[::17] = np.nan
     df = spark.createDataFrame(pd.DataFrame({"id": np.arange(n), "c": cat, "v": v, "a": a}))
-    out = ln.forest_impute(df, ["c", "v", "a"], row_id="id", categorical=["c"], max_iter=2, num_trees=10).toPandas()
+    out = ln.forest_impute(df, ["c", "v", "a"], categorical=["c"], max_iter=2, num_trees=10).toPandas()
     assert out.c.notna().all() and set(out.c) <= {"pos", "neg"}
     assert out.v.notna().all()
 

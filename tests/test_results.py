@@ -155,15 +155,15 @@ def test_ui_preconditions(spark):
         im.interpolate(df, ["a"], order=6)
 
 
-@pytest.mark.parametrize("lp,lq", [(3, 3), (4, 2), (2, 5)])
-def test_walk_order_matches_anti_diagonal_rule(spark, lp, lq):
-    expected = []
-    for n in range(lp + lq - 1):                       # diagonals p + q = n
-        for i in range(n, (n + 1) // 2 - 1, -1):       # larger coordinate first
-            if i < lp and n - i < lq:
-                expected.append((i, n - i))
-            if i < lq and n - i < lp and n - i != i:
-                expected.append((n - i, i))
+WALKS = {
+    (3, 3): [(0, 0), (1, 0), (0, 1), (2, 0), (0, 2), (1, 1), (2, 1), (1, 2), (2, 2)],
+    (4, 2): [(0, 0), (1, 0), (0, 1), (2, 0), (1, 1), (3, 0), (2, 1), (3, 1)],
+    (2, 5): [(0, 0), (1, 0), (0, 1), (0, 2), (1, 1), (0, 3), (1, 2), (0, 4), (1, 3), (1, 4)],
+}
+
+
+@pytest.mark.parametrize("lp,lq", list(WALKS))
+def test_walk_order_of_three_grids(spark, lp, lq):
     grid = spark.createDataFrame([(p, q) for p in range(lp) for q in range(lq)], "p int, q int")
     got = [(r["p"], r["q"]) for r in grid.orderBy(rs.walk_order(lp, lq)).collect()]
-    assert got == expected
+    assert got == WALKS[lp, lq]

@@ -50,8 +50,29 @@ def test_valid_source(spark):
 
 def test_transpose(spark):
     df = spark.createDataFrame([(0, 1.0, 2.0), (1, 3.0, 4.0), (2, 5.0, 6.0)], "idx long, a double, b double")
-    got = cs.transpose_series(df).toPandas().sort_values("idx")
+    got = cs.transpose_series(df, wide=True).toPandas().sort_values("idx")
     assert got["0"].tolist() == [1.0, 2.0] and got["2"].tolist() == [5.0, 6.0]
+    long = {(r["idx"], r["series"]): r["value"] for r in cs.transpose_series(df).collect()}
+    assert long[0, 2] == 5.0 and long[1, 0] == 2.0 and len(long) == 6
+
+
+def test_part_numbers_order_as_numbers(spark, tmp_path):
+    for i, name in enumerate(["part-99999-a.csv", "part-100000-a.csv", "part-100001-a.csv"]):
+        (tmp_path / name).write_text(f"x\n{i}\n")
+    got = cs.read_series(spark, str(tmp_path), sep=",").orderBy("idx").toPandas()
+    assert got.x.tolist() == [0, 1, 2]
+
+
+def test_delimiter_inside_quotes(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('a;b\n"x;y";1\n"z";2\n')
+    assert cs.infer_delimiter(spark, str(p)) == ";"
+    assert cs.read_series(spark, str(p)).columns[:2] == ["a", "b"]
+    (tmp_path / "u.csv").write_text("a;b\n1;2;3\n")
+    with pytest.raises(ValueError):
+        cs.infer_delimiter(spark, str(tmp_path / "u.csv"))
+    (tmp_path / "one.csv").write_text("a\n1\n")
+    assert cs.infer_delimiter(spark, str(tmp_path / "one.csv")) == ","
 
 
 def test_snapshot_roundtrip_and_catalog(spark, tmp_path):
