@@ -340,4 +340,63 @@ l AS (SELECT variable, idx, value, lag(value) OVER (PARTITION BY variable ORDER
 SELECT variable, round(avg(abs(p - value)), 6) AS mae FROM l, sp WHERE idx >= split GROUP BY variable"""
     q["overlap_average"] = "WITH " + DAILY + """, e AS (SELECT idx + 1 + CAST(h AS BIGINT) AS idx, total AS p FROM daily, generate_series(0, 2) AS g(h))
 SELECT 'total' AS variable, idx, round(avg(p), 6) AS predicted, CAST(count(*) AS BIGINT) AS n_predictions FROM e GROUP BY idx"""
+    q["big_key_index"] = """SELECT event_id, CAST(key AS VARCHAR) AS key, CAST(row_number() OVER (PARTITION BY key ORDER BY event_id) - 1 AS BIGINT) AS pos
+FROM (SELECT event_id, CASE WHEN event_id % 13 <> 0 THEN user_id + 9007199254740992 END AS key FROM events)"""
+    q["one_hot_levels"] = """WITH li AS (SELECT l_orderkey * 10 + l_linenumber AS row,
+  CASE WHEN l_linenumber <> 3 THEN l_partkey END AS part, l_returnflag AS flag FROM lineitem),
+p AS (SELECT part, CAST(row_number() OVER (ORDER BY part NULLS LAST) - 1 AS BIGINT) AS level, CAST(count(*) OVER () AS BIGINT) AS n
+      FROM (SELECT DISTINCT part FROM li)),
+f AS (SELECT flag, CAST(row_number() OVER (ORDER BY flag NULLS LAST) - 1 AS BIGINT) AS level, CAST(count(*) OVER () AS BIGINT) AS n
+      FROM (SELECT DISTINCT flag FROM li))
+SELECT row, 'part' AS variable, level, n AS n_levels FROM li JOIN p ON li.part IS NOT DISTINCT FROM p.part
+UNION ALL SELECT row, 'flag', level, n FROM li JOIN f ON li.flag IS NOT DISTINCT FROM f.flag"""
+    q["adf_users"] = "WITH " + LD + """,
+d AS (SELECT user_id, coalesce(value, 0.0) AS y, lag(coalesce(value, 0.0)) OVER (PARTITION BY user_id ORDER BY visit) AS y1,
+        count(*) OVER (PARTITION BY user_id) AS len FROM ld),
+g AS (SELECT user_id, any_value(len) AS len, regr_count(y - y1, y1) AS n, regr_slope(y - y1, y1) AS b, regr_sxx(y - y1, y1) AS sxx,
+        regr_syy(y - y1, y1) AS syy, regr_sxy(y - y1, y1) AS sxy FROM d GROUP BY user_id)
+SELECT user_id, CASE WHEN len >= 6 THEN round(b / sqrt((syy - sxy * sxy / sxx) / (n - 2) / sxx), 6) END AS adf_stat,
+  CAST(CASE WHEN len >= 6 THEN 0 END AS INTEGER) AS used_lag, CAST(CASE WHEN len >= 6 THEN n END AS BIGINT) AS nobs FROM g"""
+    q["granger_lag1"] = "WITH " + DIFF + """,
+l AS (SELECT variable, idx, value, lag(value) OVER (PARTITION BY variable ORDER BY idx) AS v1 FROM dlong),
+s AS (SELECT t.variable AS target, x.variable AS source, count(*) AS n, regr_sxx(t.value, t.v1) AS s11, regr_sxx(t.value, x.v1) AS s22,
+        regr_sxy(t.v1, x.v1) AS s12, regr_syy(t.value, t.v1) AS yy, regr_sxy(t.value, t.v1) AS y1, regr_sxy(t.value, x.v1) AS y2
+      FROM l t JOIN l x ON x.idx = t.idx AND x.variable <> t.variable WHERE t.v1 IS NOT NULL GROUP BY ALL),
+r AS (SELECT target, source, n, yy - y1 * y1 / s11 AS own,
+        yy - (y1 * y1 * s22 - 2 * y1 * y2 * s12 + y2 * y2 * s11) / (s11 * s22 - s12 * s12) AS joint FROM s)
+SELECT target, source, round(n * (own - joint) / joint, 6) AS chi2 FROM r"""
+    q["segment_ar1"] = """WITH day AS (SELECT c_mktsegment AS segment, o_orderdate AS t, sum(o_totalprice) AS total
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+s AS (SELECT segment, CAST(row_number() OVER w - 1 AS BIGINT) AS idx, total, lag(total) OVER w AS y1,
+        floor(count(*) OVER (PARTITION BY segment) * 0.8::DOUBLE) AS start FROM day WINDOW w AS (PARTITION BY segment ORDER BY t)),
+f AS (SELECT *, regr_slope(total, y1) OVER e AS b, regr_avgx(total, y1) OVER e AS mx, regr_avgy(total, y1) OVER e AS my FROM s WHERE idx >= 1
+  WINDOW e AS (PARTITION BY segment ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT segment, idx, round(total, 4) AS observed, round(my + b * (y1 - mx), 4) AS predicted,
+  round(total - (my + b * (y1 - mx)), 4) AS residual FROM f WHERE idx >= start AND start > 3"""
+    q["active_customers"] = "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT o_custkey FROM orders)"
+    q["csv_names"] = """SELECT doc_id, 'dir.d/' || source || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.tar.csv' ELSE '.txt' END AS path,
+  regexp_full_match(source || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.tar.csv' ELSE '.txt' END, '[^.]+\\.csv') AS valid
+FROM documents"""
+    q["minmax_roundtrip"] = "WITH " + FILLED + f"SELECT idx, {_r(VARS)} FROM filled"
+    q["acf_display"] = "SELECT variable, lag, acf, CAST(0.5 AS DOUBLE) AS gap FROM (WITH " + DIFF + _acf("dlong") + ")"
+    q["naive_residuals"] = "WITH " + FILLED + """,
+l AS (SELECT variable, idx, value, lag(value) OVER (PARTITION BY variable ORDER BY idx) AS p FROM flong)
+SELECT variable, idx, round(value, 6) AS observed, round(p, 6) AS predicted, round(value - p, 6) AS residual FROM l WHERE p IS NOT NULL"""
+    q["accepted_imputation"] = "WITH " + LD + "SELECT user_id, visit, round(" + _fill_subject("value", False) + ", 6) AS value, k FROM ld"
+    q["drop_sparse_columns"] = "WITH " + LD + "SELECT user_id, visit, event_type, k FROM ld"
+    q["incomplete_columns"] = "WITH " + LD + """SELECT * FROM (
+  SELECT 'event_type' AS variable, CAST(count(*) - count(event_type) AS BIGINT) AS n_missing FROM ld
+  UNION ALL SELECT 'value', count(*) - count(value) FROM ld UNION ALL SELECT 'k', count(*) - count(k) FROM ld) WHERE n_missing > 0"""
+    q["event_value_bands"] = """SELECT event_type, round(avg(value), 6) AS mean, round(avg(value) - 2 * stddev_pop(value), 6) AS lower,
+  round(avg(value) + 2 * stddev_pop(value), 6) AS upper FROM events GROUP BY event_type"""
+    q["record_lows"] = """WITH day AS (SELECT c_mktsegment AS segment, o_orderdate AS t, sum(o_totalprice) AS total
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+s AS (SELECT segment, CAST(row_number() OVER (PARTITION BY segment ORDER BY t) - 1 AS BIGINT) AS idx, total FROM day),
+m AS (SELECT *, min(total) OVER (PARTITION BY segment ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM s)
+SELECT segment, 'total' AS criterion, idx, round(total, 6) AS value FROM m WHERE low IS NULL OR total < low"""
+    q["observed_and_predicted"] = "WITH " + FILLED + """
+SELECT variable, idx, 'observed' AS kind, round(value, 6) AS value, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper FROM flong
+UNION ALL SELECT variable, idx + 1, 'predicted', round(value, 6), NULL, NULL FROM flong"""
+    q["transposed_days"] = "WITH " + DAILY + """SELECT CAST(0 AS BIGINT) AS idx, idx AS series, round(total, 6) AS value FROM daily
+UNION ALL SELECT CAST(1 AS BIGINT), idx, CAST(n AS DOUBLE) FROM daily"""
     return q

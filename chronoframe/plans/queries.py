@@ -415,9 +415,9 @@ def dynamic_classifier(spark, sf):
 def rbm_structure(spark, sf):
     """RBM weights over the encoded document attributes (lang, source, quality, toxic)."""
     from ..operators.learn import rbm_structure as _rbm
-    d = fx.ml_docs(spark, sf).select("lang", "source", "quality", "toxic")
-    enc, _ = tf.encode_for_rbm(d, ["lang", "source", "quality", "toxic"])
-    return r6(_rbm(enc, n_hidden=4, n_iter=10, learning_rate=0.1))
+    d = fx.ml_docs(spark, sf).select("doc_id", "lang", "source", "quality", "toxic")
+    enc, _ = tf.encode_for_rbm(d, ["lang", "source", "quality", "toxic"], keep=["doc_id"])
+    return r6(_rbm(enc, n_hidden=4, n_iter=10, learning_rate=0.1, row_id="doc_id"))
 
 
 # ---------------------------------------------------------------- sources
@@ -602,3 +602,126 @@ def bh_ljung_box(spark, sf):
     n = res.groupBy(dg.V).agg(F.count(F.lit(1)).alias("n"))
     lb = dg.ljung_box(a, n, lags=10)
     return r6(bh_correct(lb.select(dg.V, "lag", "p_value")))
+
+
+# ----------------------------------------- single operators, each with its SQL
+
+def big_key_index(spark, sf):
+    """Dense index per key for keys beyond 2^53 (neighbours that a double cannot
+    tell apart) and a NULL key."""
+    e = fx.read_table(spark, sf, "events", ["event_id", "user_id"]).select(
+        "event_id", F.when(F.col("event_id") % 13 != 0, F.col("user_id") + F.lit(9007199254740992)).alias("key"))
+    # the key as text: a comparison by way of doubles would not see the difference
+    return dense_index(e, ["event_id"], keys=["key"], idx="pos").withColumn("key", F.col("key").cast("string"))
+
+
+def one_hot_levels(spark, sf):
+    """T8/T9 with any number of levels: position of every line item's part and
+    order status flag in the one-hot vectors."""
+    li = fx.read_table(spark, sf, "lineitem", ["l_orderkey", "l_linenumber", "l_partkey", "l_returnflag"])
+    li = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"),
+                   F.when(F.col("l_linenumber") != 3, F.col("l_partkey")).alias("part"), F.col("l_returnflag").alias("flag"))
+    return tf.one_hot_sparse(li, ["part", "flag"], "row")
+
+
+def adf_users(spark, sf):
+    """D5 with lag 0 on every user's value series, whatever its length."""
+    from ..operators.linear import adf as _adf
+    e = fx.ld_events(spark, sf).select("user_id", "visit", F.coalesce("value", F.lit(0.0)).alias("value"))
+    return r6(_adf(e, idx="visit", keys=["user_id"], maxlag=0).select("user_id", "adf_stat", "used_lag", "nobs"))
+
+
+def granger_lag1(spark, sf):
+    """C1 at lag 1 for every ordered pair of the differenced hourly series."""
+    from ..operators.linear import granger
+    d = tf.difference(hourly_filled(spark, sf), VARS, order=1, check=False)
+    out = granger(d, VARS, maxlag=1).where(F.col("target") != F.col("source"))
+    return r6(out.select("target", "source", "chi2"))
+
+
+def segment_ar1(spark, sf):
+    """F5 per segment: AR(1) one-step forecasts of the last fifth of each
+    segment's own days."""
+    from ..operators.linear import walk_forward
+    seg = fx.ts_segment(spark, sf).select("segment", "idx", "total")
+    return r6(walk_forward(seg, ["total"], 1, split=0.8, keys=["segment"]).drop("variable"), 4)
+
+
+def active_customers(spark, sf):
+    """Events of the users who are customers with an order."""
+    e = fx.read_table(spark, sf, "events", ["event_id", "user_id", "event_type"])
+    o = fx.read_table(spark, sf, "orders", ["o_custkey"]).select(F.col("o_custkey").alias("user_id"))
+    return ms.get_subject(e, "user_id", None, subjects_df=o)
+
+
+def csv_names(spark, sf):
+    """S5 on file names derived from the documents' sources."""
+    from ..sources.csv import valid_source
+    d = fx.read_table(spark, sf, "documents", ["doc_id", "source"])
+    name = F.concat(F.lit("dir.d/"), F.col("source"), F.when(F.col("doc_id") % 3 == 0, ".csv").when(
+        F.col("doc_id") % 3 == 1, ".tar.csv").otherwise(".txt"))
+    return valid_source(d.select("doc_id", name.alias("path")))
+
+
+def minmax_roundtrip(spark, sf):
+    """Scaled to (-1, 1) and back."""
+    f = hourly_filled(spark, sf)
+    scaled, ranges = tf.minmax_scale(f, VARS)
+    return r6(tf.minmax_inverse(scaled, ranges))
+
+
+def acf_display(spark, sf):
+    """D3: the ACF with its display band."""
+    return r6(dg.plot_bands(dg.acf(hourly_diff_long(spark, sf), alpha=None)).drop("band"))
+
+
+def naive_residuals(spark, sf):
+    """Observed minus the previous value."""
+    long = dg.long_series(hourly_filled(spark, sf), VARS)
+    pred = long.select(dg.V, (F.col("idx") + 1).alias("idx"), F.col("value").alias("predicted"))
+    return r6(dg.residuals(long, pred))
+
+
+def accepted_imputation(spark, sf):
+    """Carried-forward values accepted into the visits where a user has one."""
+    e = fx.ld_events(spark, sf).select("user_id", "visit", "value", "k")
+    return r6(im.apply_imputation(e, im.locf(e, ["value"], "visit", "user_id"), ["value"], idx="visit", keys=["user_id"]))
+
+
+def drop_sparse_columns(spark, sf):
+    """Columns with more than a tenth of their values missing go."""
+    e = fx.ld_events(spark, sf).select("user_id", "visit", "event_type", "value", "k")
+    return ms.drop_high_missing(e, "user_id", threshold=0.1)
+
+
+def incomplete_columns(spark, sf):
+    """M3: columns with a missing value."""
+    e = fx.ld_events(spark, sf)
+    return ms.missing_columns(e, ["event_type", "value", "k"])
+
+
+def event_value_bands(spark, sf):
+    """Mean and two standard deviations of the values per event type."""
+    from ..operators.results import draw_interval
+    return r6(draw_interval(fx.read_table(spark, sf, "events", ["event_type", "value"]), ["event_type"]))
+
+
+def record_lows(spark, sf):
+    """days that set a new low of order total or order count per market segment."""
+    from ..operators.results import running_minima
+    d = fx.ts_segment(spark, sf).select("segment", "idx", "total")
+    return r6(running_minima(d, ["total"], ["idx"], keys=["segment"]).select("segment", "criterion", "idx", "value"))
+
+
+def observed_and_predicted(spark, sf):
+    """tagged rows of the series and its previous-value prediction."""
+    from ..operators.results import forecast_plot_table
+    long = dg.long_series(hourly_filled(spark, sf), VARS)
+    pred = long.select(dg.V, (F.col("idx") + 1).alias("idx"), F.col("value").alias("predicted"))
+    return r6(forecast_plot_table(long, pred, None))
+
+
+def transposed_days(spark, sf):
+    """The daily table with every day a series, in long form."""
+    from ..sources.csv import transpose_series
+    return r6(transpose_series(fx.ts_daily(spark, sf).select("idx", "total", "n")))

@@ -19,6 +19,9 @@ _SQL_CHECKED = [
     "rbm_encode", "replace_values", "subjects",
     "ld_nearest_mean", "ld_difference", "ld_acf", "seasonal_decompose_mult",
     "ld_interpolate", "ljung_box_naive", "bh_ljung_box",
+    "big_key_index", "one_hot_levels", "adf_users", "granger_lag1", "segment_ar1", "active_customers", "csv_names",
+    "minmax_roundtrip", "acf_display", "naive_residuals", "accepted_imputation", "drop_sparse_columns",
+    "incomplete_columns", "event_value_bands", "record_lows", "observed_and_predicted", "transposed_days",
 ]
 
 _NUMERIC = [
