@@ -11,6 +11,7 @@ shard's last few bins stay part-empty, so the loss does not grow with the data.
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 import zlib
@@ -22,63 +23,111 @@ from pyspark.sql import functions as F
 from .common import buckets_for, stored
 
 VOCABULARY = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"                 # the same vocabulary
 END_ID = 2
 SHARD_PIECES = 8192
-CACHE_UNITS = 300_000                           # cached words per Python worker
+CACHE_UNITS = 500_000                           # cached words per Python worker
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[str | None, "Encoder"] = {}
 
 
 class Encoder:
-    """Token ids of whole texts, by the ``tokenizers`` file at ``path``.
+    """Token ids of whole texts, as the ``tokenizers`` file at ``path`` gives them.
 
     The byte-level pattern never joins characters across a single space that
     has non-space characters on both sides, so a text is encoded unit by unit
     (the text up to such a space; the space goes to the next unit) and the
-    units' ids are cached."""
+    units' ids are cached.  New units are encoded many at a time: joined by
+    spaces with ``tiktoken``, if ``ranks`` is the same vocabulary as ranks, and
+    taken apart where a token begins with a space; the other units by
+    ``tokenizers`` itself."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranks: str | None = None):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.heads: dict[str, bytes] = {}
-        self.rests: dict[str, bytes | None] = {}
-
-    def _learn(self, units: set, cache: dict, space: str) -> None:
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = None
+        if ranks is not None:
+            import public_tokenizers
+            import tiktoken
+            with open(ranks, "rb") as f:
+                table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+            self.spaced = np.zeros(max(table.values()) + 1, bool)
+            self.spaced[[i for t, i in table.items() if t[:1] == b" "]] = True
+        self.rests: dict[str, bytes | None] = {}        # of units after a space; None: not a unit by itself
+
+    def _slow(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def inner(self, unit: str) -> bytes:
+        """Ids of a unit that a careful split gave (it may end in white space)."""
+        known = self.rests[unit]
+        return self._slow([" " + unit])[0] if known is None else known
+
+    def _learn(self, split: list[list[str]]) -> None:
+        cache = self.rests
+        units: set = set()
+        for u in split:
+            units.update(u[1:])
         new = [u for u in units if u not in cache]
-        if len(cache) + len(new) > CACHE_UNITS:
-            cache.clear()
-            new = list(units)
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            for u, e in zip(part, self.tokenizer.encode_batch([space + u for u in part], add_special_tokens=False)):
-                cache[u] = np.array(e.ids, "<u4").tobytes()
+        plain, other = [], []
+        for u in new:
+            if not u or u[0].isspace() or u[-1].isspace():
+                cache[u] = None
+            elif self.fast is None or " " in u or any(t in u for t in self.special):
+                other.append(u)
+            else:
+                plain.append(u)
+        for lo in range(0, len(plain), 256):
+            part = plain[lo:lo + 256]
+            ids = np.array(self.fast.encode_ordinary(" " + " ".join(part)), "<u4")
+            cut = np.append(np.flatnonzero(self.spaced[ids]), len(ids)) * 4
+            if len(cut) != len(part) + 1:       # a token with a space inside: not a byte-level vocabulary
+                other += part
+                continue
+            raw, cut = ids.tobytes(), cut.tolist()
+            for u, a, b in zip(part, cut, cut[1:]):
+                cache[u] = raw[a:b]
+        for lo in range(0, len(other), 4096):
+            part = other[lo:lo + 4096]
+            cache.update(zip(part, self._slow([" " + u for u in part])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        split = []
-        for t in texts:
-            units = t.split(" ")
-            if any(not u or u[0].isspace() or u[-1].isspace() for u in units):
-                units = _GAP.split(t)
-            split.append(units)
-        heads = {u[0] for u in split}
-        rests: set = set()
-        for u in split:
-            rests.update(u[1:])
-        self._learn(heads, self.heads, "")
-        self._learn(rests, self.rests, " ")
+        split = [t.split(" ") for t in texts]
+        heads = self._slow([u[0] for u in split])
+        if len(self.rests) > CACHE_UNITS:
+            self.rests.clear()
+        self._learn(split)
         rest = self.rests.__getitem__
-        return [self.heads[u[0]] + b"".join(map(rest, u[1:])) for u in split]
+        out, odd = [], []
+        for i, (head, u) in enumerate(zip(heads, split)):
+            try:
+                if u[0][-1:].isspace() or not u[0] and len(u) > 1:
+                    raise TypeError
+                out.append(head + b"".join(map(rest, u[1:])))
+            except TypeError:                   # spaces beside white space: split with care
+                out.append(b"")
+                odd.append(i)
+        if odd:
+            careful = [_GAP.split(texts[i]) for i in odd]
+            self._learn(careful)
+            for i, head, u in zip(odd, self._slow([u[0] for u in careful]), careful):
+                out[i] = head + b"".join(map(self.inner, u[1:]))
+        return out
 
 
 def encoder(path: str | None) -> Encoder:
-    if path is None:
-        import public_tokenizers
-        path = public_tokenizers.path(VOCABULARY)
+    """The worker's encoder for a ``tokenizers`` file (the default vocabulary if None)."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
+        if path is None:
+            import public_tokenizers
+            _ENCODERS[path] = Encoder(public_tokenizers.path(VOCABULARY), public_tokenizers.path(RANKS))
+        else:
+            _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
