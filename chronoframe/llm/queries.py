@@ -92,6 +92,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {fn.__name__: _ready(fn) for fn in _QUERIES}
 
 
+#: documents as lists of words
+WORD_LISTS = r"""t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"""
+
+OP1_SQL = "WITH RECURSIVE " + WORD_LISTS + """,
+s AS (SELECT DISTINCT doc_id, list_slice(w, k, k + 4) AS g
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, least(len(w), 1)))) AS k FROM t)),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.g = b.g WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n i ON i.doc_id = x JOIN n j ON j.doc_id = y WHERE 5 * common >= 4 * (i.c + j.c - common)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON l.x = r.y)
+SELECT x AS doc_id, min(y) AS class_id, (SELECT count(*) FROM l WHERE l.x = r.x) AS n_links, count(*) AS class_size
+FROM r GROUP BY x
+"""
+
+OP10_SQL = "WITH " + WORD_LISTS + """,
+v AS (SELECT doc_id, k, min(doc_id) OVER (PARTITION BY list_slice(w, k, k + 12)) AS first
+      FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS k FROM t)),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(k, k + 12)) AS k FROM v WHERE first < doc_id),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.k) AS text, count(*) AS n
+         FROM (SELECT doc_id, unnest(w) AS word, unnest(generate_series(1, len(w))) AS k FROM t) x
+         ANTI JOIN gone g ON g.doc_id = x.doc_id AND g.k = x.k GROUP BY x.doc_id)
+SELECT t.doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
 OP9_SQL = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
@@ -127,4 +152,5 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM mi
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_source_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_ngram_jaccard_join": OP1_SQL, "op7_source_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL,
+            "op10_substring_dedup": OP10_SQL}
