@@ -15,14 +15,14 @@ from .validate import require, require_complete
 
 def run_forecast(df: DataFrame, cols: Sequence[str], model: str, split: int, p: int = 1,
                  order: tuple = (1, 0, 0), seasonal: tuple | None = None, forecast_window: int | None = None,
-                 idx: str = "idx", alpha: float = 0.05) -> dict:
+                 idx: str = "idx", alpha: float = 0.05, trend: str | None = None) -> dict:
     """Returns {'predictions', 'errors', 'coefficients', 'forecast'} DataFrames.
 
     model='var': VAR(p) over >= 2 variables, prefix-Gram walk-forward (refit at
     every test step), coefficients refitted on all rows, h-step forecast.
-    model='sarimax': one variable; without MA / seasonal terms an exact
-    walk-forward of the AR model on the differenced series; otherwise one-step
-    predictions with parameters fitted on the training rows.  The forecast
+    model='sarimax': one variable, no constant unless ``trend`` is 'c'; every
+    test row is predicted by a refit on the rows before it (see
+    :func:`linear.sarima_one_step`).  The forecast
     always comes from a refit on all rows (the reference forecast from a model
     that had not seen the last test row)."""
     cols = list(cols)
@@ -41,27 +41,11 @@ def run_forecast(df: DataFrame, cols: Sequence[str], model: str, split: int, p:
         require(seasonal is None or all(v >= 0 for v in seasonal), "seasonal orders must be >= 0")
         col = cols[0]
         long_y = df.select(idx, F.col(col).cast("double").alias("value"))
-        pp, d, q = order
-        if q == 0 and not (seasonal and seasonal[3]):
-            preds = _ar_walk_forward_integrated(long_y, pp, d, split, idx)
-        else:
-            preds = ln.sarima_one_step(long_y, order, seasonal, split, idx)
+        preds = ln.sarima_one_step(long_y, order, seasonal, split, idx, trend=trend)
         preds = preds.select(F.lit(col).alias(V), idx, "observed", "predicted", "residual")
-        coefs, fc = ln.sarima(long_y, order, seasonal, steps=forecast_window or 0, alpha=alpha, idx=idx)
+        coefs, fc = ln.sarima(long_y, order, seasonal, steps=forecast_window or 0, alpha=alpha, idx=idx, trend=trend)
         if fc is not None:
             fc = fc.select(F.lit(col).alias(V), "*")
     else:
         raise ValueError(f"unknown model {model!r}")
     return {"predictions": preds, "errors": mae(preds), "coefficients": coefs, "forecast": fc}
-
-
-def _ar_walk_forward_integrated(long_y: DataFrame, p: int, d: int, split: int, idx: str) -> DataFrame:
-    """AR(p) walk-forward on the d-th difference w; back in y the prediction is
-    ``y_hat = w_hat + (y - w)``, so the residual is the same in both spaces."""
-    from .transform import difference
-    w = difference(long_y, ["value"], order=d, idx=idx, check=False) if d else long_y
-    wf = ln.walk_forward(w, ["value"], p, split - d, idx=idx)
-    wf = wf.select((F.col(idx) + F.lit(d)).alias(idx), "residual")
-    y = long_y.where(F.col(idx) >= split)
-    return y.join(wf, idx).select(idx, F.col("value").alias("observed"),
-                                  (F.col("value") - F.col("residual")).alias("predicted"), "residual")

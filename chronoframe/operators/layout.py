@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .validate import bounded_distinct
 
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
@@ -52,7 +53,8 @@ def resample(df: DataFrame, ts: str, step_seconds: int, value: str, key: str | N
     else:
         g = b.groupBy("_bucket").agg(aggf("_v").alias(value))
         out_cols = [value]
-    lo_hi = b.agg(F.min("_bucket").alias("lo"), F.max("_bucket").alias("hi")).first()
+    g = cut_lineage(g)                          # one row per bucket: the events are read once
+    lo_hi = g.agg(F.min("_bucket").alias("lo"), F.max("_bucket").alias("hi")).first()
     lo, hi = lo_hi["lo"], lo_hi["hi"]
     if lo is None:
         return g.select(F.lit(None).cast("long").alias("idx"), F.lit(None).cast("timestamp_ntz").alias("t"),

@@ -564,10 +564,20 @@ def walk_forward(df: DataFrame, cols: Sequence[str], p: int, split: int | float,
     design = lg.where(F.col(idx) >= p).select(
         *keys, idx, F.array(F.lit(1.0), *[F.col(c).cast("double") for c in xcols]).alias("_x"),
         F.array(*[F.col(c).cast("double") for c in targets]).alias("_y"))
+    carry_from = lengths if share else None
+    return prefix_forecasts(design, 1 + len(xcols), targets, split, idx, keys, size, carry_from)
+
+
+def prefix_forecasts(design: DataFrame, mx: int, targets: Sequence[str], split: int | None, idx: str, keys: list, size: int,
+                     starts: DataFrame | None = None) -> DataFrame:
+    """Expanding-window forecasts of a regression of arrays ``_y`` on arrays
+    ``_x`` (``mx`` regressors): every row from ``split`` on (or from the
+    series' own ``_from`` in ``starts``) is predicted by the fit to the rows
+    before it."""
+    my, d = len(targets), mx + len(targets)
+    share = starts is not None
+    kschema = (_key_schema(design, keys) + ", ") if keys else ""
     design = add_blocks(design, idx, size).drop("_halo")
-    mx, my = 1 + len(xcols), len(targets)
-    d = mx + my
-    kschema = (_key_schema(df, keys) + ", ") if keys else ""
 
     # partial Gram of [x, y] per (series, block): one numpy Z^T Z per task
     tri = np.triu_indices(d)
@@ -587,7 +597,7 @@ def walk_forward(df: DataFrame, cols: Sequence[str], p: int, split: int | float,
     carry = carry.groupBy(*keys, BLK).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_c"))),
                                                       lambda e: e["_c"]).alias("_carry"))
     if share:
-        carry = carry.join(lengths, keys)
+        carry = carry.join(starts, keys)
     else:
         carry = carry.withColumn("_from", F.lit(int(split)).cast("long"))
     schema = f"{kschema}{V} string, {idx} long, observed double, predicted double"
@@ -638,7 +648,8 @@ def arma_design(long_y: DataFrame, P: int, Q: int, idx: str = "idx", value: str
     ar_lags = sorted(set(ar_lags)) if ar_lags is not None else list(range(1, P + 1))
     ma_lags = sorted(set(ma_lags)) if ma_lags is not None else list(range(1, Q + 1))
     n = long_y.count()
-    m = long_ar or _hr_initial_order(n, max(ar_lags, default=0), max(ma_lags, default=0))
+    # without MA terms no innovations are needed: every row counts
+    m = long_ar or (_hr_initial_order(n, max(ar_lags, default=0), max(ma_lags, default=0)) if ma_lags else 0)
     lg = lagged(long_y.select(idx, value), [value], lags=range(1, m + 1), idx=idx, size=size)
     ycols = [f"{value}_lag{k}" for k in range(1, m + 1)]
     z1 = [F.lit(1.0)] + [F.col(c).cast("double") for c in ycols] + [F.col(value).cast("double")]
@@ -696,10 +707,28 @@ def arma_grid(long_y: DataFrame, limit_p: int, limit_q: int, idx: str = "idx", v
     return long_y.sparkSession.createDataFrame(recs, "p int, q int, nobs long, aic double, aicc double, bic double")
 
 
+def _with_constant(trend: str | None, default: bool) -> bool:
+    require(trend in (None, "c", "n"), "trend must be 'c' or 'n'")
+    return default if trend is None else trend == "c"
+
+
+def _fit(G: np.ndarray, n: int, mm: int, constant: bool):
+    """(coefficients with a 0 for a constant left out, ssr, their variances
+    per unit of innovation variance, number of regressors)."""
+    xs = list(range(0 if constant else 1, mm - 1))
+    b, var = np.zeros(mm - 1), np.zeros(mm - 1)
+    if not xs:
+        return b, float(G[mm - 1, mm - 1]), var, 0
+    beta, ssr, inv = ols_from_gram(G, xs, [mm - 1], n)
+    b[xs], var[xs] = beta[:, 0], np.diag(inv)
+    return b, float(ssr[0]), var, len(xs)
+
+
 def arima_fit(long_y: DataFrame, p: int, d: int, q: int, idx: str = "idx", value: str = "value",
-              size: int | None = None) -> DataFrame:
+              size: int | None = None, trend: str | None = None) -> DataFrame:
     """ARIMA(p, d, q) by Hannan-Rissanen two-stage regression after
-    ``d`` differences.  Output: term, coef, std_err, plus sigma2 and the
+    ``d`` differences.  ``trend`` 'c' has a constant and 'n' none; by default
+    there is one only without differencing.  Output: term, coef, std_err, plus sigma2 and the
     information criteria as extra rows."""
     from .transform import difference
     y = long_y.select(idx, value)
@@ -710,14 +739,14 @@ def arima_fit(long_y: DataFrame, p: int, d: int, q: int, idx: str = "idx", value
     g = gram(d2.where(F.col(idx) >= start).withColumn(SERIES, F.lit(0)), z, [SERIES]).first()
     mm = len(z)
     G, n = unpack(g["g"], mm), int(g["n"])
-    xs = list(range(0, mm - 1))
-    beta, ssr, inv = ols_from_gram(G, xs, [mm - 1], n)
-    s2 = float(ssr[0]) / max(n - len(xs), 1)
+    constant = _with_constant(trend, d == 0)
+    b, ssr, var, kx = _fit(G, n, mm, constant)
+    s2 = ssr / max(n - kx, 1)
     names = ["const"] + [f"ar{k}" for k in range(1, p + 1)] + [f"ma{k}" for k in range(1, q + 1)]
-    k = len(xs) + 1
-    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(float(ssr[0]) / n) + 1.0)
-    recs = [(nm, float(beta[i, 0]), float(math.sqrt(max(s2 * inv[i, i], 0.0)))) for i, nm in enumerate(names)]
-    recs += [("sigma2", float(ssr[0]) / n, None), ("aic", -2 * llf + 2 * k, None),
+    k = kx + 1
+    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1.0)
+    recs = [(nm, float(b[i]), float(math.sqrt(max(s2 * var[i], 0.0)))) for i, nm in enumerate(names) if i or constant]
+    recs += [("sigma2", ssr / n, None), ("aic", -2 * llf + 2 * k, None),
              ("bic", -2 * llf + k * math.log(n), None), ("nobs", float(n), None)]
     return long_y.sparkSession.createDataFrame(recs, "term string, coef double, std_err double")
 
@@ -753,7 +782,8 @@ def sarima_lags(order: tuple, seasonal: tuple | None) -> tuple[list[int], list[i
 
 
 def _sarima_core(long_y: DataFrame, order: tuple, seasonal: tuple | None, idx: str, value: str,
-                 size: int | None, fit_until: int | None = None) -> dict:
+                 size: int | None, fit_until: int | None = None, trend: str | None = None) -> dict:
+    constant = _with_constant(trend, False)
     if seasonal and seasonal[3] and tuple(order) == (0, 0, 0):
         order = (1, 0, 0)
     ar, ma, d, D, s = sarima_lags(tuple(order), tuple(seasonal) if seasonal else None)
@@ -783,49 +813,56 @@ def _sarima_core(long_y: DataFrame, order: tuple, seasonal: tuple | None, idx: s
     g = gram(rows.withColumn(SERIES, F.lit(0)), z, [SERIES]).first()
     mm = len(z)
     G, n = unpack(g["g"], mm), int(g["n"])
-    xs = list(range(0, mm - 1))
-    beta, ssr, inv = ols_from_gram(G, xs, [mm - 1], n)
-    return dict(ar=ar, ma=ma, dpoly=dpoly, k0=k0, y=y, d2=d2, zcols=zcols, start=start, b=beta[:, 0],
-                ssr=float(ssr[0]), inv=inv, n=n, xs=xs)
+    b, ssr, var, kx = _fit(G, n, mm, constant)
+    return dict(ar=ar, ma=ma, dpoly=dpoly, k0=k0, y=y, d2=d2, zcols=zcols, start=start, b=b, ssr=ssr, var=var, n=n, kx=kx,
+                constant=constant)
 
 
 def sarima_one_step(long_y: DataFrame, order: tuple, seasonal: tuple | None, split: int, idx: str = "idx",
-                    value: str = "value", size: int | None = None) -> DataFrame:
-    """One-step predictions of y for rows ``idx >= split`` with the model
-    fitted on the rows before ``split`` (both Hannan-Rissanen stages see the
-    training rows only).  In differenced space the prediction is the fitted
-    regression; back in y, ``y_hat = w_hat + (y - w)``.  Output (idx,
-    observed, predicted, residual)."""
-    c = _sarima_core(long_y, order, seasonal, idx, value, size, fit_until=split)
-    b, zcols, k0 = c["b"], c["zcols"], c["k0"]
-    fitted = F.lit(float(b[0]))
-    for i, col in enumerate(zcols[:-1]):
-        fitted = fitted + F.lit(float(b[1 + i])) * F.col(col)
-    pw = c["d2"].where(F.col(idx) >= c["start"]).select(
-        (F.col(idx) + F.lit(k0)).alias(idx), (F.col(value) - fitted).alias("residual"))
+                    value: str = "value", size: int | None = None, trend: str | None = None) -> DataFrame:
+    """One-step predictions of y for rows ``idx >= split``, the model refitted
+    at every step: the regression on value and innovation lags is an expanding
+    one (prefix Grams); the long autoregression that estimates the innovations
+    is fitted once, on the rows before ``split``.  In differenced space the
+    prediction is the fitted regression; back in y, ``y_hat = w_hat + (y - w)``.
+    Output (idx, observed, predicted, residual)."""
+    c = _sarima_core(long_y, order, seasonal, idx, value, size, fit_until=split, trend=trend)
+    zcols, k0 = c["zcols"], c["k0"]
+    x = ([F.lit(1.0)] if c["constant"] else []) + [F.col(z) for z in zcols[:-1]]
+    rows = c["d2"].where(F.col(idx) >= c["start"])
+    if not x:                                   # nothing to fit: the differenced series is predicted by 0
+        pw = rows.where(F.col(idx) >= split - k0).select((F.col(idx) + F.lit(k0)).alias(idx), F.col(value).alias("residual"))
+    else:
+        require(split - k0 > c["start"] + len(x), "split too small for the model order")
+        design = rows.select(idx, F.array(*x).alias("_x"), F.array(F.col(value)).alias("_y"))
+        wf = prefix_forecasts(design, len(x), [value], split - k0, idx, [], block_size(long_y.sparkSession, size))
+        pw = wf.select((F.col(idx) + F.lit(k0)).alias(idx), "residual")
     out = c["y"].where(F.col(idx) >= split).join(pw, idx)
     return out.select(idx, F.col(value).alias("observed"), (F.col(value) - F.col("residual")).alias("predicted"),
                       "residual")
 
 
 def sarima(long_y: DataFrame, order: tuple = (1, 0, 0), seasonal: tuple | None = None, steps: int = 0,
-           alpha: float = 0.05, idx: str = "idx", value: str = "value", size: int | None = None):
+           alpha: float = 0.05, idx: str = "idx", value: str = "value", size: int | None = None,
+           trend: str | None = None):
     """(seasonal) ARIMA by Hannan-Rissanen regressions on the
     differenced series ``(1-L)^d (1-L^s)^D y``, and an h-step forecast of y
     with interval ``mean +- z sigma sqrt(sum psi_j^2)`` where psi are the
     weights of ``theta(L) / (phi(L) (1-L)^d (1-L^s)^D)``.  A seasonal order
     without a non-seasonal one uses AR(1), as the reference's model does.
+    ``trend`` 'c' adds a constant to the differenced equation; by default
+    there is none, so forecasts of a differenced series don't drift.
     Returns (coefficients, forecast or None)."""
     spark = long_y.sparkSession
-    c = _sarima_core(long_y, order, seasonal, idx, value, size)
+    c = _sarima_core(long_y, order, seasonal, idx, value, size, trend=trend)
     ar, ma, dpoly, y, d2, zcols = c["ar"], c["ma"], c["dpoly"], c["y"], c["d2"], c["zcols"]
-    b, n, inv, xs = c["b"], c["n"], c["inv"], c["xs"]
+    b, n, var = c["b"], c["n"], c["var"]
     sigma2 = c["ssr"] / n
-    s2 = c["ssr"] / max(n - len(xs), 1)
+    s2 = c["ssr"] / max(n - c["kx"], 1)
     names = ["const"] + [f"ar_L{k}" for k in ar] + [f"ma_L{k}" for k in ma]
     llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(sigma2) + 1.0)
-    kpar = len(xs) + 1
-    recs = [(nm, float(b[i]), float(math.sqrt(max(s2 * inv[i, i], 0.0)))) for i, nm in enumerate(names)]
+    kpar = c["kx"] + 1
+    recs = [(nm, float(b[i]), float(math.sqrt(max(s2 * var[i], 0.0)))) for i, nm in enumerate(names) if i or c["constant"]]
     recs += [("sigma2", sigma2, None), ("aic", -2 * llf + 2 * kpar, None),
              ("bic", -2 * llf + kpar * math.log(n), None), ("nobs", float(n), None)]
     coefs = spark.createDataFrame(recs, "term string, coef double, std_err double")

@@ -240,7 +240,7 @@ def test_sarima_forecast_planted_ar1_with_drift(spark):
         w[t] = 0.5 * w[t - 1] + 1.0 + 0.1 * rng.normal()       # differenced series
     y = np.cumsum(w)                                           # integrated once
     df = spark.createDataFrame(pd.DataFrame({"idx": np.arange(n), "value": y}))
-    coefs, fc = ln.sarima(df, (1, 1, 0), None, steps=5)
+    coefs, fc = ln.sarima(df, (1, 1, 0), None, steps=5, trend="c")
     c = coefs.toPandas().set_index("term").coef
     assert abs(c["ar_L1"] - 0.5) < 0.05
     f = fc.toPandas().sort_values("idx")
@@ -308,7 +308,7 @@ def test_run_forecast_ar_integrated_equals_naive(spark):
         w[t] = 0.6 * w[t - 1] + rng.normal()
     y = np.cumsum(w) + 100
     df = spark.createDataFrame(pd.DataFrame({"idx": np.arange(n), "y": y}))
-    res = run_forecast(df, ["y"], "sarimax", split=300, order=(1, 1, 0), forecast_window=3)
+    res = run_forecast(df, ["y"], "sarimax", split=300, order=(1, 1, 0), forecast_window=3, trend="c")
     pr = res["predictions"].toPandas().sort_values("idx")
     assert len(pr) == 100
     dw = np.diff(y)                                           # dw[j] = y[j+1] - y[j]
@@ -347,3 +347,37 @@ def test_pcmci_target_fanout_equals_single_task(spark, filled):
     assert len(a) == len(b)
     assert np.allclose(a.val.to_numpy(), b.val.to_numpy(), equal_nan=True, atol=1e-12)
     assert (a.significant.to_numpy() == b.significant.to_numpy()).all()
+
+
+def test_differenced_models_have_no_constant_by_default(spark):
+    rng = np.random.default_rng(3)
+    y = np.cumsum(0.5 + rng.normal(size=600))
+    df = spark.createDataFrame(pd.DataFrame({"idx": np.arange(600), "value": y}))
+    coefs, fc = ln.sarima(df, (1, 1, 0), None, steps=40)
+    assert "const" not in [r.term for r in coefs.collect()]
+    last = fc.orderBy("idx").collect()
+    assert abs(last[-1]["mean"] - last[10]["mean"]) < 0.5      # no drift
+    assert "const" not in [r.term for r in ln.arima_fit(df, 1, 1, 0).collect()]
+    assert "const" in [r.term for r in ln.arima_fit(df, 1, 0, 0).collect()]
+
+
+def test_refit_at_every_step_with_ma_terms(spark):
+    """The regression on value and innovation lags is fitted to the rows before
+    each test row; the innovations come from the training rows' long AR."""
+    rng = np.random.default_rng(4)
+    n, split = 300, 260
+    e = rng.normal(size=n)
+    y = np.zeros(n)
+    for t in range(1, n):
+        y[t] = 0.5 * y[t - 1] + e[t] + 0.4 * e[t - 1]
+    df = spark.createDataFrame(pd.DataFrame({"idx": np.arange(n), "value": y}))
+    got = ln.sarima_one_step(df, (1, 0, 1), None, split, size=64).toPandas().set_index("idx").predicted
+    m = ln._hr_initial_order(n, 1, 1)
+    lags = np.column_stack([np.ones(n - m), *[y[m - k:n - k] for k in range(1, m + 1)]])
+    beta, *_ = np.linalg.lstsq(lags[:split - m], y[m:split], rcond=None)
+    res = np.full(n, np.nan)
+    res[m:] = y[m:] - lags @ beta
+    for t in (260, 275, 299):
+        rows = np.arange(m + 1, t)
+        b, *_ = np.linalg.lstsq(np.column_stack([y[rows - 1], res[rows - 1]]), y[rows], rcond=None)
+        assert got[t] == pytest.approx(b @ [y[t - 1], res[t - 1]], abs=1e-7)
