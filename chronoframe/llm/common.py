@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
+_TABLES: list[str] = []                         # folders of this process' stored tables
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the session's checkpoint folder, which
     every executor shares, and read it back: the rows no longer depend on the
@@ -25,9 +29,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``stored(make(), name)``, after which the tables that ``make`` stored on
+    the way are deleted."""
+    before = len(_TABLES)
+    out = stored(make(), name)
+    spark = out.sparkSession
+    for path in _TABLES[before:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _TABLES[before:-1]
+    return out
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chronoframe.llm import exact_dedup, jaccard_join, langid, mixing, packing
-from chronoframe.llm.common import stored, table
+from chronoframe.llm.common import stored_alone, table
 from chronoframe.llm.queries import remainder
 from chronoframe.session import ensure_checkpoint_dir, ship_package
 
@@ -61,5 +61,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before = docs
+        docs = stored_alone(lambda: stage(spark, before, sf_dir), name)  # noqa: B023
     return STAGES[-1][1](spark, docs, sf_dir)
