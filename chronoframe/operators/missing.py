@@ -58,14 +58,22 @@ def has_missing(df: DataFrame, cols: Sequence[str]) -> bool:
     return bool(df.agg(F.bool_or(F.array_contains(F.array(*[_null(c) for c in cols]), True))).first()[0])
 
 
-def column_summary(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+def column_summary(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False, subject: str | None = None,
+                   subject_ids=None, decimals: int | None = None) -> DataFrame:
     """Per column: observations, missing, missing share, distinct non-null, distinct share (M9).
+    With ``subject`` and ``subject_ids`` over those subjects' rows; ``decimals`` rounds the shares.
 
     Shares use all rows as denominator.  Exact distinct counts are several
     ``count(DISTINCT)`` in one aggregate (Spark expands once and shuffles
     (column, value) pairs after a partial aggregate); ``approx=True`` uses
     HyperLogLog sketches instead."""
     cols = list(cols or df.columns)
+    if subject is not None and subject_ids is not None:
+        df = get_subject(df, subject, subject_ids)
+
+    def share(x):
+        x = F.try_divide(x.cast("double"), n)
+        return x if decimals is None else F.round(x, decimals)
     dist = F.approx_count_distinct if approx else F.count_distinct
     row = df.agg(F.count(F.lit(1)).alias("_n"),
                  *[F.count_if(_null(c)).alias(f"m{i}") for i, c in enumerate(cols)],
@@ -77,8 +85,8 @@ def column_summary(df: DataFrame, cols: Sequence[str] | None = None, approx: boo
     n = F.col("observations").cast("double")
     return out.select(
         "s.variable", "observations", "s.n_missing",
-        F.try_divide(F.col("s.n_missing").cast("double"), n).alias("missing_share"),
-        "s.n_distinct", F.try_divide(F.col("s.n_distinct").cast("double"), n).alias("distinct_share"))
+        share(F.col("s.n_missing")).alias("missing_share"),
+        "s.n_distinct", share(F.col("s.n_distinct")).alias("distinct_share"))
 
 
 def subject_missing(df: DataFrame, subject: str, cols: Sequence[str]) -> DataFrame:

@@ -1,7 +1,7 @@
 """Variance-stabilising power transforms (Box-Cox when the column is
 positive, Yeo-Johnson otherwise) with the exponent chosen by maximum
-likelihood.  Each likelihood evaluation is one aggregate over the column;
-a coarse grid is evaluated in one pass, then golden-section refinement."""
+likelihood.  One pass over the column evaluates the likelihood at a whole grid
+of exponents; each further pass refines the grid around the best one."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MAX_WIDTH = 64.0                                # of the searched range of exponents
+
+
 def _bc(x, lam: float):
     return F.log(x) if abs(lam) < 1e-12 else (F.pow(x, F.lit(lam)) - 1.0) / lam
 
@@ -26,20 +29,16 @@ def _llf_exprs(col: str, lams, boxcox: bool):
     out = []
     for i, lam in enumerate(lams):
         y = _bc(x, lam) if boxcox else _yj(x, lam)
-        jac = F.log(x) if boxcox else F.signum(x) * F.log1p(F.abs(x))
-        out += [F.sum(y).alias(f"s{i}"), F.sum(y * y).alias(f"q{i}"), F.sum(jac).alias(f"j{i}")]
+        out += [F.var_pop(y).alias(f"v{i}")]
+    jac = F.log(x) if boxcox else F.signum(x) * F.log1p(F.abs(x))
+    out.append(F.sum(jac).alias("j"))
     return out
 
 
 def _llfs(df, col, lams, boxcox):
-    r = df.agg(F.count(F.lit(1)).alias("n"), *_llf_exprs(col, lams, boxcox)).first()
-    n = r["n"]
-    res = []
-    for i, lam in enumerate(lams):
-        mean = r[f"s{i}"] / n
-        var = max(r[f"q{i}"] / n - mean * mean, 1e-300)
-        res.append((lam - 1.0) * r[f"j{i}"] - n / 2.0 * math.log(var))
-    return res
+    r = df.agg(F.count(col).alias("n"), *_llf_exprs(col, lams, boxcox)).first()
+    # var_pop centres as it goes: no difference of two large sums
+    return [(lam - 1.0) * r["j"] - r["n"] / 2.0 * math.log(max(r[f"v{i}"], 1e-300)) for i, lam in enumerate(lams)]
 
 
 def stabilize_variance(df: DataFrame, col: str, lo: float = -2.0, hi: float = 2.0, steps: int = 41,
@@ -47,26 +46,25 @@ def stabilize_variance(df: DataFrame, col: str, lo: float = -2.0, hi: float = 2.
     """Returns (frame with ``col`` transformed, lambda)."""
     mn = df.agg(F.min(col)).first()[0]
     boxcox = mn is not None and mn > 0
-    for _ in range(8):
+    if mn is None:
+        return df, 1.0                          # no values: the identity, but for a constant
+    while True:
         grid = [lo + (hi - lo) * i / (steps - 1) for i in range(steps)]
         vals = _llfs(df, col, grid, boxcox)
         k = max(range(steps), key=lambda i: vals[i])
         if 0 < k < steps - 1:
             break
-        # maximum on the edge of the grid: move the window that way
         width = hi - lo
-        lo, hi = (lo - width / 2, lo + width / 2) if k == 0 else (hi - width / 2, hi + width / 2)
-    a, b = grid[max(k - 1, 0)], grid[min(k + 1, steps - 1)]
-    g = (math.sqrt(5) - 1) / 2
-    c, d = b - g * (b - a), a + g * (b - a)
-    while abs(b - a) > tol:
-        fc, fd = _llfs(df, col, [c, d], boxcox)
-        if fc > fd:
-            b, d = d, c
-            c = b - g * (b - a)
-        else:
-            a, c = c, d
-            d = a + g * (b - a)
+        if width > MAX_WIDTH or len(set(vals)) == 1:
+            raise ValueError(f"the likelihood of {col} has no maximum between {lo} and {hi}")
+        # the maximum is on the edge: a window twice as wide, that way
+        lo, hi = (lo - width, hi) if k == 0 else (lo, hi + width)
+    a, b = grid[k - 1], grid[k + 1]
+    while b - a > tol:
+        grid = [a + (b - a) * i / (steps - 1) for i in range(steps)]
+        vals = _llfs(df, col, grid, boxcox)
+        k = max(range(steps), key=lambda i: vals[i])
+        a, b = grid[max(k - 1, 0)], grid[min(k + 1, steps - 1)]
     lam = (a + b) / 2
     y = _bc(F.col(col), lam) if boxcox else _yj(F.col(col), lam)
     return df.withColumn(col, y), lam

@@ -155,3 +155,19 @@ def test_checkpoint_folder_must_be_named_on_a_cluster(monkeypatch):
         sparkContext, conf = Context(), Conf()
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         ss.ensure_checkpoint_dir(Session())
+
+
+def test_summary_of_one_subject_rounded(spark):
+    from chronoframe.operators import missing as ms
+    df = spark.createDataFrame([(1, 1.0), (1, None), (1, 1.0), (2, 5.0)], "s long, x double")
+    r = ms.column_summary(df, ["x"], subject="s", subject_ids=[1], decimals=3).first()
+    assert (r.observations, r.n_missing, r.missing_share, r.n_distinct, r.distinct_share) == (3, 1, 0.333, 1, 0.333)
+
+
+def test_power_search_widens_until_the_maximum_is_inside(spark):
+    from chronoframe.operators.power import stabilize_variance
+    x = (np.random.default_rng(9).normal(100, 3, 400)).clip(1) ** 0.2
+    _, lam = stabilize_variance(spark.createDataFrame(pd.DataFrame({"x": x})), "x")
+    assert lam > 2.0                              # outside the first window
+    with pytest.raises(ValueError, match="no maximum"):
+        stabilize_variance(spark.createDataFrame(pd.DataFrame({"x": [3.0] * 20})), "x")
