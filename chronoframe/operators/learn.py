@@ -86,15 +86,21 @@ def _initial_fill(df: DataFrame, numeric: list[str], categorical: list[str]) ->
     return df.fillna(fills)
 
 
+def _code(col, levels: list):
+    """Position of a value among ``levels`` (NULL for others): one lookup in a
+    map literal per row, however many levels."""
+    if not levels:
+        return F.lit(None).cast("double")
+    return F.element_at(F.create_map(*[x for i, v in enumerate(levels) for x in (F.lit(v), F.lit(float(i)))]), col)
+
+
 def _encode_categoricals(df: DataFrame, categorical: list[str], max_levels: int = 1000):
     maps = {}
     out = df
     for c in categorical:
         levels = bounded_distinct(df, c, max_levels)
         maps[c] = levels
-        # a map literal: one lookup per row, however many levels
-        codes = F.create_map(*[x for i, v in enumerate(levels) for x in (F.lit(v), F.lit(float(i)))]) if levels else None
-        out = out.withColumn(c, F.lit(None).cast("double") if codes is None else F.element_at(codes, F.col(c)))
+        out = out.withColumn(c, _code(F.col(c), levels))
     return out, maps
 
 
@@ -366,7 +372,7 @@ def sensitivity(model, data: DataFrame, feats: Sequence[str], eps: float = 1e-3)
 # ------------------------------------------------------ N8 window classifier
 
 def window_classifier(df: DataFrame, subject: str, visit: str, inputs: Sequence[str], target: str,
-                      window: int, test_subjects: DataFrame, iters: Sequence[int] = (10, 50),
+                      window: int, test_subjects: DataFrame, iters: Sequence[int] = (5, 10, 20, 35, 50),
                       hidden: Sequence[int] = (16,), seed: int = 42) -> DataFrame:
     """Per-subject windows (T11: global scaling, lags never cross
     subjects, missing lags -> 0), subject hold-out split (P6), multilayer
@@ -374,9 +380,7 @@ def window_classifier(df: DataFrame, subject: str, visit: str, inputs: Sequence[
     iterations in ``iters``.  Output: (max_iter, accuracy, val_accuracy)."""
     from .transform import subject_split, subject_windows
     levels = bounded_distinct(df, target, 1000)
-    lab = F.lit(None).cast("double")
-    for i, v in enumerate(levels):
-        lab = F.when(F.col(target) == F.lit(v), F.lit(float(i))).otherwise(lab)
+    lab = _code(F.col(target), levels)
     base = df.select(subject, visit, *inputs, lab.alias("label")).where(F.col("label").isNotNull())
     w = subject_windows(base, subject, visit, inputs, "label", window)
     w = w.fillna(0.0, subset=list(inputs))
@@ -473,18 +477,13 @@ def dynamic_classifier(df: DataFrame, subject: str, visit: str, inputs: Sequence
         feat_base += names
     enc = enc.fillna(0.0, subset=feat_base)
     levels = bounded_distinct(df, target, 1000)
-    lab = F.lit(None).cast("double")
-    for i, v in enumerate(levels):
-        lab = F.when(F.col(target) == F.lit(v), F.lit(float(i))).otherwise(lab)
     # label = the next visit's target; features = current/past inputs
     lg = lagged(enc.select(subject, visit, *feat_base, "_target"), feat_base, lags=range(1, delay), idx=visit,
                 keys=[subject])
     lg = lagged(lg, ["_target"], leads=[1], idx=visit, keys=[subject])
     lag_cols = [f"{c}_lag{k}" for k in range(1, delay) for c in feat_base]
     tr = decayed_trace(lg, feat_base, visit, subject, delay, decay)
-    label = F.lit(None).cast("double")
-    for i, v in enumerate(levels):
-        label = F.when(F.col("_target_lead1") == F.lit(v), F.lit(float(i))).otherwise(label)
+    label = _code(F.col("_target_lead1"), levels)
     feats = feat_base + lag_cols + [f"{c}_trace" for c in feat_base]
     data = tr.fillna(0.0, subset=lag_cols).withColumn("label", label).where(F.col("label").isNotNull())
     data = VectorAssembler(inputCols=feats, outputCol="features").transform(data)

@@ -400,16 +400,34 @@ def window_classifier(spark, sf):
     ranked = dense_index(convs, ["conv_id"], idx="r")
     n = convs.count()
     test = ranked.where(F.col("r") >= F.lit(int(n - n // 5)))
-    return r6(_wc(c, "conv_id", "turn", ["n_chars"], "role", window=3, test_subjects=test, iters=(10, 50)))
+    return r6(_wc(c, "conv_id", "turn", ["n_chars"], "role", window=3, test_subjects=test))
 
 
-def dynamic_classifier(spark, sf):
-    """Next event type per user from one-hot history (delay 3, decay 0.5)."""
+def _dynamic(spark, sf):
+    """Next event type per user from one-hot history (delay 3, decay 0.5); the
+    last fifth of the users is held out."""
     from ..operators.learn import dynamic_classifier as _dc
     e = fx.ld_events(spark, sf).where(F.col("event_type").isNotNull()).select("user_id", "visit", "event_type")
     e = dense_index(e, ["visit"], keys=["user_id"], idx="v2").drop("visit").withColumnRenamed("v2", "visit")
-    metrics, _, _ = _dc(e, "user_id", "visit", ["event_type"], "event_type", delay=3, decay=0.5)
-    return r6(metrics)
+    users = dense_index(e.select("user_id").distinct(), ["user_id"], idx="r")
+    n = users.count()
+    held = users.where(F.col("r") >= F.lit(int(n - n // 5))).select("user_id")
+    return _dc(e, "user_id", "visit", ["event_type"], "event_type", delay=3, decay=0.5, test_subjects=held)
+
+
+def dynamic_classifier(spark, sf):
+    """Recall on the training and the held-out users."""
+    return r6(_dynamic(spark, sf)[0])
+
+
+def dynamic_groups(spark, sf):
+    """Per user, the most frequent predicted and actual event type."""
+    return r6(_dynamic(spark, sf)[1])
+
+
+def dynamic_weights(spark, sf):
+    """Weights per output and input, averaged over the lags."""
+    return r6(_dynamic(spark, sf)[2])
 
 
 def rbm_structure(spark, sf):

@@ -29,7 +29,7 @@ _NUMERIC = [
     "var_param_minima", "var_walk_forward", "ar_walk_forward", "var_forecast", "ljung_box", "leaderboard",
     "arima_fit", "arma_grid_minima", "box_cox",
     "model_impute", "chained_impute", "forest_impute", "window_regression", "nn_forecast",
-    "window_classifier", "dynamic_classifier", "rbm_structure", "pcmci",
+    "window_classifier", "dynamic_classifier", "dynamic_groups", "dynamic_weights", "rbm_structure", "pcmci",
     "imputation_check", "arima_forecast", "sarima_fit", "granger_by_variable",
     "segment_walk_forward", "forecast_table", "sarimax_process", "var_process",
 ]

@@ -117,3 +117,47 @@ def test_forecast_recursive_linear_process(spark):
     assert fc.idx.tolist() == list(range(n, n + 6))
     assert np.allclose(fc["mean"].to_numpy(), 5.0 + 0.05 * np.arange(n, n + 6), atol=1e-3)
     assert (fc.upper >= fc.lower).all()
+
+
+def _steps(spark, n_subjects=30, n=25):
+    """The next kind follows from the present one, but for one step in ten."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for s in range(n_subjects):
+        k = int(rng.integers(3))
+        for v in range(n):
+            rows.append((s, v, "abc"[k], float(k)))
+            k = (k + 1) % 3 if rng.random() > 0.1 else int(rng.integers(3))
+    return spark.createDataFrame(rows, "s long, v long, kind string, x double")
+
+
+def test_window_classifier_learns_the_planted_rule(spark):
+    df = _steps(spark)
+    lead = df.selectExpr("s", "v", "x", "lead(kind) over (partition by s order by v) as nxt")
+    held = df.where("s >= 24").select("s").distinct()
+    out = ln.window_classifier(lead, "s", "v", ["x"], "nxt", 2, held, iters=(1, 60)).toPandas().set_index("max_iter")
+    assert out.accuracy[60] > 0.85 and out.val_accuracy[60] > 0.8
+    assert out.accuracy[60] >= out.accuracy[1]
+
+
+def test_dynamic_classifier_tables(spark):
+    df = _steps(spark)
+    held = df.where("s >= 24").select("s").distinct()
+    metrics, groups, weights = ln.dynamic_classifier(df, "s", "v", ["kind"], "kind", delay=2, test_subjects=held)
+    m = metrics.toPandas().set_index("set")
+    assert m.recall["train"] > 0.85 and m.recall["test"] > 0.8 and m.n.sum() == 30 * 24
+    g = groups.toPandas()
+    assert len(g) == 30 and set(g.group_correct) <= {0, 1}
+    w = weights.toPandas().pivot(index="output", columns="input", values="weight")
+    assert w.shape == (3, 3)
+
+
+def test_decayed_trace_against_a_loop(spark):
+    df = spark.createDataFrame([(s, v, float((s + 1) * v % 5)) for s in (1, 2) for v in range(40)], "s long, v long, x double")
+    got = ln.decayed_trace(df, ["x"], "v", "s", delay=2, decay=0.7, size=8).toPandas().sort_values(["s", "v"])
+    for s, g in got.groupby("s"):
+        a, want = 0.0, []
+        for v in range(40):
+            a = 0.7 * a + (float((s + 1) * (v - 2) % 5) if v >= 2 else 0.0)
+            want.append(a)
+        assert np.allclose(g.x_trace, want)
