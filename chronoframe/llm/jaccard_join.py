@@ -316,14 +316,13 @@ def jaccard_join(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     classes = stored(rows.where("n > 0").groupBy("key").agg(
         first["u"].alias("u"), F.count(F.lit(1)).alias("copies"), F.first("tokens").alias("tokens")), "classes")
 
-    # recursive splitting: stored buckets of every depth
+    # recursive splitting: stored buckets of every depth; the first depth's paths
+    # are cheaper to hash twice than to store
     active = classes.select("u", "tokens").mapInArrow(
         _paths(runs), "u long, run int, " + ", ".join(f"p{k} long" for k in range(DEPTH)))
     buckets = None
     for k in range(DEPTH):
         p = f"p{k}"
-        if k == 0:
-            active = stored(active, "paths")
         size = active.groupBy(p).agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         met = stored(active.join(size, p), f"met-{k}")
         ends = met if k == DEPTH - 1 else met.where(F.col("size") <= seed_small)
@@ -362,13 +361,16 @@ def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall
                      text_col: str = "text") -> DataFrame:
     """``docs``, with all columns, without all but one row of every class that
     :func:`jaccard_join` finds."""
+    def key(sha, i):
+        return F.concat_ws(":", sha, F.coalesce(i.cast("string"), F.lit("null"))).alias("_key")
+
     kept = jaccard_join(docs, n, threshold, recall, id_col, text_col).where("kept").select(
-        F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{id_col}`").cast("long").alias("_id"),
-                       F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("_sha"))
-    rows = rows.join(kept, (F.col("_sha") == F.col("_kept_sha")) & F.col("_id").eqNullSafe(F.col("_kept_id")))
-    # rows that repeat identifier and text are one
-    return rows.groupBy("_sha", "_id").agg(F.first("_doc").alias("_doc")).select("_doc.*")
+        key(F.col("text_sha256"), F.col(id_col))).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"),
+                       key(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256), F.col(f"`{id_col}`").cast("long")))
+    # one shuffle of the texts: the grouping keeps the join's partitioning; rows
+    # that repeat identifier and text are one
+    return rows.join(kept, "_key").groupBy("_key").agg(F.first("_doc").alias("_doc")).select("_doc.*")
 
 
 def _deal(runs: int):
