@@ -4,7 +4,8 @@ A page becomes a list of text blocks in page order.  Every block has the kind
 of region it stands in, its number of words and its link density (the share of
 its words inside links), and takes over words and link density of the blocks
 before and after it.  A decision tree fitted to a small labelled table decides
-which blocks are main text.
+which blocks are main text.  Only what is never main text by its element is
+not put to it: navigation, forms, hidden elements and reader comments.
 """
 
 from __future__ import annotations
@@ -16,32 +17,99 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: regions
-OPEN, MAIN, SIDE = 0, 1, 2
+#: regions; the tree sees the first three, blocks of OUT are never main text
+OPEN, MAIN, SIDE, OUT = 0, 1, 2, 3
+
+#: Page outlines written and labelled by hand.  A block is its region (O, M, S; X for OUT), its
+#: words, its link density in per cent if any, and + if it is main text.
+_PAGES = """
+X1/100 X1/100 S9 M7+ M60+ M45+ M80+ S14
+X3/100 M6+ M3+ M120+ M25/10+ S4/100 S12
+X2/100 S2/100 S3/100 M9+ M30+ M1+ M1+ M2+ M40+ S1
+M4+ M5+ M1+ M12+ M8+
+M1+
+M40+
+M6+ M1+
+M1+ M6+
+M200+ M3+ M90/20+ M150+
+M5+ M50/30+ M2+ M35/45+ M60+
+M8/100+ M55+ M6/100+ M70+ M9/90+ M45+ M2/100 M2/100 M3/100
+M5+ M80+ M30+ M4/100 M5/100 M6/100 M7/100 S10
+M6+ M40+ M2/100 M5/100 M8/100 M12/100 M20/90 S3
+M7/100 M9/100 M6/100 M8/100 M3/100
+M60+ M3/100
+M4+ M20+ M2/100
+M3/100 M4/100 M12+ M30+
+M10+ M14/20+ M22/30+ M30/80 M40/90
+M30/80 M5/100 M8/100
+S3/100 S2/100 O5+ O40+ O60/10+ O30+ O3/100 O4/100 S12
+O2/100 O3/100 O2/100 O6+ O45+ O12+ O80+ O9+ O30+ O1/100 O1/100
+O8 O3/100 O4/100 O9/100 O5/100
+O1 O4 O2/100
+O4
+O9
+O1
+O14+
+O25+
+O30+ O3+ O1/100
+O4 O9 O14+
+O3 O5
+O7+ O60+ O8+ O50+ O4+ O30/10+
+O1+ O60+ O1+
+O60+ O30/80 O40+
+O20/10+ O5/50 O30+ O6/100 O30/80 O120/70
+O2/100 O40+ O3/100 O50+ O2/100
+O9 O3/100 O14/20+ O2/100
+O3/100 O4 O4/100
+O3/100 O9 O2/100
+O4/100 O120+ O4/100
+S4/100 S8/100 S10/100 S20 S3
+S13 M1+ M2+
+S22 M50+ M40+ S18 S20
+S9 S22 S14 S3/100
+S1 S5 S2
+S16 O60+ O50+ S22 S19
+S45+ S60+ S80/10+ S40+
+S120+
+S40+
+S50+ S8 S70+ S15 S45+
+M60+ S55+ M40+
+M50+ S20 M60+ S12 M45+ S6/100
+M6+ S70+ S45/20+ S90+ S15/60
+O6+ S60+ S48+ S3/100
+S40/80 S60/90 S120/70 S30/100
+M30+ S45/70 M40+
+S42+ S5/100 S6/100 S200+
+X40 S12 S18 S60/100 X2
+"""
+_BLOCK = re.compile(r"([OMSX])(\d+)(?:/(\d+))?(\+?)$")
 
 
 def labelled_blocks() -> list[tuple]:
-    """The labelled table: region, words and link density of a block, of the
-    block before and of the block after it (0 words at a page's edge), and
-    whether it is main text.  Blocks of a marked region are labelled by it; of
-    the others, prose of some length or beside such prose is main text."""
-    neighbours = [((0, 0.0), (0, 0.0)), ((3, 1.0), (2, 1.0)), ((8, 0.0), (40, 0.0)), ((40, 0.0), (5, 0.0)),
-                  ((60, 0.1), (60, 0.1)), ((5, 0.0), (4, 0.0)), ((2, 1.0), (50, 0.0)), ((30, 0.0), (3, 1.0))]
+    """The labelled table: region, words and link density of a block, words and
+    link density of the block before and of the block after it (0 at a page's
+    edge), and whether it is main text."""
     rows = []
-    for words, links in ((1, 0.0), (4, 1.0), (9, 0.0), (14, 0.2), (30, 0.0), (30, 0.8), (120, 0.0)):
-        for before, after in neighbours:
-            prose = max((w for w, k in (before, after) if k < 0.35), default=0)
-            open_main = links < 0.35 and (words >= 12 or prose >= 20 and before[1] < 0.35)
-            for region, label in ((MAIN, 1), (SIDE, 0), (OPEN, int(open_main))):
-                rows.append((region, words, links, *before, *after, label))
+    for line in _PAGES.split("\n"):
+        cells = [_BLOCK.match(c).groups() for c in line.split()]
+        x = block_features([("", "OMSX".index(r), int(w), int(w) * int(k or 0) / 100) for r, w, k, _ in cells])
+        rows += [(*f, int(c[3] == "+")) for f, c in zip(x.tolist(), cells) if c[0] != "X"]
     return rows
 
 
 #: elements whose content is no text
-_DROPPED = "script style noscript template textarea title iframe svg math object canvas audio video select datalist"
+_DROPPED = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select datalist".split())
+_CODE = frozenset(("script", "style"))          # these run to the page's end without an end tag
+_CODE_END = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in _CODE}
 #: elements that never hold main text
-_SIDE_TAGS = frozenset("nav footer aside form menu dialog button fieldset".split())
-_SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar".split())
+_OUT_TAGS = frozenset("nav form menu dialog button fieldset".split())
+_OUT_ROLES = frozenset("navigation search form alert dialog alertdialog menu menubar".split())
+_COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: with these parts a name of comments says something of an article
+_NO_COMMENTS = frozenset("has no open closed enabled disabled allowed count link links".split())
+#: elements that seldom do
+_SIDE_TAGS = frozenset("footer aside".split())
+_SIDE_ROLES = frozenset("banner contentinfo complementary".split())
 #: parts of class names and identifiers of such elements
 _SIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation "
@@ -61,11 +129,12 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(_DROPPED.split())})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|</?[a-zA-Z][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+#: a closing slash that is no part of an unquoted value
+_EMPTY = re.compile(r"(?:^|[\s\"'])/\s*$")
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -73,22 +142,27 @@ def _region(tag: str, attrs: str, outer: int) -> int:
     """Region inside an element that stands in region ``outer``."""
     if tag in ("html", "body"):
         return outer
-    if tag in _SIDE_TAGS:
-        return SIDE
+    if tag in _OUT_TAGS:
+        return OUT
+    side = OUT if outer == OUT else SIDE
     hint = outer
     if attrs:
         for name, value in _ATTR.findall(attrs):
             name, value = name.lower(), value.strip("\"'")
             if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                return SIDE
+                return OUT
             if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return SIDE
+                return OUT
+            if name == "role" and value.lower() in _OUT_ROLES:
+                return OUT
             if name == "role" and value.lower() in _SIDE_ROLES:
-                return SIDE
+                return side
             if name in ("class", "id"):
+                if tag not in _MAIN_TAGS and _holds_comments(value):
+                    return OUT
                 words = {w.lower() for w in _PARTS.split(value) if w}
                 if tag not in _MAIN_TAGS and words & _SIDE_WORDS and not (outer == MAIN and words & {"header"}):
-                    return SIDE
+                    return side
                 if words & _MAIN_WORDS and outer == OPEN:
                     hint = MAIN
             if name == "role" and value.lower() in ("main", "article"):
@@ -96,11 +170,31 @@ def _region(tag: str, attrs: str, outer: int) -> int:
     if tag in _MAIN_TAGS:
         # an article among reader comments is a comment; a region that was never closed doesn't matter
         return MAIN
-    if tag == "header" and outer != MAIN:
-        return SIDE
+    if tag in _SIDE_TAGS or tag == "header" and outer != MAIN:
+        return side
     return hint
 
 
+def _holds_comments(value: str) -> bool:
+    """Whether one of the names in a class or id attribute is of reader comments."""
+    parts = [{w.lower() for w in _PARTS.split(name)} for name in value.split()]
+    return any(p & _COMMENTS and not p & _NO_COMMENTS for p in parts)
+
+
+def _ends_of(page: str, tag: str) -> dict[int, int]:
+    """Where the dropped elements ``tag`` end, by the place of their opening
+    tag: at the end tag that belongs to them; one without is empty."""
+    ends: dict[int, int] = {}
+    open_at: list[int] = []
+    for m in re.finditer(r"<!--.*?(?:-->|\Z)|<(?:script|style)(?=[\s/>])[^>]*(?<!/)>.*?</(?:script|style)\s*>"
+                         rf"|<(/?){tag}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", page, re.S | re.I):
+        if m[1] and open_at:
+            ends[open_at.pop()] = m.end()
+        elif m[1] == "" and not _EMPTY.search(m[2]):
+            open_at.append(m.start())
+    return ends
+
+
 def text_blocks(page: str) -> list[tuple[str, int, int, int]]:
     """(text, region, words, words inside links) of a page's blocks, in order."""
     blocks: list[tuple[str, int, int, int]] = []
@@ -129,20 +223,34 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int]]:
                 linked += len(raw.split())
 
     at = 0
-    for m in _TOKEN.finditer(page):
+    dropped: dict[str, dict[int, int]] = {}     # ends by element
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             text(page[at:m.start()])
         at = m.end()
-        if m[3] is None:
+        name = m[2] or m[5]
+        if name is None:
+            continue
+        tag = name.lower()
+        if tag in _DROPPED:
+            if not (m[1] or m[4]):
+                if tag not in _CODE:
+                    if tag not in dropped:
+                        dropped[tag] = _ends_of(page, tag)
+                    at = max(at, dropped[tag].get(m.start(), at))
+                elif not _EMPTY.search(m[3] or ""):
+                    end = _CODE_END[tag].search(page, at)
+                    at = end.end() if end else len(page)
+            continue
+        if m[2] is None:
             continue
-        tag = m[3].lower()
         if tag == "a":
-            in_link = 0 if m[2] else 1
+            in_link = 0 if m[1] else 1
             continue
         block = tag in _BLOCK_TAGS
         if block:
             close()
-        if m[2]:                                # an end tag closes what is open inside its element
+        if m[1]:                                # an end tag closes what is open inside its element
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == tag:
                     comments -= sum(1 for _, _, c in stack[i:] if c)
@@ -161,10 +269,10 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int]]:
                 comments -= bool(stack[-1][2])
                 stack.pop()
                 region = stack[-1][1] if stack else OPEN
-        inside = _region(tag, m[4], region)
-        speaks = inside == SIDE and bool(re.search(r"comment|disqus|respond|repl(?:y|ies)\b", m[4] or "", re.I))
-        if comments and inside == MAIN:
-            inside = SIDE
+        inside = _region(tag, m[3], region)
+        speaks = inside == OUT and any(n.lower() in ("class", "id") and _holds_comments(v.strip("\"'")) for n, v in _ATTR.findall(m[3]))
+        if comments:
+            inside = OUT
         if block or inside != region:
             if inside != region:
                 close()
@@ -238,11 +346,16 @@ def fit_tree(labelled=None) -> DecisionTree:
     return DecisionTree(t[:, :-1], t[:, -1])
 
 
+def kept(x: np.ndarray, tree: DecisionTree) -> np.ndarray:
+    """Which blocks are main text, from their features."""
+    return tree.predict(x) & (x[:, 0] != OUT)
+
+
 def main_text(page: str, tree: DecisionTree) -> str:
     blocks = text_blocks(page)
     if not blocks:
         return ""
-    keep = tree.predict(block_features(blocks))
+    keep = kept(block_features(blocks), tree)
     return "\n".join(b[0] for b, k in zip(blocks, keep) if k)
 
 
@@ -258,7 +371,7 @@ def _extract(tree: DecisionTree):
                 sizes.append(len(b))
                 blocks.append(b)
             full = [block_features(b) for b in blocks if b]
-            keep = tree.predict(np.concatenate(full)) if full else np.zeros(0, bool)
+            keep = kept(np.concatenate(full), tree) if full else np.zeros(0, bool)
             at = 0
             for b in blocks:
                 texts.append("\n".join(x[0] for x, k in zip(b, keep[at:at + len(b)]) if k))

@@ -55,3 +55,33 @@ def test_tree_fits_its_table():
     import numpy as np
     x = np.array(table, float)
     assert (tree.predict(x[:, :-1]) == x[:, -1]).mean() > 0.97
+
+
+PROSE = " ".join(f"word{i}" for i in range(50))
+
+
+@pytest.mark.parametrize("page,text", [
+    # words, links and neighbours count inside marked regions too
+    (f"<article><p>{PROSE}</p><ul><li><a href=a>One more story</a><li><a href=b>Another of them</a></ul></article>", PROSE),
+    (f"<div class='page-header-text'><p>{PROSE}</p><p>{PROSE}</p></div>", f"{PROSE}\n{PROSE}"),
+    (f"<article><h2><a href=a>A linked headline</a></h2><p>{PROSE}</p></article>", f"A linked headline\n{PROSE}"),
+    (f"<footer>All rights are ours.</footer><nav>{PROSE}</nav><form>{PROSE}</form><div hidden>{PROSE}</div>", ""),
+    (f"<div class='comments'><p>{PROSE}</p></div>", ""),
+    (f"<div class='post comments-open'><p>{PROSE}</p></div>", PROSE),
+    # no <article> at all
+    (f"<ul><li><a href=/>Home</a><li><a href=b>News</a></ul><h2>Heading</h2><p>{PROSE}</p><p>Then a few.</p><p>{PROSE}</p><div class=ad>Buy now</div>",
+     f"Heading\n{PROSE}\nThen a few.\n{PROSE}"),
+    (f"<table><tr><td><a href=a>A</a><td>{PROSE}<td><a href=b>B</a></table>", PROSE),
+    ("<p>Short.</p><p><a href=a>A</a></p>", ""),
+])
+def test_the_tree_decides_within_regions(page, text):
+    assert html_text.main_text(page, html_text.fit_tree()) == text
+
+
+@pytest.mark.parametrize("element", [
+    "<svg viewBox='0 0 1 1'/>", "<math />", "<svg><use href=#a /></svg>", "<video src=a.mp4>", "<object data=a>", "<audio src='a'>",
+    "<svg><svg><text>no</text></svg>no</svg>", "<svg>", "<script src='a.js'/>", "<script>var s = \"<script \";</script>", "<!-- <svg> -->",
+    "<script>a = '<svg>'</script>", "<canvas title='a > b'>no</canvas>", "<iframe src=http://a/>no</iframe>"])
+def test_dropped_elements_swallow_no_text(element):
+    page = f"<article><p>Before.</p>{element}<p>{PROSE}</p><svg>no</svg><p>After.</p></article>"
+    assert html_text.main_text(page, html_text.fit_tree()) == f"Before.\n{PROSE}\nAfter."
