@@ -1,24 +1,33 @@
 """Language-model scoring by Katz backoff.
 
-Counts: every chunk of documents sends its distinct words, and later its
-distinct word pairs, with their training counts to buckets of the hash space;
-a bucket adds them up and answers every chunk in the order of its request.
-The answers and the buckets' tables are stored, partitioned by bucket.
-Words get dense numbers, so that a pair is one 64-bit key.
-
-Model: P(w | h) = d(c) c(h, w) / c(h) for a pair seen in training, else
-alpha(h) P(w), where alpha(h) gives the mass that discounting freed to the
-words not seen after h, exactly: alpha(h) = (1 - sum of the seen pairs'
-probabilities) / (1 - sum of P over the same words).  P(w) = d(c) c(w) / N for
-a seen word, and what is left goes to the one unknown word.  The discounts d
-are Good-Turing's for counts up to five (Katz 1987), with their own counts of
-counts at each level.  A history without a discounted pair, or a level whose
-counts of counts allow no valid discounts, adds one to its total instead and
-so keeps the same identity.
+Counts: every chunk of documents sends its distinct words, and then level by
+level its distinct n-grams, with their training counts to buckets of the hash
+space; a bucket adds them up and answers every chunk in the order of its
+request.  The answers and the buckets' tables are stored, partitioned by
+bucket.  Words and the n-grams seen in training get dense numbers, so that an
+n-gram is one 64-bit key: the number of its history and that of its last word.
+
+Model: P(w | h) = d(c) c(h w) / c(h) for an n-gram seen in training, else
+alpha(h) P(w | h'), where h' is h without its first word and alpha(h) gives
+the mass that discounting freed to the words not seen after h, exactly:
+alpha(h) = (1 - sum of the seen n-grams' probabilities) / (1 - sum of
+P(. | h') over the same words).  An unseen history leaves P(w | h') as it is.
+P(w) = d(c) c(w) / N for a seen word, and what is left goes to the one unknown
+word.  The discounts d are Good-Turing's for counts up to five (Katz 1987),
+with their own counts of counts at each level.  A history without a discounted
+n-gram, or a level whose counts of counts allow no valid discounts, adds one
+to its total instead and so keeps the same identity.  A text begins with one
+start symbol: its first word has that as its only history, at any order.
+
+An n-gram is seen only if the shorter one without its first word is, so the
+sum over the seen words of P(. | h') is that of d(c) c of the shorter n-grams
+over one total, and requests carry counts only.
 """
 
 from __future__ import annotations
 
+from copy import copy
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +40,8 @@ TOP = 5                                         # largest discounted count
 BUCKET_BYTES = 64 << 20                         # text per bucket
 CHUNK_BYTES = 12 << 20
 HOT_SHARE = 1000                                # a history with more than 1/1000 of all tokens is split by word
-UNKNOWN = (1 << 32) - 1                         # in a pair's key
 END = mix(np.array([0x454E44], np.uint64))[0]
-_ANSWER = ("level int, chunk long, bucket int, a binary, b binary, c binary, d binary, "
+_ANSWER = ("level int, hot boolean, chunk long, bucket int, a binary, b binary, c binary, d binary, "
            "n_types long, n_tokens long, counts array<bigint>, hist long, seen array<bigint>, lower double")
 
 
@@ -91,44 +99,60 @@ class Tokens:
         self.types, self.at = np.unique(stream, return_inverse=True)
 
     def numbered(self, replies: list[dict], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(number or -1, training count) of every type; ``base`` is the first
-        number of every bucket."""
-        number, count = [], []
+        """(number or -1, training count) of every token's word; ``base`` is
+        the first number of every bucket."""
+        number, count = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for r in sorted((r for r in replies if r["level"] == 1), key=lambda r: r["bucket"]):
             c = unpack(r["b"], np.uint32).astype(np.int64)
-            number.append(np.where(c > 0, unpack(r["a"], np.uint32).astype(np.int64) + base[r["bucket"]], -1))
+            number.append(np.where(c > 0, unpack_sorted(r["a"]).astype(np.int64) + base[r["bucket"]], -1))
             count.append(c)
-        if not number:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(number), np.concatenate(count)
-
-    def pairs(self, number: np.ndarray, count: np.ndarray, start: int, hot_over: float, n_buckets: int):
-        """Keys of all distinct pairs with a known word before (the head of a
-        document is the word ``start``), in the order of requests: usual
-        histories first, by bucket and key; see :class:`Pairs`."""
-        word = number[self.at]
-        before, before_count = np.empty_like(word), np.empty_like(word)
-        before[1:], before_count[1:] = word[:-1], count[self.at][:-1]
-        before[self.head], before_count[self.head] = start, np.iinfo(np.int64).max
-        token = np.flatnonzero(before >= 0)
-        key = (before[token].astype(np.uint64) << U64(32)) | np.where(word[token] < 0, UNKNOWN, word[token]).astype(np.uint64)
-        keys, one, inverse = np.unique(key, return_index=True, return_inverse=True)
-        hot = before_count[token][one] > hot_over
-        place = mix((keys >> U64(32)) * U64(2) + U64(1))
+        return np.concatenate(number)[self.at], np.concatenate(count)[self.at]
+
+
+class Levels:
+    """What all tasks know of the model: how keys are made and dealt, and of
+    every finished level the first numbers of its buckets (at level k + 1 those
+    of the hot histories follow), its discounts and its hot histories."""
+
+    def __init__(self, n_buckets: int, hot_over: float, lower: Unigrams, base: np.ndarray, n_train_docs: int):
+        self.n_buckets, self.hot_over, self.lower, self.n_train_docs = n_buckets, hot_over, lower, n_train_docs
+        self.start = lower.v                    # number of the start symbol
+        self.bits = (lower.v + 1).bit_length()  # of a word in a key
+        self.unknown = (1 << self.bits) - 1
+        self.base, self.discounts, self.hot = {1: base}, {1: lower.d}, {}
+
+    @property
+    def top(self) -> int:
+        return max(self.discounts)
+
+
+class Grams:
+    """A chunk's distinct n-grams of a level that have a known history, in the
+    order of requests: usual histories first, by bucket and key.  token: tokens
+    with a known history; at: their n-grams; of every n-gram the key, its
+    history, whether that is hot, its bucket, and one of its tokens."""
+
+    def __init__(self, t: Tokens, levels: Levels, level: int, word: np.ndarray, number: np.ndarray, count: np.ndarray):
+        """``number`` and ``count`` are those of the n-gram, a level below, that
+        ends at a token."""
+        before, before_count = np.full_like(number, -1), np.zeros_like(count)
+        before[1:], before_count[1:] = number[:-1], count[:-1]
+        before[t.head], before_count[t.head] = (levels.start, np.iinfo(np.int64).max) if level == 2 else (-1, 0)
+        self.token = np.flatnonzero(before >= 0)
+        # a word not seen after the shorter history is not seen after this one
+        last = np.where(count[self.token] > 0, word[self.token], levels.unknown).astype(np.uint64)
+        shift = U64(levels.bits)
+        keys, one, inverse = np.unique((before[self.token].astype(np.uint64) << shift) | last, return_index=True, return_inverse=True)
+        del last, before
+        hot = before_count[self.token[one]] > levels.hot_over
+        place = mix((keys >> shift) * U64(2) + U64(1))
         place = np.where(hot, mix(place + keys), place)          # a hot history is spread by word
-        bucket = np.searchsorted(bucket_edges(n_buckets), place, side="right") - 1
+        bucket = np.searchsorted(bucket_edges(levels.n_buckets), place, side="right") - 1
         order = np.lexsort((keys, bucket, hot))
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        return Pairs(token, rank[inverse], keys[order], hot[order], bucket[order], token[one][order])
-
-
-class Pairs:
-    """token: tokens with a known word before; at: their pairs; of every pair
-    the key, whether its history is hot, its bucket, and one of its tokens."""
-
-    def __init__(self, token, at, keys, hot, bucket, one):
-        self.token, self.at, self.keys, self.hot, self.bucket, self.one = token, at, keys, hot, bucket, one
+        self.at, self.keys, self.hot, self.bucket, self.one = rank[inverse], keys[order], hot[order], bucket[order], self.token[one][order]
+        self.hist = (self.keys >> shift).astype(np.int64)
 
     def requests(self):
         """(hot, bucket, first, last) of every request."""
@@ -140,9 +164,74 @@ class Pairs:
             yield bool(self.hot[i]), int(self.bucket[i]), i, j
 
 
+class Walk:
+    """A chunk's tokens at the highest finished level: number and count of the
+    n-gram that ends at every token, its probability, and its history's total."""
+
+    def __init__(self, row: dict, replies: list[dict], levels: Levels):
+        self.t, self.levels = Tokens(row), levels
+        self.word, self.words = self.t.numbered(replies, levels.base[1])
+        self.number, self.count, self.prob = self.word, self.words, levels.lower(self.words)
+        self.total = np.full(len(self.word), float(levels.lower.total))
+        for level in range(2, levels.top + 1):
+            self.step(level, [r for r in replies if r["level"] == level])
+
+    def grams(self, level: int) -> Grams:
+        return Grams(self.t, self.levels, level, self.word, self.number, self.count)
+
+    def step(self, level: int, replies: list[dict]):
+        g, d = self.grams(level), self.levels.discounts[level]
+        number, count = np.full_like(self.number, -1), np.zeros_like(self.count)
+        if len(g.keys):
+            mine = sorted(replies, key=lambda r: (r["hot"], r["bucket"]))
+            gram_count = np.concatenate([unpack(r["a"], np.uint32) for r in mine]).astype(np.int64)
+            first = np.flatnonzero(np.concatenate([[True], (g.hist[1:] != g.hist[:-1]) | (g.hot[1:] != g.hot[:-1])
+                                                   | g.hot[1:] & (g.bucket[1:] != g.bucket[:-1])]))
+            of_gram = np.zeros(len(g.keys), np.int64)
+            of_gram[first[1:]] = 1
+            of_gram = np.cumsum(of_gram)
+            usual = ~g.hot[first]
+            seen, mass = np.zeros((len(first), TOP), np.int64), np.zeros(len(first))
+            if usual.any():
+                seen[usual] = np.concatenate([unpack(r["c"], np.uint32).reshape(TOP, -1).T for r in mine if not r["hot"]])
+                mass[usual] = np.concatenate([_unpack_repeated(r["d"]) for r in mine if not r["hot"]])
+            for k in np.flatnonzero(~usual):
+                seen[k], mass[k] = self.levels.hot[level][int(g.hist[first[k]])]
+            # training count of the history: of the n-gram before, or the documents
+            one = g.one[first]
+            at_start = np.full(len(one), level == 2) & (g.hist[first] == self.levels.start)
+            before = np.where(at_start, self.levels.n_train_docs, self.count[one - 1])
+            freed = seen @ (np.arange(1, TOP + 1) * (1 - d[1:]))
+            total = np.where(freed > 0, before, before + 1)
+            below = self.total[one]             # of the shorter history
+            alpha = np.where(freed > 0, freed, 1.0) / total * (below / (below - mass))
+            alpha, total = np.where(before > 0, alpha, 1.0), np.maximum(total, 1)
+            kept = discounted(gram_count, d) / total[of_gram]
+            self.prob[g.token] = np.where(gram_count[g.at] > 0, kept[g.at], alpha[of_gram][g.at] * self.prob[g.token])
+            self.total[g.token] = total[of_gram][g.at]
+            count[g.token] = gram_count[g.at]
+            if level in self.levels.base:
+                base = self.levels.base[level]
+                local = np.concatenate([unpack_sorted(r["b"]).astype(np.int64) + base[r["bucket"] + self.levels.n_buckets * r["hot"]] for r in mine])
+                number[g.token] = np.where(gram_count > 0, local, -1)[g.at]
+        self.number, self.count = number, count
+
+
+def _pack_repeated(x: np.ndarray) -> bytes:
+    """Compress floats of which many are equal."""
+    values, at = np.unique(x, return_inverse=True)
+    head = pack(values)
+    return len(head).to_bytes(8, "little") + head + pack(at.astype(np.uint32))
+
+
+def _unpack_repeated(b: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(b[:8], "little")
+    return unpack(b[8:cut], np.float64)[unpack(b[cut:], np.uint32)]
+
+
 def _answer_table(rows: list[dict]):
     import pyarrow as pa
-    kinds = {"level": pa.int32(), "chunk": pa.int64(), "bucket": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(),
+    kinds = {"level": pa.int32(), "hot": pa.bool_(), "chunk": pa.int64(), "bucket": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(),
              "d": pa.binary(), "n_types": pa.int64(), "n_tokens": pa.int64(), "counts": pa.list_(pa.int64()), "hist": pa.int64(),
              "seen": pa.list_(pa.int64()), "lower": pa.float64()}
     return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()})
@@ -179,8 +268,8 @@ def _answer_words(requests):
     rows = requests.select(["bucket", "chunk", "keys", "count"]).to_pylist()
     every, total, places, _ = _added_up(rows)
     bucket = rows[0]["bucket"]
-    local = (np.cumsum(total > 0) - 1).clip(0).astype(np.uint32)
-    out = [{"level": 1, "chunk": r["chunk"], "bucket": bucket, "a": pack(local[p]), "b": pack(total[p].astype(np.uint32))}
+    local = (np.cumsum(total > 0) - 1).clip(0).astype(np.uint64)
+    out = [{"level": 1, "chunk": r["chunk"], "bucket": bucket, "a": pack_sorted(local[p]), "b": pack(total[p].astype(np.uint32))}
            for r, p in zip(rows, places)]
     known = total > 0                           # the unigram table of the bucket
     out.append({"level": 1, "bucket": bucket, "a": pack_sorted(every[known]), "b": pack(total[known].astype(np.uint32)),
@@ -188,85 +277,64 @@ def _answer_words(requests):
     return _answer_table(out)
 
 
-def _ask_pairs(base: np.ndarray, start: int, hot_over: float, n_buckets: int):
+def _ask_grams(levels: Levels):
+    """Requests for the level above the highest finished one."""
     def fn(row, replies):
         import pyarrow as pa
-        t = Tokens(row)
-        number, count = t.numbered(replies, base)
-        p = t.pairs(number, count, start, hot_over, n_buckets)
-        in_training = t.train[t.doc[p.token]]
-        seen = np.bincount(p.at[in_training], minlength=len(p.keys)).astype(np.uint32)
-        word_count = count[t.at[p.one]].astype(np.uint32)
-        out = [(h, b, pack_sorted(p.keys[i:j]), pack(seen[i:j]), pack(word_count[i:j])) for h, b, i, j in p.requests()]
+        walk = Walk(row, replies, levels)
+        g = walk.grams(levels.top + 1)
+        in_training = walk.t.train[walk.t.doc[g.token]]
+        seen = np.bincount(g.at[in_training], minlength=len(g.keys)).astype(np.uint32)
+        below = walk.count[g.one].astype(np.uint32)
+        out = [(h, b, pack_sorted(g.keys[i:j]), pack(seen[i:j]), pack(below[i:j])) for h, b, i, j in g.requests()]
         return pa.table({"bucket": pa.array([o[1] for o in out], pa.int32()), "chunk": pa.array([row["chunk"]] * len(out), pa.int64()),
                          "keys": pa.array([o[2] for o in out], pa.binary()), "count": pa.array([o[3] for o in out], pa.binary()),
                          "word": pa.array([o[4] for o in out], pa.binary()), "hot": pa.array([o[0] for o in out], pa.bool_())})
     return fn
 
 
-def _histories(keys: np.ndarray, total: np.ndarray, lower: np.ndarray):
-    """(distinct histories, counts of counts 1..TOP, sum of the seen words'
-    lower probabilities) of ascending pair keys."""
-    h = keys >> U64(32)
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+def _histories(hist: np.ndarray, total: np.ndarray, lower: np.ndarray):
+    """(distinct histories, counts of counts 1..TOP, sum of ``lower`` over the
+    seen n-grams) of n-grams in ascending order of their histories."""
+    first = np.flatnonzero(np.concatenate([[True], hist[1:] != hist[:-1]]))
     seen = np.stack([np.add.reduceat((total == r).astype(np.int64), first) for r in range(1, TOP + 1)], axis=1)
-    return h[first], seen, np.add.reduceat(np.where(total > 0, lower, 0.0), first)
+    return hist[first], seen, np.add.reduceat(np.where(total > 0, lower, 0.0), first)
 
 
-def _answer_pairs(lower: Unigrams):
+def _answer_grams(level: int, bits: int, d: np.ndarray, last: bool):
+    """``d`` are the discounts of the level below; numbers are given out unless
+    this is the last level."""
     def fn(requests):
         rows = requests.select(["bucket", "chunk", "keys", "count", "word", "hot"]).to_pylist()
         every, total, places, one = _added_up(rows)
-        word_count = np.concatenate([unpack(r["word"], np.uint32) for r in rows])[one].astype(np.int64)
-        hist, seen, mass = _histories(every, total, lower(word_count))
+        below = np.concatenate([unpack(r["word"], np.uint32) for r in rows])[one].astype(np.int64)
+        hist, seen, mass = _histories(every >> U64(bits), total, discounted(below, d))
         bucket, hot = rows[0]["bucket"], rows[0]["hot"]
-        of_key = np.searchsorted(hist, every >> U64(32))
+        of_key = np.searchsorted(hist, every >> U64(bits))
+        local = None if last else (np.cumsum(total > 0) - 1).clip(0).astype(np.uint64)
         out = []
         for r, p in zip(rows, places):
-            answer = {"level": 3 if hot else 2, "chunk": r["chunk"], "bucket": bucket, "a": pack(total[p].astype(np.uint32))}
+            answer = {"level": level, "hot": hot, "chunk": r["chunk"], "bucket": bucket, "a": pack(total[p].astype(np.uint32))}
+            if not last:
+                answer["b"] = pack_sorted(local[p])
             if not hot:                         # the request's histories, in the order of its keys
                 mine = np.unique(of_key[p])
-                answer |= {"c": pack(seen[mine].astype(np.uint32).ravel()), "d": pack(mass[mine])}
+                answer |= {"c": pack(seen[mine].T.astype(np.uint32).ravel()), "d": _pack_repeated(mass[mine])}
             out.append(answer)
-        out.append({"level": 2, "bucket": bucket, "n_types": int((total > 0).sum()), "n_tokens": int(total.sum()),
+        out.append({"level": level, "hot": hot, "bucket": bucket, "n_types": int((total > 0).sum()), "n_tokens": int(total.sum()),
                     "counts": _counts_of_counts(total)})
-        if hot:                                 # parts of the histories whose pairs are spread over all buckets
-            out += [{"level": 4, "bucket": bucket, "hist": int(h), "seen": n.tolist(), "lower": float(m)}
+        if hot:                                 # parts of the histories whose n-grams are spread over all buckets
+            out += [{"level": level, "hot": hot, "bucket": bucket, "hist": int(h), "seen": n.tolist(), "lower": float(m)}
                     for h, n, m in zip(hist, seen, mass)]
         return _answer_table(out)
     return fn
 
 
-def _score(base: np.ndarray, start: int, hot_over: float, n_buckets: int, lower: Unigrams, d: np.ndarray,
-           hot_histories: dict, n_train_docs: int):
+def _score(levels: Levels):
     def fn(row, replies):
         import pyarrow as pa
-        t = Tokens(row)
-        number, count = t.numbered(replies, base)
-        c = count[t.at]
-        prob = lower(c)                         # what a history that is unknown backs off to
-        p = t.pairs(number, count, start, hot_over, n_buckets)
-        if len(p.keys):
-            mine = sorted((r for r in replies if r["level"] in (2, 3)), key=lambda r: (r["level"], r["bucket"]))
-            pair_count = np.concatenate([unpack(r["a"], np.uint32) for r in mine]).astype(np.int64)
-            hist = (p.keys >> U64(32)).astype(np.int64)
-            first = np.flatnonzero(np.diff(hist, prepend=-1) | np.diff(p.hot.astype(np.int8), prepend=0))
-            of_pair = np.cumsum(np.isin(np.arange(len(hist)), first)) - 1
-            usual = ~p.hot[first]
-            seen, mass = np.zeros((len(first), TOP), np.int64), np.zeros(len(first))
-            if usual.any():
-                seen[usual] = np.concatenate([unpack(r["c"], np.uint32) for r in mine if r["level"] == 2]).reshape(-1, TOP)
-                mass[usual] = np.concatenate([unpack(r["d"], np.float64) for r in mine if r["level"] == 2])
-            for k in np.flatnonzero(~usual):
-                seen[k], mass[k] = hot_histories[int(hist[first[k]])]
-            # training count of the history: of the token before, or the documents
-            before = np.where(hist == start, n_train_docs, c[p.one - 1])[first]
-            freed = seen @ (np.arange(1, TOP + 1) * (1 - d[1:]))
-            total = np.where(freed > 0, before, before + 1)
-            alpha = np.where(freed > 0, freed, 1.0) / total / (1 - mass)
-            alpha, total = np.where(before > 0, alpha, 1.0), np.maximum(total, 1)
-            kept = discounted(pair_count, d) / total[of_pair]
-            prob[p.token] = np.where(pair_count[p.at] > 0, kept[p.at], alpha[of_pair][p.at] * prob[p.token])
+        walk = Walk(row, replies, levels)
+        t, c, lower = walk.t, walk.words, levels.lower
         n = len(t.ids)
         plain = np.log10((c + 1) / (lower.n + lower.v + 1))
         return pa.table({
@@ -274,25 +342,35 @@ def _score(base: np.ndarray, start: int, hot_over: float, n_buckets: int, lower:
             "n_tokens": pa.array(t.n_tokens, pa.int64()), "n_known": pa.array(np.bincount(t.doc[c > 0], minlength=n), pa.int64()),
             "train_tokens": pa.array(np.full(n, lower.n), pa.int64()),
             "base_score": pa.array(np.bincount(t.doc, plain, n), pa.float64()),
-            "score": pa.array(np.bincount(t.doc, np.log10(prob), n), pa.float64())})
+            "score": pa.array(np.bincount(t.doc, np.log10(walk.prob), n), pa.float64())})
     return fn
 
 
 _REQUEST = "bucket int, chunk long, keys binary, count binary, word binary"
 
 
-def _level_counts(answers: DataFrame, levels: list[int]) -> tuple[int, int, list[int]]:
-    """(types, tokens, counts of counts) over all buckets."""
-    own = answers.where(F.col("chunk").isNull() & F.col("level").isin(levels))
+def _level_counts(answers: DataFrame) -> tuple[int, int, list[int]]:
+    """(types, tokens, counts of counts) over all buckets of a level."""
+    own = answers.where("chunk IS NULL AND hist IS NULL")
     sums = [F.sum("n_types"), F.sum("n_tokens"), *[F.sum(F.col("counts")[r]) for r in range(TOP + 1)]]
     types, tokens, *counts = (int(x or 0) for x in own.agg(*sums).first())
     return types, tokens, counts
 
 
+def _first_numbers(answers: DataFrame, n_buckets: int) -> np.ndarray:
+    """First number of every bucket and, after them, of every bucket of hot
+    histories: one row per bucket reaches the driver."""
+    base = np.zeros(2 * n_buckets + 1, np.int64)
+    for r in answers.where("chunk IS NULL AND hist IS NULL").select("bucket", "hot", "n_types").collect():
+        base[r["bucket"] + n_buckets * bool(r["hot"]) + 1] = r["n_types"]
+    return np.cumsum(base)[:-1]
+
+
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-                chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Log10 probabilities of whole texts under a Katz backoff model of order
-    two, learnt from the rows for which ``train`` holds.
+                chunk_bytes: int = CHUNK_BYTES, order: int = 2) -> DataFrame:
+    """Log10 probabilities of whole texts under a Katz backoff model of
+    ``order`` (the longest n-gram, 1 at least), learnt from the rows for which
+    ``train`` holds.
 
     Tokens are the words, ASCII letters lower-cased, and one end per text.
     Returns one row per input row: ``id_col`` (long), trained_on, n_tokens,
@@ -301,31 +379,34 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     empty texts are the end alone; identifiers may be NULL or repeated, every
     row is scored; without training rows every token is the unknown word.  An
     empty table gives an empty result, and other columns are not read.  Words
-    are told apart by 64-bit hashes; at most 2^32 - 2 distinct words."""
+    are told apart by 64-bit hashes; at most 2^64 keys of a history (an n-gram
+    seen in training, below the highest level) and a word."""
+    if order < 1:
+        raise ValueError("order is 1 at least")
     chunks = chunk_table(docs, id_col, text_col, flag=train, chunk_bytes=chunk_bytes)
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     n_buckets = buckets_for(total, BUCKET_BYTES, shuffle_partitions(docs.sparkSession))
     asked = per_chunk(chunks, None, _ask_words(n_buckets), _REQUEST)
-    words = stored(asked.groupBy("bucket").applyInArrow(_answer_words, _ANSWER), "unigrams")
-    n_types, n_tokens, counts = _level_counts(words, [1])
-    if n_types >= UNKNOWN:
-        raise ValueError("more than 2^32 - 2 distinct words")
-    lower = Unigrams(n_tokens, n_types, counts)
-    # first number of every bucket: one row per bucket
-    base = np.zeros(n_buckets + 1, np.int64)
-    for r in words.where("chunk IS NULL").select("bucket", "n_types").collect():
-        base[r["bucket"] + 1] = r["n_types"]
-    base = np.cumsum(base)[:-1]
-    replies = words.where("chunk IS NOT NULL")
-    hot_over = n_tokens / HOT_SHARE
-    asked = per_chunk(chunks, replies, _ask_pairs(base, n_types, hot_over, n_buckets), _REQUEST + ", hot boolean")
-    pairs = stored(asked.groupBy("bucket", "hot").applyInArrow(_answer_pairs(lower), _ANSWER), "bigrams")
-    _, _, counts = _level_counts(pairs, [2])
-    # at most HOT_SHARE histories and the start
-    hot = {r["hist"]: (list(r)[1:-1], r["lower"]) for r in pairs.where("level = 4").groupBy("hist").agg(
-        *[F.sum(F.col("seen")[k]).alias(f"n{k}") for k in range(TOP)], F.sum("lower").alias("lower")).collect()}
-    n_train_docs = docs.where(train).count()
-    replies = replies.unionByName(pairs.where("chunk IS NOT NULL"))
-    out = per_chunk(chunks, replies, _score(base, n_types, hot_over, n_buckets, lower, discounts(counts), hot, n_train_docs), (
+    answers = stored(asked.groupBy("bucket").applyInArrow(_answer_words, _ANSWER), "grams1")
+    n_types, n_tokens, counts = _level_counts(answers)
+    levels = Levels(n_buckets, n_tokens / HOT_SHARE, Unigrams(n_tokens, n_types, counts), _first_numbers(answers, n_buckets),
+                    docs.where(train).count())
+    replies, n_histories = answers.where("chunk IS NOT NULL"), n_types + 1
+    for level in range(2, order + 1):
+        if n_histories << levels.bits > 1 << 64:
+            raise ValueError(f"too many histories of {level - 1} words for 64-bit keys")
+        asked = per_chunk(chunks, replies, _ask_grams(levels), _REQUEST + ", hot boolean")
+        answers = stored(asked.groupBy("bucket", "hot").applyInArrow(
+            _answer_grams(level, levels.bits, levels.discounts[level - 1], level == order), _ANSWER), f"grams{level}")
+        n_histories, _, counts = _level_counts(answers)
+        # at most HOT_SHARE histories and the start
+        levels = copy(levels)
+        levels.hot = levels.hot | {level: {r["hist"]: (list(r)[1:-1], r["lower"]) for r in answers.where("hist IS NOT NULL").groupBy("hist").agg(
+            *[F.sum(F.col("seen")[k]).alias(f"n{k}") for k in range(TOP)], F.sum("lower").alias("lower")).collect()}}
+        levels.discounts = levels.discounts | {level: discounts(counts)}
+        if level < order:
+            levels.base = levels.base | {level: _first_numbers(answers, n_buckets)}
+        replies = replies.unionByName(answers.where("chunk IS NOT NULL"))
+    out = per_chunk(chunks, replies, _score(levels), (
         "_id long, trained_on boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
     return out.withColumnRenamed("_id", id_col)

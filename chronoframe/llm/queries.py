@@ -33,7 +33,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
-    scored = katz.score_texts(docs, train=remainder(7) != 2)
+    scored = katz.score_texts(docs, train=remainder(7) != 2, order=3)
     return scored.select("doc_id", (~F.col("trained_on")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
                          "base_score", "score")
 
