@@ -52,8 +52,8 @@ def op6_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", ["doc_id", "text"])
     labels = table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    ratio = resampling.fit(docs, labels.where(good))
-    return resampling.resample(docs, ratio, resampling.target_share(labels, good))
+    ratio = resampling.fit(docs, labels.where(good), orders=(1, 2), target_pseudo=resampling.TARGET_PSEUDO)
+    return resampling.resample(docs, ratio, resampling.target_share(labels, good), orders=(1, 2))
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ordering import dense_index
-from .words import U64, gram_hashes, hashed_words
+from .words import U64, gram_hashes, hashed_words, pack, unpack
 
 BUCKETS = 1 << 17                               # hashed n-grams
 PSEUDO = 30.0                                   # pseudo-count per bucket in the raw bag
-LABELLED_ROWS = 20_000                          # most labelled rows that the target is fitted to
+TARGET_PSEUDO = 10.0                            # pseudo-count per bucket in the target bag, where that is fixed
 
 
 def gram_buckets(texts, n_buckets: int, orders: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -38,42 +38,78 @@ def gram_buckets(texts, n_buckets: int, orders: tuple[int, ...]) -> tuple[np.nda
 def _count(n_buckets: int, orders: tuple[int, ...]):
     def run(batches):
         import pyarrow as pa
-        raw = np.zeros(n_buckets, np.int64)
-        target = np.zeros(n_buckets, np.int64)
+        total = np.zeros(n_buckets, np.int64)
+        for rb in batches:
+            for lo in range(0, rb.num_rows, 512):
+                _, bucket = gram_buckets(rb.slice(lo, 512).column("_t"), n_buckets, orders)
+                total += np.bincount(bucket, minlength=n_buckets)
+        seen = np.flatnonzero(total)
+        if len(seen):
+            yield pa.record_batch({"bucket": pa.array(seen, pa.int64()), "n": pa.array(total[seen])})
+    return run
+
+
+def _packed(n_buckets: int, orders: tuple[int, ...]):
+    def run(batches):
+        import pyarrow as pa
         for rb in batches:
             for lo in range(0, rb.num_rows, 512):
                 part = rb.slice(lo, 512)
                 doc, bucket = gram_buckets(part.column("_t"), n_buckets, orders)
-                good = part.column("_good").to_numpy(zero_copy_only=False).astype(bool)
-                raw += np.bincount(bucket, minlength=n_buckets)
-                target += np.bincount(bucket[good[doc]], minlength=n_buckets)
-        seen = np.flatnonzero(raw)
+                key = np.sort(doc * n_buckets + bucket)
+                cuts = np.searchsorted(key, np.arange(part.num_rows + 1) * n_buckets)
+                key %= n_buckets
+                packed = [pack(np.diff(key[i:j], prepend=0).astype(np.uint32)) for i, j in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("_id"), pa.array(packed, pa.binary())], names=["_id", "_grams"])
+    return run
+
+
+def _count_packed(n_buckets: int):
+    def run(batches):
+        import pyarrow as pa
+        total = np.zeros(n_buckets, np.int64)
+        for rb in batches:
+            for grams in rb.column("_grams").to_pylist():
+                np.add.at(total, np.cumsum(unpack(grams, np.uint32), dtype=np.int64), 1)
+        seen = np.flatnonzero(total)
         if len(seen):
-            yield pa.record_batch({"bucket": pa.array(seen, pa.int64()), "raw": pa.array(raw[seen]),
-                                   "target": pa.array(target[seen])})
+            yield pa.record_batch({"bucket": pa.array(seen, pa.int64()), "n": pa.array(total[seen])})
     return run
 
 
+def _bag(counts: DataFrame, n_buckets: int) -> np.ndarray:
+    """Sums per bucket; only this table, of fixed size, reaches the driver."""
+    counted = counts.groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    bag = np.zeros(n_buckets)
+    bag[counted["bucket"]] = counted["n"]
+    return bag
+
+
 def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_buckets: int = BUCKETS,
-        orders: tuple[int, ...] = (1,), max_rows: int = LABELLED_ROWS, pseudo: float = PSEUDO) -> np.ndarray:
-    """Log ratio of target and raw probability per bucket.  Every bucket gets
-    ``pseudo`` more raw counts, and as many target counts as the bags' sizes
-    make of them, so that a rare n-gram weighs next to nothing.  Raw counts cover all documents; the target is at most ``max_rows`` of the
-    identifiers in ``target_ids`` (column ``id_col``), those with the smallest
-    hash.  Only the bucket table, of fixed size, reaches the driver."""
-    ids = target_ids.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL").distinct()
-    ids = ids.orderBy(F.xxhash64("_id"), "_id").limit(max_rows).withColumn("_good", F.lit(True))
+        orders: tuple[int, ...] = (1,), pseudo: float = PSEUDO, target_pseudo: float | None = None) -> np.ndarray:
+    """Log ratio of target and raw probability per bucket.
+
+    Raw counts cover all documents, the target all those whose identifier is in
+    ``target_ids`` (column ``id_col``).  Every bucket gets ``target_pseudo``
+    more target counts, and as many raw counts as the bags' sizes make of them:
+    an n-gram that few target words are to be expected of weighs next to
+    nothing, however small the target's share is.  Without ``target_pseudo``
+    it is the raw bag that gets ``pseudo`` more counts, and the target as many
+    as the bags' sizes make of those."""
+    ids = target_ids.select(F.col(id_col).alias("_id")).where("_id IS NOT NULL")
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    # bounded by max_rows identifiers
-    src = src.join(F.broadcast(ids), "_id", "left").select("_t", F.coalesce("_good", F.lit(False)).alias("_good"))
-    counted = src.mapInArrow(_count(n_buckets, orders), "bucket long, raw long, target long") \
-        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()
-    raw, target = np.zeros(n_buckets), np.zeros(n_buckets)
-    raw[counted["bucket"]] = counted["raw"]
-    target[counted["bucket"]] = counted["target"]
+    kind, counts = src.schema["_id"].dataType.simpleString(), "bucket long, n long"
+    raw = _bag(src.select("_t").mapInArrow(_count(n_buckets, orders), counts), n_buckets)
+    # the labels are a table of any size; the packed n-grams are dealt, not the texts
+    grams = src.where("_id IS NOT NULL").mapInArrow(_packed(n_buckets, orders), f"_id {kind}, _grams binary")
+    good = grams.join(ids.hint("merge"), "_id", "left_semi").select("_grams")
+    target = _bag(good.mapInArrow(_count_packed(n_buckets), counts), n_buckets)
     if not target.any():                        # no target text: every document weighs the same
         return np.zeros(n_buckets)
-    scaled = pseudo * target.sum() / raw.sum()
+    share = target.sum() / raw.sum()
+    if target_pseudo is not None:
+        pseudo = target_pseudo / share
+    scaled = pseudo * share
     return (np.log((target + scaled) / (target.sum() + scaled * n_buckets))
             - np.log((raw + pseudo) / (raw.sum() + pseudo * n_buckets)))
 

@@ -52,3 +52,37 @@ def test_edges(messy, nothing):
     assert rs.fit(messy, labels.limit(0)).tolist() == [0.0] * rs.BUCKETS
     assert rs.resample(nothing, ratio, 0.5).collect() == []
     assert rs.fit(nothing, nothing).sum() == 0
+
+
+def _fixed(raw, target, n):
+    more = rs.TARGET_PSEUDO
+    other = more * raw.sum() / target.sum()
+    return np.log((target + more) / (target.sum() + more * n)) - np.log((raw + other) / (raw.sum() + other * n))
+
+
+def test_every_target_row_counts(spark):
+    n = 30_000
+    word = F.concat(F.lit("w"), (F.crc32(F.col("id").cast("string")) % 50).cast("string"))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), word.alias("text"))
+    ids = docs.where("doc_id < 25000").select("doc_id")
+    rows = docs.collect()
+    doc, bucket = rs.gram_buckets(pa.array([r.text for r in rows]), 256, (1,))
+    good = np.array([r.doc_id < 25000 for r in rows])
+    raw, target = np.bincount(bucket, minlength=256), np.bincount(bucket[good[doc]], minlength=256)
+    assert target.sum() == 25_000
+    assert np.allclose(rs.fit(docs, ids.union(ids), n_buckets=256, target_pseudo=rs.TARGET_PSEUDO), _fixed(raw, target, 256))
+
+
+def test_a_chance_zero_in_a_small_target_weighs_little(spark):
+    docs = spark.range(50_000).select(F.col("id").alias("doc_id"), F.when((F.col("id") >= 200) & (F.col("id") < 1200), "plain odd")
+                                      .otherwise("plain words").alias("text"))
+    _, (odd,) = rs.gram_buckets(pa.array(["odd"]), 4096, (1,))
+    ratio = rs.fit(docs, docs.where("doc_id < 100").select("doc_id"), n_buckets=4096, target_pseudo=rs.TARGET_PSEUDO)
+    assert -0.3 < ratio[odd] < 0                 # two occurrences were to be expected
+
+
+def test_the_query_takes_pairs_of_words(spark):
+    out = {r.doc_id: r.n_grams for r in queries.op6_importance_resampling(spark, DATA).collect()}
+    rows = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()
+    doc, _ = rs.gram_buckets(pa.array([r.text for r in rows]), 64, (1, 2))
+    assert [out[r.doc_id] for r in rows] == np.bincount(doc, minlength=len(rows)).tolist()
