@@ -23,7 +23,7 @@ from ..functions.gram import ols_from_gram, unpack
 from ..session import block_size, cut_lineage
 from .impute import imputation_sets
 from .linear import gram
-from .ordering import BLK, add_blocks, lagged
+from .ordering import BLK, add_blocks, dense_index, lagged
 from .results import overlap_average
 from .transform import minmax_scale, one_hot, supervised_windows
 from .validate import bounded_distinct, require
@@ -459,7 +459,9 @@ def dynamic_classifier(df: DataFrame, subject: str, visit: str, inputs: Sequence
                        delay: int = 2, decay: float = 0.5, test_subjects: DataFrame | None = None,
                        max_iter: int = 50):
     """Next-step classification of ``target`` from one-hot inputs at
-    lags 1..delay-1 plus an exponentially decayed trace of older inputs
+    lags 1..delay-1 plus an exponentially decayed trace of older inputs; a step
+    with a missing input has none of its levels, and one before a missing
+    target is no example
     (the DyBM conditional is logistic in these features); multinomial
     logistic regression.  Returns (metrics, per-subject results, weights):
     recall = share of correct argmax predictions (N10), group_correct =
@@ -474,6 +476,9 @@ def dynamic_classifier(df: DataFrame, subject: str, visit: str, inputs: Sequence
         if names == [c]:
             vals = bounded_distinct(df, c, 2)
             enc = enc.withColumn(c, (F.col(c) == F.lit(vals[-1])).cast("double") if vals else F.lit(0.0))
+        else:                                   # a missing input is a step without any level
+            known = len(bounded_distinct(df, c, 1000))
+            enc, names = enc.drop(*names[known:]), names[:known]
         feat_base += names
     enc = enc.fillna(0.0, subset=feat_base)
     levels = bounded_distinct(df, target, 1000)
@@ -529,14 +534,16 @@ def _hashed_uniform(row: np.ndarray, units: int, draw: int) -> np.ndarray:
 
 
 def rbm_structure(encoded: DataFrame, n_hidden: int, n_iter: int = 10, learning_rate: float = 0.1,
-                  seed: int = 42, row_id: str | None = None) -> DataFrame:
-    """Bernoulli RBM trained by data-parallel contrastive divergence
-    (CD-1, full batch): the weights are broadcast, every partition computes
-    its positive/negative statistics in ``mapInPandas``, the statistics are
-    summed by a distributed aggregate and the update is applied.  A unit's draw
-    is a hash of (row, unit, iteration, seed), so the result does not depend on
-    the partitioning; the row is ``row_id`` (not a column of the model) or,
-    without one, the row's values.  Output: (hidden, column, weight)."""
+                  seed: int = 42, row_id: str | None = None, batch: int = 10, shard_rows: int = 2000) -> DataFrame:
+    """Bernoulli RBM trained by contrastive divergence (CD-1) in
+    ``n_iter`` epochs of mini-batches of ``batch`` rows.  A hash of the row deals
+    the rows to shards of about ``shard_rows``; in every epoch each shard runs
+    all its mini-batches, in the order of the hash, from the weights of the last
+    epoch, and the shards' weights are averaged by rows (with one shard that is
+    plain mini-batch training).  A unit's draw is a hash of (row, unit, epoch,
+    seed), so the result does not depend on the partitioning; the row is
+    ``row_id`` (not a column of the model) or, without one, the row's place in
+    the order of the values.  Output: (hidden, column, weight)."""
     require(n_hidden >= 1 and n_iter >= 1 and 0 < learning_rate <= 1, "invalid RBM parameters")
     cols = [c for c in encoded.columns if c != row_id]
     require(len(cols) >= 2, "RBM needs two or more encoded columns")
@@ -544,39 +551,40 @@ def rbm_structure(encoded: DataFrame, n_hidden: int, n_iter: int = 10, learning_
     rng = np.random.default_rng(seed)
     W = rng.normal(0, 0.01, size=(n_hidden, nv))
     bh, bv = np.zeros(n_hidden), np.zeros(nv)
-    key = F.xxhash64(row_id) if row_id else F.xxhash64(*cols)
-    data = cut_lineage(encoded.select(*[F.col(c).cast("double").alias(c) for c in cols], key.alias("_row_key")))
+    if row_id is None:
+        encoded = dense_index(encoded, cols, idx="_place")
+    data = cut_lineage(encoded.select(*[F.col(c).cast("double").alias(c) for c in cols],
+                                      F.xxhash64(row_id or "_place").alias("_row_key")))
     n = data.count()
-    sc = encoded.sparkSession.sparkContext
+    data = data.withColumn("_shard", F.pmod(F.xxhash64("_row_key", F.lit(seed)), F.lit(-(-max(n, 1) // shard_rows))))
     size = n_hidden * nv + n_hidden + nv
-    for it in range(n_iter):
-        bw = sc.broadcast((W, bh, bv, seed + it))
-
-        def stats(batches):
-            W_, bh_, bv_, s = bw.value
-            acc = np.zeros(size)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                V = pdf[cols].to_numpy(dtype=float)
-                row = pdf["_row_key"].to_numpy(np.int64).view(np.uint64)
-                ph = 1 / (1 + np.exp(-(V @ W_.T + bh_)))
-                h = (_hashed_uniform(row, n_hidden, 2 * s) < ph).astype(float)
-                pv = 1 / (1 + np.exp(-(h @ W_ + bv_)))
-                v2 = (_hashed_uniform(row, nv, 2 * s + 1) < pv).astype(float)
-                ph2 = 1 / (1 + np.exp(-(v2 @ W_.T + bh_)))
-                gW = ph.T @ V - ph2.T @ v2
-                acc += np.concatenate([gW.ravel(), ph.sum(0) - ph2.sum(0), V.sum(0) - v2.sum(0)])
-            yield pd.DataFrame({"k": np.arange(size), "v": acc})
-
-        g = data.mapInPandas(stats, "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
-        grad = np.zeros(size)
+
+    def training(W0, bh0, bv0, s):
+        def epoch(pdf: pd.DataFrame) -> pd.DataFrame:
+            W, bh, bv = W0.copy(), bh0.copy(), bv0.copy()
+            pdf = pdf.sort_values("_row_key")
+            rows = pdf[cols].to_numpy(dtype=float)
+            row = pdf["_row_key"].to_numpy(np.int64).view(np.uint64)
+            draw_h, draw_v = _hashed_uniform(row, n_hidden, 2 * s), _hashed_uniform(row, nv, 2 * s + 1)
+            for lo in range(0, len(rows), batch):
+                V = rows[lo:lo + batch]
+                ph = 1 / (1 + np.exp(-(V @ W.T + bh)))
+                h = (draw_h[lo:lo + batch] < ph).astype(float)
+                pv = 1 / (1 + np.exp(-(h @ W + bv)))
+                v2 = (draw_v[lo:lo + batch] < pv).astype(float)
+                ph2 = 1 / (1 + np.exp(-(v2 @ W.T + bh)))
+                step = learning_rate / len(V)
+                W += step * (ph.T @ V - ph2.T @ v2)
+                bh += step * (ph.sum(0) - ph2.sum(0))
+                bv += step * (V.sum(0) - v2.sum(0))
+            return pd.DataFrame({"k": np.arange(size), "v": np.concatenate([W.ravel(), bh, bv]) * len(rows)})
+        return epoch
+
+    for it in range(n_iter if n else 0):
+        g = data.groupBy("_shard").applyInPandas(training(W, bh, bv, seed + it), "k long, v double").groupBy("k").agg(F.sum("v").alias("v"))
+        mean = np.zeros(size)
         for r in g.collect():                 # one number per weight: model-sized, not data-sized
-            grad[r["k"]] = r["v"]
-        grad /= max(n, 1)
-        W += learning_rate * grad[: n_hidden * nv].reshape(n_hidden, nv)
-        bh += learning_rate * grad[n_hidden * nv: n_hidden * nv + n_hidden]
-        bv += learning_rate * grad[n_hidden * nv + n_hidden:]
-        bw.unpersist()
+            mean[r["k"]] = r["v"] / n
+        W, bh, bv = mean[:n_hidden * nv].reshape(n_hidden, nv), mean[n_hidden * nv:n_hidden * nv + n_hidden], mean[n_hidden * nv + n_hidden:]
     rows = [(int(h), cols[j], float(W[h, j])) for h in range(n_hidden) for j in range(nv)]
     return encoded.sparkSession.createDataFrame(rows, "hidden int, column string, weight double")

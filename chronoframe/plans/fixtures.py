@@ -67,10 +67,11 @@ def ld_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", "role", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def ml_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ml_docs(spark: SparkSession, sf_dir: str, how: str = "inner") -> DataFrame:
+    """``documents`` with their labels; ``how="left"`` keeps those without."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "n_chars", "lang", "source"])
     lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality", "toxic"])
-    return d.join(lab, "doc_id")
+    return d.join(lab, "doc_id", how)
 
 
 def wide_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -405,10 +405,10 @@ def window_classifier(spark, sf):
 
 def _dynamic(spark, sf):
     """Next event type per user from one-hot history (delay 3, decay 0.5); the
-    last fifth of the users is held out."""
+    last fifth of the users is held out.  An event without a type is a step
+    without inputs, and no target."""
     from ..operators.learn import dynamic_classifier as _dc
-    e = fx.ld_events(spark, sf).where(F.col("event_type").isNotNull()).select("user_id", "visit", "event_type")
-    e = dense_index(e, ["visit"], keys=["user_id"], idx="v2").drop("visit").withColumnRenamed("v2", "visit")
+    e = fx.ld_events(spark, sf).select("user_id", "visit", "event_type")
     users = dense_index(e.select("user_id").distinct(), ["user_id"], idx="r")
     n = users.count()
     held = users.where(F.col("r") >= F.lit(int(n - n // 5))).select("user_id")
@@ -431,10 +431,12 @@ def dynamic_weights(spark, sf):
 
 
 def rbm_structure(spark, sf):
-    """RBM weights over the encoded document attributes (lang, source, quality, toxic)."""
+    """RBM weights over the encoded attributes of all documents (lang,
+    source, quality, toxic); an attribute that is missing has a level of its own."""
     from ..operators.learn import rbm_structure as _rbm
-    d = fx.ml_docs(spark, sf).select("doc_id", "lang", "source", "quality", "toxic")
-    enc, _ = tf.encode_for_rbm(d, ["lang", "source", "quality", "toxic"], keep=["doc_id"])
+    cols = ["lang", "source", "quality", "toxic"]
+    d = fx.ml_docs(spark, sf, how="left").select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("~missing")).alias(c) for c in cols])
+    enc, _ = tf.encode_for_rbm(d, cols, keep=["doc_id"])
     return r6(_rbm(enc, n_hidden=4, n_iter=10, learning_rate=0.1, row_id="doc_id"))
 
 

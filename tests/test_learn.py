@@ -161,3 +161,31 @@ def test_decayed_trace_against_a_loop(spark):
             a = 0.7 * a + (float((s + 1) * (v - 2) % 5) if v >= 2 else 0.0)
             want.append(a)
         assert np.allclose(g.x_trace, want)
+
+
+def test_rbm_runs_epochs_of_mini_batches(spark):
+    df = spark.createDataFrame(pd.DataFrame({"id": np.arange(600), "one": 1, "a": np.arange(600) % 2}))
+    for rows in (2000, 100):
+        w = ln.rbm_structure(df, n_hidden=2, n_iter=10, row_id="id", shard_rows=rows).toPandas()
+        assert w[w.column == "one"].weight.min() > 0.5      # ten full-batch updates get to 0.2
+
+
+def test_rbm_structure_reads_documents_without_labels(spark):
+    from chronoframe.plans import queries
+    sf = "/root/testdata/sf0.001"
+    got = {r.column for r in queries.rbm_structure(spark, sf).collect()}
+    assert {"quality_2", "toxic_2"} <= got      # the level of what has no label
+
+
+def test_dynamic_classifier_keeps_events_without_type(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from chronoframe.plans import fixtures as fx
+    from chronoframe.plans import queries
+    sf = "/root/testdata/sf0.001"
+    after = F.lead("event_type").over(Window.partitionBy("user_id").orderBy("visit"))
+    want = fx.ld_events(spark, sf).select(after.alias("next")).where("next IS NOT NULL").count()
+    metrics, _, weights = queries._dynamic(spark, sf)
+    assert sum(r.n for r in metrics.collect()) == want
+    assert weights.select("input").distinct().count() == 5
