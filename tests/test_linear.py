@@ -10,7 +10,7 @@ from chronoframe.functions import stats as st
 from chronoframe.operators import diagnostics as dg
 from chronoframe.operators import linear as ln
 from chronoframe.plans import queries as q
-from conftest import SF001
+from fixture_paths import SF001
 
 VARS = q.VARS
 

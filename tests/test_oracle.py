@@ -7,7 +7,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as ent  # noqa: E402
-from conftest import SF0001  # noqa: E402
+from fixture_paths import SF0001  # noqa: E402
 from oracle_check import compare, duck  # noqa: E402
 
 SQL = ent.oracle_sql()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoframe.operators import ordering as o
-from conftest import SF001
+from fixture_paths import SF001
 
 
 @pytest.fixture(scope="module")

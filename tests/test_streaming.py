@@ -4,7 +4,7 @@ import numpy as np
 from chronoframe.operators import impute as im
 from chronoframe.plans import fixtures as fx
 from chronoframe.streaming.locf import locf_stream
-from conftest import SF0001
+from fixture_paths import SF0001
 
 
 def test_stream_locf_matches_batch(spark, tmp_path):
