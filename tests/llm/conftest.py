@@ -1,11 +1,5 @@
-import os
-import re
-
 import pytest
-
-DATA = "/root/testdata/sf0.01"
-SMALL = "/root/testdata/sf0.001"
-WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+from llm_paths import SMALL
 
 
 @pytest.fixture(scope="session")
@@ -36,10 +30,3 @@ def messy(spark):
 def nothing(messy):
     return messy.limit(0)
 
-
-def words(text):
-    return WORDS.findall(text or "")
-
-
-def data(table, sf=SMALL):
-    return os.path.join(sf, f"{table}.parquet")

@@ -2,7 +2,7 @@ import html
 import re
 
 import pytest
-from conftest import DATA
+from llm_paths import DATA
 
 from chronoframe.llm import html_text, queries
 

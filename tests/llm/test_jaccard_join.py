@@ -2,7 +2,7 @@ import itertools
 import random
 
 import numpy as np
-from conftest import words
+from llm_paths import words
 
 from chronoframe.llm import jaccard_join as jj
 from chronoframe.llm.components import connected_components

@@ -3,7 +3,7 @@ import math
 import zlib
 
 import pytest
-from conftest import SMALL, data
+from llm_paths import SMALL, data
 from pyspark.sql import functions as F
 
 from chronoframe.llm import katz, queries

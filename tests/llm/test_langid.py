@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chronoframe.llm import langid, queries
-from conftest import DATA
+from llm_paths import DATA
 
 
 def test_held_out_accuracy(spark):

@@ -1,7 +1,7 @@
 from collections import defaultdict
 
 import pytest
-from conftest import DATA, words
+from llm_paths import DATA, words
 from pyspark.sql import functions as F
 
 from chronoframe.llm import mixing, queries

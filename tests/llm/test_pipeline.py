@@ -1,7 +1,7 @@
 import sys
 
 import pytest
-from conftest import SMALL, words
+from llm_paths import SMALL, words
 from test_jaccard_join import shingles
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])

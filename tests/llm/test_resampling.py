@@ -1,6 +1,6 @@
 import numpy as np
 import pyarrow as pa
-from conftest import DATA
+from llm_paths import DATA
 from pyspark.sql import functions as F
 
 from chronoframe.llm import queries, resampling as rs

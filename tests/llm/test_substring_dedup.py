@@ -1,5 +1,5 @@
 import pytest
-from conftest import words
+from llm_paths import words
 
 from chronoframe.llm import substring_dedup as sd
 
