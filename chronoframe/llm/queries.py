@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
-from . import exact_dedup, hnsw, html_text, jaccard_join, katz, langid, mixing, packing, resampling, substring_dedup
+from . import (exact_dedup, hnsw, html_text, jaccard_join, katz, langid, mixing, packing, resampling, substring_dedup,
+               token_count)
 from .common import table
 
 
@@ -75,8 +76,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents", ["doc_id", "text"]), limit=2048)
+
+
 _QUERIES = [op1_ngram_jaccard_join, op2_language_id, op3_katz_scoring, op4_best_fit_packing, op5_hnsw_search,
-            op6_importance_resampling, op7_source_mixing, op8_html_extraction, op9_exact_dedup, op10_substring_dedup]
+            op6_importance_resampling, op7_source_mixing, op8_html_extraction, op9_exact_dedup, op10_substring_dedup,
+            op11_token_counts]
 
 
 def _ready(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
