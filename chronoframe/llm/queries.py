@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from . import (exact_dedup, hnsw, html_text, jaccard_join, katz, langid, mixing, packing, resampling, substring_dedup,
-               token_count)
+               token_count, whitening)
 from .common import table
 
 
@@ -80,9 +80,13 @@ def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(table(spark, sf_dir, "documents", ["doc_id", "text"]), limit=2048)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), components=32)
+
+
 _QUERIES = [op1_ngram_jaccard_join, op2_language_id, op3_katz_scoring, op4_best_fit_packing, op5_hnsw_search,
             op6_importance_resampling, op7_source_mixing, op8_html_extraction, op9_exact_dedup, op10_substring_dedup,
-            op11_token_counts]
+            op11_token_counts, op12_embedding_whitening]
 
 
 def _ready(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
