@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
-from . import (exact_dedup, hnsw, html_text, jaccard_join, katz, langid, mixing, packing, resampling, substring_dedup,
-               token_count, whitening)
+from . import (centroids, exact_dedup, hnsw, html_text, jaccard_join, katz, langid, mixing, packing,
+               resampling, substring_dedup, token_count, whitening)
 from .common import table
 
 
@@ -84,9 +84,14 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings", ["vec_id", "embedding"]), components=32)
 
 
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return centroids.cluster(vectors, k=40, rounds=5, dim=64, scale=256, prefix="2:")
+
+
 _QUERIES = [op1_ngram_jaccard_join, op2_language_id, op3_katz_scoring, op4_best_fit_packing, op5_hnsw_search,
             op6_importance_resampling, op7_source_mixing, op8_html_extraction, op9_exact_dedup, op10_substring_dedup,
-            op11_token_counts, op12_embedding_whitening]
+            op11_token_counts, op12_embedding_whitening, op13_centroid_clustering]
 
 
 def _ready(fn: Callable) -> Callable[[SparkSession, str], DataFrame]:
@@ -160,7 +165,33 @@ OP7_SQL = "WITH " + MIX_CTES.format(docs="documents") + """
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM mixed
 """
 
+#: k-means unrolled over its rounds; c<r> are the centroids of round r, a<r> the assignment to them
+def _kmeans_sql(k: int, rounds: int, dim: int) -> str:
+    assign = """a{r} AS MATERIALIZED (SELECT vec_id, x, k, d FROM (
+  SELECT vec_id, v.x, c.k, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d,
+    row_number() OVER (PARTITION BY vec_id ORDER BY d, c.k) AS place FROM kept v, c{r} c) WHERE place = 1)"""
+    update = """c{n} AS MATERIALIZED (SELECT c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN (
+  SELECT k, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY dim) AS x FROM (
+    SELECT k, dim, sum(x[dim])::HUGEINT AS s, count(*)::HUGEINT AS n FROM a{r}, generate_series(1, {dim}) g(dim) GROUP BY k, dim)
+  GROUP BY k) m ON m.k = c.k)"""
+    steps = [assign.format(r=0)]
+    for r in range(rounds):
+        steps += [update.format(n=r + 1, r=r, dim=dim), assign.format(r=r + 1)]
+    return f"""
+WITH kept AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dim}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h)::INTEGER - 1 AS k, x
+  FROM (SELECT x, sha256('2:' || vec_id) AS h FROM kept ORDER BY h LIMIT {k})),
+""" + ",\n".join(steps) + f"""
+SELECT vec_id, a.k::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k
+"""
+
+
+OP13_SQL = _kmeans_sql(40, 5, 64)
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_ngram_jaccard_join": OP1_SQL, "op7_source_mixing": OP7_SQL, "op9_exact_dedup": OP9_SQL,
-            "op10_substring_dedup": OP10_SQL}
+            "op10_substring_dedup": OP10_SQL, "op13_centroid_clustering": OP13_SQL}
