@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import shuffle_partitions
+from .common import delete_folder, shuffle_partitions
 
 BLOCK_ROWS = 4096
 BUCKET_BLOCKS = 256                             # blocks in a bucket, at most about
@@ -194,8 +194,7 @@ class Bucketed:
 
     def drop(self, table: str) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}")
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(self.spark, f"{self.folder}/{table}")
 
 
 def _pack(dim: int, scale: int):

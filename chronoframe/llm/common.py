@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
-_TABLES: list[str] = []                         # folders of this process' stored tables
+_TABLES = threading.local()                     # folders that the innermost stored_alone of a thread deletes
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -29,23 +30,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _TABLES.append(path)
+    if getattr(_TABLES, "made", None) is not None:
+        _TABLES.made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stored_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """``stored(make(), name)``, after which the tables that ``make`` stored on
     the way are deleted."""
-    before = len(_TABLES)
-    out = stored(make(), name)
-    spark = out.sparkSession
-    for path in _TABLES[before:-1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-    del _TABLES[before:-1]
+    outer, _TABLES.made = getattr(_TABLES, "made", None), []
+    try:
+        df = make()
+        mine, _TABLES.made = _TABLES.made, outer
+        out = stored(df, name)
+    finally:
+        _TABLES.made = outer
+    for path in mine:
+        delete_folder(out.sparkSession, path)
     return out
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

@@ -56,7 +56,9 @@ def _runs(payload: bool, keep_last: bool):
                 continue
             text = rb.column("_t")
             n = rb.num_rows
-            rest = pa.Table.from_batches([rb]).drop_columns(["_t"])
+            rest = pa.Table.from_batches([rb])
+            if not payload:                     # a kept row gets its text back from the sort key
+                rest = rest.drop_columns(["_t"])
             shape = shape or rest.schema
             new = np.ones(n, bool)
             if n > 1:
@@ -123,7 +125,8 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, payload
     t = F.coalesce(F.col(text_col), F.lit(""))
     cols = [F.col(id_col).alias("_id"), t.alias("_t")]
     if payload:
-        cols.append(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+        others = [F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(docs.columns) if c != text_col]
+        cols.append(F.struct(F.col(text_col).isNull().alias("_null"), *others).alias("_row"))
     key = [F.substring("_t", 1, PREFIX), F.xxhash64("_t"), F.col("_t"),
            F.col("_id").asc_nulls_first() if last else F.col("_id").asc_nulls_last()]
     split = [key[0], key[1], key[3]]            # bounded splitters in the same order
@@ -134,7 +137,7 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, payload
     fields = [T.StructField("_pid", T.IntegerType()), T.StructField("_seg", T.IntegerType()),
               T.StructField("_size", T.LongType()), T.StructField("_keep", ordered.schema["_id"].dataType),
               T.StructField("_kept", T.BooleanType())]
-    fields += [T.StructField(f.name, f.dataType) for f in ordered.schema if f.name != "_t"]
+    fields += [T.StructField(f.name, f.dataType) for f in ordered.schema if payload or f.name != "_t"]
     fields += [T.StructField("_first", T.StringType()), T.StructField("_last", T.StringType()),
                T.StructField("_runs", T.LongType())]
     return stored(ordered.mapInArrow(_runs(payload, last), T.StructType(fields)), "content-sort")
@@ -197,4 +200,6 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs = _sorted_runs(docs, id_col, text_col, keep, payload=True)
     rows = runs.where(F.col("_runs").isNull() & F.col("_kept"))
     rows = rows.join(F.broadcast(_joined_up(runs, keep)), ["_pid", "_seg"], "left")
-    return rows.where(F.coalesce(F.col("_holds"), F.lit(True))).select("_row.*")
+    text = F.when(~F.col("_row._null"), F.col("_t"))
+    return rows.where(F.coalesce(F.col("_holds"), F.lit(True))).select(
+        *[(text if c == text_col else F.col(f"_row._c{i}")).alias(c) for i, c in enumerate(docs.columns)])

@@ -26,7 +26,7 @@ VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"                 # the same vocabulary
 END_ID = 2
 SHARD_PIECES = 8192
-CACHE_UNITS = 500_000                           # cached words per Python worker
+CACHE_UNITS = 250_000                           # cached words per Python worker
 
 _GAP = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[str | None, "Encoder"] = {}
