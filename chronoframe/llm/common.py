@@ -20,7 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None
     return df.select(*columns) if columns else df
 
 
-_TABLES = threading.local()                     # folders that the innermost stored_alone of a thread deletes
+_TABLES: list[str] = []                         # folders of this process' stored tables that were not deleted
+_CALL = threading.local()                       # .made: those of the thread's innermost stored_alone
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -30,23 +31,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if getattr(_TABLES, "made", None) is not None:
-        _TABLES.made.append(path)
+    _TABLES.append(path)
+    if getattr(_CALL, "made", None) is not None:
+        _CALL.made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def stored_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """``stored(make(), name)``, after which the tables that ``make`` stored on
     the way are deleted."""
-    outer, _TABLES.made = getattr(_TABLES, "made", None), []
+    outer, _CALL.made = getattr(_CALL, "made", None), []
     try:
         df = make()
-        mine, _TABLES.made = _TABLES.made, outer
+        mine, _CALL.made = _CALL.made, outer
         out = stored(df, name)
     finally:
-        _TABLES.made = outer
+        _CALL.made = outer
     for path in mine:
         delete_folder(out.sparkSession, path)
+        _TABLES.remove(path)
     return out
 
 
