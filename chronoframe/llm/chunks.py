@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import small_batches, stored
 from .words import pack, unpack
 
 CHUNK_BYTES = 8 << 20
@@ -80,6 +80,7 @@ def chunk_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     that goes with every document."""
     flag = F.lit(False) if flag is None else F.coalesce(flag, F.lit(False))
     src = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"), flag.alias("_f"))
+    small_batches(docs.sparkSession)
     return stored(src.mapInArrow(_chunked(chunk_bytes), (
         "chunk long, n_docs long, n_bytes long, ids binary, sizes binary, flags binary, texts binary")), "chunks")
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, stored
+from .common import shuffle_partitions, small_batches, stored
 
 PREFIX = 48                                     # characters of the text in the splitters
 
@@ -130,6 +130,7 @@ def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, keep: str, payload
     key = [F.substring("_t", 1, PREFIX), F.xxhash64("_t"), F.col("_t"),
            F.col("_id").asc_nulls_first() if last else F.col("_id").asc_nulls_last()]
     split = [key[0], key[1], key[3]]            # bounded splitters in the same order
+    small_batches(docs.sparkSession)
     n = shuffle_partitions(docs.sparkSession)
     ordered = docs.select(*cols).repartitionByRange(n, *split).sortWithinPartitions(*key)
     if not payload:

@@ -33,6 +33,7 @@ TOKENS = 128                                    # min-hash tokens of a set
 DEPTH = 4                                       # splits of a path
 SMALL = 64                                      # sets that are compared at once
 BLOCK = 192                                     # sets of a block of a larger bucket
+DEALT_ROWS = 20_000                             # rows that a task holds while it deals buckets
 MARGIN = 4.5                                    # standard errors of the sketch below the threshold
 
 _MUL = np.random.default_rng(5).integers(1, 2**63, TOKENS, dtype=np.uint64) * U64(2) + U64(1)
@@ -376,12 +377,17 @@ def drop_near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall
 def _deal(runs: int):
     """Rows of a document's buckets; those of a bucket larger than a block go
     to every pair of blocks that its own block is part of."""
-    def run(batches):
+    def flushed(out):
         import pyarrow as pa
+        return pa.record_batch({
+            "g": pa.array(out["g"], pa.int64()), "u": pa.array(out["u"], pa.int64()), "block": pa.array(out["block"], pa.int32()),
+            "run": pa.array(out["run"], pa.int32()), "cross": pa.array(out["cross"]), "copies": pa.array(out["copies"], pa.int64()),
+            "sketch": pa.array(out["sketch"], pa.binary()), "buckets": pa.array(out["buckets"], pa.binary())})
+
+    def run(batches):
+        names = ("g", "u", "block", "run", "cross", "copies", "sketch", "buckets")
+        out = {c: [] for c in names}
         for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            out = {c: [] for c in ("g", "u", "block", "run", "cross", "copies", "sketch", "buckets")}
             for u, copies, at, tokens in zip(*(rb.column(c).to_pylist() for c in ("u", "copies", "at", "tokens"))):
                 own = np.zeros(runs, np.int64)
                 for x in at:
@@ -394,16 +400,12 @@ def _deal(runs: int):
                     for j in range(blocks):
                         lo, hi = min(b, j), max(b, j)
                         g = (x["bucket"] + lo * 0x9E3779B97F4A7C15 + hi * 0xC2B2AE3D27D4EB4F) & ((1 << 64) - 1)
-                        out["g"].append(g - (1 << 64) if g >> 63 else g)
-                        out["u"].append(u)
-                        out["block"].append(b)
-                        out["run"].append(x["run"])
-                        out["cross"].append(lo != hi)
-                        out["copies"].append(copies)
-                        out["sketch"].append(sketch)
-                        out["buckets"].append(packed)
-            yield pa.record_batch({
-                "g": pa.array(out["g"], pa.int64()), "u": pa.array(out["u"], pa.int64()), "block": pa.array(out["block"], pa.int32()),
-                "run": pa.array(out["run"], pa.int32()), "cross": pa.array(out["cross"]), "copies": pa.array(out["copies"], pa.int64()),
-                "sketch": pa.array(out["sketch"], pa.binary()), "buckets": pa.array(out["buckets"], pa.binary())})
+                        row = (g - (1 << 64) if g >> 63 else g, u, b, x["run"], lo != hi, copies, sketch, packed)
+                        for c, v in zip(names, row):
+                            out[c].append(v)
+                        if len(out["g"]) >= DEALT_ROWS:         # a large bucket's rows leave in bounded batches
+                            yield flushed(out)
+                            out = {c: [] for c in names}
+        if out["g"]:
+            yield flushed(out)
     return run

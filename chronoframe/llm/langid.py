@@ -21,11 +21,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BLOCK = 2048                                    # characters parsed in one go
 SAMPLE_DOCS = 128                               # labelled documents per language
 SAMPLE_CHARS = 48_000                           # characters per language
 TOTAL_CHARS = 1_000_000                         # characters of all languages together
 WIDEST = 64                                     # digits of the symbols' base
+BROADCAST_LABELS = 100_000
 SPARE = 8                                       # times the wanted documents that are ranked
 BATCH_CHARS = 2_000_000
 UNKNOWN = "und"
@@ -43,6 +46,8 @@ def training_sample(docs: DataFrame, n_docs: int, sample_chars: int, total_chars
     n_langs = counts.count()
     if not n_langs:
         return {}
+    if n_langs <= BROADCAST_LABELS:             # beyond, a shuffle join
+        counts = F.broadcast(counts)
     chars = max(1, min(sample_chars, total_chars // n_langs))
     size = F.ceil(F.lit(chars) / F.least(F.lit(n_docs), F.col("_n")))
     # most rows are out by their hash alone, so few are ranked, whatever the size
@@ -260,6 +265,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text_col: str = "te
     and score 0.  Ties go to the label that sorts first.  Only the text decides;
     repeated rows get equal results, and an empty table an empty result."""
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     bc = spark.sparkContext.broadcast(model)    # bounded by the training sample
     src = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("_t"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema if f.name != "_t")
@@ -271,6 +277,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """The rows of ``docs`` whose language is not ``und``, with all their
     columns, whatever they are called.  Only the text goes to Python and only
     the label comes back."""
+    small_batches(docs.sparkSession)
     bc = docs.sparkSession.sparkContext.broadcast(model)        # bounded by the training sample
 
     @F.arrow_udf("string")

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import buckets_for, stored
+from .common import buckets_for, small_batches, stored
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"                 # the same vocabulary
@@ -168,6 +168,7 @@ def token_pieces(docs: DataFrame, length: int = 1024, tokenizer: str | None = No
     pieces of ``length`` ids, the first of which takes the remainder."""
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
     kind = src.schema["_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     cut = src.mapInArrow(_cut(tokenizer, length, end_id),
                          f"_id {kind}, piece int, start long, length long, ids_crc32 long")
     return cut.withColumnRenamed("_id", id_col)

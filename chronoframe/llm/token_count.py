@@ -30,6 +30,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 VOCABULARY = "word_bpe_49k.json"
 CACHE_UNITS = 300_000                           # counts kept per Python worker
 CACHED_LENGTH = 64                              # longer units are counted each time
@@ -244,6 +246,7 @@ def count_tokens(docs: DataFrame, limit: int | None = None, tokenizer: str | Non
     are not read, and an empty table gives an empty result.  Memory in a task is
     bounded by the cache and its longest text."""
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    small_batches(docs.sparkSession)
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(tokenizer))       # at most the vocabulary
     kind = src.schema["_id"].dataType.simpleString()
     out = src.mapInArrow(_count(tokenizer, whole), f"_id {kind}, n_bytes long, n_tokens long")
