@@ -11,6 +11,7 @@ from ..operators import impute as im
 from ..operators import missing as ms
 from ..operators import transform as tf
 from ..operators.ordering import dense_index, lagged
+from ..operators.spline import spline_interpolate
 from ..session import cut_lineage
 from . import fixtures as fx
 
@@ -100,6 +101,17 @@ def linear_interpolate(spark, sf):
     return r6(im.interpolate(fx.ts_hourly(spark, sf).drop("t"), VARS, order=1))
 
 
+def spline_hourly(spark, sf):
+    """Gaps of the hourly series by the global cubic spline of each variable."""
+    return r6(spline_interpolate(fx.ts_hourly(spark, sf).drop("t"), VARS, order=3))
+
+
+def ld_spline(spark, sf):
+    """Missing event values by each subject's global quadratic spline over its visits."""
+    ev = fx.ld_events(spark, sf).select("user_id", "visit", "value")
+    return r6(spline_interpolate(ev, ["value"], order=2, idx="visit", keys=["user_id"]))
+
+
 def imputation_sets(spark, sf):
     return r6(im.imputation_sets(fx.ts_hourly(spark, sf), ["click"], ar_lag=3))
 
