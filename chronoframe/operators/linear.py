@@ -492,37 +492,47 @@ def var_residuals(df: DataFrame, cols: Sequence[str], coefs: DataFrame, p: int,
 
 
 def var_forecast(df: DataFrame, cols: Sequence[str], coefs: DataFrame, p: int, steps: int, idx: str = "idx",
-                 alpha: float = 0.05) -> DataFrame:
-    """h-step VAR forecast with interval mean +- z * sqrt(diag(sum Psi_i Sigma Psi_i^T)).
-    Inputs are the coefficient table and the last p rows (bounded)."""
+                 alpha: float = 0.05, keys=()) -> DataFrame:
+    """h-step VAR forecast with interval mean +- z * sqrt(diag(sum Psi_i Sigma Psi_i^T)),
+    for every series of ``keys``.  Coefficients (as of :func:`var_fit`) and the
+    last p rows of a series are joined into one row, over which an executor runs
+    the recursion.  A series whose coefficients are incomplete has no rows."""
     cols = list(cols)
     K = len(cols)
-    n = df.agg(F.max(idx)).first()[0]
-    last = df.where(F.col(idx) > n - p).select(idx, *cols).orderBy(idx).collect()      # p rows
-    cf = {(r["equation"], r["regressor"]): r["coef"] for r in coefs.collect()}
-    c = np.array([cf[(e, "const")] for e in cols])
-    A = [np.array([[cf[(e, f"{c2}_lag{k}")] for c2 in cols] for e in cols]) for k in range(1, p + 1)]
-    Sigma = np.array([[cf[(e, f"_sigma_{c2}")] for c2 in cols] for e in cols])
-    hist = [np.array([r[v] for v in cols], dtype=float) for r in last]
+    d0, keys = _with_series(df, keys)
+    own = coefs.withColumn(SERIES, F.lit(0)) if SERIES in keys else coefs
+    model = own.groupBy(*keys).agg(F.collect_list(F.struct("equation", "regressor", "coef")).alias("_c"))    # K(Kp + 1 + K) numbers
+    ends = d0.groupBy(*keys).agg(F.max(idx).alias("_last"))
+    tail = d0.join(ends, keys).where(F.col(idx) > F.col("_last") - max(p, 1)).groupBy(*keys, "_last").agg(
+        F.array_sort(F.collect_list(F.struct(F.col(idx).cast("long").alias("i"), F.array(*[F.col(c).cast("double") for c in cols]).alias("v")))).alias("_ys"))
     z = norm_ppf(1 - alpha / 2)
-    psi = [np.eye(K)]
-    for h in range(1, steps):
-        acc = np.zeros((K, K))
-        for k in range(1, min(h, p) + 1):
-            acc += A[k - 1] @ psi[h - k]
-        psi.append(acc)
-    recs = []
-    mse = np.zeros((K, K))
-    for h in range(steps):
-        yhat = c.copy()
-        for k in range(1, p + 1):
-            yhat += A[k - 1] @ hist[-k]
-        hist.append(yhat)
-        mse = mse + psi[h] @ Sigma @ psi[h].T
-        for i, v in enumerate(cols):
-            sd = math.sqrt(max(mse[i, i], 0.0))
-            recs.append((v, int(n + 1 + h), float(yhat[i]), float(yhat[i] - z * sd), float(yhat[i] + z * sd)))
-    return df.sparkSession.createDataFrame(recs, f"{V} string, {idx} long, mean double, lower double, upper double")
+
+    def forecast(batches):
+        for pdf in batches:
+            recs = []
+            for row in pdf.to_dict("records"):
+                cf = {(e["equation"], e["regressor"]): e["coef"] for e in row["_c"]}
+                hist = [np.asarray(e["v"], float) for e in row["_ys"]]
+                if len(hist) < p or any(v is None or math.isnan(v) for v in cf.values()):
+                    continue
+                c = np.array([cf[e, "const"] for e in cols])
+                A = [np.array([[cf[e, f"{c2}_lag{k}"] for c2 in cols] for e in cols]) for k in range(1, p + 1)]
+                sigma = np.array([[cf[e, f"_sigma_{c2}"] for c2 in cols] for e in cols])
+                psi, mse = [np.eye(K)], np.zeros((K, K))
+                for h in range(steps):
+                    if h:
+                        psi.append(sum((A[k - 1] @ psi[h - k] for k in range(1, min(h, p) + 1)), np.zeros((K, K))))
+                    yhat = c + sum((A[k - 1] @ hist[-k] for k in range(1, p + 1)), np.zeros(K))
+                    hist.append(yhat)
+                    mse = mse + psi[h] @ sigma @ psi[h].T
+                    for i, v in enumerate(cols):
+                        half = z * math.sqrt(max(mse[i, i], 0.0))
+                        recs.append([row[k] for k in keys] + [v, int(row["_last"]) + 1 + h, float(yhat[i]), float(yhat[i] - half), float(yhat[i] + half)])
+            yield pd.DataFrame(recs, columns=[*keys, V, idx, "mean", "lower", "upper"])
+
+    joined = model.join(tail, keys)
+    out = joined.mapInPandas(forecast, f"{_key_schema(joined, keys)}, {V} string, `{idx}` long, mean double, lower double, upper double")
+    return out.drop(SERIES) if SERIES in keys else out
 
 
 # -------------------------------------------------------- walk-forward (prefix)

@@ -373,6 +373,17 @@ f AS (SELECT *, regr_slope(total, y1) OVER e AS b, regr_avgx(total, y1) OVER e A
   WINDOW e AS (PARTITION BY segment ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT segment, idx, round(total, 4) AS observed, round(my + b * (y1 - mx), 4) AS predicted,
   round(total - (my + b * (y1 - mx)), 4) AS residual FROM f WHERE idx >= start AND start > 3"""
+    q["user_ar1_forecast"] = "WITH " + LD + f""",
+v AS (SELECT user_id, visit AS idx, value, lag(value) OVER (PARTITION BY user_id ORDER BY visit) AS y1
+      FROM (SELECT user_id, visit, {_fill_subject("value", True)} AS value FROM ld) WHERE value IS NOT NULL),
+b AS (SELECT user_id, count(y1) AS n, sum(value * y1) / sum(y1 * y1) AS b, max(idx) AS last, arg_max(value, idx) AS y
+      FROM v GROUP BY user_id HAVING count(y1) > 3),
+e AS (SELECT b.user_id, n, b, last, y, sum((value - b * y1) * (value - b * y1) / n) AS s2
+      FROM v JOIN b USING (user_id) WHERE y1 IS NOT NULL GROUP BY ALL),
+h AS (SELECT *, unnest([1, 2, 3]) AS h FROM e),
+m AS (SELECT user_id, last + h AS idx, pow(b, h) * y AS mean,
+        {Z975} * sqrt(s2 * (1 + CASE WHEN h > 1 THEN b * b ELSE 0 END + CASE WHEN h > 2 THEN pow(b, 4) ELSE 0 END)) AS half FROM h)
+SELECT user_id, CAST(idx AS BIGINT) AS idx, round(mean, 4) AS mean, round(mean - half, 4) AS lower, round(mean + half, 4) AS upper FROM m"""
     q["active_customers"] = "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT o_custkey FROM orders)"
     q["csv_names"] = """SELECT doc_id, 'dir.d/' || source || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.tar.csv' ELSE '.txt' END AS path,
   regexp_full_match(source || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.tar.csv' ELSE '.txt' END, '[^.]+\\.csv') AS valid

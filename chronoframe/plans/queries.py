@@ -757,3 +757,49 @@ def transposed_days(spark, sf):
     """The daily table with every day a series, in long form."""
     from ..sources.csv import transpose_series
     return r6(transpose_series(fx.ts_daily(spark, sf).select("idx", "total", "n")))
+
+
+# ---------------------------------------------------------- many series at once
+
+def user_values(spark, sf) -> DataFrame:
+    """Event values per user and visit, missing ones carried forward, then backward."""
+    ev = fx.ld_events(spark, sf).select("user_id", "visit", "value")
+    return cut_lineage(im.locf(ev, ["value"], "visit", "user_id", nocb=True).where("value IS NOT NULL").select(
+        "user_id", F.col("visit").alias("idx"), "value"))
+
+
+def user_ar1_forecast(spark, sf):
+    """F1/F6 per user: AR(1) without a constant, three steps ahead with 95 % interval."""
+    from ..operators.many_series import arima_many
+    return r6(arima_many(user_values(spark, sf), (1, 0, 0), steps=3, keys=["user_id"])[1], 4)
+
+
+def user_arma_fit(spark, sf):
+    """F1/F4 per user: ARMA(1, 1) coefficients and criteria."""
+    from ..operators.many_series import arima_many
+    return r6(arima_many(user_values(spark, sf), (1, 0, 1), keys=["user_id"])[0])
+
+
+def segment_seasonal_grid(spark, sf):
+    """F7 with a period: seasonal orders (p, 0, q, 7), p, q < 2, of every market
+    segment's daily totals."""
+    from ..operators.many_series import arima_grid
+    seg = fx.ts_segment(spark, sf).select("segment", "idx", F.col("total").alias("value"))
+    return r6(arima_grid(seg, 2, 2, s=7, keys=["segment"]))
+
+
+def segment_sarima_forecast(spark, sf):
+    """F3/F6 per segment: ARIMA(1, 1, 1)(1, 0, 0, 7), ten days ahead."""
+    from ..operators.many_series import arima_many
+    seg = fx.ts_segment(spark, sf).select("segment", "idx", F.col("total").alias("value"))
+    return r6(arima_many(seg, (1, 1, 1), (1, 0, 0, 7), steps=10, keys=["segment"])[1])
+
+
+def segment_var_forecast(spark, sf):
+    """F12 per segment: VAR(2) of daily total and its change, five days ahead."""
+    from ..operators.linear import var_fit as _vf, var_forecast as _vfc
+    seg = fx.ts_segment(spark, sf).select("segment", "idx", "total")
+    two = lagged(seg, ["total"], [1], keys=["segment"]).select(
+        "segment", "idx", "total", (F.col("total") - F.coalesce("total_lag1", "total")).alias("change")).where("idx >= 1")
+    two = cut_lineage(two.withColumn("idx", F.col("idx") - 1).withColumn("change", F.sin(F.col("change") / 1e5)))
+    return r6(_vfc(two, ["total", "change"], _vf(two, ["total", "change"], 2, keys=["segment"]), 2, 5, keys=["segment"]))

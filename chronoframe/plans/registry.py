@@ -22,6 +22,7 @@ _SQL_CHECKED = [
     "big_key_index", "one_hot_levels", "adf_users", "granger_lag1", "segment_ar1", "active_customers", "csv_names",
     "minmax_roundtrip", "acf_display", "naive_residuals", "accepted_imputation", "drop_sparse_columns",
     "incomplete_columns", "event_value_bands", "record_lows", "observed_and_predicted", "transposed_days",
+    "user_ar1_forecast",
 ]
 
 _NUMERIC = [
@@ -31,7 +32,7 @@ _NUMERIC = [
     "model_impute", "chained_impute", "forest_impute", "window_regression", "nn_forecast",
     "window_classifier", "dynamic_classifier", "dynamic_groups", "dynamic_weights", "rbm_structure", "pcmci",
     "imputation_check", "arima_forecast", "sarima_fit", "granger_by_variable",
-    "spline_hourly", "ld_spline",
+    "spline_hourly", "ld_spline", "user_arma_fit", "segment_seasonal_grid", "segment_sarima_forecast", "segment_var_forecast",
     "segment_walk_forward", "forecast_table", "sarimax_process", "var_process",
 ]
 
