@@ -5,10 +5,10 @@ variables, i.e. a function of the covariance of ``X_k(t-s)`` for all
 variables k and lags s = 0..2*tau_max.  That covariance comes from one Gram
 aggregate over the series (rows t >= 2*tau_max, so all tests share one
 sample); the PC1 parent search, the MCI tests, the Student-t p-values and the
-FDR correction run on that (K(2 tau_max + 1))^2 matrix in one pandas task per
-series.  With many variables the PC1 search (the heavy part: one search per
-target and candidate level) fans out to one task per target on that
-target's covariance slice; the parents are joined back for the MCI tests.
+FDR correction are tables from there on.  The covariance is stored as rows; a
+group of the PC1 search gets the slice of one target; an MCI test is a row that
+an equi-join gives the few entries it needs; the p-values are corrected by the
+distributed ``bh_correct``.
 """
 
 from __future__ import annotations
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ..functions.gram import unpack
 from ..functions.stats import t_sf
-from .linear import SERIES, _key_schema, _wide_lag_design, _with_series, gram
+from ..session import cut_lineage
+from .linear import SERIES, _key_schema, _wide_lag_design, _with_series, bh_correct, gram
 from .validate import require
 
 PC_ALPHAS = (0.05, 0.1, 0.2, 0.3, 0.4, 0.5)
@@ -56,15 +57,131 @@ def _residual_ssr(C: np.ndarray, n: int, y: int, X: list[int]) -> float:
     return float((C[y, y] - (Sxy.T @ beta)[0, 0]) * n)
 
 
+def _covariance_rows(g: DataFrame, keys: list[str], m: int) -> DataFrame:
+    """keys, n, a, c: row ``a`` of the covariance of the lagged variables from its
+    diagonal on (columns count from 1; column 0 of the Gram is the constant)."""
+    n, at = F.col("n").cast("double"), F.col("g")
+
+    def row(a):
+        start = (a * (2 * m - a + 1) / 2).cast("int")           # of row a in the triangle
+        c = F.transform(F.sequence(a, F.lit(m - 1)), lambda b: F.get(at, start + b - a) / n - F.get(at, a) / n * (F.get(at, b) / n))
+        return F.struct(a.alias("a"), c.alias("c"))
+    rows = g.select(*keys, "n", F.explode(F.transform(F.sequence(F.lit(1), F.lit(m - 1)), row)).alias("_r"))
+    return cut_lineage(rows.select(*keys, "n", "_r.a", "_r.c").repartition(*keys, "a"))
+
+
+def _parents(rows: DataFrame, keys: list[str], K: int, tau_max: int, pc_alpha: float | None) -> DataFrame:
+    """keys, target, parents (columns of the Gram): one PC1 search per group,
+    which holds the target's slice of the covariance and no more."""
+    first, last = K + 1, K + K * tau_max        # columns of the candidates: lags 1 .. tau_max
+    cand = rows.where(F.col("a").between(first, last)).select(
+        *keys, "n", "a", F.slice("c", F.lit(1), F.lit(last) - F.col("a") + 1).alias("c"),
+        F.explode(F.sequence(F.lit(0), F.lit(K - 1))).alias("target"))
+    own = rows.where(F.col("a") <= K).select(   # the target's variance and its covariance with the candidates
+        *keys, "n", "a", F.concat(F.slice("c", 1, 1), F.slice("c", F.lit(first + 1) - F.col("a"), F.lit(last - first + 1))).alias("c"),
+        (F.col("a") - 1).alias("target"))
+    cands = [(i, s) for s in range(1, tau_max + 1) for i in range(K)]
+
+    def search(pdf):
+        d = len(cands)
+        C = np.zeros((d + 1, d + 1))
+        j, n = int(pdf["target"].iloc[0]), int(pdf["n"].iloc[0])
+        for a, c in zip(pdf["a"].tolist(), pdf["c"]):
+            if a <= K:
+                C[0] = C[:, 0] = np.asarray(c, float)
+            else:
+                C[a - first + 1, a - first + 1:] = C[a - first + 1:, a - first + 1] = np.asarray(c, float)
+        place = {(j, 0): 0} | {p: 1 + k for k, p in enumerate(cands)}
+        found = _pc1_best(C, n, j, cands, pc_alpha, lambda i, s: place[i, s])
+        out = pd.DataFrame({"target": [j], "parents": [[1 + s * K + i for i, s in found]]})
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    kinds = _key_schema(rows, keys)
+    return cut_lineage(cand.unionByName(own).groupBy(*keys, "target").applyInPandas(search, f"{kinds}, target int, parents array<int>"))
+
+
+def _tests_as_rows(g: DataFrame, keys: list[str], cols: list[str], tau_max: int, pc_alpha: float | None) -> DataFrame:
+    """keys, source, target, lag, val, p_value: every test is a row that joins
+    the covariance entries it needs."""
+    K, L = len(cols), 2 * tau_max
+    rows = _covariance_rows(g, keys, 1 + K * (L + 1))
+    parents = _parents(rows, keys, K, tau_max, pc_alpha)
+
+    # a test is a row: columns x (source, lag) and y (target), and what is held fixed
+    sources = parents.select(*keys, F.col("target").alias("i"), F.col("parents").alias("_pi"))
+    lags = F.explode(F.sequence(F.lit(0), F.lit(tau_max))).alias("lag")
+    tests = parents.select(*keys, F.col("target").alias("j"), F.col("parents").alias("_pj")).join(sources, keys).select("*", lags)
+    tests = tests.where((F.col("lag") > 0) | (F.col("i") != F.col("j")))
+    x, y = F.lit(1) + F.col("lag") * K + F.col("i"), F.lit(1) + F.col("j")
+    shifted = F.filter(F.transform("_pi", lambda p: p + F.col("lag") * K), lambda p: p <= K + L * K)
+    tests = tests.withColumns({"x": x, "y": y}).withColumn("fixed", F.array_except(F.array_union("_pj", shifted), F.array("x", "y")))
+    tests = cut_lineage(tests.select(*keys, "i", "j", "lag", "x", "y", "fixed"))
+
+    # the entries that a test needs, by an equi-join
+    used = F.sort_array(F.array_union(F.array("x", "y"), F.col("fixed")))
+    pairs = tests.select(*keys, "i", "j", "lag", F.explode(used).alias("a"), used.alias("_u")).select(
+        *keys, "i", "j", "lag", "a", F.explode(F.filter("_u", lambda b: b >= F.col("a"))).alias("b"))
+    entries = rows.select(*keys, "n", "a", F.posexplode("c").alias("_o", "c")).select(
+        *keys, "n", "a", (F.col("a") + F.col("_o")).alias("b"), "c")
+    slices = pairs.join(entries, [*keys, "a", "b"]).groupBy(*keys, "i", "j", "lag", "n").agg(
+        F.collect_list(F.struct("a", "b", "c")).alias("_c"))
+    solved = slices.join(tests, [*keys, "i", "j", "lag"])
+
+    def correlate(batches):
+        for pdf in batches:
+            val, p = [], []
+            for entry, n, a, b, fixed in zip(pdf["_c"], pdf["n"], pdf["x"], pdf["y"], pdf["fixed"]):
+                place = {c: k for k, c in enumerate([a, b, *fixed])}
+                C = np.zeros((len(place), len(place)))
+                for e in entry:
+                    C[place[e["a"]], place[e["b"]]] = C[place[e["b"]], place[e["a"]]] = e["c"]
+                r, q = _parcorr(C, int(n), 0, 1, list(range(2, len(place))))
+                val.append(r)
+                p.append(None if math.isnan(q) else q)
+            out = pdf[[*keys]].copy()
+            out["source"], out["target"] = [cols[i] for i in pdf["i"]], [cols[j] for j in pdf["j"]]
+            out["lag"], out["val"], out["p_value"] = pdf["lag"], val, np.array(p, float)
+            yield out
+
+    schema = _key_schema(rows, keys) + ", source string, target string, lag int, val double, p_value double"
+    return solved.mapInPandas(correlate, schema)
+
+
+def _tests_by_series(g: DataFrame, keys: list[str], cols: list[str], tau_max: int, pc_alpha: float | None) -> DataFrame:
+    """The same in one group per series."""
+    K, L = len(cols), 2 * tau_max
+    cands = [(i, s) for s in range(1, tau_max + 1) for i in range(K)]
+    col = lambda k, s: s * K + k                                # noqa: E731
+
+    def run(pdf):
+        G, n = unpack(pdf["g"].iloc[0], 1 + K * (L + 1)), int(pdf["n"].iloc[0])
+        mu = G[0, 1:] / n
+        C = G[1:, 1:] / n - np.outer(mu, mu)
+        parents = [_pc1_best(C, n, j, cands, pc_alpha, col) for j in range(K)]
+        recs = []
+        for i, j, lag in ((i, j, lag) for j in range(K) for i in range(K) for lag in range(tau_max + 1) if lag or i != j):
+            fixed = {*parents[j], *((k, s + lag) for k, s in parents[i] if s + lag <= L)} - {(i, lag), (j, 0)}
+            recs.append((cols[i], cols[j], lag, *_parcorr(C, n, col(i, lag), col(j, 0), [col(k, s) for k, s in sorted(fixed)])))
+        out = pd.DataFrame(recs, columns=["source", "target", "lag", "val", "p_value"])
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    return g.groupBy(*keys).applyInPandas(run, _key_schema(g, keys) + ", source string, target string, lag int, val double, p_value double")
+
+
 def pcmci(df: DataFrame, cols: Sequence[str], tau_max: int = 8, pc_alpha: float | None = None,
           alpha_level: float = 0.01, fdr: bool = True, fdr_contemporaneous: bool = False,
-          idx: str = "idx", keys=(), size: int | None = None, fanout: bool | None = None) -> DataFrame:
+          idx: str = "idx", keys=(), size: int | None = None, fanout: bool = True) -> DataFrame:
     """PCMCI with ParCorr.  Output per series: (source, target, lag, val,
     p_value, q_value, significant) for lags 0..tau_max (lag 0 = contemporaneous,
     source != target).  ``pc_alpha=None`` picks the PC1 level per target from
     ``PC_ALPHAS`` by the AIC of the target regressed on its parents; q-values
     are Benjamini-Hochberg over the lagged links (and lag 0 when
-    ``fdr_contemporaneous``)."""
+    ``fdr_contemporaneous``).  ``fanout=False`` searches and tests a series in
+    one group, which saves shuffles for many short series of few variables."""
     cols = list(cols)
     K = len(cols)
     require(K >= 2, "PCMCI needs at least two variables")
@@ -73,97 +190,12 @@ def pcmci(df: DataFrame, cols: Sequence[str], tau_max: int = 8, pc_alpha: float
     lg, zcols = _wide_lag_design(d0, cols, L, idx, keys, size)
     z = [F.lit(1.0)] + [F.col(c).cast("double") for c in zcols]
     g = gram(lg.where(F.col(idx) >= L), z, keys)
-    m = len(z)
-    pos = lambda k, s: 1 + s * K + k                         # noqa: E731  column of X_k(t-s) in the Gram
-    schema = _key_schema(g, keys) + (", source string, target string, lag int, val double, p_value double, "
-                                     "q_value double, significant boolean")
-
-    cands = [(i, s) for s in range(1, tau_max + 1) for i in range(K)]
-    if fanout is None:
-        fanout = K > 20
-
-    def cov(row):
-        G, n = unpack(row["g"], m), int(row["n"])
-        mu = G[0, 1:] / n
-        return G[1:, 1:] / n - np.outer(mu, mu), n             # covariance of the lagged variables
-
-    full_col = lambda k, s: pos(k, s) - 1                        # noqa: E731
-
-    if fanout:
-        # PC1 per target in its own task: the target's (1 + K tau_max) covariance slice
-        kschema = _key_schema(g, keys)
-
-        def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-            row = pdf.iloc[0]
-            C, n = cov(row)
-            recs = []
-            for j in range(K):
-                ix = [full_col(j, 0)] + [full_col(i, s_) for i, s_ in cands]
-                recs.append((j, C[np.ix_(ix, ix)].ravel().tolist(), n))
-            out = pd.DataFrame(recs, columns=["_target", "_c", "n"])
-            for k in reversed(keys):
-                out.insert(0, k, row[k])
-            return out
-
-        slices = g.groupBy(*keys).applyInPandas(cut, kschema + ", _target int, _c array<double>, n long")
-
-        def pc1(pdf: pd.DataFrame) -> pd.DataFrame:
-            row = pdf.iloc[0]
-            j, n = int(row["_target"]), int(row["n"])
-            dsub = 1 + len(cands)
-            C = np.asarray(row["_c"], dtype=float).reshape(dsub, dsub)
-            local = {(j, 0): 0, **{c: 1 + q for q, c in enumerate(cands)}}
-            par = _pc1_best(C, n, j, cands, pc_alpha, lambda k, s_: local[(k, s_)])
-            out = pd.DataFrame({"_target": [j], "_parents": [[{"i": int(a), "s": int(b)} for a, b in par]]})
-            for k in reversed(keys):
-                out.insert(0, k, row[k])
-            return out
-
-        par_df = slices.groupBy(*keys, "_target").applyInPandas(
-            pc1, kschema + ", _target int, _parents array<struct<i:int,s:int>>")
-        par_df = par_df.groupBy(*keys).agg(F.collect_list(F.struct("_target", "_parents")).alias("_all_parents"))
-        g = g.join(par_df, keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        C, n = cov(row)
-        col = full_col
-        parents = {}
-        if "_all_parents" in pdf.columns:
-            for e in row["_all_parents"]:
-                parents[int(e["_target"])] = [(int(q["i"]), int(q["s"])) for q in e["_parents"]]
-        else:
-            for j in range(K):
-                parents[j] = _pc1_best(C, n, j, cands, pc_alpha, col)
-        recs = []
-        for j in range(K):
-            for i in range(K):
-                for tau in range(0, tau_max + 1):
-                    if tau == 0 and i == j:
-                        continue
-                    Z = [p for p in parents[j] if p != (i, tau)]
-                    Z += [(k, s + tau) for k, s in parents[i] if s + tau <= L and (k, s + tau) not in Z]
-                    Z = [p for p in Z if p != (j, 0) and p != (i, tau)]
-                    val, p = _parcorr(C, n, col(i, tau), col(j, 0), [col(k, s) for k, s in Z])
-                    recs.append((cols[i], cols[j], tau, val, p))
-        out = pd.DataFrame(recs, columns=["source", "target", "lag", "val", "p_value"])
-        fam = (out["lag"] >= (0 if fdr_contemporaneous else 1)) & out["p_value"].notna()
-        q = out["p_value"].copy()
-        if fdr and fam.any():
-            pv = out.loc[fam, "p_value"].to_numpy()
-            order = np.argsort(pv)
-            mm = len(pv)
-            adj = np.minimum.accumulate((pv[order] * mm / np.arange(1, mm + 1))[::-1])[::-1]
-            qq = np.empty(mm)
-            qq[order] = np.minimum(adj, 1.0)
-            q.loc[fam] = qq
-        out["q_value"] = q
-        out["significant"] = out["q_value"] <= alpha_level
-        for k in reversed(keys):
-            out.insert(0, k, row[k])
-        return out
-
-    res = g.groupBy(*keys).applyInPandas(run, schema)
+    tested = _tests_as_rows if fanout else _tests_by_series
+    res = cut_lineage(tested(g, keys, cols, tau_max, pc_alpha))
+    family = F.col("p_value").isNotNull() & (F.col("lag") >= (0 if fdr_contemporaneous else 1)) & F.lit(fdr)
+    adjusted = bh_correct(res.where(family), "p_value", keys, size=size)
+    res = adjusted.select(*res.columns, "q_value").unionByName(res.where(~family).withColumn("q_value", F.col("p_value")))
+    res = res.withColumn("significant", F.coalesce(F.col("q_value") <= alpha_level, F.lit(False)))
     return res.drop(SERIES) if SERIES in keys else res
 
 
