@@ -210,28 +210,105 @@ def _dft_four_step(long: DataFrame, nt: DataFrame, g: list, idx: str, value: str
     return mid.groupBy(*g, "_k1").applyInPandas(rows_fft, key_schema + ", freq long, c double, s double")
 
 
-def _dft_blocks(long: DataFrame, nt: DataFrame, g: list, idx: str, value: str, size: int) -> DataFrame:
-    """Partial DFT per block of a series (zero-padded FFT with phase shift),
-    summed per frequency: for series lengths that do not factor well."""
-    b = add_blocks(long.select(*g, idx, value).join(nt.select(*g, "_n"), g), idx, size).drop("_halo")
+def _dft_whole(long: DataFrame, nt: DataFrame, g: list, idx: str, value: str) -> DataFrame:
+    """DFT of series that are no longer than a block: one group each."""
     key_schema = ", ".join(f"`{k}` {t}" for k, t in long.select(*g).dtypes)
 
-    def partial(pdf: pd.DataFrame) -> pd.DataFrame:
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
         n = int(pdf["_n"].iloc[0])
-        pos = pdf[idx].to_numpy(dtype=np.int64)
-        freqs = _fisher_freqs(n)
-        i0 = int(pos.min())
         y = np.zeros(n)
-        y[pos - i0] = pdf[value].to_numpy(dtype=float)
-        spec = np.fft.fft(y)[freqs] if len(freqs) else np.zeros(0, dtype=complex)
-        z = spec * np.exp(-2j * np.pi * freqs * (i0 + 1) / n)
+        y[pdf[idx].to_numpy(dtype=np.int64)] = pdf[value].to_numpy(dtype=float)
+        freqs = _fisher_freqs(n)
+        z = np.fft.fft(y)[freqs] * np.exp(-2j * np.pi * freqs / n)              # time index i + 1
         res = pd.DataFrame({"freq": freqs.astype(np.int64), "c": z.real, "s": -z.imag})
         for c in reversed(g):
             res.insert(0, c, pdf[c].iloc[0])
         return res
 
-    parts = b.groupBy(*g, "_blk").applyInPandas(partial, key_schema + ", freq long, c double, s double")
-    return parts.groupBy(*g, "freq").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
+    return long.select(*g, idx, value).join(nt.select(*g, "_n"), g).groupBy(*g).applyInPandas(
+        whole, key_schema + ", freq long, c double, s double")
+
+
+def _complex_fft(rows: DataFrame, g: list, pairs: list[str], product: bool) -> DataFrame:
+    """Four-step FFTs of length ``_m`` = ``_n1`` * ``_n2`` of several complex
+    vectors at once: rows (keys, _n, _m, _n1, _n2, _i, <p>r, <p>i of every p in
+    ``pairs``), missing places zero.  Gives _i, _re, _im: of the vectors' product
+    or of the only one."""
+    key_schema = ", ".join(f"`{k}` {t}" for k, t in rows.select(*g).dtypes)
+    sizes = ["_n", "_m", "_n1", "_n2"]
+    parts = [f"{p}{x}" for p in pairs for x in "ri"]
+    x = rows.select(*g, *sizes, *parts, (F.col("_i") % F.col("_n2")).alias("_j2"), F.floor(F.col("_i") / F.col("_n2")).alias("_j1"))
+
+    def frame(pdf, columns):
+        out = pd.DataFrame(columns)
+        for c in sizes:
+            out[c] = int(pdf[c].iloc[0])
+        for c in reversed(g):
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+
+    def spread(pdf, place, length, p):
+        v = np.zeros(length, complex)
+        np.add.at(v, pdf[place].to_numpy(np.int64), pdf[f"{p}r"].to_numpy(float) + 1j * pdf[f"{p}i"].to_numpy(float))
+        return v
+
+    def columns_pass(pdf):
+        m, n1, j2 = (int(pdf[c].iloc[0]) for c in ("_m", "_n1", "_j2"))
+        k1 = np.arange(n1)
+        turn = np.exp(-2j * np.pi * (j2 * k1 % m) / m)
+        out = {"_k1": k1, "_j2": j2}
+        for p in pairs:
+            v = np.fft.fft(spread(pdf, "_j1", n1, p)) * turn
+            out |= {f"{p}r": v.real, f"{p}i": v.imag}
+        return frame(pdf, out)
+
+    def rows_pass(pdf):
+        n1, n2, k1 = (int(pdf[c].iloc[0]) for c in ("_n1", "_n2", "_k1"))
+        v = np.ones(n2, complex)
+        for p in pairs:
+            v = v * np.fft.fft(spread(pdf, "_j2", n2, p))
+        return frame(pdf, {"_i": k1 + n1 * np.arange(n2), "_re": v.real, "_im": v.imag})
+
+    assert product or len(pairs) == 1
+    own = ", ".join(f"{c} long" for c in sizes)
+    mid = x.groupBy(*g, "_j2").applyInPandas(columns_pass, f"{key_schema}, _k1 long, _j2 long, {', '.join(f'{c} double' for c in parts)}, {own}")
+    return mid.groupBy(*g, "_k1").applyInPandas(rows_pass, f"{key_schema}, _i long, _re double, _im double, {own}")
+
+
+def _dft_chirp(long: DataFrame, nt: DataFrame, g: list, idx: str, value: str) -> DataFrame:
+    """Exact DFT of any length n by the chirp-z identity
+    X_k = w_k sum_j (x_j w_j) / w_(k-j), w_j = exp(-i pi j^2 / n): a circular
+    convolution at a power of two, by four-step FFTs in groups of about the
+    root of that power.  Emits (keys, freq, c, s)."""
+    n, m = F.col("_n"), F.col("_m")
+    # the smallest power of two from 2n - 1 on, split into two of about its root
+    power = F.ceil(F.log2(2.0 * n - 1.0)).cast("int")
+    sized = nt.select(*g, "_n", power.alias("_p")).select(
+        *g, "_n", F.expr("shiftleft(1L, _p)").alias("_m"), F.expr("shiftleft(1L, _p div 2)").alias("_n1"),
+        F.expr("shiftleft(1L, _p - _p div 2)").alias("_n2"))
+
+    def angle(j):                               # of w_j, negated; j^2 as a remainder keeps it exact
+        return F.lit(math.pi) * F.pmod(j * j, 2 * n) / n
+    j = F.col(idx).cast("long")
+    x = F.col(value).cast("double")
+    cos, sin = F.cos(angle(j)), F.sin(angle(j))
+
+    def place(i, ar, ai):
+        return F.struct(i.alias("_i"), ar.alias("ar"), ai.alias("ai"), cos.alias("br"), sin.alias("bi"))
+    zero = F.lit(0.0)
+    rows = long.select(*g, idx, value).join(sized, g).withColumn("_at", F.explode(F.when(
+        j > 0, F.array(place(j, x * cos, -x * sin), place(m - j, zero, zero))).otherwise(F.array(place(j, x * cos, -x * sin)))))
+    sizes = ["_n", "_m", "_n1", "_n2"]
+    spectrum = _complex_fft(rows.select(*g, *sizes, "_at.*"), g, ["a", "b"], product=True)
+    # the inverse transform is the conjugate of that of the conjugate
+    back = _complex_fft(spectrum.select(*g, *sizes, "_i", F.col("_re").alias("ar"), (-F.col("_im")).alias("ai")), g, ["a"], product=False)
+    k = F.col("_i")
+    lo = F.when(n % 2 == 0, 0).otherwise(1)
+    hi = F.when(n % 2 == 0, F.floor(n / 2) - 1).otherwise(F.floor((n - 1) / 2))
+    turn = angle(k) + F.lit(2 * math.pi) * k / n                # w_k and the time index i + 1
+    re, im = F.col("_re") / m, -F.col("_im") / m
+    return back.where((k >= lo) & (k <= hi)).select(
+        *g, k.alias("freq"), (re * F.cos(turn) + im * F.sin(turn)).alias("c"), (re * F.sin(turn) - im * F.cos(turn)).alias("s"))
 
 
 def fisher_g(long: DataFrame, idx: str = "idx", keys=(), value: str = "value",
@@ -242,8 +319,8 @@ def fisher_g(long: DataFrame, idx: str = "idx", keys=(), value: str = "value",
     I = n/2 (a^2 + b^2).  Even n: frequencies 0..n/2-1, cosine only, scaled
     1/n and I = n a^2 (reproduced as the reference computes it).  Time of row
     i is i+1.  The periodogram is an exact distributed DFT: the four-step FFT
-    when n = n1 * n2 with both factors within the block size, otherwise
-    partial DFTs per block summed by frequency."""
+    when n = n1 * n2 with both factors within the block size; otherwise, for a
+    series longer than a block, the chirp-z transform, which takes any length."""
     g = [*_cols(keys), V]
     size = block_size(long.sparkSession, size)
     nt = long.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
@@ -255,8 +332,10 @@ def fisher_g(long: DataFrame, idx: str = "idx", keys=(), value: str = "value",
     nt = nt.withColumn("_n1", n1_of("_n")).withColumn("_n2", (F.col("_n") / F.col("_n1")).cast("long"))
     four = (F.col("_n1") > 1) & (F.col("_n2") <= F.lit(size))
     nt = F.broadcast(nt) if not _cols(keys) else nt              # one row per variable: schema-sized
+    short = ~four & (F.col("_n") <= size)
     parts = _dft_four_step(long, nt.where(four), g, idx, value).unionByName(
-        _dft_blocks(long, nt.where(~four), g, idx, value, size))
+        _dft_whole(long, nt.where(short), g, idx, value)).unionByName(
+        _dft_chirp(long, nt.where(~four & ~short), g, idx, value))
     tot = parts.join(nt.select(*g, "_n"), g)
     n = F.col("_n").cast("double")
     even = (F.col("_n") % 2) == 0

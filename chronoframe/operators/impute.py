@@ -87,7 +87,7 @@ def interpolate(df: DataFrame, cols: Sequence[str], order: int = 1, idx: str = "
 
 
 def imputation_sets(df: DataFrame, cols: Sequence[str], ar_lag: int = 1, idx: str = "idx",
-                    size: int | None = None) -> DataFrame:
+                    size: int | None = None, keys=()) -> DataFrame:
     """Features x_t .. x_{t-ar_lag+1} (missing lags -> 0), targets x_{t+1};
     ``set`` = train (no missing input or target), test (input complete, target
     missing), both (both missing).  Rows with a missing input but an observed
@@ -103,7 +103,8 @@ def imputation_sets(df: DataFrame, cols: Sequence[str], ar_lag: int = 1, idx: st
         out["_last"] = F.lead(F.lit(1), 1).over(w).isNull()
         return out
 
-    out = halo_window(df.select(idx, *cols), exprs, idx, before=max(lags, default=0), after=1, size=size)
+    keys = _cols(keys)
+    out = halo_window(df.select(*keys, idx, *cols), exprs, idx, keys, before=max(lags, default=0), after=1, size=size)
     x_miss = None
     y_miss = None
     for c in cols:

@@ -9,6 +9,7 @@ round so lineage stays short and a lost executor costs one round.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from ..functions.gram import ols_from_gram, unpack
 from ..session import block_size, cut_lineage
 from .impute import imputation_sets
-from .linear import gram
-from .ordering import BLK, add_blocks, dense_index, lagged
+from .linear import _key_schema, _with_series, gram
+from .ordering import BLK, _cols, add_blocks, blocked_cumsum, dense_index, halo_window, lagged
 from .results import overlap_average
 from .transform import minmax_scale, one_hot, supervised_windows
 from .validate import bounded_distinct, require
@@ -45,12 +46,21 @@ def _regressor(kind: str, seed: int, label: str = "label"):
 # ----------------------------------------------------------- I4 model impute
 
 def model_impute(df: DataFrame, col: str, ar_lag: int = 1, estimator: str = "linear", idx: str = "idx",
-                 seed: int = 42, max_rounds: int | None = None) -> DataFrame:
+                 seed: int = 42, max_rounds: int | None = None, keys=(), size: int | None = None) -> DataFrame:
     """I4: fit a regressor of x_{t+1} on x_t .. x_{t-ar_lag+1} on the complete
     rows, then repeatedly fill the first missing value after every observed
     run until no such value is left (rounds <= longest gap).  A leading gap
-    is never filled.  Output: the frame with ``col`` imputed."""
+    is never filled.  Output: the frame with ``col`` imputed.
+
+    The linear estimator runs one recursion per gap (:func:`_gap_recursion`), for
+    every series of ``keys`` with its own coefficients, whatever the longest gap;
+    a series with fewer complete rows than coefficients stays as it is.  The
+    other estimators predict on the JVM only, in one job per round, over one
+    series."""
     require(ar_lag >= 1, "ar_lag >= 1")
+    if estimator == "linear":
+        return _gap_recursion(df, col, ar_lag, idx, _cols(keys), max_rounds, size)
+    require(not _cols(keys), "several series need the linear estimator")
     lag_cols = [f"{col}_lag{k}" for k in range(1, ar_lag)]
     feats = [col] + lag_cols
     sets = imputation_sets(df.select(idx, col), [col], ar_lag=ar_lag, idx=idx)
@@ -74,6 +84,72 @@ def model_impute(df: DataFrame, col: str, ar_lag: int = 1, estimator: str = "lin
             return cur
 
 
+def _gap_recursion(df: DataFrame, col: str, ar_lag: int, idx: str, keys: list[str], max_rounds: int | None,
+                   size: int | None) -> DataFrame:
+    """Gaps whose windows of ``ar_lag`` rows touch form a segment, numbered per
+    series by a blocked running count.  A segment's missing rows carry the
+    observations before them, so one group fills it front to back.  A value is
+    the k-th of its gap in the round k; a lag that is filled in that round or
+    later still counts as 0, as in the rounds of the other estimators."""
+    d0, own = _with_series(df.select(*keys, idx, F.col(col).cast("double").alias("_v")), keys)
+    sets = imputation_sets(d0, ["_v"], ar_lag=ar_lag, idx=idx, size=size, keys=own).where(F.col("set") == "train")
+    x = ["_v"] + [f"_v_lag{k}" for k in range(1, ar_lag)]
+    g = gram(sets, [F.lit(1.0), *[F.col(c) for c in x], F.col("_v_next")], own)
+    kinds = _key_schema(g, own)
+    m = len(x) + 2
+
+    def solve(pdf):
+        n = int(pdf["n"].iloc[0])
+        b = []
+        if n >= m - 1:
+            beta, _, _ = ols_from_gram(unpack(pdf["g"].iloc[0], m), range(m - 1), [m - 1], n)
+            b = [beta[:, 0].tolist()]
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(b) for k in own} | {"_b": b}, dtype=object)
+
+    model = g.groupBy(*own).applyInPandas(solve, f"{kinds}, _b array<double>")
+
+    def context(w):
+        before = w.rowsBetween(-ar_lag, -1)
+        return {"_before": F.array(*[F.lag("_v", k).over(w) for k in range(1, ar_lag + 1)]),
+                "_first": F.col("_v").isNull() & (F.count_if(F.col("_v").isNull()).over(before) == 0)}
+    rows = halo_window(d0, context, idx, own, before=ar_lag, size=size)
+    numbered = blocked_cumsum(rows.withColumn("_first", F.col("_first").cast("long")), ["_first"], idx, own, size)
+    missing = numbered.where(F.col("_v").isNull()).select(*own, F.col(idx).cast("long").alias("_i"), "_before", F.col("_first_cum").alias("_gap"))
+    limit = math.inf if max_rounds is None else max_rounds
+
+    def run(pdf):
+        pdf = pdf.sort_values("_i")
+        b = pdf["_b"].iloc[0]
+        at, values, turns = [], [], {}
+        for i, before in zip(pdf["_i"].tolist(), pdf["_before"]):
+            seen = [None if v is None or math.isnan(v) else v for v in before]
+            if seen[0] is not None:
+                turn = 1
+            elif i - 1 in turns:
+                turn = turns[i - 1][0] + 1
+            else:
+                continue                        # nothing before it: a leading gap
+            if turn > limit:
+                continue
+            value = b[0]
+            for k, v in enumerate(seen, 1):
+                if v is None:                   # filled in an earlier round, or not yet
+                    when, own_value = turns.get(i - k, (math.inf, 0.0))
+                    v = own_value if when < turn else 0.0
+                value += b[k] * v
+            turns[i] = turn, value
+            at.append(i), values.append(value)
+        out = pd.DataFrame({"_i": np.array(at, np.int64), "_fill": np.array(values, float)})
+        for k in reversed(own):
+            out.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(out), dtype=object))
+        return out
+
+    fills = missing.join(model, own).groupBy(*own, "_gap").applyInPandas(run, f"{kinds}, _i long, _fill double")
+    fills = fills.select(*keys, F.col("_i").cast(df.schema[idx].dataType).alias(idx), "_fill")
+    out = df.join(fills, [*keys, idx], "left")
+    return out.select(*[F.coalesce(F.col(c).cast("double"), F.col("_fill")).alias(c) if c == col else F.col(c) for c in df.columns])
+
+
 # -------------------------------------------------- I7 / I8 table imputation
 
 def _initial_fill(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:

@@ -528,7 +528,7 @@ def var_forecast(df: DataFrame, cols: Sequence[str], coefs: DataFrame, p: int, s
                     for i, v in enumerate(cols):
                         half = z * math.sqrt(max(mse[i, i], 0.0))
                         recs.append([row[k] for k in keys] + [v, int(row["_last"]) + 1 + h, float(yhat[i]), float(yhat[i] - half), float(yhat[i] + half)])
-            yield pd.DataFrame(recs, columns=[*keys, V, idx, "mean", "lower", "upper"])
+            yield pd.DataFrame(recs, columns=[*keys, V, idx, "mean", "lower", "upper"], dtype=None if recs else object)
 
     joined = model.join(tail, keys)
     out = joined.mapInPandas(forecast, f"{_key_schema(joined, keys)}, {V} string, `{idx}` long, mean double, lower double, upper double")

@@ -28,7 +28,7 @@ from .validate import require
 
 def _keyed(pdf: pd.DataFrame, keys: list[str], frame: pd.DataFrame) -> pd.DataFrame:
     for k in reversed(keys):
-        frame.insert(0, k, [pdf[k].iloc[0]] * len(frame))
+        frame.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(frame), dtype=object))
     return frame
 
 
@@ -125,7 +125,7 @@ def arima_many(df: DataFrame, order: tuple = (1, 0, 0), seasonal: tuple | None =
     def solve(pdf):
         n = int(pdf["n"].iloc[0])
         if n <= mm:
-            return _keyed(pdf.iloc[:0], [], pd.DataFrame(columns=[*keys, "b", "var", "ssr", "n", "kx"]))
+            return pd.DataFrame({c: [] for c in [*keys, "b", "var", "ssr", "n", "kx"]}, dtype=object)
         b, ssr, var, kx = _fit(unpack(pdf["g"].iloc[0], mm), n, mm, constant)
         return _keyed(pdf, keys, pd.DataFrame({"b": [b.tolist()], "var": [var.tolist()], "ssr": [ssr], "n": [n], "kx": [kx]}))
 
@@ -183,7 +183,7 @@ def arima_many(df: DataFrame, order: tuple = (1, 0, 0), seasonal: tuple | None =
                     sd2 += psi[h] ** 2
                     half = zq * math.sqrt(row["ssr"] / row["n"] * sd2)
                     parts.append([row[k] for k in keys] + [int(row["_last"]) + 1 + h, float(mean), float(mean - half), float(mean + half)])
-            yield pd.DataFrame(parts, columns=[*keys, idx, "mean", "lower", "upper"])
+            yield pd.DataFrame(parts, columns=[*keys, idx, "mean", "lower", "upper"], dtype=None if parts else object)
 
     fc = joined.mapInPandas(forecast, f"{kinds}, `{idx}` long, mean double, lower double, upper double")
     return (coefs.drop(drop), fc.drop(drop)) if drop else (coefs, fc)

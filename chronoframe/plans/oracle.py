@@ -384,6 +384,14 @@ h AS (SELECT *, unnest([1, 2, 3]) AS h FROM e),
 m AS (SELECT user_id, last + h AS idx, pow(b, h) * y AS mean,
         {Z975} * sqrt(s2 * (1 + CASE WHEN h > 1 THEN b * b ELSE 0 END + CASE WHEN h > 2 THEN pow(b, 4) ELSE 0 END)) AS half FROM h)
 SELECT user_id, CAST(idx AS BIGINT) AS idx, round(mean, 4) AS mean, round(mean - half, 4) AS lower, round(mean + half, 4) AS upper FROM m"""
+    q["user_model_impute"] = "WITH " + LD + """,
+p AS (SELECT user_id, visit, value, lead(value) OVER (PARTITION BY user_id ORDER BY visit) AS nxt FROM ld),
+b AS (SELECT user_id, regr_slope(nxt, value) AS b, regr_intercept(nxt, value) AS a FROM p GROUP BY user_id HAVING regr_count(nxt, value) >= 2),
+l AS (SELECT user_id, visit, value, last_value(value IGNORE NULLS) OVER w AS x,
+        visit - last_value(CASE WHEN value IS NOT NULL THEN visit END IGNORE NULLS) OVER w AS h
+      FROM ld WINDOW w AS (PARTITION BY user_id ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT user_id, visit AS idx, round(coalesce(value, pow(b, h) * x + a * (pow(b, h) - 1) / (b - 1)), 4) AS value
+FROM l LEFT JOIN b USING (user_id)"""
     q["active_customers"] = "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT o_custkey FROM orders)"
     q["csv_names"] = """SELECT doc_id, 'dir.d/' || source || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.tar.csv' ELSE '.txt' END AS path,
   regexp_full_match(source || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.tar.csv' ELSE '.txt' END, '[^.]+\\.csv') AS valid

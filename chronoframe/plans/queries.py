@@ -803,3 +803,10 @@ def segment_var_forecast(spark, sf):
         "segment", "idx", "total", (F.col("total") - F.coalesce("total_lag1", "total")).alias("change")).where("idx >= 1")
     two = cut_lineage(two.withColumn("idx", F.col("idx") - 1).withColumn("change", F.sin(F.col("change") / 1e5)))
     return r6(_vfc(two, ["total", "change"], _vf(two, ["total", "change"], 2, keys=["segment"]), 2, 5, keys=["segment"]))
+
+
+def user_model_impute(spark, sf):
+    """I4 per user: gaps of the event values filled by each user's own AR(1) regression."""
+    from ..operators.learn import model_impute as _mi
+    ev = fx.ld_events(spark, sf).select("user_id", F.col("visit").alias("idx"), "value")
+    return r6(_mi(ev, "value", ar_lag=1, keys=["user_id"]), 4)

@@ -22,7 +22,7 @@ _SQL_CHECKED = [
     "big_key_index", "one_hot_levels", "adf_users", "granger_lag1", "segment_ar1", "active_customers", "csv_names",
     "minmax_roundtrip", "acf_display", "naive_residuals", "accepted_imputation", "drop_sparse_columns",
     "incomplete_columns", "event_value_bands", "record_lows", "observed_and_predicted", "transposed_days",
-    "user_ar1_forecast",
+    "user_ar1_forecast", "user_model_impute",
 ]
 
 _NUMERIC = [
