@@ -20,39 +20,48 @@ from pyspark.sql import functions as F
 from .common import buckets_for, stored
 from .words import U64, mix, pack, unpack
 
-SHARD_ROWS = 4096
-QUERY_BLOCK = 1024
+SHARD_ROWS = 8192
+QUERY_BLOCK = 32_768                             # queries that one task takes to a shard
+LARGE = 1e150                                   # beyond, squares of components are not safe
 LINKS = 16                                      # per node and level; twice as many at the bottom
 EF_BUILD = 64
 EF_SEARCH = 128
 
 
 class Graph:
-    """Levels of neighbour lists over the rows of ``x`` (float64)."""
+    """Levels of neighbour lists over the rows of ``x`` (float64).  Distances
+    are squared differences in float64, of rows scaled by a power of two where
+    their squares would overflow."""
 
     def __init__(self, x: np.ndarray, adjacent: list[np.ndarray], entry: int):
-        self.x, self.adjacent, self.entry = x, adjacent, entry
-        self.f = x.astype(np.float32)
-        self.sq = np.einsum("ij,ij->i", self.f, self.f)
+        self.adjacent, self.entry = adjacent, entry
+        most = float(np.abs(x).max(initial=0.0))
+        self.unit = 2.0 ** -math.frexp(most)[1] if most > LARGE else 1.0
+        self.x = x if self.unit == 1.0 else x * self.unit
 
-    def _near(self, q, q2, rows):
-        return self.sq[rows] - 2 * (self.f[rows] @ q) + q2
+    def scaled(self, q: np.ndarray) -> np.ndarray:
+        """A query in the unit of the rows, no farther than their squares allow."""
+        return np.clip(q * self.unit, -LARGE, LARGE) if self.unit != 1.0 or np.abs(q).max() > LARGE else q
 
-    def _climb(self, q, q2, node, dist, level):
-        """Greedy walk on one level."""
+    def _near(self, q, rows):
+        d = self.x[rows] - q
+        return np.einsum("ij,ij->i", d, d)
+
+    def _climb(self, q, node, dist, level):
+        """Greedy walk on one level; every step is strictly nearer."""
         adj = self.adjacent[level]
         while True:
             nb = adj[node]
             nb = nb[nb >= 0]
             if not len(nb):
                 return node, dist
-            d = self._near(q, q2, nb)
+            d = self._near(q, nb)
             k = int(d.argmin())
-            if d[k] >= dist:
+            if not d[k] < dist:
                 return node, dist
             node, dist = int(nb[k]), float(d[k])
 
-    def _beam(self, q, q2, node, dist, level, ef, seen):
+    def _beam(self, q, node, dist, level, ef, seen):
         """The ``ef`` nearest nodes met by a best-first search, nearest first."""
         adj = self.adjacent[level]
         stamp = seen[-1] = seen[-1] + 1
@@ -68,7 +77,7 @@ class Graph:
             if not len(nb):
                 continue
             seen[nb] = stamp
-            near = self._near(q, q2, nb)
+            near = self._near(q, nb)
             if len(best) >= ef:
                 use = near < -best[0][0]
                 nb, near = nb[use], near[use]
@@ -83,13 +92,26 @@ class Graph:
 
     def search(self, q: np.ndarray, ef: int, seen: np.ndarray) -> np.ndarray:
         """Rows of about the ``ef`` nearest vectors."""
-        q = q.astype(np.float32)
-        q2 = float(q @ q)
+        q = self.scaled(q)
         node = self.entry
-        dist = float(self._near(q, q2, np.array([node]))[0])
+        dist = float(self._near(q, np.array([node]))[0])
         for level in range(len(self.adjacent) - 1, 0, -1):
-            node, dist = self._climb(q, q2, node, dist, level)
-        return np.array([v for _, v in self._beam(q, q2, node, dist, 0, ef, seen)])
+            node, dist = self._climb(q, node, dist, level)
+        return np.array([v for _, v in self._beam(q, node, dist, 0, ef, seen)])
+
+
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; rows whose squares overflow are
+    scaled by a power of two first."""
+    with np.errstate(over="ignore"):
+        d = x - q
+        out = np.sqrt((d * d).sum(axis=1))
+        far = np.flatnonzero(~np.isfinite(out))
+        for i in far:                           # halves, so that the difference itself stays finite
+            half = x[i] / 2 - q / 2
+            unit = 2.0 ** (math.frexp(float(np.abs(half).max()))[1] - 1)
+            out[i] = 2 * unit * math.sqrt(((half / unit) ** 2).sum())
+    return out
 
 
 def _spread(g: Graph, found: list[tuple[float, int]], most: int) -> list[tuple[float, int]]:
@@ -97,17 +119,16 @@ def _spread(g: Graph, found: list[tuple[float, int]], most: int) -> list[tuple[f
     one than to the new node; the nearest others fill up what is left."""
     if len(found) <= most:
         return found
-    rows = np.array([v for _, v in found])
-    v = g.f[rows]
-    between = g.sq[rows][:, None] + g.sq[rows][None, :] - 2 * (v @ v.T)
+    v = g.x[[r for _, r in found]]
     chosen, rest = [], []
-    nearest = np.full(len(rows), np.inf)        # distance to the chosen ones
+    nearest = np.full(len(found), np.inf)       # distance to the chosen ones
     for i, (d, _) in enumerate(found):
         if d < nearest[i]:
             chosen.append(i)
             if len(chosen) == most:
                 break
-            np.minimum(nearest, between[i], out=nearest)
+            away = v - v[i]
+            np.minimum(nearest, np.einsum("ij,ij->i", away, away), out=nearest)
         else:
             rest.append(i)
     chosen += rest[:most - len(chosen)]
@@ -127,13 +148,13 @@ def build_graph(x: np.ndarray, links: int = LINKS, ef: int = EF_BUILD) -> Graph:
     g = Graph(x, adjacent, 0)
     seen = np.zeros(n + 1, np.int64)
     for i in range(1, n):
-        q, q2 = g.f[i], float(g.sq[i])
+        q = g.x[i]
         node = g.entry
-        dist = float(g._near(q, q2, np.array([node]))[0])
+        dist = float(g._near(q, np.array([node]))[0])
         for level in range(int(top[g.entry]), int(top[i]), -1):
-            node, dist = g._climb(q, q2, node, dist, level)
+            node, dist = g._climb(q, node, dist, level)
         for level in range(min(int(top[i]), int(top[g.entry])), -1, -1):
-            found = g._beam(q, q2, node, dist, level, ef, seen)
+            found = g._beam(q, node, dist, level, ef, seen)
             dist, node = found[0]
             own, adj, far = _spread(g, found, links), adjacent[level], gap[level]
             for k, (d, v) in enumerate(own):
@@ -219,6 +240,8 @@ def build_index(vectors: DataFrame, id_col: str, vec_col: str, k: int = 10, shar
     src = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v"))
     shards = buckets_for(src.count(), shard_rows)
     dealt = src.mapInArrow(_partial(k, shards), "dim int, shard int, vec binary, ids array<bigint>")
+    # a task per shard: building is the dear part, and adaptive merging would queue shards
+    dealt = dealt.repartition(shards, "dim", "shard")
     return stored(dealt.groupBy("dim", "shard").applyInArrow(_build(k, links, ef_build), _INDEX), "hnsw")
 
 
@@ -235,7 +258,7 @@ def _visit(k: int, ef: int):
             for q_id, b in zip(right.column("query_id").to_pylist(), right.column("vec").to_pylist()):
                 q = np.frombuffer(b, np.float64)
                 rows = g.search(q, max(ef, k + 1), seen)
-                d = np.sqrt(((x[rows] - q) ** 2).sum(axis=1))
+                d = distances(x[rows], q)
                 near = sorted((float(e), int(v)) for e, r in zip(d, rows) for v in ids[start[r]:start[r] + n_ids[r]] if v != q_id)
                 for e, v in near[:k]:
                     out_q.append(q_id)

@@ -62,3 +62,38 @@ def test_graph_search_finds_itself():
     g = hnsw.build_graph(x)
     seen = np.zeros(601, np.int64)
     assert all(g.search(x[i], 16, seen)[0] == i for i in range(0, 600, 7))
+
+
+def recall(found, x, queries, k=10):
+    hit = 0
+    for q in queries:
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len({r.vec_id for r in found if r.query_id == q} & {int(i) for i in np.lexsort((np.arange(len(x)), d))[:k]})
+    return hit / (k * len(queries))
+
+
+def test_a_third_jittered_around_one_vector(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 16)) / 4
+    x[::3] = x[0] + rng.normal(size=(1000, 16)) * 1e-5
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    index = hnsw.build_index(df, "vec_id", "embedding")
+    inside, outside = list(range(0, 3000, 150)), list(range(1, 3000, 150))
+    found = hnsw.nearest(df.where(df.vec_id.isin(inside + outside)), index, "vec_id", "embedding").collect()
+    assert recall(found, x, inside) >= 0.9 and recall(found, x, outside) >= 0.9
+
+
+def test_large_finite_components(spark):
+    """Distances whose squares overflow end, and are finite."""
+    rng = np.random.default_rng(9)
+    for size in (1e22, 1e200, 1.5e308):
+        x = rng.uniform(-1, 1, size=(300, 4)) * np.where(np.arange(300)[:, None] % 3, 1.0, size)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = hnsw.nearest(df.where("vec_id % 50 = 0"), hnsw.build_index(df, "vec_id", "embedding"), "vec_id", "embedding").collect()
+        assert len(got) == 60 and all(r.score >= 0 for r in got)
+        for r in got:
+            a, b = x[r.query_id] / 2, x[r.vec_id] / 2
+            unit = np.abs(a - b).max()
+            want = 2 * unit * np.sqrt((((a - b) / unit) ** 2).sum())
+            assert r.score == want or abs(r.score - want) <= 1e-12 * want
