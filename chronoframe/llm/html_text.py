@@ -4,7 +4,8 @@ A page becomes a list of text blocks in page order.  Every block has the kind
 of region it stands in, its number of words and its link density (the share of
 its words inside links), and takes over words and link density of the blocks
 before and after it.  A decision tree fitted to a small labelled table decides
-which blocks are main text.  Only what is never main text by its element is
+which blocks are main text; what stands between two kept blocks of one stretch
+goes with them.  Only what is never main text by its element is
 not put to it: navigation, forms, hidden elements and reader comments.
 """
 
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -100,9 +102,11 @@ def labelled_blocks() -> list[tuple]:
 #: elements whose content is no text
 _DROPPED = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select datalist".split())
 _CODE = frozenset(("script", "style"))          # these run to the page's end without an end tag
-_CODE_END = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in _CODE}
+_CODE_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in _CODE}
 #: elements that never hold main text
 _OUT_TAGS = frozenset("nav form menu dialog button fieldset".split())
+#: those that some pages put around everything
+_WRAPPERS = frozenset(("form", "fieldset"))
 _OUT_ROLES = frozenset("navigation search form alert dialog alertdialog menu menubar".split())
 _COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
 #: with these parts a name of comments says something of an article
@@ -127,20 +131,55 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
          "option": {"option"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)[^>]*(?:>|\Z)"
-    r"|<[!?/][^>]*(?:>|\Z)", re.S | re.I)
+_TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|<[!?/]")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 #: a closing slash that is no part of an unquoted value
 _EMPTY = re.compile(r"(?:^|[\s\"'])/\s*$")
 _PARTS = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _region(tag: str, attrs: str, outer: int) -> int:
-    """Region inside an element that stands in region ``outer``."""
-    if tag in ("html", "body"):
+class TagEnds:
+    """Where tags end, quoted attribute values considered.  A tag whose quotes
+    do not pair up ends at the next ``>``.  The places between values that led
+    nowhere are remembered, so that all tags of a page take linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.astray = page, set()
+
+    def __call__(self, start: int) -> tuple[int, bool]:
+        """(end of the tag whose attributes begin at ``start``, whether its quotes pair up)."""
+        page, at, seen = self.page, start, []
+        while m := _MARK.search(page, at):
+            if m[0] == ">":
+                return m.end(), True
+            if m.start() in self.astray:
+                break
+            seen.append(m.start())
+            end = page.find(m[0], m.end())
+            if end < 0:
+                break
+            at = end + 1
+        self.astray.update(seen)
+        end = page.find(">", start)
+        return (len(page) if end < 0 else end + 1), False
+
+
+def _after(page: str, what: str, start: int) -> int:
+    end = page.find(what, start)
+    return len(page) if end < 0 else end + len(what)
+
+
+def _code_end(page: str, tag: str, start: int) -> int:
+    """End of a script or style: at its end tag, or the page's."""
+    m = _CODE_END[tag].search(page, start)
+    return _after(page, ">", m.end()) if m else len(page)
+
+
+def _region(tag: str, attrs: str, outer: int, wrapped: bool = False) -> int:
+    """Region inside an element that stands in region ``outer``; with
+    ``wrapped`` the page stands in a form."""
+    if tag in ("html", "body") or wrapped and tag in _WRAPPERS:
         return outer
     if tag in _OUT_TAGS:
         return OUT
@@ -181,22 +220,42 @@ def _holds_comments(value: str) -> bool:
     return any(p & _COMMENTS and not p & _NO_COMMENTS for p in parts)
 
 
-def _ends_of(page: str, tag: str) -> dict[int, int]:
+def _ends_of(page: str, tag: str, tag_end: TagEnds) -> dict[int, int]:
     """Where the dropped elements ``tag`` end, by the place of their opening
     tag: at the end tag that belongs to them; one without is empty."""
     ends: dict[int, int] = {}
     open_at: list[int] = []
-    for m in re.finditer(r"<!--.*?(?:-->|\Z)|<(?:script|style)(?=[\s/>])[^>]*(?<!/)>.*?</(?:script|style)\s*>"
-                         rf"|<(/?){tag}(?=[\s/>])((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", page, re.S | re.I):
-        if m[1] and open_at:
-            ends[open_at.pop()] = m.end()
-        elif m[1] == "" and not _EMPTY.search(m[2]):
+    mark = re.compile(rf"<!--|<(/?)({tag}|script|style)(?=[\s/>])", re.I)
+    at = 0
+    while m := mark.search(page, at):
+        if m[2] is None:
+            at = _after(page, "-->", m.end())
+            continue
+        at, _ = tag_end(m.end())
+        name = m[2].lower()
+        empty = bool(_EMPTY.search(page[m.end():at - 1]))
+        if name in _CODE:
+            if not m[1] and not empty:
+                at = _code_end(page, name, at)
+        elif m[1]:
+            if open_at:
+                ends[open_at.pop()] = at
+        elif not empty:
             open_at.append(m.start())
     return ends
 
 
 def text_blocks(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, region, words, words inside links) of a page's blocks, in order."""
+    """(text, region, words, words inside links) of a page's blocks, in order.  A
+    form that holds most of a page's words is the page and no form."""
+    blocks, in_forms = _blocks(page, False)
+    if 2 * in_forms > sum(b[2] for b in blocks):
+        blocks, _ = _blocks(page, True)
+    return blocks
+
+
+def _blocks(page: str, wrapped: bool) -> tuple[list[tuple[str, int, int, int]], int]:
+    """The blocks, and how many of their words stand in forms."""
     blocks: list[tuple[str, int, int, int]] = []
     stack: list[tuple[str, int, bool]] = []       # (tag, region inside, holds comments)
     region = OPEN
@@ -204,12 +263,16 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int]]:
     linked = 0
     in_link = 0
     comments = 0                                # open elements that hold reader comments
+    is_open: Counter = Counter()                # elements on the stack, by tag
+    in_forms = 0
+    tag_end = TagEnds(page)
 
     def close():
-        nonlocal linked
+        nonlocal linked, in_forms
         if parts:
             words = "".join(parts).split()
             if words:
+                in_forms += len(words) * (is_open["form"] + is_open["fieldset"] > 0)
                 blocks.append((" ".join(words), region, len(words), min(linked, len(words))))
             parts.clear()
         linked = 0
@@ -227,39 +290,41 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int]]:
     while m := _TOKEN.search(page, at):
         if m.start() > at:
             text(page[at:m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if name is None:
+        if m[2] is None:
+            at = _after(page, "-->" if m[0] == "<!--" else ">", m.end())
             continue
-        tag = name.lower()
+        tag, end_tag = m[2].lower(), bool(m[1])
+        at, paired = tag_end(m.end())
+        attrs = page[m.end():at - 1] if paired else ""
         if tag in _DROPPED:
-            if not (m[1] or m[4]):
+            if not end_tag:
                 if tag not in _CODE:
                     if tag not in dropped:
-                        dropped[tag] = _ends_of(page, tag)
+                        dropped[tag] = _ends_of(page, tag, tag_end)
                     at = max(at, dropped[tag].get(m.start(), at))
-                elif not _EMPTY.search(m[3] or ""):
-                    end = _CODE_END[tag].search(page, at)
-                    at = end.end() if end else len(page)
+                elif not _EMPTY.search(attrs):
+                    at = _code_end(page, tag, at)
             continue
-        if m[2] is None:
+        if not paired:
             continue
         if tag == "a":
-            in_link = 0 if m[1] else 1
+            in_link = 0 if end_tag else 1
             continue
         block = tag in _BLOCK_TAGS
         if block:
             close()
-        if m[1]:                                # an end tag closes what is open inside its element
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    comments -= sum(1 for _, _, c in stack[i:] if c)
-                    if not block:
-                        close()
-                    del stack[i:]
-                    region = stack[-1][1] if stack else OPEN
-                    in_link = 0 if block else in_link
-                    break
+        if end_tag:                             # it closes what is open inside its element
+            if is_open[tag]:
+                i = len(stack) - 1
+                while stack[i][0] != tag:
+                    i -= 1
+                if not block:
+                    close()
+                comments -= sum(1 for _, _, c in stack[i:] if c)
+                is_open.subtract(t for t, _, _ in stack[i:])
+                del stack[i:]
+                region = stack[-1][1] if stack else OPEN
+                in_link = 0 if block else in_link
             continue
         if tag in _VOID:
             continue
@@ -267,22 +332,23 @@ def text_blocks(page: str) -> list[tuple[str, int, int, int]]:
             ends = _ENDS.get(tag, ())
             if stack[-1][0] == "p" or stack[-1][0] in ends:
                 comments -= bool(stack[-1][2])
-                stack.pop()
+                is_open[stack.pop()[0]] -= 1
                 region = stack[-1][1] if stack else OPEN
-        inside = _region(tag, m[3], region)
-        speaks = inside == OUT and any(n.lower() in ("class", "id") and _holds_comments(v.strip("\"'")) for n, v in _ATTR.findall(m[3]))
+        inside = _region(tag, attrs, region, wrapped)
+        speaks = inside == OUT and any(n.lower() in ("class", "id") and _holds_comments(v.strip("\"'")) for n, v in _ATTR.findall(attrs))
         if comments:
             inside = OUT
         if block or inside != region:
             if inside != region:
                 close()
             stack.append((tag, inside, speaks))
+            is_open[tag] += 1
             comments += speaks
             region = inside
     if at < len(page):
         text(page[at:])
     close()
-    return blocks
+    return blocks, in_forms
 
 
 def block_features(blocks: list[tuple[str, int, int, int]]) -> np.ndarray:
@@ -351,11 +417,26 @@ def kept(x: np.ndarray, tree: DecisionTree) -> np.ndarray:
     return tree.predict(x) & (x[:, 0] != OUT)
 
 
+def joined_up(x: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    """A page's kept blocks with what stands between two of them in one stretch
+    of an article, or of unmarked text if it is not made of links: lists of
+    references, short paragraphs and headings inside a text belong to it."""
+    keep = keep.copy()
+    region = x[:, 0]
+    edge = np.flatnonzero(np.concatenate([[True], region[1:] != region[:-1], [True]])).tolist()
+    for a, b in zip(edge, edge[1:]):
+        if region[a] in (OPEN, MAIN) and (inside := np.flatnonzero(keep[a:b])).size > 1:
+            part = slice(a + inside[0], a + inside[-1] + 1)
+            keep[part] |= (x[part, 2] < 0.5) | (region[a] == MAIN)
+    return keep
+
+
 def main_text(page: str, tree: DecisionTree) -> str:
     blocks = text_blocks(page)
     if not blocks:
         return ""
-    keep = kept(block_features(blocks), tree)
+    x = block_features(blocks)
+    keep = joined_up(x, kept(x, tree))
     return "\n".join(b[0] for b, k in zip(blocks, keep) if k)
 
 
@@ -372,9 +453,10 @@ def _extract(tree: DecisionTree):
                 blocks.append(b)
             full = [block_features(b) for b in blocks if b]
             keep = kept(np.concatenate(full), tree) if full else np.zeros(0, bool)
-            at = 0
+            at, features = 0, iter(full)
             for b in blocks:
-                texts.append("\n".join(x[0] for x, k in zip(b, keep[at:at + len(b)]) if k))
+                own = joined_up(next(features), keep[at:at + len(b)]) if b else ()
+                texts.append("\n".join(x[0] for x, k in zip(b, own) if k))
                 at += len(b)
             yield pa.RecordBatch.from_arrays(
                 [*[rb.column(i) for i in range(rb.num_columns - 1)], pa.array(texts, pa.string()),

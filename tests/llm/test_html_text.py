@@ -85,3 +85,40 @@ def test_the_tree_decides_within_regions(page, text):
 def test_dropped_elements_swallow_no_text(element):
     page = f"<article><p>Before.</p>{element}<p>{PROSE}</p><svg>no</svg><p>After.</p></article>"
     assert html_text.main_text(page, html_text.fit_tree()) == f"Before.\n{PROSE}\nAfter."
+
+
+PARA = "This is a paragraph of the article with more than a dozen words in it, so that it counts as text."
+
+
+def test_a_form_around_the_page():
+    tree = html_text.fit_tree()
+    page = f"<body><form id=aspnetForm><div id=nav><a href=x>Home</a></div><article><h1>A title</h1><p>{PARA}</p><p>{PARA}</p></article></form></body>"
+    assert html_text.main_text(page, tree) == f"A title\n{PARA}\n{PARA}"
+    page = f"<body><article><h1>A title</h1><p>{PARA}</p><p>{PARA}</p></article><form>Your name and address, please</form></body>"
+    assert html_text.main_text(page, tree) == f"A title\n{PARA}\n{PARA}"
+    assert html_text.main_text("<form><label>Name</label><label>Mail address</label></form>", tree) == ""
+
+
+def test_what_stands_inside_an_article_belongs_to_it():
+    tree = html_text.fit_tree()
+    links = "".join(f"<li><a href=r{i}>Reference number {i}</a></li>" for i in range(4))
+    page = f"<article><h1>A title</h1><p>{PARA}</p><ul>{links}</ul><p>Why?</p><p>{PARA}</p></article>"
+    got = html_text.main_text(page, tree).split("\n")
+    assert got == ["A title", PARA, *[f"Reference number {i}" for i in range(4)], "Why?", PARA]
+    page = f"<article><h1>A title</h1><p>{PARA}</p><ul class=related>{links}</ul><p>{PARA}</p></article>"
+    assert html_text.main_text(page, tree) == f"A title\n{PARA}\n{PARA}"
+
+
+def test_linear_time():
+    import time
+    tree = html_text.fit_tree()
+    size = 1_000_000
+    for part in ("<svg \"' ", "<svg \"'>", "<script ", "<script>", "</script ", "<!--", "<a \"'>x", "<svg>", "<div>", "</p>", "<p class=\"'>", "'<b \">"):
+        page = part * (size // len(part))
+        began = time.process_time()
+        html_text.main_text(page, tree)
+        assert time.process_time() - began < 12, part
+    page = "<div>" * 60_000 + "</p>" * 60_000
+    began = time.process_time()
+    html_text.main_text(page, tree)
+    assert time.process_time() - began < 12
