@@ -810,3 +810,10 @@ def user_model_impute(spark, sf):
     from ..operators.learn import model_impute as _mi
     ev = fx.ld_events(spark, sf).select("user_id", F.col("visit").alias("idx"), "value")
     return r6(_mi(ev, "value", ar_lag=1, keys=["user_id"]), 4)
+
+
+def arima_likelihood(spark, sf):
+    """ARMA(1, 1) of the daily order totals by exact maximum likelihood."""
+    from ..operators.likelihood import arima_mle
+    d = fx.ts_daily(spark, sf).select("idx", F.col("total").alias("value"))
+    return r6(arima_mle(d, 1, 0, 1), 3)

@@ -32,7 +32,7 @@ _NUMERIC = [
     "model_impute", "chained_impute", "forest_impute", "window_regression", "nn_forecast",
     "window_classifier", "dynamic_classifier", "dynamic_groups", "dynamic_weights", "rbm_structure", "pcmci",
     "imputation_check", "arima_forecast", "sarima_fit", "granger_by_variable",
-    "spline_hourly", "ld_spline", "user_arma_fit", "segment_seasonal_grid", "segment_sarima_forecast", "segment_var_forecast",
+    "arima_likelihood", "spline_hourly", "ld_spline", "user_arma_fit", "segment_seasonal_grid", "segment_sarima_forecast", "segment_var_forecast",
     "segment_walk_forward", "forecast_table", "sarimax_process", "var_process",
 ]
 
