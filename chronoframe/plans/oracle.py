@@ -392,6 +392,44 @@ l AS (SELECT user_id, visit, value, last_value(value IGNORE NULLS) OVER w AS x,
       FROM ld WINDOW w AS (PARTITION BY user_id ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 SELECT user_id, visit AS idx, round(coalesce(value, pow(b, h) * x + a * (pow(b, h) - 1) / (b - 1)), 4) AS value
 FROM l LEFT JOIN b USING (user_id)"""
+    q["complete_columns"] = "WITH " + LD + """, m AS (
+  SELECT count(*) AS n, count(*) - count(user_id) AS user_id, count(*) - count(event_type) AS event_type, count(*) - count(value) AS value,
+    count(*) - count(k) AS k, count(*) - count(visit) AS visit FROM ld)
+SELECT variable, n AS n_rows, user_id + event_type + value + k + visit > 0 AS others_missing
+FROM (SELECT *, unnest(['user_id', 'event_type', 'value', 'k', 'visit']) AS variable, unnest([user_id, event_type, value, k, visit]) AS gaps FROM m)
+WHERE gaps = 0"""
+    # p < 0.05 with one degree of freedom
+    edges = "FROM (" + q["granger_lag1"] + ") WHERE chi2 > 3.841458820694124"
+    q["granger_edges"] = "SELECT source, target " + edges
+    q["granger_causes"] = "SELECT target, source, 1::INTEGER AS best_lag " + edges + " AND target = 'click'"
+    q["lag_links"] = "SELECT variable AS source, variable AS target, bool_or(abs(acf) > band) AS edge, round(min(abs(acf)), 6) AS q_value FROM (WITH " \
+        + DIFF + _acf("dlong") + ") WHERE lag BETWEEN 1 AND 12 GROUP BY variable"
+    verdicts = """SELECT variable, round(count(*) FILTER (p_value < 0.05) / count(*), 6) AS share,
+  floor(count(*) FILTER (p_value < 0.05) / count(*))::INTEGER AS all_lags_below FROM (""" + q["ljung_box_naive"] + ") GROUP BY variable"
+    q["residual_verdicts"] = verdicts
+    q["naive_leaderboard"] = "SELECT 'naive - ' || variable AS label, 'naive' AS model, variable, mae, all_lags_below, " \
+        "CASE WHEN all_lags_below = 1 THEN 'red' ELSE 'green' END AS colour FROM (" + q["mae_naive"] + ") LEFT JOIN (" + verdicts + ") USING (variable)"
+    q["order_walk"] = """WITH g AS (SELECT (month(o_orderdate) - 1)::INTEGER AS p, (isodow(o_orderdate) - 1)::INTEGER AS q, avg(o_totalprice) AS price
+  FROM orders GROUP BY ALL),
+m AS (SELECT *, min(price) OVER (ORDER BY p + q, -greatest(p, q), -p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM g)
+SELECT 'price' AS criterion, p, q, round(price, 4) AS value FROM m WHERE before IS NULL OR price < before"""
+    q["band_table"] = "SELECT CAST(hour(ts) AS BIGINT) AS idx, " + ", ".join(
+        f"round(avg(value) FILTER (event_type = '{v}'), 6) AS {v}, round(min(value) FILTER (event_type = '{v}'), 6) AS {v}_lower_conf, "
+        f"round(max(value) FILTER (event_type = '{v}'), 6) AS {v}_upper_conf" for v in VARS) + \
+        " FROM events WHERE event_type IS NOT NULL GROUP BY 1"
+    q["stored_results"] = """WITH r AS (SELECT year(o_orderdate)::INTEGER AS year, o_orderpriority AS model, o_orderstatus AS variable,
+  avg(o_totalprice) AS mae, count(DISTINCT isodow(o_orderdate)) AS test_size FROM orders GROUP BY ALL),
+t AS (SELECT max(year) AS last FROM r),
+n AS (SELECT r.* FROM r, t WHERE year = last AND variable <> 'F'),
+c AS (SELECT r.* FROM r, t WHERE year = last - 1 AND abs(test_size - (SELECT max(test_size) FROM n)) <= 1)
+SELECT year, model, variable, round(mae, 4) AS mae, test_size FROM (SELECT c.* FROM c ANTI JOIN n USING (model, variable) UNION ALL SELECT * FROM n)"""
+    levels = []
+    for col, n in (("lang", 4), ("source", 20), ("quality", 3), ("toxic", 3)):
+        levels += [f"CAST(CASE WHEN (SELECT count(DISTINCT x.{col}) FROM docs x WHERE x.{col} < d.{col}) = {i} THEN 1 ELSE 0 END AS DOUBLE) AS {col}_{i}"
+                   for i in range(n)]
+    q["rbm_encode_all"] = """WITH docs AS (SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
+  coalesce(CAST(quality AS VARCHAR), 'none') AS quality, coalesce(CAST(toxic AS VARCHAR), 'none') AS toxic FROM documents LEFT JOIN labels USING (doc_id))
+SELECT d.doc_id, """ + ", ".join(levels) + " FROM docs d"
     q["active_customers"] = "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT o_custkey FROM orders)"
     q["csv_names"] = """SELECT doc_id, 'dir.d/' || source || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.tar.csv' ELSE '.txt' END AS path,
   regexp_full_match(source || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.tar.csv' ELSE '.txt' END, '[^.]+\\.csv') AS valid

@@ -817,3 +817,89 @@ def arima_likelihood(spark, sf):
     from ..operators.likelihood import arima_mle
     d = fx.ts_daily(spark, sf).select("idx", F.col("total").alias("value"))
     return r6(arima_mle(d, 1, 0, 1), 3)
+
+
+# ------------------------------------------- single operators, checked by SQL
+
+def complete_columns(spark, sf):
+    """The event columns without a missing value, and whether any other has one."""
+    ev = fx.ld_events(spark, sf)
+    cols = ["user_id", "event_type", "value", "k", "visit"]
+    gaps = ms.has_missing(ev, cols)
+    return ms.missing_profile(ev, cols).where("n_missing = 0").select("variable", "n_rows", F.lit(gaps).alias("others_missing"))
+
+
+def granger_edges(spark, sf):
+    """Edges of the lag-1 causality network of the differenced hourly series, p < 0.05."""
+    from ..operators.linear import causality_edges, filter_causality, granger, granger_matrix
+    d = tf.difference(hourly_filled(spark, sf), VARS, order=1, check=False)
+    tests = granger(d, VARS, maxlag=1).where(F.col("target") != F.col("source"))
+    return causality_edges(filter_causality(granger_matrix(tests)))[1]
+
+
+def granger_causes(spark, sf):
+    """The variables that cause ``click`` at lag 1 with p < 0.05."""
+    from ..operators.linear import granger, granger_by_variable
+    d = tf.difference(hourly_filled(spark, sf), VARS, order=1, check=False)
+    tests = granger(d, VARS, maxlag=1).where(F.col("target") != F.col("source"))
+    return granger_by_variable(tests, "click").select("target", "source", F.col("best_lag").cast("int").alias("best_lag"))
+
+
+def lag_links(spark, sf):
+    """Links of the autocorrelations beyond the Bartlett band, over lags 1 to 12."""
+    from ..operators.causality import parse_links
+    a = dg.acf(hourly_diff_long(spark, sf), nlags=12)
+    slots = a.where("lag >= 1").select(F.col(dg.V).alias("source"), F.col(dg.V).alias("target"), (F.abs("acf") > F.col("band")).alias("significant"),
+                                       F.abs("acf").alias("q_value"))
+    return r6(parse_links(slots))
+
+
+def residual_verdicts(spark, sf):
+    """Share of lags 1 to 10 whose Ljung-Box p-value of the naive residuals is below 0.05."""
+    return r6(dg.ljung_box_share(ljung_box_naive(spark, sf)))
+
+
+def naive_leaderboard(spark, sf):
+    """the naive model's MAE per variable with the verdict on its residuals."""
+    from ..operators.results import leaderboard as _lb
+    model = F.lit("naive").alias("model")
+    mae, share = (t.select("*", model) for t in (mae_naive(spark, sf), dg.ljung_box_share(ljung_box_naive(spark, sf))))
+    return r6(_lb(mae, share))
+
+
+def order_walk(spark, sf):
+    """Successive minima of the mean order price over the grid of month and
+    weekday, walked along its anti-diagonals."""
+    from ..operators.results import running_minima, walk_order
+    o = fx.read_table(spark, sf, "orders", ["o_orderdate", "o_totalprice"])
+    grid = o.groupBy((F.month("o_orderdate") - 1).alias("p"), F.weekday("o_orderdate").alias("q")).agg(F.avg("o_totalprice").alias("price"))
+    return r6(running_minima(grid, ["price"], [walk_order(12, 7)]), 4)
+
+
+def band_table(spark, sf):
+    """Mean event value per hour of the day with lowest and highest value, one row per hour."""
+    from ..operators.results import forecast_wide
+    e = fx.read_table(spark, sf, "events", ["ts", "event_type", "value"]).where("event_type IS NOT NULL")
+    long = e.groupBy(F.col("event_type").alias("variable"), F.hour("ts").cast("long").alias("idx")).agg(
+        F.avg("value").alias("mean"), F.min("value").alias("lower"), F.max("value").alias("upper"))
+    return r6(forecast_wide(long, VARS))
+
+
+def stored_results(spark, sf):
+    """yearly mean prices per order status as stored results; the last year's
+    replace those of the same status, and results over days too few or many go."""
+    from ..operators.results import upsert_results
+    o = fx.read_table(spark, sf, "orders", ["o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice"])
+    o = o.withColumn("year", F.year("o_orderdate"))
+    res = o.groupBy("year", F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("variable")).agg(
+        F.avg("o_totalprice").alias("mae"), F.countDistinct(F.weekday("o_orderdate")).alias("test_size"))
+    last = F.lit(o.agg(F.max("year")).first()[0])
+    return r6(upsert_results(res.where(F.col("year") == last - 1), res.where((F.col("year") == last) & (F.col("variable") != "F")), reset_gap=1), 4)
+
+
+def rbm_encode_all(spark, sf):
+    """T9 over all documents: language and source one-hot, and the labels with a level of their own for none."""
+    d = fx.ml_docs(spark, sf, how="left")
+    cols = ["lang", "source", "quality", "toxic"]
+    d = d.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in cols])
+    return tf.encode_for_rbm(d, cols, keep=["doc_id"])[0]

@@ -23,6 +23,8 @@ _SQL_CHECKED = [
     "minmax_roundtrip", "acf_display", "naive_residuals", "accepted_imputation", "drop_sparse_columns",
     "incomplete_columns", "event_value_bands", "record_lows", "observed_and_predicted", "transposed_days",
     "user_ar1_forecast", "user_model_impute",
+    "complete_columns", "granger_edges", "granger_causes", "lag_links", "residual_verdicts",
+    "naive_leaderboard", "order_walk", "band_table", "stored_results", "rbm_encode_all",
 ]
 
 _NUMERIC = [
