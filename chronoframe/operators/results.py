@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ordering import _cols
+from .validate import bounded_distinct, require
 
 
 def overlap_average(preds: DataFrame, idx: str, pred: str, variable: str | None = None,
@@ -104,3 +105,32 @@ def forecast_wide(fc: DataFrame, variables: Sequence[str], idx: str = "idx") ->
                  F.max(F.when(hit, F.col("lower"))).alias(f"{v}_lower_conf"),
                  F.max(F.when(hit, F.col("upper"))).alias(f"{v}_upper_conf")]
     return fc.groupBy(idx).agg(*aggs)
+
+
+def join_bands(mean: DataFrame, lower: DataFrame, upper: DataFrame, idx: str = "idx", keys=()) -> DataFrame:
+    """A forecast with its lower and upper frames, joined by series and
+    position; steps that one of them lacks are dropped.  Every frame has one
+    column besides the keys and ``idx``."""
+    on = [*_cols(keys), idx]
+
+    def named(df, name):
+        rest = [c for c in df.columns if c not in on]
+        require(len(rest) == 1, "a band frame has one value column")
+        return df.select(*on, F.col(rest[0]).alias(name))
+    return named(mean, "mean").join(named(lower, "lower"), on).join(named(upper, "upper"), on)
+
+
+def observed_and_fitted(observed: DataFrame, fitted: DataFrame, idx: str = "idx", keys=()) -> DataFrame:
+    """Every observation with the fitted value of its position, NULL where
+    the fitted frame is shorter."""
+    on = [*_cols(keys), idx]
+    return observed.join(fitted, on, "left")
+
+
+def ordered_pairs(df: DataFrame, col: str, limit: int = 1000) -> DataFrame:
+    """All ordered pairs of the distinct values of ``col`` (source, target),
+    from one array of at most ``limit`` values."""
+    values = F.array(*[F.lit(v) for v in bounded_distinct(df, col, limit)])
+    kind = df.schema[col].dataType.simpleString()
+    one = df.sparkSession.range(1).select(values.cast(f"array<{kind}>").alias("v"))
+    return one.select(F.explode("v").alias("source"), "v").select("source", F.explode("v").alias("target"))

@@ -271,6 +271,20 @@ def supervised_windows(df: DataFrame, cols: Sequence[str], order: int, horizon:
     return out.withColumn("set", st)
 
 
+def last_windows(df: DataFrame, cols: Sequence[str], order: int, last_step: int = 1, idx: str = "idx",
+                 size: int | None = None) -> DataFrame:
+    """T12, the input of a forecast: the last ``last_step`` rows with their
+    ``order`` lags (missing lags -> 0)."""
+    require(last_step >= 1, "last_step >= 1")
+    end = df.agg(F.max(idx)).first()[0]
+    if end is None:
+        end = 0
+    # only the rows that the lags reach back to are read
+    tail = df.where(F.col(idx) > end - last_step - order).select(idx, *cols)
+    out = lagged(tail, cols, lags=range(1, order + 1), idx=idx, size=size).where(F.col(idx) > end - last_step)
+    return out.fillna(0.0, subset=[f"{c}_lag{k}" for k in range(1, order + 1) for c in cols]) if order else out
+
+
 def temporal_split(df: DataFrame, split: int, idx: str = "idx") -> DataFrame:
     """P5: positional head/tail split as a ``set`` column."""
     return df.withColumn("set", F.when(F.col(idx) < split, "train").otherwise("test"))

@@ -430,6 +430,16 @@ SELECT year, model, variable, round(mae, 4) AS mae, test_size FROM (SELECT c.* F
     q["rbm_encode_all"] = """WITH docs AS (SELECT doc_id, coalesce(lang, 'none') AS lang, coalesce(source, 'none') AS source,
   coalesce(CAST(quality AS VARCHAR), 'none') AS quality, coalesce(CAST(toxic AS VARCHAR), 'none') AS toxic FROM documents LEFT JOIN labels USING (doc_id))
 SELECT d.doc_id, """ + ", ".join(levels) + " FROM docs d"
+    q["joined_bands"] = """SELECT event_type, CAST(hour(ts) AS BIGINT) AS idx, round(avg(value), 6) AS mean, round(min(value), 6) AS lower,
+  round(max(value), 6) AS upper FROM events WHERE event_type IS NOT NULL GROUP BY ALL"""
+    q["observed_fitted"] = "WITH " + DAILY + """SELECT d.idx, round(d.total, 4) AS total, round(w.total, 4) AS fitted
+FROM daily d LEFT JOIN daily w ON w.idx + 7 = d.idx"""
+    q["type_pairs"] = """WITH v AS (SELECT DISTINCT event_type AS v FROM events WHERE event_type IS NOT NULL)
+SELECT a.v AS source, b.v AS target FROM v a, v b"""
+    q["forecast_input"] = "WITH " + FILLED + ", w AS (SELECT idx, max(idx) OVER () AS last, " + ", ".join(
+        f"round({v}, 6) AS {v}, " + ", ".join(f"round(lag({v}, {k}, 0) OVER (ORDER BY idx), 6) AS {v}_lag{k}" for k in (1, 2, 3)) for v in VARS) + \
+        " FROM filled) SELECT * EXCLUDE (last) FROM w WHERE idx > last - 5"
+    q["user_options"] = "SELECT DISTINCT CAST(user_id AS VARCHAR) AS option, false AS is_all FROM events WHERE user_id IS NOT NULL UNION ALL SELECT 'all', true"
     q["active_customers"] = "SELECT event_id, user_id, event_type FROM events WHERE user_id IN (SELECT o_custkey FROM orders)"
     q["csv_names"] = """SELECT doc_id, 'dir.d/' || source || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.tar.csv' ELSE '.txt' END AS path,
   regexp_full_match(source || CASE doc_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.tar.csv' ELSE '.txt' END, '[^.]+\\.csv') AS valid

@@ -903,3 +903,37 @@ def rbm_encode_all(spark, sf):
     cols = ["lang", "source", "quality", "toxic"]
     d = d.select("doc_id", *[F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in cols])
     return tf.encode_for_rbm(d, cols, keep=["doc_id"])[0]
+
+
+def joined_bands(spark, sf):
+    """Mean, lowest and highest event value per type and hour of the day, from three frames."""
+    from ..operators.results import join_bands
+    e = fx.read_table(spark, sf, "events", ["ts", "event_type", "value"]).where("event_type IS NOT NULL").select(
+        "event_type", F.hour("ts").cast("long").alias("idx"), "value")
+    frames = [e.groupBy("event_type", "idx").agg(f("value").alias("v")) for f in (F.avg, F.min, F.max)]
+    return r6(join_bands(*frames, keys=["event_type"]))
+
+
+def observed_fitted(spark, sf):
+    """Daily order totals and the total a week before, which the first week lacks."""
+    from ..operators.results import observed_and_fitted
+    d = fx.ts_daily(spark, sf).select("idx", "total")
+    week = d.select((F.col("idx") + 7).alias("idx"), F.col("total").alias("fitted"))
+    return r6(observed_and_fitted(d, week), 4)
+
+
+def type_pairs(spark, sf):
+    """All ordered pairs of event types."""
+    from ..operators.results import ordered_pairs
+    return ordered_pairs(fx.read_table(spark, sf, "events", ["event_type"]).where("event_type IS NOT NULL"), "event_type")
+
+
+def forecast_input(spark, sf):
+    """The last five hours of the filled series with three lags."""
+    return r6(tf.last_windows(hourly_filled(spark, sf), VARS, 3, last_step=5))
+
+
+def user_options(spark, sf):
+    """The users of the events as options, with one for all."""
+    from ..sources.csv import subject_options
+    return subject_options(fx.read_table(spark, sf, "events", ["user_id"]), "user_id", add_all=True)

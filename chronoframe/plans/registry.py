@@ -22,7 +22,7 @@ _SQL_CHECKED = [
     "big_key_index", "one_hot_levels", "adf_users", "granger_lag1", "segment_ar1", "active_customers", "csv_names",
     "minmax_roundtrip", "acf_display", "naive_residuals", "accepted_imputation", "drop_sparse_columns",
     "incomplete_columns", "event_value_bands", "record_lows", "observed_and_predicted", "transposed_days",
-    "user_ar1_forecast", "user_model_impute",
+    "user_ar1_forecast", "user_model_impute", "joined_bands", "observed_fitted", "type_pairs", "forecast_input", "user_options",
     "complete_columns", "granger_edges", "granger_causes", "lag_links", "residual_verdicts",
     "naive_leaderboard", "order_walk", "band_table", "stored_results", "rbm_encode_all",
 ]

@@ -130,6 +130,12 @@ def load_snapshot(spark: SparkSession, path: str, order_by: Sequence[str] = ("id
     return spark.read.parquet(path).orderBy(*order_by)
 
 
+def subject_options(df: DataFrame, subject: str, add_all: bool = False) -> DataFrame:
+    """The distinct subjects as options, and with ``add_all`` one for all of them."""
+    subs = df.select(F.col(subject).cast("string").alias("option"), F.lit(False).alias("is_all")).where(F.col("option").isNotNull()).distinct()
+    return subs.unionByName(df.sparkSession.range(1).select(F.lit("all").alias("option"), F.lit(True).alias("is_all"))) if add_all else subs
+
+
 def catalog(df: DataFrame, subject: str | None = None, defaults: int = 5) -> tuple[DataFrame, DataFrame | None]:
     """Columns with ordinal and default-selection flag (first five),
     and the distinct subjects when a subject column is given."""
