@@ -86,8 +86,8 @@ def test_polynomials_are_reproduced(spark):
     assert spline_interpolate(df.limit(0), ["v"], 3).collect() == []
 
 
-def test_query_needs_no_whole_series_in_a_task(spark):
-    """A long series with every block size solves the same system: at most one block per call."""
+def test_one_long_block_meets_its_observations():
+    """Uneven positions, 20,000 of them in a single block."""
     rng = np.random.default_rng(1)
     x = np.sort(rng.choice(100_000, 20_000, replace=False)).astype(float)
     y = rng.normal(size=len(x))
