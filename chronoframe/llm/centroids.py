@@ -22,14 +22,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
-from .common import delete_folder, shuffle_partitions
+from .common import Bucketed, shuffle_partitions
 
 BLOCK_ROWS = 4096
 BUCKET_BLOCKS = 256                             # blocks in a bucket, at most about
@@ -176,27 +174,6 @@ def member_sums(x: np.ndarray, cluster: np.ndarray, k: int) -> tuple[np.ndarray,
 
 # -- the job ---------------------------------------------------------------
 
-class Bucketed:
-    """Tables bucketed by block, under names of their own in the session's
-    shared folder; ``drop`` forgets and deletes one."""
-
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets = spark, buckets
-        self.folder = ensure_checkpoint_dir(spark).rstrip("/")
-
-    def write(self, df: DataFrame, name: str) -> str:
-        table = f"{name}_{uuid.uuid4().hex}"
-        df.write.bucketBy(self.buckets, "block").sortBy("block").option("path", f"{self.folder}/{table}").saveAsTable(table)
-        return table
-
-    def read(self, table: str) -> DataFrame:
-        return self.spark.table(table)
-
-    def drop(self, table: str) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
-        delete_folder(self.spark, f"{self.folder}/{table}")
-
-
 def _pack(dim: int, scale: int):
     def run(batches):
         import pyarrow as pa
@@ -328,7 +305,7 @@ def cluster(vectors: DataFrame, k: int = 40, rounds: int = 5, dim: int = 64, sca
     rows = src.count()
     parts = shuffle_partitions(spark)
     blocks = -(-rows // BLOCK_ROWS)
-    tables = Bucketed(spark, max(1, min(rows, max(min(parts, 2 * blocks), blocks // BUCKET_BLOCKS))))
+    tables = Bucketed(spark, "block", max(1, min(rows, max(min(parts, 2 * blocks), blocks // BUCKET_BLOCKS))))
     packed_rows = src.mapInArrow(_pack(dim, scale), f"block long, ids array<{id_type}>, kind string, x binary")
     base = tables.write(packed_rows.repartition(tables.buckets, "block"), "blocks")
     history, state, old = [np.array(start, object)], None, None

@@ -116,11 +116,13 @@ def per_chunk(chunks: DataFrame, replies: DataFrame | None, fn, schema: str) ->
                     yield from fn(rb.slice(i, 1).to_pylist()[0], []).to_batches()
         return chunks.mapInArrow(alone, schema)
 
+    nothing = empty_table(schema)               # the schema's text needs a session to be read
+
     def both(left, right):
         import pyarrow as pa
         rows = right.to_pylist()
         tables = [fn(r, rows) for r in left.to_pylist()]
-        return pa.concat_tables(tables) if tables else empty_table(schema)
+        return pa.concat_tables(tables) if tables else nothing
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +31,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     plan (or on the executors) that made them."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_deleted(spark):
+        df.write.option("compression", "zstd").parquet(path)
     _TABLES.append(path)
     if getattr(_CALL, "made", None) is not None:
         _CALL.made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession):
+    """Let the shuffle files of the queries run inside be deleted as each ends:
+    a stored table needs them no longer, and the driver's garbage collection
+    may come much later."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def stored_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """``stored(make(), name)``, after which the tables that ``make`` stored on
     the way are deleted."""
@@ -53,6 +69,43 @@ def stored_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def temporary(spark: SparkSession):
+    """The tables that ``stored`` makes inside are deleted at the end."""
+    outer, _CALL.made = getattr(_CALL, "made", None), []
+    try:
+        yield
+        mine = _CALL.made
+    finally:
+        _CALL.made = outer
+    for path in mine:
+        delete_folder(spark, path)
+        _TABLES.remove(path)
+
+
+class Bucketed:
+    """Tables bucketed by a column, under names of their own in the session's
+    shared folder: what joins or groups them by that column shuffles none of
+    them.  ``drop`` forgets and deletes one."""
+
+    def __init__(self, spark: SparkSession, key: str, buckets: int):
+        self.spark, self.key, self.buckets = spark, key, buckets
+        self.folder = ensure_checkpoint_dir(spark).rstrip("/")
+
+    def write(self, df: DataFrame, name: str) -> str:
+        table = f"{name}_{uuid.uuid4().hex}"
+        with shuffles_deleted(self.spark):
+            df.write.bucketBy(self.buckets, self.key).sortBy(self.key).option("path", f"{self.folder}/{table}").saveAsTable(table)
+        return table
+
+    def read(self, table: str) -> DataFrame:
+        return self.spark.table(table)
+
+    def drop(self, table: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        delete_folder(self.spark, f"{self.folder}/{table}")
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

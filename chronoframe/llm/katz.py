@@ -1,11 +1,15 @@
 """Language-model scoring by Katz backoff.
 
-Counts: every chunk of documents sends its distinct words, and then level by
-level its distinct n-grams, with their training counts to buckets of the hash
-space; a bucket adds them up and answers every chunk in the order of its
-request.  The answers and the buckets' tables are stored, partitioned by
-bucket.  Words and the n-grams seen in training get dense numbers, so that an
-n-gram is one 64-bit key: the number of its history and that of its last word.
+Counts: every chunk of documents is split into words once and kept as the
+places of its tokens among its distinct words.  It sends those words, and then
+level by level its distinct n-grams, with their training counts to buckets of
+the hash space; a bucket adds them up and answers every chunk in the order of
+its request.  The answers and the buckets' tables are stored, partitioned by
+bucket; a chunk's row then takes up its answers, and the tables of the level
+before are deleted.  The chunks' rows are bucketed by chunk and never shuffled
+again: only requests and answers move.  Words and the n-grams seen in training get dense numbers,
+so that an n-gram is one 64-bit key: the number of its history and that of its
+last word.
 
 Model: P(w | h) = d(c) c(h w) / c(h) for an n-gram seen in training, else
 alpha(h) P(w | h'), where h' is h without its first word and alpha(h) gives
@@ -32,13 +36,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import NO_ID, bucket_edges, chunk_table, per_chunk, read_chunk, split_sorted
-from .common import buckets_for, shuffle_partitions, stored
+from .chunks import NO_ID, chunk_table, per_chunk, read_chunk, split_sorted
+from .common import Bucketed, buckets_for, shuffle_partitions, stored, temporary
 from .words import U64, mix, pack, pack_sorted, unpack, unpack_sorted, word_hashes, word_spans
 
 TOP = 5                                         # largest discounted count
 BUCKET_BYTES = 64 << 20                         # text per bucket
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
+TASK_CHUNKS = 32                                # chunks in a bucket of the chunks' tables, at most about
 HOT_SHARE = 1000                                # a history with more than 1/1000 of all tokens is split by word
 END = mix(np.array([0x454E44], np.uint64))[0]
 _ANSWER = ("level int, hot boolean, chunk long, bucket int, a binary, b binary, c binary, d binary, "
@@ -79,24 +84,34 @@ class Unigrams:
         return np.where(c > 0, discounted(c, self.d) / self.total, self.unknown)
 
 
+def _tokenized(row: dict, _):
+    """A chunk's token stream, every document's folded words and one end, as
+    places among its distinct words."""
+    import pyarrow as pa
+    _, data, off = read_chunk(row["ids"], row["sizes"], row["texts"])
+    s, e, first = word_spans(data, off)
+    n = np.diff(first) + 1
+    is_end = np.zeros(int(n.sum()), bool)
+    is_end[np.cumsum(n) - 1] = True
+    stream = np.empty(len(is_end), np.uint64)
+    stream[is_end] = END
+    stream[~is_end] = word_hashes(data, s, e, fold=True)
+    types, at = np.unique(stream, return_inverse=True)
+    cells = {"ids": row["ids"], "flags": row["flags"], "lengths": pack(n.astype(np.int64)),
+             "at": pack(at.astype(np.uint32)), "types": pack_sorted(types)}
+    return pa.table({"chunk": pa.array([row["chunk"]], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in cells.items()}})
+
+
 class Tokens:
     """Token stream of a chunk: every document's folded words and one end."""
 
     def __init__(self, row: dict):
-        self.ids, data, off = read_chunk(row["ids"], row["sizes"], row["texts"])
-        s, e, first = word_spans(data, off)
-        n = np.diff(first) + 1
+        self.ids, n = unpack(row["ids"], np.int64), unpack(row["lengths"], np.int64)
         self.n_tokens = n
         self.doc = np.repeat(np.arange(len(n)), n)
-        last = np.cumsum(n) - 1
-        stream = np.empty(int(n.sum()), np.uint64)
-        is_end = np.zeros(len(stream), bool)
-        is_end[last] = True
-        stream[is_end] = END
-        stream[~is_end] = word_hashes(data, s, e, fold=True)
-        self.head = last - n + 1                # first token of every document
+        self.head = np.cumsum(n) - n            # first token of every document
         self.train = unpack(row["flags"], np.uint8).astype(bool)
-        self.types, self.at = np.unique(stream, return_inverse=True)
+        self.at = unpack(row["at"], np.uint32)
 
     def numbered(self, replies: list[dict], base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(number or -1, training count) of every token's word; ``base`` is
@@ -146,9 +161,10 @@ class Grams:
         del last, before
         hot = before_count[self.token[one]] > levels.hot_over
         place = mix((keys >> shift) * U64(2) + U64(1))
-        place = np.where(hot, mix(place + keys), place)          # a hot history is spread by word
-        bucket = np.searchsorted(bucket_edges(levels.n_buckets), place, side="right") - 1
-        order = np.lexsort((keys, bucket, hot))
+        place[hot] = mix(place[hot] + keys[hot])                # a hot history is spread by word
+        bucket = ((place >> U64(32)) * U64(levels.n_buckets) >> U64(32)).astype(np.int64)
+        group = hot * levels.n_buckets + bucket                 # small numbers are sorted in linear time
+        order = np.argsort(group.astype(np.min_scalar_type(2 * levels.n_buckets)), kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         self.at, self.keys, self.hot, self.bucket, self.one = rank[inverse], keys[order], hot[order], bucket[order], self.token[one][order]
@@ -169,7 +185,8 @@ class Walk:
     n-gram that ends at every token, its probability, and its history's total."""
 
     def __init__(self, row: dict, replies: list[dict], levels: Levels):
-        self.t, self.levels = Tokens(row), levels
+        """``replies`` are those that the chunk's row has not taken up yet."""
+        self.t, self.levels, replies = Tokens(row), levels, row["found"] + replies
         self.word, self.words = self.t.numbered(replies, levels.base[1])
         self.number, self.count, self.prob = self.word, self.words, levels.lower(self.words)
         self.total = np.full(len(self.word), float(levels.lower.total))
@@ -229,12 +246,16 @@ def _unpack_repeated(b: bytes) -> np.ndarray:
     return unpack(b[8:cut], np.float64)[unpack(b[cut:], np.uint32)]
 
 
+def _answer_kinds() -> dict:
+    import pyarrow as pa
+    return {"level": pa.int32(), "hot": pa.bool_(), "chunk": pa.int64(), "bucket": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(),
+            "d": pa.binary(), "n_types": pa.int64(), "n_tokens": pa.int64(), "counts": pa.list_(pa.int64()), "hist": pa.int64(),
+            "seen": pa.list_(pa.int64()), "lower": pa.float64()}
+
+
 def _answer_table(rows: list[dict]):
     import pyarrow as pa
-    kinds = {"level": pa.int32(), "hot": pa.bool_(), "chunk": pa.int64(), "bucket": pa.int32(), "a": pa.binary(), "b": pa.binary(), "c": pa.binary(),
-             "d": pa.binary(), "n_types": pa.int64(), "n_tokens": pa.int64(), "counts": pa.list_(pa.int64()), "hist": pa.int64(),
-             "seen": pa.list_(pa.int64()), "lower": pa.float64()}
-    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in kinds.items()})
+    return pa.table({k: pa.array([r.get(k) for r in rows], t) for k, t in _answer_kinds().items()})
 
 
 def _counts_of_counts(c: np.ndarray) -> list[int]:
@@ -244,9 +265,9 @@ def _counts_of_counts(c: np.ndarray) -> list[int]:
 def _ask_words(n_buckets: int):
     def fn(row, _):
         import pyarrow as pa
-        t = Tokens(row)
-        count = np.bincount(t.at[t.train[t.doc]], minlength=len(t.types)).astype(np.uint32)
-        out = [(b, pack_sorted(t.types[i:j]), pack(count[i:j])) for b, i, j in split_sorted(t.types, n_buckets)]
+        t, types = Tokens(row), unpack_sorted(row["types"])
+        count = np.bincount(t.at[t.train[t.doc]], minlength=len(types)).astype(np.uint32)
+        out = [(b, pack_sorted(types[i:j]), pack(count[i:j])) for b, i, j in split_sorted(types, n_buckets)]
         return pa.table({"bucket": pa.array([o[0] for o in out], pa.int32()), "chunk": pa.array([row["chunk"]] * len(out), pa.int64()),
                          "keys": pa.array([o[1] for o in out], pa.binary()), "count": pa.array([o[2] for o in out], pa.binary()),
                          "word": pa.nulls(len(out), pa.binary())})
@@ -258,8 +279,7 @@ def _added_up(rows: list[dict]):
     per distinct key the place of one occurrence)."""
     keys = [unpack_sorted(r["keys"]) for r in rows]
     every, one, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    total = np.zeros(len(every), np.int64)
-    np.add.at(total, inverse, np.concatenate([unpack(r["count"], np.uint32) for r in rows]).astype(np.int64))
+    total = np.bincount(inverse, np.concatenate([unpack(r["count"], np.uint32) for r in rows]), len(every)).astype(np.int64)
     cuts = np.cumsum([0] + [len(k) for k in keys])
     return every, total, [inverse[a:b] for a, b in zip(cuts, cuts[1:])], one
 
@@ -293,6 +313,15 @@ def _ask_grams(levels: Levels):
     return fn
 
 
+def _taken_up(row: dict, replies: list[dict]):
+    """The chunk's row with its answers of one more level."""
+    import pyarrow as pa
+    found = row.get("found", []) + [{f: r[f] for f in _FOUND} for r in replies]
+    kinds = _answer_kinds()
+    cells = {c: pa.array([row[c]], pa.int64() if c == "chunk" else pa.binary()) for c in _KEPT}
+    return pa.table(cells | {"found": pa.array([found], pa.list_(pa.struct([(f, kinds[f]) for f in _FOUND])))})
+
+
 def _histories(hist: np.ndarray, total: np.ndarray, lower: np.ndarray):
     """(distinct histories, counts of counts 1..TOP, sum of ``lower`` over the
     seen n-grams) of n-grams in ascending order of their histories."""
@@ -347,6 +376,10 @@ def _score(levels: Levels):
 
 
 _REQUEST = "bucket int, chunk long, keys binary, count binary, word binary"
+_KEPT = ["chunk", "ids", "flags", "lengths", "at"]
+_FOUND = ["level", "hot", "bucket", "a", "b", "c", "d"]
+_TOKENS = "chunk long, ids binary, flags binary, lengths binary, at binary"
+_STATE = _TOKENS + ", found array<struct<level:int,hot:boolean,bucket:int,a:binary,b:binary,c:binary,d:binary>>"
 
 
 def _level_counts(answers: DataFrame) -> tuple[int, int, list[int]]:
@@ -383,30 +416,74 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     seen in training, below the highest level) and a word."""
     if order < 1:
         raise ValueError("order is 1 at least")
-    chunks = chunk_table(docs, id_col, text_col, flag=train, chunk_bytes=chunk_bytes)
-    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    n_buckets = buckets_for(total, BUCKET_BYTES, shuffle_partitions(docs.sparkSession))
-    asked = per_chunk(chunks, None, _ask_words(n_buckets), _REQUEST)
-    answers = stored(asked.groupBy("bucket").applyInArrow(_answer_words, _ANSWER), "grams1")
-    n_types, n_tokens, counts = _level_counts(answers)
-    levels = Levels(n_buckets, n_tokens / HOT_SHARE, Unigrams(n_tokens, n_types, counts), _first_numbers(answers, n_buckets),
-                    docs.where(train).count())
-    replies, n_histories = answers.where("chunk IS NOT NULL"), n_types + 1
-    for level in range(2, order + 1):
-        if n_histories << levels.bits > 1 << 64:
+    model = _Counted(docs, train, id_col, text_col, chunk_bytes, order)
+    if order == 1:
+        state = model.state(1)
+        rows = per_chunk(model.tables.read(state), None, _score(model.levels), _SCORED)
+    else:
+        state = model.state(order - 1)
+        rows = model.tables.read(state)
+        answers = model.count_grams(rows, order)
+        rows = per_chunk(rows, answers.where("chunk IS NOT NULL"), _score(model.levels), _SCORED)
+    return rows.withColumnRenamed("_id", id_col)
+
+
+_SCORED = ("_id long, trained_on boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+class _Counted:
+    """Counts the levels in turn; ``levels`` is what is known so far."""
+
+    def __init__(self, docs: DataFrame, train: Column, id_col: str, text_col: str, chunk_bytes: int, order: int):
+        self.docs, self.train, self.id_col, self.text_col = docs, train, id_col, text_col
+        self.chunk_bytes, self.order = chunk_bytes, order
+        self.levels = self.n_histories = None
+
+    def state(self, level: int) -> str:
+        """Stored rows of the chunks with their answers up to a level, bucketed
+        by chunk; what the levels below stored is deleted."""
+        with temporary(self.docs.sparkSession):
+            below = self.tokens() if level == 1 else self.state(level - 1)
+            rows = self.tables.read(below)
+            answers = self.count_words(rows) if level == 1 else self.count_grams(rows, level)
+            made = per_chunk(rows.drop("types"), answers.where("chunk IS NOT NULL"), _taken_up, _STATE)
+            table = self.tables.write(made, f"level{level}")
+        self.tables.drop(below)
+        return table
+
+    def tokens(self) -> str:
+        spark = self.docs.sparkSession
+        parts = shuffle_partitions(spark)
+        with temporary(spark):
+            chunks = chunk_table(self.docs, self.id_col, self.text_col, flag=self.train, chunk_bytes=self.chunk_bytes)
+            total, n_chunks = chunks.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)), F.count("chunk")).first()
+            self.n_buckets = buckets_for(total, BUCKET_BYTES, parts)
+            self.tables = Bucketed(spark, "chunk", max(1, min(parts, n_chunks), n_chunks // TASK_CHUNKS))
+            rows = per_chunk(chunks, None, _tokenized, _TOKENS + ", types binary")
+            return self.tables.write(rows.repartition(self.tables.buckets, "chunk"), "tokens")
+
+    def count_words(self, rows: DataFrame) -> DataFrame:
+        asked = per_chunk(rows, None, _ask_words(self.n_buckets), _REQUEST)
+        answers = stored(asked.groupBy("bucket").applyInArrow(_answer_words, _ANSWER), "grams1")
+        n_types, n_tokens, counts = _level_counts(answers)
+        self.levels = Levels(self.n_buckets, n_tokens / HOT_SHARE, Unigrams(n_tokens, n_types, counts),
+                             _first_numbers(answers, self.n_buckets), self.docs.where(self.train).count())
+        self.n_histories = n_types + 1
+        return answers
+
+    def count_grams(self, rows: DataFrame, level: int) -> DataFrame:
+        levels = self.levels
+        if self.n_histories << levels.bits > 1 << 64:
             raise ValueError(f"too many histories of {level - 1} words for 64-bit keys")
-        asked = per_chunk(chunks, replies, _ask_grams(levels), _REQUEST + ", hot boolean")
+        asked = per_chunk(rows, None, _ask_grams(levels), _REQUEST + ", hot boolean")
         answers = stored(asked.groupBy("bucket", "hot").applyInArrow(
-            _answer_grams(level, levels.bits, levels.discounts[level - 1], level == order), _ANSWER), f"grams{level}")
-        n_histories, _, counts = _level_counts(answers)
+            _answer_grams(level, levels.bits, levels.discounts[level - 1], level == self.order), _ANSWER), f"grams{level}")
+        self.n_histories, _, counts = _level_counts(answers)
         # at most HOT_SHARE histories and the start
-        levels = copy(levels)
+        self.levels = levels = copy(levels)
         levels.hot = levels.hot | {level: {r["hist"]: (list(r)[1:-1], r["lower"]) for r in answers.where("hist IS NOT NULL").groupBy("hist").agg(
             *[F.sum(F.col("seen")[k]).alias(f"n{k}") for k in range(TOP)], F.sum("lower").alias("lower")).collect()}}
         levels.discounts = levels.discounts | {level: discounts(counts)}
-        if level < order:
-            levels.base = levels.base | {level: _first_numbers(answers, n_buckets)}
-        replies = replies.unionByName(answers.where("chunk IS NOT NULL"))
-    out = per_chunk(chunks, replies, _score(levels), (
-        "_id long, trained_on boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"))
-    return out.withColumnRenamed("_id", id_col)
+        if level < self.order:
+            levels.base = levels.base | {level: _first_numbers(answers, self.n_buckets)}
+        return answers
