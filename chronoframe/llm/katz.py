@@ -42,7 +42,7 @@ from .words import U64, mix, pack, pack_sorted, unpack, unpack_sorted, word_hash
 
 TOP = 5                                         # largest discounted count
 BUCKET_BYTES = 64 << 20                         # text per bucket
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 TASK_CHUNKS = 32                                # chunks in a bucket of the chunks' tables, at most about
 HOT_SHARE = 1000                                # a history with more than 1/1000 of all tokens is split by word
 END = mix(np.array([0x454E44], np.uint64))[0]
@@ -96,7 +96,7 @@ def _tokenized(row: dict, _):
     stream = np.empty(len(is_end), np.uint64)
     stream[is_end] = END
     stream[~is_end] = word_hashes(data, s, e, fold=True)
-    types, at = np.unique(stream, return_inverse=True)
+    types, _, at = _distinct(stream)
     cells = {"ids": row["ids"], "flags": row["flags"], "lengths": pack(n.astype(np.int64)),
              "at": pack(at.astype(np.uint32)), "types": pack_sorted(types)}
     return pa.table({"chunk": pa.array([row["chunk"]], pa.int64()), **{k: pa.array([v], pa.binary()) for k, v in cells.items()}})
@@ -108,7 +108,7 @@ class Tokens:
     def __init__(self, row: dict):
         self.ids, n = unpack(row["ids"], np.int64), unpack(row["lengths"], np.int64)
         self.n_tokens = n
-        self.doc = np.repeat(np.arange(len(n)), n)
+        self.doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
         self.head = np.cumsum(n) - n            # first token of every document
         self.train = unpack(row["flags"], np.uint8).astype(bool)
         self.at = unpack(row["at"], np.uint32)
@@ -141,6 +141,18 @@ class Levels:
         return max(self.discounts)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ascending distinct keys, the place of any one occurrence of each, the
+    number of every key): ``np.unique`` without the cost of a stable order."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    inverse = np.empty(len(keys), np.int32)
+    inverse[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys[new], order[new], inverse
+
+
 class Grams:
     """A chunk's distinct n-grams of a level that have a known history, in the
     order of requests: usual histories first, by bucket and key.  token: tokens
@@ -150,24 +162,27 @@ class Grams:
     def __init__(self, t: Tokens, levels: Levels, level: int, word: np.ndarray, number: np.ndarray, count: np.ndarray):
         """``number`` and ``count`` are those of the n-gram, a level below, that
         ends at a token."""
-        before, before_count = np.full_like(number, -1), np.zeros_like(count)
-        before[1:], before_count[1:] = number[:-1], count[:-1]
-        before[t.head], before_count[t.head] = (levels.start, np.iinfo(np.int64).max) if level == 2 else (-1, 0)
-        self.token = np.flatnonzero(before >= 0)
-        # a word not seen after the shorter history is not seen after this one
-        last = np.where(count[self.token] > 0, word[self.token], levels.unknown).astype(np.uint64)
+        before, hot_before = np.full_like(number, -1), np.zeros(len(number), bool)
+        before[1:], hot_before[1:] = number[:-1], count[:-1] > levels.hot_over
+        before[t.head], hot_before[t.head] = (levels.start, True) if level == 2 else (-1, False)
+        self.token = np.flatnonzero(before >= 0).astype(np.int32)
         shift = U64(levels.bits)
-        keys, one, inverse = np.unique((before[self.token].astype(np.uint64) << shift) | last, return_index=True, return_inverse=True)
-        del last, before
-        hot = before_count[self.token[one]] > levels.hot_over
+        keys = before[self.token].astype(np.uint64) << shift
+        # a word not seen after the shorter history is not seen after this one
+        keys |= np.where(count[self.token] > 0, word[self.token], levels.unknown).astype(np.uint64)
+        del before
+        keys, one, inverse = _distinct(keys)
+        one = self.token[one]
+        hot = hot_before[one]
         place = mix((keys >> shift) * U64(2) + U64(1))
         place[hot] = mix(place[hot] + keys[hot])                # a hot history is spread by word
-        bucket = ((place >> U64(32)) * U64(levels.n_buckets) >> U64(32)).astype(np.int64)
-        group = hot * levels.n_buckets + bucket                 # small numbers are sorted in linear time
-        order = np.argsort(group.astype(np.min_scalar_type(2 * levels.n_buckets)), kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        self.at, self.keys, self.hot, self.bucket, self.one = rank[inverse], keys[order], hot[order], bucket[order], self.token[one][order]
+        group = (place >> U64(32)) * U64(levels.n_buckets) >> U64(32)
+        group = (group + hot * U64(levels.n_buckets)).astype(np.min_scalar_type(2 * levels.n_buckets))
+        order = np.argsort(group, kind="stable")                # small numbers are sorted in linear time
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.at, self.keys, self.hot, self.one = rank[inverse], keys[order], hot[order], one[order]
+        self.bucket = group[order].astype(np.int32) - self.hot * np.int32(levels.n_buckets)
         self.hist = (self.keys >> shift).astype(np.int64)
 
     def requests(self):
@@ -204,9 +219,9 @@ class Walk:
             gram_count = np.concatenate([unpack(r["a"], np.uint32) for r in mine]).astype(np.int64)
             first = np.flatnonzero(np.concatenate([[True], (g.hist[1:] != g.hist[:-1]) | (g.hot[1:] != g.hot[:-1])
                                                    | g.hot[1:] & (g.bucket[1:] != g.bucket[:-1])]))
-            of_gram = np.zeros(len(g.keys), np.int64)
+            of_gram = np.zeros(len(g.keys), np.int32)
             of_gram[first[1:]] = 1
-            of_gram = np.cumsum(of_gram)
+            of_gram = np.cumsum(of_gram, dtype=np.int32)
             usual = ~g.hot[first]
             seen, mass = np.zeros((len(first), TOP), np.int64), np.zeros(len(first))
             if usual.any():
@@ -223,9 +238,10 @@ class Walk:
             below = self.total[one]             # of the shorter history
             alpha = np.where(freed > 0, freed, 1.0) / total * (below / (below - mass))
             alpha, total = np.where(before > 0, alpha, 1.0), np.maximum(total, 1)
-            kept = discounted(gram_count, d) / total[of_gram]
-            self.prob[g.token] = np.where(gram_count[g.at] > 0, kept[g.at], alpha[of_gram][g.at] * self.prob[g.token])
-            self.total[g.token] = total[of_gram][g.at]
+            del mass, seen, freed, before, below
+            kept = np.where(gram_count > 0, discounted(gram_count, d) / total[of_gram], alpha[of_gram])[g.at]
+            self.prob[g.token] = np.where(gram_count[g.at] > 0, kept, kept * self.prob[g.token])
+            self.total[g.token] = total[of_gram[g.at]]
             count[g.token] = gram_count[g.at]
             if level in self.levels.base:
                 base = self.levels.base[level]
@@ -278,7 +294,7 @@ def _added_up(rows: list[dict]):
     """(distinct keys, their summed counts, per request the places of its keys,
     per distinct key the place of one occurrence)."""
     keys = [unpack_sorted(r["keys"]) for r in rows]
-    every, one, inverse = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    every, one, inverse = _distinct(np.concatenate(keys))
     total = np.bincount(inverse, np.concatenate([unpack(r["count"], np.uint32) for r in rows]), len(every)).astype(np.int64)
     cuts = np.cumsum([0] + [len(k) for k in keys])
     return every, total, [inverse[a:b] for a, b in zip(cuts, cuts[1:])], one
