@@ -43,6 +43,35 @@ def ols_from_gram(G: np.ndarray, x_idx: Sequence[int], y_idx: Sequence[int], n:
     return beta, np.maximum(ssr, np.finfo(float).eps * np.clip(np.diag(yty), 1e-300, None)), inv
 
 
+def unpack_each(g: np.ndarray, k: int) -> np.ndarray:
+    """:func:`unpack` of every row of ``g``."""
+    m = np.zeros((len(g), k, k))
+    i, j = np.triu_indices(k)
+    m[:, i, j] = m[:, j, i] = g
+    return m
+
+
+def ols_each(G: np.ndarray, x_idx: Sequence[int], y_idx: Sequence[int]):
+    """:func:`ols_from_gram` of every matrix of a stack."""
+    x_idx, y_idx = list(x_idx), list(y_idx)
+    xtx, xty, yty = (G[:, r][:, :, c] for r, c in ((x_idx, x_idx), (x_idx, y_idx), (y_idx, y_idx)))
+    diag = np.einsum("nii->ni", xtx)
+    scale = np.sqrt(np.clip(diag, 1e-300, None))
+    scale = scale[:, :, None] * scale[:, None, :]
+    xs = xtx / scale
+    bad = ~np.isfinite(xs).all(axis=(1, 2))
+    bad[~bad] = ~(np.linalg.cond(xs[~bad]) <= 1e14)
+    inv = np.empty_like(xs)
+    inv[~bad] = np.linalg.inv(xs[~bad])
+    if bad.any():
+        inv[bad] = np.linalg.pinv(xs[bad])
+    inv = inv / scale
+    beta = inv @ xty
+    back = xty.transpose(0, 2, 1) @ beta
+    ssr = np.einsum("nii->ni", yty - back - back.transpose(0, 2, 1) + beta.transpose(0, 2, 1) @ xtx @ beta)
+    return beta, np.maximum(ssr, np.finfo(float).eps * np.clip(np.einsum("nii->ni", yty), 1e-300, None)), inv
+
+
 def stacked_ols(grams: np.ndarray, kx: int) -> np.ndarray:
     """Coefficients [n, kx, ky] of a stack of Gram matrices whose first ``kx``
     columns are the regressors; ill-conditioned ones by pseudo-inverse."""

@@ -20,11 +20,12 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.gram import ols_from_gram, unpack
+from ..functions.gram import ols_each, ols_from_gram, unpack, unpack_each
 from ..session import block_size, cut_lineage
 from .impute import imputation_sets
-from .linear import _key_schema, _with_series, gram
-from .ordering import BLK, _cols, add_blocks, blocked_cumsum, dense_index, halo_window, lagged
+from .groups import arrays, map_groups, map_rows, matrix
+from .linear import STACK, _key_schema, _with_series, gram
+from .ordering import BLK, HALO, _cols, add_blocks, blocked_cumsum, by_block, dense_index, halo_window, lagged
 from .results import overlap_average
 from .transform import minmax_scale, one_hot, supervised_windows
 from .validate import bounded_distinct, require
@@ -88,7 +89,8 @@ def _gap_recursion(df: DataFrame, col: str, ar_lag: int, idx: str, keys: list[st
                    size: int | None) -> DataFrame:
     """Gaps whose windows of ``ar_lag`` rows touch form a segment, numbered per
     series by a blocked running count.  A segment's missing rows carry the
-    observations before them, so one group fills it front to back.  A value is
+    observations before them, so one group fills it front to back; the groups
+    come many at a time, since most gaps are short.  A value is
     the k-th of its gap in the round k; a lag that is filled in that round or
     later still counts as 0, as in the rounds of the other estimators."""
     d0, own = _with_series(df.select(*keys, idx, F.col(col).cast("double").alias("_v")), keys)
@@ -98,15 +100,11 @@ def _gap_recursion(df: DataFrame, col: str, ar_lag: int, idx: str, keys: list[st
     kinds = _key_schema(g, own)
     m = len(x) + 2
 
-    def solve(pdf):
-        n = int(pdf["n"].iloc[0])
-        b = []
-        if n >= m - 1:
-            beta, _, _ = ols_from_gram(unpack(pdf["g"].iloc[0], m), range(m - 1), [m - 1], n)
-            b = [beta[:, 0].tolist()]
-        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(b) for k in own} | {"_b": b}, dtype=object)
+    def solve(table):
+        beta = ols_each(unpack_each(matrix(table.column("g")), m), range(m - 1), [m - 1])[0]
+        return {k: table.column(k) for k in own} | {"_b": arrays(beta[:, :, 0])}
 
-    model = g.groupBy(*own).applyInPandas(solve, f"{kinds}, _b array<double>")
+    model = map_rows(g.where(F.col("n") >= m - 1), solve, f"{kinds}, _b array<double>", STACK)
 
     def context(w):
         before = w.rowsBetween(-ar_lag, -1)
@@ -117,13 +115,13 @@ def _gap_recursion(df: DataFrame, col: str, ar_lag: int, idx: str, keys: list[st
     missing = numbered.where(F.col("_v").isNull()).select(*own, F.col(idx).cast("long").alias("_i"), "_before", F.col("_first_cum").alias("_gap"))
     limit = math.inf if max_rounds is None else max_rounds
 
-    def run(pdf):
-        pdf = pdf.sort_values("_i")
-        b = pdf["_b"].iloc[0]
-        at, values, turns = [], [], {}
-        for i, before in zip(pdf["_i"].tolist(), pdf["_before"]):
-            seen = [None if v is None or math.isnan(v) else v for v in before]
-            if seen[0] is not None:
+    def run(table, starts):
+        place, at, values = table.column("_i").to_pylist(), [], []
+        seen_rows, models, first = matrix(table.column("_before")).tolist(), matrix(table.column("_b")), set(starts.tolist())
+        for row, (i, seen) in enumerate(zip(place, seen_rows)):
+            if row in first:
+                b, turns = models[row].tolist(), {}
+            if not math.isnan(seen[0]):
                 turn = 1
             elif i - 1 in turns:
                 turn = turns[i - 1][0] + 1
@@ -133,18 +131,16 @@ def _gap_recursion(df: DataFrame, col: str, ar_lag: int, idx: str, keys: list[st
                 continue
             value = b[0]
             for k, v in enumerate(seen, 1):
-                if v is None:                   # filled in an earlier round, or not yet
+                if math.isnan(v):               # filled in an earlier round, or not yet
                     when, own_value = turns.get(i - k, (math.inf, 0.0))
                     v = own_value if when < turn else 0.0
                 value += b[k] * v
             turns[i] = turn, value
-            at.append(i), values.append(value)
-        out = pd.DataFrame({"_i": np.array(at, np.int64), "_fill": np.array(values, float)})
-        for k in reversed(own):
-            out.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(out), dtype=object))
-        return out
+            at.append(row), values.append(value)
+        filled = table.take(np.array(at, np.int64))
+        return {k: filled.column(k) for k in [*own, "_i"]} | {"_fill": np.array(values, float)}
 
-    fills = missing.join(model, own).groupBy(*own, "_gap").applyInPandas(run, f"{kinds}, _i long, _fill double")
+    fills = map_groups(missing.join(model, own), [*own, "_gap"], ["_i"], run, f"{kinds}, _i long, _fill double")
     fills = fills.select(*keys, F.col("_i").cast(df.schema[idx].dataType).alias(idx), "_fill")
     out = df.join(fills, [*keys, idx], "left")
     return out.select(*[F.coalesce(F.col(c).cast("double"), F.col("_fill")).alias(c) if c == col else F.col(c) for c in df.columns])
