@@ -476,55 +476,42 @@ def window_classifier(df: DataFrame, subject: str, visit: str, inputs: Sequence[
 def decayed_trace(df: DataFrame, cols: Sequence[str], visit: str, subject: str, delay: int, decay: float,
                   size: int | None = None) -> DataFrame:
     """Eligibility trace a_t = decay * a_{t-1} + x_{t-delay} per subject (0
-    before the first value), as a blocked scan: one pandas task per (subject,
-    block) with the carry from earlier blocks of the same subject."""
+    before the first value), as a blocked scan: within a block the running sum
+    of x_s / decay^s, times decay^t, and between the blocks of a subject a carry.
+    A block is as long as its weights stay within 1e150, ``size`` rows at most."""
     cols = list(cols)
     size = block_size(df.sparkSession, size)
+    block = size if not 0 < decay < 1 else max(1, min(size, int(150 * math.log(10) / -math.log(decay))))
     src = lagged(df, cols, lags=[delay], idx=visit, keys=[subject], size=size) if delay > 0 else df
     src_cols = [f"{c}_lag{delay}" if delay > 0 else c for c in cols]
-    b = add_blocks(src.fillna(0.0, subset=src_cols), visit, size).drop("_halo")
+    src = src.fillna(0.0, subset=src_cols)
+    names = [f"{c}_trace" for c in cols]
+    if decay == 0:
+        return src.select("*", *[F.col(c).cast("double").alias(t) for c, t in zip(src_cols, names)])
+    w = Window.partitionBy(subject, BLK).orderBy(visit)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    b = by_block(add_blocks(src, visit, block).drop(HALO), [subject]).withColumn("_row", F.row_number().over(w))
+    local = [(F.sum(F.col(c) * F.pow(F.lit(decay), -F.col("_row"))).over(upto) * F.pow(F.lit(decay), F.col("_row"))).alias(t)
+             for c, t in zip(src_cols, names)]
+    b = b.select("*", *local)
+    last = df.agg(F.max(visit)).first()[0]      # one number
+    if last is None or last < block:            # no subject has a second block
+        return b.drop(BLK, "_row")
+    ends = b.groupBy(subject, BLK).agg(F.max("_row").alias("_len"), F.max_by(F.array(*names), "_row").alias("_end"))
+
+    def carry(table, starts):
+        end, length, first = matrix(table.column("_end")), table.column("_len").to_pylist(), set(starts.tolist())
+        out = np.zeros_like(end)
+        for i in range(1, len(end)):
+            if i not in first:
+                out[i] = out[i - 1] * decay ** length[i - 1] + end[i - 1]
+        return {subject: table.column(subject), BLK: table.column(BLK), "_carry": arrays(out)}
+
     kt = dict(df.dtypes)[subject]
-    # per block: trace at the block end starting from 0, and the block length
-    def block_end(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(visit)
-        a = np.zeros(len(cols))
-        X = pdf[src_cols].to_numpy(dtype=float)
-        for row in X:
-            a = decay * a + row
-        return pd.DataFrame({subject: [pdf[subject].iloc[0]], BLK: [int(pdf[BLK].iloc[0])], "_len": [len(pdf)],
-                             "_end": [a.tolist()]})
-
-    ends = b.groupBy(subject, BLK).applyInPandas(block_end, f"`{subject}` {kt}, {BLK} long, _len long, _end array<double>")
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLK)
-        c = np.zeros(len(cols))
-        outs = []
-        for ln, e in zip(pdf["_len"], pdf["_end"]):
-            outs.append(c.tolist())
-            c = c * decay ** int(ln) + np.asarray(e, dtype=float)
-        return pd.DataFrame({subject: pdf[subject].to_numpy(), BLK: pdf[BLK].to_numpy(), "_carry": outs})
-
-    carries = ends.groupBy(subject).applyInPandas(carry, f"`{subject}` {kt}, {BLK} long, _carry array<double>")
-    j = b.join(carries, [subject, BLK], "left")
-    out_schema = ", ".join(f"`{c}` {t}" for c, t in j.drop("_carry").dtypes) + ", " + \
-        ", ".join(f"`{c}_trace` double" for c in cols)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(visit)
-        cr = pdf["_carry"].iloc[0]
-        a = np.zeros(len(cols)) if cr is None else np.asarray(cr, dtype=float)
-        X = pdf[src_cols].to_numpy(dtype=float)
-        tr = np.zeros_like(X)
-        for i, row in enumerate(X):
-            a = decay * a + row
-            tr[i] = a
-        res = pdf.drop(columns=["_carry"]).copy()
-        for k, c in enumerate(cols):
-            res[f"{c}_trace"] = tr[:, k]
-        return res
-
-    return j.groupBy(subject, BLK).applyInPandas(run, out_schema).drop(BLK)
+    carries = map_groups(ends, [subject], [BLK], carry, f"`{subject}` {kt}, {BLK} long, _carry array<double>")
+    j = b.join(carries.where(F.col(BLK) > 0), [subject, BLK], "left")
+    more = [F.coalesce(F.col("_carry")[i] * F.pow(F.lit(decay), F.col("_row")), F.lit(0.0)) for i in range(len(cols))]
+    return j.select(*[F.col(c) for c in src.columns], *[(F.col(t) + m).alias(t) for t, m in zip(names, more)])
 
 
 def dynamic_classifier(df: DataFrame, subject: str, visit: str, inputs: Sequence[str], target: str,
@@ -555,9 +542,9 @@ def dynamic_classifier(df: DataFrame, subject: str, visit: str, inputs: Sequence
     enc = enc.fillna(0.0, subset=feat_base)
     levels = bounded_distinct(df, target, 1000)
     # label = the next visit's target; features = current/past inputs
-    lg = lagged(enc.select(subject, visit, *feat_base, "_target"), feat_base, lags=range(1, delay), idx=visit,
-                keys=[subject])
-    lg = lagged(lg, ["_target"], leads=[1], idx=visit, keys=[subject])
+    def steps(w):
+        return {f"{c}_lag{k}": F.lag(c, k).over(w) for c in feat_base for k in range(1, delay)} | {"_target_lead1": F.lead("_target", 1).over(w)}
+    lg = halo_window(enc.select(subject, visit, *feat_base, "_target"), steps, visit, [subject], before=delay - 1, after=1)
     lag_cols = [f"{c}_lag{k}" for k in range(1, delay) for c in feat_base]
     tr = decayed_trace(lg, feat_base, visit, subject, delay, decay)
     label = _code(F.col("_target_lead1"), levels)
