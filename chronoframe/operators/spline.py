@@ -7,7 +7,8 @@ eliminated on its own, which leaves a linear relation between its first and last
 k coefficients (its edges) and the neighbours' edges; two neighbouring relations
 combine into one, so relations of relations are formed, a fixed number at a
 time, until one is left, and the edges are substituted back down the same tree.
-No task ever holds more than one block of observations, or one group of edges.
+A series of one block has no neighbours; such series are filled many at a time.
+No call ever holds more than one block of a long series, or one group of edges.
 The collocation matrix is totally positive, so that elimination needs no
 pivoting across blocks.
 
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import block_size, cut_lineage
+from .groups import map_groups
 from .ordering import _cols, blocked_cumsum
 from .validate import require
 
@@ -210,6 +212,37 @@ def spline_interpolate(df: DataFrame, cols: Sequence[str], order: int = 3, idx:
     blocks = F.when(F.col("_y").isNotNull(), reach).otherwise(F.array(own))
     dealt = cut_lineage(ranked.withColumn("_own", own).withColumn("_b", F.explode(blocks)))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*g).schema)
+    kind = df.schema[idx].dataType.simpleString()
+    filled = f"{kinds}, `{idx}` {kind}, _fill double"
+    nothing = np.zeros(k)
+
+    def whole(table, starts):
+        gap = table.column("_y").combine_chunks().is_null().to_numpy(zero_copy_only=False)
+        x, y, n = (table.column(c).to_numpy() for c in ("_x", "_y", "_n"))
+        fills = np.full(len(x), np.nan)
+        for lo, hi in zip(starts, [*starts[1:], len(x)]):
+            own = ~gap[lo:hi]
+            if own.all():
+                continue
+            at, seen = x[lo:hi][~own], x[lo:hi][own]
+            block = Block(k, int(n[lo]), 0, int(n[lo]), 0, seen)
+            c = block.coefficients(seen, y[lo:hi][own], nothing, nothing)
+            start, value = block.basis(at)
+            fills[lo + np.flatnonzero(~own)] = (c[start[:, None] + np.arange(k + 1) + k] * value).sum(axis=1)
+        rows = table.take(np.flatnonzero(gap))
+        return {c: rows.column(c) for c in (*g, idx)} | {"_fill": fills[gap]}
+
+    short = F.col("_n") < 2 * size              # one block
+    fills = map_groups(dealt.where(short), g, ["_rank"], whole, filled)
+    if dealt.agg(F.max("_b")).first()[0]:       # one number
+        fills = fills.unionByName(_fill_blocks(dealt.where(~short), k, size, group, g, idx, kinds, filled))
+    wide = fills.groupBy(*keys, idx).agg(*[F.max(F.when(F.col(VAR) == c, F.col("_fill"))).alias(f"_fill_{c}") for c in cols])
+    out = df.join(wide, [*keys, idx], "left")
+    return out.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _fill_blocks(dealt: DataFrame, k: int, size: int, group: int, g: list[str], idx: str, kinds: str, filled: str) -> DataFrame:
+    """Values for the gaps of series of several blocks."""
     relation = f"{kinds}, _b long, f array<double>, l array<double>, r array<double>"
     edges = f"{kinds}, _b long, a array<double>, z array<double>"
 
@@ -254,8 +287,4 @@ def spline_interpolate(df: DataFrame, cols: Sequence[str], order: int = 3, idx:
         at = start[:, None] + np.arange(k + 1) - (block.r0 - k)
         return pd.DataFrame({name: gaps[name].to_numpy() for name in (*g, idx)} | {"_fill": (c[at] * value).sum(axis=1)})
 
-    kind = df.schema[idx].dataType.simpleString()
-    fills = dealt.groupBy(*g, "_b").cogroup(found.groupBy(*g, "_b")).applyInPandas(fill, f"{kinds}, `{idx}` {kind}, _fill double")
-    wide = fills.groupBy(*keys, idx).agg(*[F.max(F.when(F.col(VAR) == c, F.col("_fill"))).alias(f"_fill_{c}") for c in cols])
-    out = df.join(wide, [*keys, idx], "left")
-    return out.select(*[F.coalesce(F.col(c).cast("double"), F.col(f"_fill_{c}")).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return dealt.groupBy(*g, "_b").cogroup(found.groupBy(*g, "_b")).applyInPandas(fill, filled)
