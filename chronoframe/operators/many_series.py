@@ -1,7 +1,7 @@
 """ARIMA models and forecasts for any number of series at once.
 
 The two regressions of Hannan and Rissanen run for all series in the same jobs:
-per series one Gram aggregate and one small solve on an executor.  The long
+per series one Gram aggregate and one small solve on an executor, many at a time.  The long
 autoregression's coefficients are a table that is joined back to the rows, where
 the innovations are a JVM expression; the second regression's coefficients, the
 last observations and the last innovations are tables too, and a forecast is a
@@ -15,23 +15,19 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.gram import ols_from_gram, unpack
+from ..functions.gram import ols_each, unpack_each
 from ..functions.stats import norm_ppf
 from ..session import cut_lineage
-from .linear import SERIES, _diff_poly, _fit, _key_schema, _poly_mul, _with_constant, _with_series, gram, sarima_lags
+from .groups import arrays, map_rows, matrix
+from .linear import SERIES, STACK, _diff_poly, _key_schema, _poly_mul, _with_constant, _with_series, gram, sarima_lags
 from .ordering import halo_window, lagged
 from .validate import require
 
 
-def _keyed(pdf: pd.DataFrame, keys: list[str], frame: pd.DataFrame) -> pd.DataFrame:
-    for k in reversed(keys):
-        frame.insert(0, k, pd.Series([pdf[k].iloc[0]] * len(frame), dtype=object))
-    return frame
-
-
 def _differenced(y: DataFrame, poly: np.ndarray, keys, idx: str, value: str, size) -> DataFrame:
     """``poly``(L) y per series; the index begins at 0 again."""
     k0 = len(poly) - 1
@@ -72,14 +68,14 @@ def _innovations(w: DataFrame, keys: list[str], ar: list[int], ma: list[int], id
     rows = lg.where(F.col(idx) >= F.col("_m"))
     g = gram(rows, z, [*keys, "_m"])
 
-    def solve(pdf):
-        own = int(pdf["_m"].iloc[0])
-        beta, _, _ = ols_from_gram(unpack(pdf["g"].iloc[0], most + 2), range(own + 1), [most + 1], int(pdf["n"].iloc[0]))
-        phi = np.zeros(most + 1)
-        phi[:own + 1] = beta[:, 0]
-        return _keyed(pdf, keys, pd.DataFrame({"_phi": [phi.tolist()]}))
+    def solve(table):
+        G, own = unpack_each(matrix(table.column("g")), most + 2), table.column("_m").to_numpy()
+        phi = np.zeros((len(G), most + 1))
+        for m in np.unique(own):
+            phi[own == m, :m + 1] = ols_each(G[own == m], range(m + 1), [most + 1])[0][:, :, 0]
+        return {k: table.column(k) for k in keys} | {"_phi": arrays(phi)}
 
-    phi = g.groupBy(*keys).applyInPandas(solve, f"{_key_schema(g, keys)}, _phi array<double>")
+    phi = map_rows(g, solve, f"{_key_schema(g, keys)}, _phi array<double>", STACK)
     return rows.join(phi, keys).select(*keys, idx, value, "_m", (F.col(value) - _dot("_phi", lags)).alias("_e"))
 
 
@@ -122,14 +118,18 @@ def arima_many(df: DataFrame, order: tuple = (1, 0, 0), seasonal: tuple | None =
     kinds = _key_schema(g, keys)
     names = ["const"] + [f"ar_L{k}" for k in ar] + [f"ma_L{k}" for k in ma]
 
-    def solve(pdf):
-        n = int(pdf["n"].iloc[0])
-        if n <= mm:
-            return pd.DataFrame({c: [] for c in [*keys, "b", "var", "ssr", "n", "kx"]}, dtype=object)
-        b, ssr, var, kx = _fit(unpack(pdf["g"].iloc[0], mm), n, mm, constant)
-        return _keyed(pdf, keys, pd.DataFrame({"b": [b.tolist()], "var": [var.tolist()], "ssr": [ssr], "n": [n], "kx": [kx]}))
+    xs = list(range(0 if constant else 1, mm - 1))
+
+    def solve(table):
+        G = unpack_each(matrix(table.column("g")), mm)
+        b, var, ssr = np.zeros((len(G), mm - 1)), np.zeros((len(G), mm - 1)), G[:, -1, -1]
+        if xs:
+            beta, left, inv = ols_each(G, xs, [mm - 1])
+            b[:, xs], var[:, xs], ssr = beta[:, :, 0], np.einsum("nii->ni", inv), left[:, 0]
+        return {k: table.column(k) for k in keys} | {"b": arrays(b), "var": arrays(var), "ssr": ssr, "n": table.column("n"),
+                                                     "kx": np.full(len(G), len(xs))}
 
-    fit = cut_lineage(g.groupBy(*keys).applyInPandas(solve, f"{kinds}, b array<double>, var array<double>, ssr double, n long, kx long"))
+    fit = cut_lineage(map_rows(g.where(F.col("n") > mm), solve, f"{kinds}, b array<double>, var array<double>, ssr double, n long, kx long", STACK))
 
     s2, n, k = F.col("ssr") / F.greatest(F.col("n") - F.col("kx"), F.lit(1)), F.col("n"), F.col("kx") + 1
     llf = -n / 2.0 * (F.lit(math.log(2 * math.pi)) + F.log(F.col("ssr") / n) + 1.0)
@@ -208,20 +208,21 @@ def arima_grid(df: DataFrame, limit_p: int, limit_q: int, d: int = 0, s: int = 0
     _, x, g = _second_stage(w, keys, ar, ma, idx, value, size)
     mm = len(x) + 2
 
-    def cells(pdf):
-        n = int(pdf["n"].iloc[0])
-        recs = []
-        if n > mm:
-            G = unpack(pdf["g"].iloc[0], mm)
-            for p in range(limit_p):
-                for q in range(limit_q):
-                    a, m = lags(p, q)
-                    xs = [0, *(1 + ar.index(k) for k in a), *(1 + len(ar) + ma.index(k) for k in m)]
-                    _, ssr, _ = ols_from_gram(G, xs, [mm - 1], n)
-                    k = len(xs) + 1             # + innovation variance
-                    dev = n * (math.log(2 * math.pi) + math.log(float(ssr[0]) / n) + 1.0)
-                    recs.append((p, q, n, dev + 2 * k, dev + 2 * k + 2.0 * k * (k + 1) / max(n - k - 1, 1), dev + k * math.log(n)))
-        return _keyed(pdf, keys, pd.DataFrame(recs, columns=["p", "q", "nobs", "aic", "aicc", "bic"]))
-
-    out = g.groupBy(*keys).applyInPandas(cells, f"{_key_schema(g, keys)}, p int, q int, nobs long, aic double, aicc double, bic double")
+    def cells(table):
+        G, n = unpack_each(matrix(table.column("g")), mm), table.column("n").to_numpy()
+        parts = []
+        for p in range(limit_p):
+            for q in range(limit_q):
+                a, m = lags(p, q)
+                xs = [0, *(1 + ar.index(k) for k in a), *(1 + len(ar) + ma.index(k) for k in m)]
+                ssr = ols_each(G, xs, [mm - 1])[1][:, 0]
+                k = len(xs) + 1                 # + innovation variance
+                dev = n * (math.log(2 * math.pi) + np.log(ssr / n) + 1.0)
+                parts.append(pa.table({c: table.column(c) for c in keys} | {
+                    "p": np.full(len(n), p, np.int32), "q": np.full(len(n), q, np.int32), "nobs": n, "aic": dev + 2 * k,
+                    "aicc": dev + 2 * k + 2.0 * k * (k + 1) / np.maximum(n - k - 1, 1), "bic": dev + k * np.log(n)}))
+        whole = pa.concat_tables(parts)
+        return {c: whole.column(c) for c in whole.column_names}
+
+    out = map_rows(g.where(F.col("n") > mm), cells, f"{_key_schema(g, keys)}, p int, q int, nobs long, aic double, aicc double, bic double", STACK)
     return out.drop(SERIES) if SERIES in keys else out
