@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.gram import ols_each, ols_from_gram, unpack, unpack_each
 from ..session import block_size, cut_lineage
 from .impute import imputation_sets
+from .forest import CountedForest
 from .groups import arrays, map_groups, map_rows, matrix
 from .linear import STACK, _key_schema, _with_series, gram
 from .ordering import BLK, HALO, _cols, add_blocks, blocked_cumsum, by_block, dense_index, halo_window, lagged
@@ -190,7 +191,7 @@ def _round_robin(df: DataFrame, cols: list[str], categorical: list[str], make_mo
     values ride along as ``_o_*`` columns, each column is re-predicted by a
     map over all rows, and the change measure is one aggregate.  The state is
     checkpointed once per round."""
-    miss = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    miss = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols], F.count(F.lit(1)).alias("_rows")).first()
     order = [c for c in sorted(cols, key=lambda c: (miss[c], cols.index(c))) if miss[c] > 0]
     numeric = [c for c in cols if c not in categorical]
     flagged = df.select("*", *[F.col(c).isNull().alias(f"_m_{c}") for c in cols])
@@ -202,7 +203,7 @@ def _round_robin(df: DataFrame, cols: list[str], categorical: list[str], make_mo
         for c in order:
             others = [x for x in cols if x != c]
             asm = VectorAssembler(inputCols=others, outputCol="features", handleInvalid="keep")
-            model = make_model(c, c in categorical).fit(asm.transform(cur.where(~F.col(f"_m_{c}"))))
+            model = make_model(c, c in categorical, miss["_rows"] - miss[c]).fit(asm.transform(cur.where(~F.col(f"_m_{c}"))))
             keep = cur.columns
             scored = model.transform(asm.transform(cur))
             cur = scored.select(*[F.when(F.col(f"_m_{c}"), F.col("prediction")).otherwise(F.col(x)).alias(x)
@@ -261,7 +262,7 @@ def chained_impute(df: DataFrame, cols: Sequence[str], max_iter: int = 10, round
     scale = base.agg(*[F.max(F.abs(c)).alias(c) for c in cols]).first()
     tol = 1e-3 * max([scale[c] or 0.0 for c in cols] + [1e-12])
 
-    def make(c, _cat):
+    def make(c, _cat, _rows):
         return LinearRegression(featuresCol="features", labelCol=c, regParam=reg, elasticNetParam=0.0)
 
     res = _round_robin(base, cols, [], make, max_iter, "chained", tol)
@@ -273,14 +274,18 @@ def chained_impute(df: DataFrame, cols: Sequence[str], max_iter: int = 10, round
 
 def forest_impute(df: DataFrame, cols: Sequence[str], categorical: Sequence[str] = (), max_iter: int = 10,
                   num_trees: int = 50, seed: int = 42, subject: str | None = None, subject_ids=None,
-                  subjects_df: DataFrame | None = None) -> DataFrame:
+                  subjects_df: DataFrame | None = None, counted_from: int = 1 << 18) -> DataFrame:
     """MissForest: mean/mode start; per round, columns in ascending
     missing order are re-predicted by random forests (classifier for
     categorical columns) from the others; stop when the change measure has
     risen for every kind of variable present (the previous round is kept) or
     after ``max_iter`` rounds.  String categories are encoded for the forests
     and decoded back.  With chosen subjects only their rows are fitted and
-    filled; the others pass through."""
+    filled; the others pass through.
+
+    A column with ``counted_from`` or more known rows gets its forest from counts
+    (:class:`CountedForest`: the same forest with other random numbers), since
+    ``pyspark.ml`` takes every row to every tree in a pass per level."""
     cols = list(cols)
     categorical = list(categorical)
     require(len(cols) >= 2, "forest imputation needs at least two columns")
@@ -288,10 +293,12 @@ def forest_impute(df: DataFrame, cols: Sequence[str], categorical: Sequence[str]
     base, maps = _encode_categoricals(df, categorical)
     base = base.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
 
-    def make(c, cat):
-        if cat:
-            return RandomForestClassifier(featuresCol="features", labelCol=c, numTrees=num_trees, seed=seed)
-        return RandomForestRegressor(featuresCol="features", labelCol=c, numTrees=num_trees, seed=seed)
+    def make(c, cat, rows):
+        kind = RandomForestClassifier if cat else RandomForestRegressor
+        forest = kind(featuresCol="features", labelCol=c, numTrees=num_trees, seed=seed)
+        if rows < max(counted_from, 1):
+            return forest
+        return CountedForest(c, [x for x in cols if x != c], len(maps[c]) if cat else 0, num_trees, seed, forest)
 
     res = _round_robin(base, cols, categorical, make, max_iter, "forest")
     out = _decode_categoricals(res, maps).select(*df.columns)
